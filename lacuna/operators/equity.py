@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from lacuna.functions import constants as C
 from lacuna.operators.ordinal import global_cumsum, global_row_number
+from lacuna.session import materialize
 
 MILLI = 1000  # money as exact integer milli-dollars for running sums
 
@@ -69,6 +70,14 @@ def what_if(index: DataFrame, scenarios: DataFrame, factors: tuple[str, ...] = (
         "people_reached", F.when(F.col("cost_per_beneficiary") > 0, F.floor(F.col("additional_funding_usd") / F.col("cost_per_beneficiary"))).otherwise(F.lit(0)).cast("bigint")
     )
     s = s.withColumn("_sid", F.concat_ws("|", F.col("crisis_id"), F.col("additional_funding_usd").cast("string")))
+    shift = C.GINI_SHIFT
+    in_pop = F.col("requirements_usd") > 0
+    s = s.withColumn("_a", F.when(in_pop, F.greatest(F.lit(0.0), F.least(F.col("coverage_ratio"), F.lit(1.0))) + shift)).withColumn(
+        "_b", F.when(in_pop, F.greatest(F.lit(0.0), F.least(F.col("new_coverage_ratio"), F.lit(1.0))) + shift)
+    )
+    # the scenario table is read by three range lookups: checkpoint it once
+    s = materialize(s)
+    qs = s.select("_sid", "_a", "_b")
 
     # --- new rank: count of rankable lower bounds strictly above the new one
     rankable = index.where(F.col("is_in_scope") & ((F.col("requirements_usd") > 0) | (F.col("people_in_need") > 0)))
@@ -81,24 +90,22 @@ def what_if(index: DataFrame, scenarios: DataFrame, factors: tuple[str, ...] = (
         F.col("is_in_scope") & ((F.col("requirements_usd") > 0) | (F.col("people_in_need") > 0))
         & (F.col("mismatch_score_lower_bound") > F.col("new_mismatch_score_lower_bound"))
     )
-    s = s.join(above, "_sid").withColumn("new_rank", (F.lit(1) + F.col("_above") - F.when(self_above, 1).otherwise(0)).cast("long"))
+    ranks = s.select("_sid", "is_in_scope", "requirements_usd", "people_in_need", "mismatch_score_lower_bound",
+                     "new_mismatch_score_lower_bound").join(above, "_sid")
+    ranks = ranks.select("_sid", (F.lit(1) + F.col("_above") - F.when(self_above, 1).otherwise(0)).cast("long").alias("new_rank"))
+    s = s.join(ranks, "_sid")
 
     # --- Gini shift: population = clipped coverage of crises with requirements > 0
-    shift = C.GINI_SHIFT
     base = index.where(F.col("requirements_usd") > 0).select(
         (F.greatest(F.lit(0.0), F.least(F.col("coverage_ratio"), F.lit(1.0))) + shift).alias("_v"), "crisis_id"
     )
-    in_pop = F.col("requirements_usd") > 0
-    s = s.withColumn("_a", F.when(in_pop, F.greatest(F.lit(0.0), F.least(F.col("coverage_ratio"), F.lit(1.0))) + shift)).withColumn(
-        "_b", F.when(in_pop, F.greatest(F.lit(0.0), F.least(F.col("new_coverage_ratio"), F.lit(1.0))) + shift)
-    )
     ordered = global_row_number(base.select("_v"), [F.col("_v")], name="_ord")
     tot = ordered.agg(F.count(F.lit(1)).alias("n"), F.sum("_v").alias("S"), F.sum(F.col("_ord") * F.col("_v")).alias("T"))
     n_, S_, T_ = (tot.select(c).scalar() for c in ("n", "S", "T"))
 
     popq = base.select("_v", F.lit(0).alias("_kind"), F.lit(1).cast("long").alias("_w"), F.col("_v").alias("_x"), F.lit(None).cast("string").alias("_sid"), F.lit(None).cast("string").alias("_which"))
-    qa = s.where(F.col("_a").isNotNull()).select(F.col("_a").alias("_v"), F.lit(1).alias("_kind"), F.lit(0).cast("long").alias("_w"), F.lit(0.0).alias("_x"), "_sid", F.lit("a").alias("_which"))
-    qb = s.where(F.col("_b").isNotNull()).select(F.col("_b").alias("_v"), F.lit(1).alias("_kind"), F.lit(0).cast("long").alias("_w"), F.lit(0.0).alias("_x"), "_sid", F.lit("b").alias("_which"))
+    qa = qs.where(F.col("_a").isNotNull()).select(F.col("_a").alias("_v"), F.lit(1).alias("_kind"), F.lit(0).cast("long").alias("_w"), F.lit(0.0).alias("_x"), "_sid", F.lit("a").alias("_which"))
+    qb = qs.where(F.col("_b").isNotNull()).select(F.col("_b").alias("_v"), F.lit(1).alias("_kind"), F.lit(0).cast("long").alias("_w"), F.lit(0.0).alias("_x"), "_sid", F.lit("b").alias("_which"))
     # ascending value; on ties population first, so a query sees counts/sums of values <= it
     le = global_cumsum(popq.unionByName(qa).unionByName(qb), [F.col("_v"), F.col("_kind"), F.col("_sid"), F.col("_which")], {"_cnt_le": "_w", "_sum_le": "_x"}, ordinal=None)
     le = le.where(F.col("_kind") == 1).groupBy("_sid").agg(

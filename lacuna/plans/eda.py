@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 HIGH_URGENCY_CLUSTERS = ["Water Sanitation Hygiene", "Health", "Shelter/NFI", "WASH", "HEA", "SHL"]
 
 
+def round_half_up(c: Column, digits: int) -> Column:
+    """Half-up rounding of the decimal value (ties like 0.41875 -> 0.4188 on every engine)."""
+    return F.round(c.cast("decimal(38,12)"), digits).cast("double")
+
+
 def total_category_only(df: DataFrame, col: str = "category") -> DataFrame:
     """Keep rows whose category is 'total' (any case) to avoid double counting."""
     return df.where(F.col(col).ilike("total"))
@@ -25,10 +30,10 @@ def decision_metrics(needs: DataFrame) -> DataFrame:
     pop = F.when(F.col("Population") > 0, F.col("Population")).otherwise(F.lit(1.0))
     tgt = F.when(F.col("Targeted") > 0, F.col("Targeted")).otherwise(F.lit(0.0))
     d = (
-        d.withColumn("Severity_Index", F.round(F.col("In_Need") / pop, 4))
-        .withColumn("Planning_Gap", F.round(F.lit(1.0) - F.try_divide(tgt, F.col("In_Need")), 4))
-        .withColumn("Importance_Score", F.round(F.log10(F.col("In_Need") + 1), 2))
-        .withColumn("Lighthouse_Priority", F.round(F.col("Severity_Index") * F.col("Planning_Gap") * F.col("Importance_Score"), 4))
+        d.withColumn("Severity_Index", round_half_up(F.col("In_Need") / pop, 4))
+        .withColumn("Planning_Gap", round_half_up(F.lit(1.0) - F.try_divide(tgt, F.col("In_Need")), 4))
+        .withColumn("Importance_Score", round_half_up(F.log10(F.col("In_Need") + 1), 2))
+        .withColumn("Lighthouse_Priority", round_half_up(F.col("Severity_Index") * F.col("Planning_Gap") * F.col("Importance_Score"), 4))
     )
     return d.drop("Targeted")
 
@@ -38,7 +43,7 @@ def decision_metrics_v2(metrics: DataFrame) -> DataFrame:
     bonus = F.when(F.col("Severity_Index") > 0.5, F.lit(2.0)).otherwise(F.lit(1.0))
     urgency = F.when(F.col("Cluster").isin(*HIGH_URGENCY_CLUSTERS), F.lit(1.5)).otherwise(F.lit(1.0))
     return (
-        metrics.withColumn("LPS_v2", F.round(F.col("Lighthouse_Priority") * bonus * urgency, 4))
+        metrics.withColumn("LPS_v2", round_half_up(F.col("Lighthouse_Priority") * bonus * urgency, 4))
         .withColumn("is_forgotten", (F.col("Planning_Gap") > 0.8) & (F.col("Importance_Score") < 3))
         .withColumn("population_missing", F.col("Population").isNull() | (F.col("Population") == 0))
     )

@@ -269,7 +269,7 @@ def _p21b(spark, sf):
 SELECT dimension, value, CAST(ROW_NUMBER() OVER (PARTITION BY dimension ORDER BY k) AS INTEGER) AS position FROM (
   SELECT DISTINCT 'region' AS dimension, region AS value, region AS k FROM gold WHERE region IS NOT NULL
   UNION ALL SELECT DISTINCT 'sector', sector, sector FROM gold WHERE sector IS NOT NULL
-  UNION ALL SELECT DISTINCT 'year', CAST(year AS VARCHAR), CAST(-year AS VARCHAR) FROM gold WHERE year IS NOT NULL
+  UNION ALL SELECT DISTINCT 'year', CAST(year AS VARCHAR), lpad(CAST(100000 - year AS VARCHAR), 6, '0') FROM gold WHERE year IS NOT NULL
 ) t""")
 def _a3(spark, sf):
     """A3: filter dropdown values."""
@@ -785,10 +785,10 @@ EDA_COLS = ["Country_ISO3", "Cluster", "In_Need", "Population", "Severity_Index"
 EDA_SQL = """,
 hno AS (SELECT iso3 AS Country_ISO3, sector AS Cluster, CAST(people_in_need AS DOUBLE) AS In_Need,
                CAST(people_targeted AS DOUBLE) AS Targeted, CAST(population AS DOUBLE) AS Population FROM needs),
-m0 AS (SELECT *, ROUND(In_Need / CASE WHEN Population > 0 THEN Population ELSE 1.0 END, 4) AS Severity_Index,
-              ROUND(1.0 - (CASE WHEN Targeted > 0 THEN Targeted ELSE 0.0 END) / NULLIF(In_Need, 0), 4) AS Planning_Gap,
-              ROUND(LOG10(In_Need + 1), 2) AS Importance_Score FROM hno WHERE In_Need IS NOT NULL),
-m AS (SELECT *, ROUND(Severity_Index * Planning_Gap * Importance_Score, 4) AS Lighthouse_Priority FROM m0)"""
+m0 AS (SELECT *, CAST(ROUND(CAST(In_Need / CASE WHEN Population > 0 THEN Population ELSE 1.0 END AS DECIMAL(38,12)), 4) AS DOUBLE) AS Severity_Index,
+              CAST(ROUND(CAST(1.0 - (CASE WHEN Targeted > 0 THEN Targeted ELSE 0.0 END) / NULLIF(In_Need, 0) AS DECIMAL(38,12)), 4) AS DOUBLE) AS Planning_Gap,
+              CAST(ROUND(CAST(LOG10(In_Need + 1) AS DECIMAL(38,12)), 2) AS DOUBLE) AS Importance_Score FROM hno WHERE In_Need IS NOT NULL),
+m AS (SELECT *, CAST(ROUND(CAST(Severity_Index * Planning_Gap * Importance_Score AS DECIMAL(38,12)), 4) AS DOUBLE) AS Lighthouse_Priority FROM m0)"""
 
 
 def _eda(spark, sf):
@@ -803,8 +803,8 @@ def _f18(spark, sf):
 
 
 @register("f19_decision_metrics_v2", EDA_COLS + ["LPS_v2", "is_forgotten", "population_missing"], EDA_SQL + """
-SELECT *, ROUND(Lighthouse_Priority * (CASE WHEN Severity_Index > 0.5 THEN 2.0 ELSE 1.0 END)
-                * (CASE WHEN Cluster IN ('Water Sanitation Hygiene', 'Health', 'Shelter/NFI', 'WASH', 'HEA', 'SHL') THEN 1.5 ELSE 1.0 END), 4) AS LPS_v2,
+SELECT *, CAST(ROUND(CAST(Lighthouse_Priority * (CASE WHEN Severity_Index > 0.5 THEN 2.0 ELSE 1.0 END)
+                * (CASE WHEN Cluster IN ('Water Sanitation Hygiene', 'Health', 'Shelter/NFI', 'WASH', 'HEA', 'SHL') THEN 1.5 ELSE 1.0 END) AS DECIMAL(38,12)), 4) AS DOUBLE) AS LPS_v2,
        Planning_Gap > 0.8 AND Importance_Score < 3 AS is_forgotten, Population IS NULL OR Population = 0 AS population_missing FROM m""")
 def _f19(spark, sf):
     """EDA v2 priority with bonus, urgency and flags."""
