@@ -27,7 +27,7 @@ _CAND = T.StructType([
 ])
 
 
-def _scan(k: int, descending: bool):
+def _scan(k: int):
     """Sorted stream of points (kind 0) and queries (kind 1) per key -> (query id, candidate id)."""
     def run(batches):
         import pandas as pd
@@ -49,7 +49,8 @@ def _scan(k: int, descending: bool):
                     for _, neg in heap:
                         out_q.append(cid)
                         out_c.append(neg.v)
-            yield pd.DataFrame({"qid": out_q, "cand_id": out_c})
+            if out_q:
+                yield pd.DataFrame({"qid": pd.Series(out_q, dtype=object), "cand_id": pd.Series(out_c, dtype=object)})
     return run
 
 
@@ -104,7 +105,7 @@ def related_crises(gold: DataFrame, k: int = 5, band: float = C.RELATED_COVERAGE
         else:              # descending; a query precedes points with equal value (strict >)
             order = [F.col("_gk"), F.col("_v").desc(), F.col("_kind").desc(), F.col("_id")]
         s = u.repartition(n, "_gk").sortWithinPartitions(*order)
-        return s.mapInPandas(_scan(k, direction < 0), _CAND)
+        return s.mapInPandas(_scan(k), _CAND)
 
     cands = cand_same.unionByName(side(1)).unionByName(side(-1)).where(F.col("qid") != F.col("cand_id")).distinct()
     info = pts.select(F.col("crisis_id").alias("cand_id"), F.col("mismatch_score").alias("_cs"), F.col("coverage_ratio").alias("_cc"))
