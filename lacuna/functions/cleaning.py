@@ -75,3 +75,13 @@ def severity_text(c: Column | str) -> Column:
 
 
 
+
+
+def exact_avg(c: Column | str, digits_in: int, digits_out: int = 6) -> Column:
+    """Aggregate: mean of values that carry ``digits_in`` decimals, rounded half-up to
+    ``digits_out`` with integer arithmetic (no float tie ambiguity)."""
+    units = 10 ** digits_in
+    m = 10 ** digits_out // units
+    s = F.sum(F.round(col_(c) * units).cast("long"))
+    n = F.count(col_(c))
+    return F.floor((F.lit(2) * s * m + n) / (F.lit(2) * n)) / float(10 ** digits_out)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lacuna.functions import constants as C
 from lacuna.functions import lookups
+from lacuna.functions.cleaning import exact_avg
 from lacuna.functions.scoring import effective_coverage
 
 
@@ -91,7 +92,7 @@ def liquidity_adjusted_coverage(index: DataFrame, cbpf: DataFrame) -> DataFrame:
     """Per (iso3, year): (paid + outstanding pledges x mean liquidity discount) / requirements, capped at 1."""
     req = index.groupBy("iso3", "year").agg(F.sum(F.col("requirements_usd").cast("decimal(38,3)")).cast("double").alias("requirements_usd"))
     disc = velocity(index).join(index.select("crisis_id", "iso3", "year"), "crisis_id").groupBy("iso3", "year").agg(
-        F.avg("liquidity_discount_factor").alias("velocity")
+        exact_avg("liquidity_discount_factor", 2).alias("velocity")
     )
     money = cbpf.select(
         F.col("country").alias("iso3"), F.col("fiscal_year").cast("int").alias("year"),

@@ -21,6 +21,8 @@ from pyspark.sql import types as T
 
 from lacuna.functions import constants as C
 
+DEC = "decimal(38,12)"
+
 _CAND = T.StructType([
     T.StructField("qid", T.StringType()),
     T.StructField("cand_id", T.StringType()),
@@ -73,10 +75,13 @@ class _Neg:
 
 def related_crises(gold: DataFrame, k: int = 5, band: float = C.RELATED_COVERAGE_BAND, partitions: int | None = None) -> DataFrame:
     """(crisis_id, related_id, position) for every in-scope crisis."""
+    # the band test runs on coverage at 12 decimal places, so bucket edges,
+    # scan thresholds and the final check agree exactly (no float subtraction)
+    width = F.lit(band).cast("decimal(4,3)")
     pts = gold.where(F.col("is_in_scope")).select(
-        "crisis_id", "region", "crisis_type", "coverage_ratio", "mismatch_score",
-        F.floor(F.col("coverage_ratio") / band).cast("long").alias("_b"),
-    )
+        "crisis_id", "region", "crisis_type", "mismatch_score",
+        F.col("coverage_ratio").cast(DEC).alias("coverage_ratio"),
+    ).withColumn("_b", F.floor(F.col("coverage_ratio") / width).cast("long"))
     grp = F.concat_ws("\u0001", F.coalesce("region", F.lit("")), F.coalesce("crisis_type", F.lit("")))
     pts = pts.withColumn("_g", grp)
     n = partitions or int(gold.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
@@ -96,7 +101,7 @@ def related_crises(gold: DataFrame, k: int = 5, band: float = C.RELATED_COVERAGE
         )
         q = pts.select(
             F.concat_ws("|", "_g", (F.col("_b") + direction).cast("string")).alias("_gk"), F.lit(1).alias("_kind"),
-            (F.col("coverage_ratio") + direction * band).alias("_v"), F.lit(None).cast("double").alias("_score"),
+            (F.col("coverage_ratio") + width * direction).cast(DEC).alias("_v"), F.lit(None).cast("double").alias("_score"),
             F.col("crisis_id").alias("_id"),
         )
         u = p.unionByName(q)
@@ -104,13 +109,13 @@ def related_crises(gold: DataFrame, k: int = 5, band: float = C.RELATED_COVERAGE
             order = [F.col("_gk"), F.col("_v").asc(), F.col("_kind").desc(), F.col("_id")]
         else:              # descending; a query precedes points with equal value (strict >)
             order = [F.col("_gk"), F.col("_v").desc(), F.col("_kind").desc(), F.col("_id")]
-        s = u.repartition(n, "_gk").sortWithinPartitions(*order)
+        s = u.repartition(n, "_gk").sortWithinPartitions(*order).select("_gk", "_kind", "_score", "_id")
         return s.mapInPandas(_scan(k), _CAND)
 
     cands = cand_same.unionByName(side(1)).unionByName(side(-1)).where(F.col("qid") != F.col("cand_id")).distinct()
     info = pts.select(F.col("crisis_id").alias("cand_id"), F.col("mismatch_score").alias("_cs"), F.col("coverage_ratio").alias("_cc"))
     base = pts.select(F.col("crisis_id").alias("qid"), F.col("coverage_ratio").alias("_qc"))
-    j = cands.join(info, "cand_id").join(base, "qid").where(F.abs(F.col("_cc") - F.col("_qc")) < band)
+    j = cands.join(info, "cand_id").join(base, "qid").where(F.abs(F.col("_cc") - F.col("_qc")) < width)
     wr = Window.partitionBy("qid").orderBy(F.col("_cs").desc(), F.col("cand_id"))
     return (
         j.withColumn("position", F.row_number().over(wr))

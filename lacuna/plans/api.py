@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lacuna.functions import constants as C
 from lacuna.functions import scoring as S
-from lacuna.functions.cleaning import band
+from lacuna.functions.cleaning import band, exact_avg
 
 
 # ------------------------------------------------------------ P21 / T1 rankings
@@ -143,9 +143,9 @@ def predictive_map(gold: DataFrame, projections: DataFrame, year: int | None = N
         g = g.where(F.col("year") == year)
     cur = g.groupBy("iso3", "country", "region").agg(F.avg("coverage_ratio").alias("coverage_ratio"))
     proj = projections.withColumn("iso3", F.split_part(F.col("crisis_id"), F.lit("_"), F.lit(1))).groupBy("iso3").agg(
-        F.avg("projected_coverage_6m").alias("predicted_coverage_6m"),
-        F.avg("ci_lower").alias("confidence_lower"),
-        F.avg("ci_upper").alias("confidence_upper"),
+        exact_avg("projected_coverage_6m", 3).alias("predicted_coverage_6m"),
+        exact_avg("ci_lower", 3).alias("confidence_lower"),
+        exact_avg("ci_upper", 3).alias("confidence_upper"),
     )
     out = cur.join(proj, "iso3", "left")
     return out.withColumn(

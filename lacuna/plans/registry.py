@@ -372,8 +372,8 @@ proj AS (
 SELECT c.*, p.predicted_coverage_6m, p.confidence_lower, p.confidence_upper,
        COALESCE(p.predicted_coverage_6m, c.coverage_ratio) - c.coverage_ratio AS predicted_change
 FROM (SELECT iso3, country, region, AVG(coverage_ratio) AS coverage_ratio FROM gold WHERE is_in_scope GROUP BY ALL) c
-LEFT JOIN (SELECT split_part(crisis_id, '_', 1) AS iso3, AVG(projected_coverage_6m) AS predicted_coverage_6m,
-                  AVG(ci_lower) AS confidence_lower, AVG(ci_upper) AS confidence_upper FROM proj GROUP BY 1) p USING (iso3)""")
+LEFT JOIN (SELECT split_part(crisis_id, '_', 1) AS iso3, FLOOR((2 * SUM(CAST(ROUND(projected_coverage_6m * 1000) AS BIGINT)) * 1000 + COUNT(projected_coverage_6m)) / (2 * COUNT(projected_coverage_6m))) / 1000000.0 AS predicted_coverage_6m,
+                  FLOOR((2 * SUM(CAST(ROUND(ci_lower * 1000) AS BIGINT)) * 1000 + COUNT(ci_lower)) / (2 * COUNT(ci_lower))) / 1000000.0 AS confidence_lower, FLOOR((2 * SUM(CAST(ROUND(ci_upper * 1000) AS BIGINT)) * 1000 + COUNT(ci_upper)) / (2 * COUNT(ci_upper))) / 1000000.0 AS confidence_upper FROM proj GROUP BY 1) p USING (iso3)""")
 def _j9(spark, sf):
     """J9 + A9: predictive risk layer."""
     g = gold(spark, sf)
@@ -553,8 +553,9 @@ SELECT r.iso3, r.year, r.requirements_usd, COALESCE(m.paid_usd, 0.0) AS paid_usd
                       / NULLIF(r.requirements_usd, 0), 1.0), 0.0) AS effective_coverage
 FROM (SELECT iso3, year, CAST(SUM(CAST(requirements_usd AS DECIMAL(38,3))) AS DOUBLE) AS requirements_usd FROM gold GROUP BY iso3, year) r
 LEFT JOIN (SELECT iso3, year, CAST(SUM(paid) AS DOUBLE) AS paid_usd, CAST(SUM(pledged) AS DOUBLE) AS pledged_usd FROM cbpf GROUP BY iso3, year) m USING (iso3, year)
-LEFT JOIN (SELECT iso3, year, AVG(ROUND(GREATEST(0.2, LEAST(1.0, 1.0 - GREATEST(0.5, CASE WHEN crisis_type = 'STRUCTURAL' THEN 4.5 ELSE 1.5 END) * 0.05)), 2)) AS velocity
-           FROM gold WHERE is_in_scope GROUP BY iso3, year) v USING (iso3, year)""")
+LEFT JOIN (SELECT iso3, year, FLOOR((2 * SUM(CAST(ROUND(ldf * 100) AS BIGINT)) * 10000 + COUNT(ldf)) / (2 * COUNT(ldf))) / 1000000.0 AS velocity
+           FROM (SELECT iso3, year, ROUND(GREATEST(0.2, LEAST(1.0, 1.0 - GREATEST(0.5, CASE WHEN crisis_type = 'STRUCTURAL' THEN 4.5 ELSE 1.5 END) * 0.05)), 2) AS ldf
+                 FROM gold WHERE is_in_scope) x GROUP BY iso3, year) v USING (iso3, year)""")
 def _o7(spark, sf):
     """O7 + F20: liquidity-adjusted coverage per country-year."""
     return FC.liquidity_adjusted_coverage(gold(spark, sf), _bronze(spark, sf).cbpf_raw)
@@ -1014,7 +1015,7 @@ SELECT crisis_id, related_id, CAST(position AS INTEGER) AS position FROM (
   SELECT a.crisis_id, b.crisis_id AS related_id,
          ROW_NUMBER() OVER (PARTITION BY a.crisis_id ORDER BY b.mismatch_score DESC, b.crisis_id) AS position
   FROM gold a JOIN gold b ON a.region = b.region AND a.crisis_type = b.crisis_type AND a.crisis_id <> b.crisis_id
-       AND ABS(b.coverage_ratio - a.coverage_ratio) < 0.15
+       AND ABS(CAST(b.coverage_ratio AS DECIMAL(38,12)) - CAST(a.coverage_ratio AS DECIMAL(38,12))) < 0.15
   WHERE a.is_in_scope AND b.is_in_scope) t WHERE position <= 5""")
 def _j11(spark, sf):
     """Top-5 similar crises per crisis (bounded candidates, exact)."""
