@@ -9,11 +9,15 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import types as T
+from pyspark.sql import functions as F
 
 from lacuna.functions import constants as C
 
 
+def _sql_str(v: str) -> str:
+    return "'" + str(v).replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def lookup_frame(
     spark: SparkSession,
     mapping: Mapping[str, str] | Iterable[tuple[str, str]],
@@ -21,13 +25,21 @@ def lookup_frame(
     value: str,
     ordinal: str | None = None,
 ) -> DataFrame:
+    """A constant table as one SQL ``VALUES`` relation (a JVM-local relation).
+
+    No Python RDD is involved, so broadcasting it never starts a Python
+    worker, Catalyst knows its exact (tiny, fixed) size, and building it is a
+    single call into the JVM.
+    """
     items = list(mapping.items()) if isinstance(mapping, Mapping) else list(mapping)
-    fields = [T.StructField(key, T.StringType(), False), T.StructField(value, T.StringType(), True)]
-    rows: list[tuple] = items
-    if ordinal:
-        fields.append(T.StructField(ordinal, T.IntegerType(), False))
-        rows = [(k, v, i) for i, (k, v) in enumerate(items)]
-    return spark.createDataFrame(rows, T.StructType(fields))
+    rows = []
+    for i, (k, v) in enumerate(items):
+        cells = [_sql_str(k), "CAST(NULL AS STRING)" if v is None else _sql_str(v)]
+        if ordinal:
+            cells.append(str(i))
+        rows.append("(" + ", ".join(cells) + ")")
+    cols = [key, value] + ([ordinal] if ordinal else [])
+    return spark.sql(f"SELECT * FROM VALUES {', '.join(rows)} AS t({', '.join(cols)})")
 
 
 def region_map(spark: SparkSession) -> DataFrame:

@@ -76,7 +76,7 @@ def what_if(index: DataFrame, scenarios: DataFrame, factors: tuple[str, ...] = (
         "_b", F.when(in_pop, F.greatest(F.lit(0.0), F.least(F.col("new_coverage_ratio"), F.lit(1.0))) + shift)
     )
     # the scenario table is read by three range lookups: checkpoint it once
-    s = materialize(s)
+    s = materialize(s, "scenarios")
     qs = s.select("_sid", "_a", "_b")
 
     # --- new rank: count of rankable lower bounds strictly above the new one

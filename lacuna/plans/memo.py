@@ -21,7 +21,7 @@ def memo(spark: SparkSession, key: tuple, build: Callable[[], DataFrame]) -> Dat
     if df is None:
         from lacuna.session import materialize
 
-        df = materialize(build())
+        df = materialize(build(), name=key[0])
         _MEMO[full] = df
     return df
 

@@ -43,14 +43,14 @@ def bronze_from_testdata(spark: SparkSession, sf_dir: str) -> Bronze:
     # The cube is the only step that reads the big fact tables. Its size is
     # bounded by the dimensions, so it is checkpointed once and shared by all
     # four bronze views (otherwise each pruned copy would rescan the facts).
-    cube = materialize(TD.order_cube(spark, sf_dir))
+    cube = materialize(TD.order_cube(spark, sf_dir), "cube")
     return Bronze(
         funding_raw=TD.funding_raw(spark, sf_dir, cube),
         needs_raw=TD.needs_raw(spark, sf_dir, cube),
         severity_raw=TD.severity_raw(spark, sf_dir, cube),
         cbpf_raw=TD.cbpf_raw(spark, sf_dir, cube),
         regions=TD.region_lookup(spark, sf_dir),
-        media=materialize(TD.media_counts(spark, sf_dir)),
+        media=materialize(TD.media_counts(spark, sf_dir), "media"),
     )
 
 
@@ -78,7 +78,7 @@ def gold_index(
     """The full scored and ranked crisis index from the raw tables."""
     b = bronze_from_testdata(spark, sf_dir)
     s = silver(b)
-    idx = materialize(gold_base(s, b))
+    idx = materialize(gold_base(s, b), "base")
     idx = with_confidence(idx, as_of_year)
     idx = with_structural(idx, lookback_years)
     idx = with_scores(idx, factors)

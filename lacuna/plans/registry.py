@@ -70,11 +70,12 @@ def _bronze(spark: SparkSession, sf_dir: str) -> Bronze:
 
 def _silver(spark: SparkSession, sf_dir: str) -> Silver:
     b = _bronze(spark, sf_dir)
+    # silver views stay lazy: they are small derivations of the materialised cube
     return Silver(
-        funding=memo(spark, ("funding", sf_dir), lambda: N.funding_flows(None, b.funding_raw)),
-        needs=memo(spark, ("needs", sf_dir), lambda: N.needs_by_sector(b.needs_raw)),
-        severity=memo(spark, ("severity", sf_dir), lambda: N.severity_index(b.severity_raw)),
-        universe=memo(spark, ("universe", sf_dir), lambda: N.crisis_universe([b.funding_raw, b.needs_raw], b.regions)),
+        funding=N.funding_flows(None, b.funding_raw),
+        needs=N.needs_by_sector(b.needs_raw),
+        severity=N.severity_index(b.severity_raw),
+        universe=N.crisis_universe([b.funding_raw, b.needs_raw], b.regions),
     )
 
 

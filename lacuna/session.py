@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -53,11 +54,15 @@ def scratch_table_path(spark: SparkSession, name: str) -> str:
     return os.path.join(base, "tables", name)
 
 
-def materialize(df, eager: bool = True):
-    """Cut lineage with a reliable checkpoint in the shared ``spark.checkpoint.dir``.
+def materialize(df, name: str = "t"):
+    """Cut lineage by writing a parquet table into the shared ``spark.checkpoint.dir``.
 
-    Used for small, reused intermediates (the order cube, the gold index) so a
-    lost executor re-reads the checkpoint instead of re-running the raw scan.
+    One job writes the table; reading it back gives Catalyst/AQE real size
+    statistics (so small results are broadcast and big ones are not). A lost
+    executor re-reads the files instead of re-running the upstream plan.
+    Used for reused intermediates: the order cube and the gold index.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=eager)
+    spark = df.sparkSession
+    path = scratch_table_path(spark, f"{name}-{uuid.uuid4().hex}")
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
