@@ -32,8 +32,11 @@ def strip_fences(text: Column | str) -> Column:
 
 def parse_records(df: DataFrame, text_col: str, schema: T.StructType, source_col: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Returns (parsed rows with the schema's fields, quarantined raw rows)."""
-    parsed = df.withColumn("_rec", F.from_json(strip_fences(text_col), schema, {"mode": "PERMISSIVE"}))
-    ok = F.col("_rec").isNotNull()
+    text = strip_fences(text_col)
+    parsed = df.withColumn("_rec", F.from_json(text, schema, {"mode": "PERMISSIVE"})).withColumn(
+        "_is_obj", F.json_object_keys(text).isNotNull()
+    )
+    ok = F.col("_rec").isNotNull() & F.col("_is_obj")
     if "error" in schema.fieldNames():
         ok = ok & F.col("_rec.error").isNull()
     keep = [c for c in df.columns if c != text_col]
@@ -42,5 +45,5 @@ def parse_records(df: DataFrame, text_col: str, schema: T.StructType, source_col
         good = good.drop("error")
     if source_col:
         good = good.withColumnRenamed(source_col, "source_url")
-    bad = parsed.where(~ok | F.col("_rec").isNull()).drop("_rec")
+    bad = parsed.where(~F.coalesce(ok, F.lit(False))).drop("_rec", "_is_obj")
     return good, bad

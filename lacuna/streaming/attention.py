@@ -28,7 +28,8 @@ def daily_counts(events: DataFrame, nations: DataFrame) -> DataFrame:
 def windowed_counts(events: DataFrame, nations: DataFrame, length: str = "30 days", slide: str = "1 day",
                     watermark: str | None = None) -> DataFrame:
     """Sliding event-time windows (30-day look-back, daily slide) per iso3."""
-    e = _with_country(events, nations)
+    # event time must be a session-zone timestamp for watermarks
+    e = _with_country(events, nations).withColumn("ts", F.col("ts").cast("timestamp"))
     if watermark:
         e = e.withWatermark("ts", watermark)
     return e.groupBy("iso3", F.window("ts", length, slide).alias("w")).agg(F.count(F.lit(1)).alias("article_count")).select(
