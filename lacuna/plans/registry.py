@@ -50,7 +50,8 @@ DOUBLES = {
     "old_gini", "new_gini", "global_equity_impact_score", "allocated_usd", "fill_level", "total_budget_usd",
     "budget_allocated_usd", "gini_before", "gini_after", "equity_improvement", "gini", "In_Need", "Population",
     "Severity_Index", "Planning_Gap", "Importance_Score", "Lighthouse_Priority", "LPS_v2", "avg_planning_gap",
-    "pin_percent_rank", "region_coverage", "value_d", "people_in_need_sum",
+    "pin_percent_rank", "region_coverage", "value_d", "people_in_need_sum", "requirements_musd", "funding_musd",
+    "coverage_pct", "urgent_share", "returned_share", "composite_severity", "country_coverage",
 }
 
 
@@ -1021,3 +1022,143 @@ SELECT crisis_id, related_id, CAST(position AS INTEGER) AS position FROM (
 def _j11(spark, sf):
     """Top-5 similar crises per crisis (bounded candidates, exact)."""
     return related_crises(gold(spark, sf))
+
+
+# --- more read-API shapes ------------------------------------------------------------
+J8_COLS = ["crisis_id", "mismatch_score_lower_bound", "global_rank", "liquidity_discount_factor", "projected_coverage_6m",
+           "ci_lower", "ci_upper", "trigger_sector", "escalation_probability", "p_new_contribution"]
+
+
+@register("j8_rankings_with_predictions", J8_COLS, f""",
+{PROJ_SQL.strip()},
+{CASCADE_SQL.strip()},
+vel AS (SELECT crisis_id, ROUND(GREATEST(0.2, LEAST(1.0, 1.0 - GREATEST(0.5, CASE WHEN crisis_type = 'STRUCTURAL' THEN 4.5 ELSE 1.5 END) * 0.05)), 2) AS liquidity_discount_factor
+        FROM gold WHERE is_in_scope),
+beh AS (SELECT crisis_id, ROUND(GREATEST(0.01, LEAST(0.99, 0.5 / visibility_penalty)), 2) AS p_new_contribution FROM gold WHERE is_in_scope),
+cas AS (SELECT crisis_id, FIRST(trigger_sector ORDER BY escalation_probability DESC, trigger_sector DESC) AS trigger_sector,
+               MAX(escalation_probability) AS escalation_probability FROM cascade GROUP BY crisis_id),
+page AS (SELECT * FROM gold WHERE is_in_scope ORDER BY mismatch_score_lower_bound DESC, crisis_id LIMIT 20)
+SELECT p.crisis_id, p.mismatch_score_lower_bound, p.global_rank, vel.liquidity_discount_factor, proj.projected_coverage_6m,
+       proj.ci_lower, proj.ci_upper, cas.trigger_sector, cas.escalation_probability, beh.p_new_contribution
+FROM page p LEFT JOIN vel USING (crisis_id) LEFT JOIN proj USING (crisis_id) LEFT JOIN cas USING (crisis_id) LEFT JOIN beh USING (crisis_id)""")
+def _j8(spark, sf):
+    """Ranking page with the four prediction look-ups as joins (no per-row look-ups)."""
+    g = gold(spark, sf)
+    page = A.rankings(g)
+    out = A.with_predictions(page, FC.velocity(g), FC.cascade_risk(g), FC.gap_projection(g), FC.donor_behavior(g))
+    return out.select(
+        "crisis_id", "mismatch_score_lower_bound", "global_rank",
+        F.col("velocity.liquidity_discount_factor").alias("liquidity_discount_factor"),
+        F.col("gap.projected_coverage_6m").alias("projected_coverage_6m"),
+        F.col("gap.ci_lower").alias("ci_lower"), F.col("gap.ci_upper").alias("ci_upper"),
+        F.col("cascade.trigger_sector").alias("trigger_sector"),
+        F.col("cascade.escalation_probability").alias("escalation_probability"),
+        F.col("donor.p_new_contribution").alias("p_new_contribution"),
+    )
+
+
+EXPORT_COLS = ["crisis_id", "country", "sector", "year", "mismatch_score_lower_bound", "coverage_ratio", "global_rank"]
+
+
+@register("t2_export_top500", EXPORT_COLS, f"""
+SELECT {', '.join(EXPORT_COLS)} FROM gold WHERE is_in_scope ORDER BY mismatch_score_lower_bound DESC, crisis_id LIMIT 500""")
+def _t2(spark, sf):
+    """Export page, top 500 by lower bound (TakeOrderedAndProject)."""
+    return A.rankings(gold(spark, sf), limit=500)
+
+
+@register("p25_trend_chart_units", ["year", "requirements_musd", "funding_musd", "coverage_pct"], """
+SELECT year, r / 1e6 AS requirements_musd, f / 1e6 AS funding_musd, avg_cov * 100 AS coverage_pct FROM (
+  SELECT year, CAST(SUM(CAST(requirements_usd AS DECIMAL(38,3))) AS DOUBLE) AS r, CAST(SUM(CAST(funding_usd AS DECIMAL(38,3))) AS DOUBLE) AS f,
+         AVG(coverage_ratio) AS avg_cov FROM gold WHERE is_in_scope GROUP BY year) t""")
+def _p25(spark, sf):
+    """P25: trend values scaled for charts (millions, percent)."""
+    t = A.global_trend(gold(spark, sf))
+    return t.select("year", (F.col("total_requirements_usd") / 1e6).alias("requirements_musd"),
+                    (F.col("total_funding_usd") / 1e6).alias("funding_musd"), (F.col("avg_coverage_ratio") * 100).alias("coverage_pct"))
+
+
+@register("u2_funding_with_totals", FUND_COLS, """,
+tot AS (SELECT iso3, MIN(country) AS country, year, 'Total' AS sector, SUM(requirements_usd) AS requirements_usd, SUM(funding_usd) AS funding_usd
+        FROM (SELECT nat.iso3, nat.country, f.year,
+                     CAST(SUM(f.price) AS DECIMAL(38,3)) AS requirements_usd,
+                     SUM(CASE f.status WHEN 'F' THEN CAST(f.price AS DECIMAL(38,3)) WHEN 'P' THEN CAST(f.price * 0.5 AS DECIMAL(38,3)) ELSE CAST(0 AS DECIMAL(38,3)) END) AS funding_usd
+              FROM facts f JOIN nat USING (nationkey) GROUP BY nat.iso3, nat.country, f.year) x GROUP BY iso3, year),
+u AS (SELECT iso3, country, year, sector, requirements_usd, funding_usd FROM funding
+      UNION ALL SELECT iso3, country, year, sector, CAST(requirements_usd AS DOUBLE), CAST(funding_usd AS DOUBLE) FROM tot)
+SELECT iso3, country, year, sector, requirements_usd, funding_usd,
+       CASE WHEN requirements_usd > 0 THEN LEAST(funding_usd / requirements_usd, 1.0) ELSE 0.0 END AS coverage_ratio FROM u""")
+def _u2(spark, sf):
+    """Global (sector 'Total') rows unioned with cluster rows before the silver aggregate."""
+    raw = _bronze(spark, sf).funding_raw
+    totals = raw.groupBy("iso3", "country", "year").agg(
+        F.sum("requirements_usd").alias("requirements_usd"), F.sum("funding_usd").alias("funding_usd")
+    )
+    return N.funding_flows(totals, raw)
+
+
+@register("f21_composite_severity", ["iso3", "year", "inform_severity", "urgent_share", "returned_share", "composite_severity"], """,
+sig AS (
+  SELECT nat.iso3, f.year,
+         CAST(10.0 AS DOUBLE) * SUM(CASE WHEN f.priority = '1-URGENT' THEN 1 ELSE 0 END) / COUNT(*) AS urgent_share,
+         CAST(10.0 AS DOUBLE) * COUNT(f.rf_qty) / COUNT(*) AS returned_share
+  FROM facts f JOIN nat USING (nationkey) GROUP BY nat.iso3, f.year),
+b AS (SELECT DISTINCT iso3, year FROM funding)
+SELECT b.iso3, b.year, s.inform_severity, g.urgent_share, g.returned_share,
+       (COALESCE(s.inform_severity * 2.0, 0.0) + COALESCE(g.urgent_share * 1.0, 0.0) + COALESCE(g.returned_share * 1.0, 0.0))
+       / NULLIF((CASE WHEN s.inform_severity IS NOT NULL THEN 2.0 ELSE 0.0 END) + (CASE WHEN g.urgent_share IS NOT NULL THEN 1.0 ELSE 0.0 END)
+                + (CASE WHEN g.returned_share IS NOT NULL THEN 1.0 ELSE 0.0 END), 0) AS composite_severity
+FROM b LEFT JOIN severity s USING (iso3, year) LEFT JOIN sig g USING (iso3, year)""")
+def _f21(spark, sf):
+    """weighted mean of severity signals (severity index x2, urgent-order share, returned-line share)."""
+    from lacuna.sources.csv import composite_severity
+
+    s = _silver(spark, sf)
+    orders = TD.read_table(spark, sf, "orders").select("o_orderkey", "o_custkey", F.year("o_orderdate").cast("int").alias("year"),
+                                                       (F.col("o_orderpriority") == "1-URGENT").cast("int").alias("urgent"))
+    lines = (TD.read_table(spark, sf, "lineitem").where((F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "F"))
+             .select("l_orderkey").distinct().withColumn("returned", F.lit(1)))
+    cust = TD.read_table(spark, sf, "customer").select("c_custkey", F.col("c_nationkey").alias("nationkey"))
+    nat = TD.nations(spark, sf).select("nationkey", "iso3")
+    per = (orders.join(lines, orders.o_orderkey == lines.l_orderkey, "left")
+           .groupBy("o_custkey", "year").agg(F.count(F.lit(1)).alias("n"), F.sum("urgent").alias("u"), F.count("returned").alias("r"))
+           .join(cust, F.col("o_custkey") == F.col("c_custkey"))
+           .groupBy("nationkey", "year").agg(F.sum("n").alias("n"), F.sum("u").alias("u"), F.sum("r").alias("r"))
+           .join(F.broadcast(nat), "nationkey"))
+    urgent = per.select("iso3", "year", (F.lit(10.0) * F.col("u") / F.col("n")).alias("value"))
+    returned = per.select("iso3", "year", (F.lit(10.0) * F.col("r") / F.col("n")).alias("value"))
+    base = s.funding.select("iso3", "year").distinct()
+    sev = s.severity.select("iso3", "year", F.col("inform_severity").alias("value"))
+    out = composite_severity(base, {"inform": (sev, 2.0), "urgent": (urgent, 1.0), "returned": (returned, 1.0)})
+    return (out.join(s.severity, ["iso3", "year"], "left")
+            .join(urgent.withColumnRenamed("value", "urgent_share"), ["iso3", "year"], "left")
+            .join(returned.withColumnRenamed("value", "returned_share"), ["iso3", "year"], "left"))
+
+
+@register("s15_plan_years", ["iso3", "year", "n_plans", "requirements_usd"], """
+SELECT iso3, year, COUNT(*) AS n_plans, CAST(SUM(CAST(req AS DECIMAL(38,3))) AS DOUBLE) AS requirements_usd FROM (
+  SELECT nat.iso3, p.priority, p.y0, p.y1, p.req, UNNEST(generate_series(p.y0, GREATEST(p.y0, p.y1))) AS year
+  FROM (SELECT c.c_nationkey AS nationkey, o.o_orderpriority AS priority, MIN(CAST(year(o.o_orderdate) AS INTEGER)) AS y0,
+               MAX(CAST(year(o.o_orderdate) AS INTEGER)) AS y1, CAST(SUM(CAST(o.o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS req
+        FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey GROUP BY 1, 2) p JOIN nat USING (nationkey)) t
+GROUP BY iso3, year""")
+def _s15(spark, sf):
+    """Response plans (one per nation x priority, spanning its order years) exploded to plan years."""
+    from lacuna.sources.csv import response_plans
+
+    o = TD.read_table(spark, sf, "orders").select("o_custkey", F.year("o_orderdate").cast("int").alias("y"),
+                                                  "o_orderpriority", F.col("o_totalprice").cast("decimal(18,2)").alias("p"))
+    cust = TD.read_table(spark, sf, "customer").select("c_custkey", F.col("c_nationkey").alias("nationkey"))
+    plans = (o.groupBy("o_custkey", "o_orderpriority").agg(F.min("y").alias("y0"), F.max("y").alias("y1"), F.sum("p").alias("p"))
+             .join(cust, F.col("o_custkey") == F.col("c_custkey"))
+             .groupBy("nationkey", "o_orderpriority").agg(F.min("y0").alias("y0"), F.max("y1").alias("y1"), F.sum("p").alias("p"))
+             .join(F.broadcast(TD.nations(spark, sf).select("nationkey", "iso3")), "nationkey")
+             .select(F.concat_ws("-", "iso3", "o_orderpriority").alias("plan_id"), F.col("o_orderpriority").alias("plan_name"),
+                     "iso3", F.lit("Active").alias("status"), F.col("p").cast("double").cast("string").alias("requirements_usd"),
+                     F.lit(None).cast("string").alias("funding_usd"),
+                     F.col("y0").cast("string").alias("year_start"), F.col("y1").cast("string").alias("year_end")))
+    years = response_plans(plans)
+    return years.groupBy("iso3", "year").agg(
+        F.count(F.lit(1)).alias("n_plans"),
+        F.sum(F.col("requirements_usd").cast("decimal(38,3)")).cast("double").alias("requirements_usd"),
+    )
