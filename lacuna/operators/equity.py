@@ -100,8 +100,11 @@ def what_if(index: DataFrame, scenarios: DataFrame, factors: tuple[str, ...] = (
         (F.greatest(F.lit(0.0), F.least(F.col("coverage_ratio"), F.lit(1.0))) + shift).alias("_v"), "crisis_id"
     )
     ordered = global_row_number(base.select("_v"), [F.col("_v")], name="_ord")
-    tot = ordered.agg(F.count(F.lit(1)).alias("n"), F.sum("_v").alias("S"), F.sum(F.col("_ord") * F.col("_v")).alias("T"))
-    n_, S_, T_ = (tot.select(c).scalar() for c in ("n", "S", "T"))
+    # one scalar subquery (reused for every reference) carrying n, S and T
+    stats = ordered.agg(
+        F.struct(F.count(F.lit(1)).alias("n"), F.sum("_v").alias("S"), F.sum(F.col("_ord") * F.col("_v")).alias("T"))
+    ).scalar()
+    n_, S_, T_ = stats.getField("n"), stats.getField("S"), stats.getField("T")
 
     popq = base.select("_v", F.lit(0).alias("_kind"), F.lit(1).cast("long").alias("_w"), F.col("_v").alias("_x"), F.lit(None).cast("string").alias("_sid"), F.lit(None).cast("string").alias("_which"))
     qa = qs.where(F.col("_a").isNotNull()).select(F.col("_a").alias("_v"), F.lit(1).alias("_kind"), F.lit(0).cast("long").alias("_w"), F.lit(0.0).alias("_x"), "_sid", F.lit("a").alias("_which"))
@@ -167,12 +170,15 @@ def allocate(index: DataFrame, budget_usd: float, region: str | None = None, sec
     level = level_row.select(
         F.least((F.lit(budget_m) + F.col("k._F")) / F.col("k._R"), F.lit(1.0))
     ).scalar()
-    alloc = (
+    # the allocation table is bounded by the eligible crises; written once so the
+    # Gini passes below do not re-run the running sums
+    alloc = materialize(
         elig.withColumn("_level", level)
         .withColumn("allocated_usd", F.greatest(F.lit(0.0), F.col("_level") * F.col("requirements_usd") - F.col("funding_usd")))
         .where(F.col("allocated_usd") > 0)
         .withColumn("new_coverage_ratio", F.least(F.lit(1.0), (F.col("funding_usd") + F.col("allocated_usd")) / F.col("requirements_usd")))
-        .select("crisis_id", "country", "sector", "allocated_usd", "new_coverage_ratio", F.col("_level").alias("fill_level"))
+        .select("crisis_id", "country", "sector", "allocated_usd", "new_coverage_ratio", F.col("_level").alias("fill_level")),
+        "allocation",
     )
     after = pool.join(alloc.select("crisis_id", "allocated_usd"), "crisis_id", "left").select(
         F.col("coverage_ratio").alias("cov_before"),
