@@ -36,8 +36,21 @@ TABLES = (
 ).split()
 
 
+_FRAMES: dict[tuple, DataFrame] = {}
+
+
+def _reuse(spark: SparkSession, key: tuple, build) -> DataFrame:
+    """Reuse a DataFrame object (its analysed plan, not data) within one application."""
+    full = (spark.sparkContext.applicationId,) + key
+    df = _FRAMES.get(full)
+    if df is None:
+        df = _FRAMES[full] = build()
+    return df
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    path = os.path.join(sf_dir, f"{name}.parquet")
+    return _reuse(spark, ("parquet", path), lambda: spark.read.parquet(path))
 
 
 def iso3_of(nationkey: Column) -> Column:
@@ -47,6 +60,10 @@ def iso3_of(nationkey: Column) -> Column:
 
 def nations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """iso3, country, region, nationkey — a fixed-size dimension."""
+    return _reuse(spark, ("nations", sf_dir), lambda: _nations(spark, sf_dir))
+
+
+def _nations(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = read_table(spark, sf_dir, "nation")
     r = read_table(spark, sf_dir, "region")
     return n.join(F.broadcast(r), n.n_regionkey == r.r_regionkey, "left").select(
@@ -135,6 +152,10 @@ def funding_raw(spark: SparkSession, sf_dir: str, cube: DataFrame | None = None)
 
 def customer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per nation: customer count and count with balance < 4000."""
+    return _reuse(spark, ("custcounts", sf_dir), lambda: _customer_counts(spark, sf_dir))
+
+
+def _customer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         read_table(spark, sf_dir, "customer")
         .groupBy(F.col("c_nationkey").alias("nationkey"))
