@@ -90,3 +90,23 @@ def test_cleaning_helpers(spark):
     assert one(spark, per_capita("p", "n"), "p long, n long", (5, 0)) == 0.0
     assert one(spark, band("x", [0.2, 0.4]), "x double", (0.4,)) == 2
     assert camel_to_snake("PaidAmtUSD") == "paid_amt_u_s_d"
+
+
+def test_small_helpers(spark):
+    from lacuna.functions.cleaning import raw_coverage, year_from_date_text
+    from lacuna.operators.index import split_crisis_id
+    from lacuna.plans.eda import total_category_only
+    from lacuna.sources.csv import population_baseline
+
+    assert one(spark, raw_coverage("f", "r"), "f double, r double", (5.0, 0.0)) == 0.0
+    assert one(spark, raw_coverage("f", "r"), "f double, r double", (5.0, 2.0)) == 2.5  # not capped
+    assert one(spark, year_from_date_text("d"), "d string", ("2024-03-01",)) == 2024
+    assert one(spark, year_from_date_text("d"), "d string", ("n/a",)) is None
+    iso3, year, sector = split_crisis_id("c")
+    row = spark.createDataFrame([("AFG_2024_Camp_Coordination",)], "c string").select(iso3, year, sector).first()
+    assert tuple(row) == ("AFG", 2024, "Camp_Coordination")
+    cats = spark.createDataFrame([("Total",), ("TOTAL",), ("Girls",)], "category string")
+    assert total_category_only(cats).count() == 2
+    pop = spark.createDataFrame([(" afg", 2024, "1,000"), ("AFG", 2024, "500"), ("YEM", 2024, None)], "iso3 string, year int, population string")
+    got = {r.iso3: r.population for r in population_baseline(pop).collect()}
+    assert got == {"AFG": 1500, "YEM": None}
