@@ -24,10 +24,11 @@ _LOCAL = "_w8_local"
 _ID_BITS = 33  # monotonically_increasing_id: partition id in the upper bits
 
 
-def _partitions(df: DataFrame, partitions: int | None) -> int:
-    if partitions:
-        return partitions
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+def _range(df: DataFrame, order: Sequence[Column], partitions: int | None) -> DataFrame:
+    """Range-partition and sort. Without an explicit count AQE may merge adjacent
+    ranges (order is kept), so a small input does not become thousands of tasks."""
+    ranged = df.repartitionByRange(partitions, *order) if partitions else df.repartitionByRange(*order)
+    return ranged.sortWithinPartitions(*order)
 
 
 def _offsets(tagged: DataFrame, sums: dict[str, str]) -> DataFrame:
@@ -46,7 +47,7 @@ def global_row_number(
     df: DataFrame, order: Sequence[Column], name: str = "ordinal", partitions: int | None = None
 ) -> DataFrame:
     """``row_number() over (order by <order>)`` computed in parallel."""
-    ranged = df.repartitionByRange(_partitions(df, partitions), *order).sortWithinPartitions(*order)
+    ranged = _range(df, order, partitions)
     mid = F.monotonically_increasing_id()
     tagged = ranged.withColumn(_PID, F.shiftright(mid, _ID_BITS).cast("int")).withColumn(
         _LOCAL, mid - F.shiftleft(F.shiftright(mid, _ID_BITS), _ID_BITS)
@@ -73,7 +74,7 @@ def global_cumsum(
     Arrow batches (the partition is streamed, carrying the total across
     batches); partitions are then shifted by the totals of all earlier ones.
     """
-    ranged = df.repartitionByRange(_partitions(df, partitions), *order).sortWithinPartitions(*order)
+    ranged = _range(df, order, partitions)
     in_schema = ranged.schema
     out_fields = list(in_schema.fields) + [T.StructField(_PID, T.IntegerType(), False), T.StructField(_LOCAL, T.LongType(), False)]
     for out, src in values.items():
@@ -102,7 +103,9 @@ def global_cumsum(
             yield pdf
 
     tagged = ranged.mapInPandas(_scan, out_schema)
-    offsets = _offsets(tagged, {out: src for out, src in values.items()})
+    # partition totals come JVM-side from the same (reused) shuffle output, so the
+    # Python scan runs once per partition
+    offsets = _offsets(ranged.withColumn(_PID, F.spark_partition_id()), {out: src for out, src in values.items()})
     result = tagged.join(F.broadcast(offsets), _PID)
     for out in values:
         result = result.withColumn(out, F.col(f"_w8_c_{out}") + F.col(f"_w8_off_{out}"))
