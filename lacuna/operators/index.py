@@ -61,11 +61,11 @@ def build_index(
         F.coalesce("population", F.lit(0)).cast("bigint").alias("population"),
         F.coalesce("inform_severity", F.lit(C.DEFAULT_SEVERITY)).alias("inform_severity"),
     )
-    return (
-        idx.withColumn("coverage_ratio", capped_coverage("funding_usd", "requirements_usd"))
-        .withColumn("pin_per_capita", per_capita("people_in_need", "population"))
-        .withColumn("crisis_id", crisis_id())
-    )
+    return idx.withColumns({
+        "coverage_ratio": capped_coverage("funding_usd", "requirements_usd"),
+        "pin_per_capita": per_capita("people_in_need", "population"),
+        "crisis_id": crisis_id(),
+    })
 
 
 def with_visibility(index: DataFrame, article_counts: DataFrame | None) -> DataFrame:
@@ -90,9 +90,6 @@ def with_confidence(index: DataFrame, as_of_year: int | Column | None = None) ->
     as_of = latest_year(index) if as_of_year is None else as_of_year
     fresh = S.freshness("year", as_of)
     complete = S.completeness("requirements_usd", "people_in_need", "funding_usd", "inform_severity", "population")
-    return (
-        index.withColumn("freshness_score", fresh)
-        .withColumn("completeness_score", complete)
-        .withColumn("confidence_score", S.confidence_score("freshness_score", "completeness_score"))
-        .withColumn("confidence_level", S.confidence_level("confidence_score"))
-    )
+    out = index.withColumns({"freshness_score": fresh, "completeness_score": complete})
+    out = out.withColumn("confidence_score", S.confidence_score("freshness_score", "completeness_score"))
+    return out.withColumn("confidence_level", S.confidence_level("confidence_score"))

@@ -32,18 +32,19 @@ def with_scores(index: DataFrame, factors: tuple[str, ...] = LIVE_FACTORS,
         scope_args["min_req"] = min_requirements
     if min_people is not None:
         scope_args["min_pin"] = min_people
-    return (
-        df.withColumn("efficiency_discount", S.efficiency_discount("cost_per_pin", "sector_median_cost_per_pin"))
-        .withColumn("need_weight", S.need_weight("people_in_need", "inform_severity", "pin_per_capita"))
-        .withColumn("gap_severity", S.gap_severity("coverage_ratio"))
-        .withColumn("visibility_penalty", S.visibility_penalty("media_visibility"))
-        .withColumn("urgency_weight", S.urgency_weight("sector"))
-        .withColumn("mismatch_score", S.mismatch_score(*factors))
-        .withColumn("mismatch_score_lower_bound", S.lower_bound("mismatch_score", "confidence_score"))
-        .withColumn("mismatch_score_upper_bound", S.upper_bound("mismatch_score", "confidence_score"))
-        .withColumn("is_in_scope", S.in_scope("requirements_usd", "people_in_need", **scope_args))
-        .drop("sector_median_cost_per_pin")
-    )
+    df = df.withColumns({
+        "efficiency_discount": S.efficiency_discount("cost_per_pin", "sector_median_cost_per_pin"),
+        "need_weight": S.need_weight("people_in_need", "inform_severity", "pin_per_capita"),
+        "gap_severity": S.gap_severity("coverage_ratio"),
+        "visibility_penalty": S.visibility_penalty("media_visibility"),
+        "urgency_weight": S.urgency_weight("sector"),
+        "is_in_scope": S.in_scope("requirements_usd", "people_in_need", **scope_args),
+    })
+    df = df.withColumn("mismatch_score", S.mismatch_score(*factors))
+    return df.withColumns({
+        "mismatch_score_lower_bound": S.lower_bound("mismatch_score", "confidence_score"),
+        "mismatch_score_upper_bound": S.upper_bound("mismatch_score", "confidence_score"),
+    }).drop("sector_median_cost_per_pin")
 
 
 def with_global_rank(scored: DataFrame, partitions: int | None = None) -> DataFrame:
