@@ -5,10 +5,12 @@ into buckets of the band width; for a crisis in bucket b the band holds
   * every crisis of bucket b            -> only that bucket's top k+1 can matter,
   * a prefix (by coverage) of bucket b+1 -> top k of that prefix,
   * a suffix of bucket b-1               -> top k of that suffix.
-Prefix/suffix top-k lists come from one sorted scan per bucket in which each
-crisis's threshold is interleaved as a query row; the scan keeps a heap of k
-entries, so memory per task is O(k) whatever the bucket size. Each crisis
-thus meets at most 3k+1 candidates.
+Prefix/suffix top-k lists come from one range-partitioned sorted scan in
+which each crisis's threshold is interleaved as a query row; the scan keeps a
+heap of k entries (memory O(k) per task). A bucket larger than a partition is
+split over several tasks: each later partition gets the top k of the earlier
+ones through a small JVM join of per-partition top-k summaries. Each crisis
+thus meets at most 5k+1 candidates.
 """
 
 from __future__ import annotations
@@ -26,18 +28,27 @@ DEC = "decimal(38,12)"
 _CAND = T.StructType([
     T.StructField("qid", T.StringType()),
     T.StructField("cand_id", T.StringType()),
+    T.StructField("pid", T.IntegerType()),
+    T.StructField("gk", T.StringType()),
 ])
 
 
 def _scan(k: int):
-    """Sorted stream of points (kind 0) and queries (kind 1) per key -> (query id, candidate id)."""
+    """Sorted stream of points (kind 0) and queries (kind 1) -> (query, candidate, partition, key).
+
+    The heap holds the top k points seen so far in this partition for the
+    current key; every query emits them (or one row with no candidate), so the
+    partition's carry-in from earlier partitions can be joined on afterwards.
+    """
     def run(batches):
         import pandas as pd
+        from pyspark import TaskContext
 
+        pid = TaskContext.get().partitionId()
         key = None
-        heap: list[tuple[float, str]] = []  # min-heap of (score, -id order) -> keeps top k by score, id asc
+        heap: list = []
         for pdf in batches:
-            out_q, out_c = [], []
+            out_q, out_c, out_g = [], [], []
             for gk, kind, score, cid in zip(pdf["_gk"], pdf["_kind"], pdf["_score"], pdf["_id"]):
                 if gk != key:
                     key, heap = gk, []
@@ -48,11 +59,20 @@ def _scan(k: int):
                     elif item > heap[0]:
                         heapq.heapreplace(heap, item)
                 else:
-                    for _, neg in heap:
+                    if heap:
+                        for _, neg in heap:
+                            out_q.append(cid)
+                            out_c.append(neg.v)
+                            out_g.append(gk)
+                    else:
                         out_q.append(cid)
-                        out_c.append(neg.v)
+                        out_c.append(None)
+                        out_g.append(gk)
             if out_q:
-                yield pd.DataFrame({"qid": pd.Series(out_q, dtype=object), "cand_id": pd.Series(out_c, dtype=object)})
+                yield pd.DataFrame({
+                    "qid": pd.Series(out_q, dtype=object), "cand_id": pd.Series(out_c, dtype=object),
+                    "pid": pd.Series([pid] * len(out_q), dtype="int32"), "gk": pd.Series(out_g, dtype=object),
+                })
     return run
 
 
@@ -84,7 +104,6 @@ def related_crises(gold: DataFrame, k: int = 5, band: float = C.RELATED_COVERAGE
     ).withColumn("_b", F.floor(F.col("coverage_ratio") / width).cast("long"))
     grp = F.concat_ws("\u0001", F.coalesce("region", F.lit("")), F.coalesce("crisis_type", F.lit("")))
     pts = pts.withColumn("_g", grp)
-    n = partitions or int(gold.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
 
     # full bucket: its top k+1 by score (partial top-k before the shuffle)
     w = Window.partitionBy("_g", "_b").orderBy(F.col("mismatch_score").desc(), F.col("crisis_id"))
@@ -109,8 +128,25 @@ def related_crises(gold: DataFrame, k: int = 5, band: float = C.RELATED_COVERAGE
             order = [F.col("_gk"), F.col("_v").asc(), F.col("_kind").desc(), F.col("_id")]
         else:              # descending; a query precedes points with equal value (strict >)
             order = [F.col("_gk"), F.col("_v").desc(), F.col("_kind").desc(), F.col("_id")]
-        s = u.repartition(n, "_gk").sortWithinPartitions(*order).select("_gk", "_kind", "_score", "_id")
-        return s.mapInPandas(_scan(k), _CAND)
+        # range partitioning: a hot bucket is split over many tasks (AQE may merge small ranges)
+        ranged = (u.repartitionByRange(partitions, *order) if partitions else u.repartitionByRange(*order)).sortWithinPartitions(*order)
+        local = ranged.select("_gk", "_kind", "_score", "_id").mapInPandas(_scan(k), _CAND)
+        # carry-in: top k of the same key in all earlier partitions, from per-partition
+        # top-k summaries (size bounded by partitions x keys x k), joined JVM-side
+        summ = (
+            # tag the partition before filtering: the (nondeterministic) id keeps the filter
+            # above the exchange, so both branches see the same range bounds
+            ranged.withColumn("_pid", F.spark_partition_id()).where(F.col("_kind") == 0)
+            .withColumn("_r", F.row_number().over(Window.partitionBy("_pid", "_gk").orderBy(F.col("_score").desc(), F.col("_id"))))
+            .where(F.col("_r") <= k).select("_pid", "_gk", "_score", "_id")
+        )
+        qparts = local.select("pid", "gk").distinct()
+        carry = qparts.join(summ, (qparts.gk == summ._gk) & (summ._pid < qparts.pid))
+        carry = carry.withColumn(
+            "_r", F.row_number().over(Window.partitionBy("pid", "gk").orderBy(F.col("_score").desc(), F.col("_id")))
+        ).where(F.col("_r") <= k).select("pid", "gk", F.col("_id").alias("cand_id"))
+        extra = local.select("qid", "pid", "gk").distinct().join(carry, ["pid", "gk"]).select("qid", "cand_id")
+        return local.where(F.col("cand_id").isNotNull()).select("qid", "cand_id").unionByName(extra)
 
     cands = cand_same.unionByName(side(1)).unionByName(side(-1)).where(F.col("qid") != F.col("cand_id")).distinct()
     info = pts.select(F.col("crisis_id").alias("cand_id"), F.col("mismatch_score").alias("_cs"), F.col("coverage_ratio").alias("_cc"))

@@ -111,15 +111,20 @@ def test_allocation_water_fill(spark):
     assert sum(r.allocated_usd for r in alloc2.collect()) == pytest.approx(160.0)  # never overfills
 
 
-def test_related_matches_brute_force(spark):
+@pytest.mark.parametrize("hot,parts", [(False, 4), (True, 16)])
+def test_related_matches_brute_force(spark, hot, parts):
+    """Random crises; ``hot`` puts most of them into one region/type/bucket split over many partitions."""
     random.seed(7)
     rows = []
-    for i in range(300):
-        rows.append((f"c{i:03d}", random.choice(["R1", "R2"]), random.choice(["ACUTE", "STRUCTURAL"]),
-                     round(random.random(), 2), round(random.random() * 3, 1), True))
+    for i in range(400):
+        if hot and i % 4:
+            rows.append((f"c{i:03d}", "R1", "ACUTE", round(0.30 + random.random() * 0.14, 3), round(random.random() * 3, 2), True))
+        else:
+            rows.append((f"c{i:03d}", random.choice(["R1", "R2"]), random.choice(["ACUTE", "STRUCTURAL"]),
+                         round(random.random(), 2), round(random.random() * 3, 1), True))
     g = spark.createDataFrame(rows, "crisis_id string, region string, crisis_type string, coverage_ratio double, mismatch_score double, is_in_scope boolean")
     got = {}
-    for r in related_crises(g, k=5, partitions=4).collect():
+    for r in related_crises(g, k=5, partitions=parts).collect():
         got.setdefault(r.crisis_id, []).append((r.position, r.related_id))
     for cid, reg, typ, cov, _, _ in rows:
         cands = [(-s, o) for o, rg, t, c, s, _ in rows
