@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lacuna.functions import constants as C
@@ -110,7 +110,9 @@ def split_countries(df: DataFrame, col: str = "country") -> DataFrame:
 def with_region(df: DataFrame, regions: DataFrame | None = None, iso3_col: str = "iso3", out: str = "region") -> DataFrame:
     """Left join a region lookup (default the fixed map); missing -> 'Other'.
 
-    When ``df`` already has ``out`` its non-null values win.
+    When ``df`` already has ``out`` its non-null values win. The lookup is
+    de-duplicated by ISO3 before it is broadcast, so its size is bounded by the
+    number of 3-letter codes (at most 26^3), whatever the input size.
     """
     spark = df.sparkSession
     fixed = lookups.region_map(spark).withColumnRenamed("region", "_region_fixed")
@@ -129,10 +131,16 @@ def with_region(df: DataFrame, regions: DataFrame | None = None, iso3_col: str =
 
 
 # ------------------------------------------------------------------ A4 keep-first
-def keep_first(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """One row per key: the first by an explicit order (deterministic)."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
+def keep_first(df: DataFrame, keys: list[str], by: str, descending: bool = False) -> DataFrame:
+    """One row per key: the row with the smallest (or largest) ``by``, ties broken by the other columns.
+
+    A plain aggregate of ``min``/``max`` over a struct, so partial aggregation
+    shrinks a hot key before the shuffle (no window over the whole group).
+    """
+    rest = [c for c in df.columns if c not in keys and c != by]
+    packed = F.struct(F.col(by).alias(by), *[F.col(c).alias(c) for c in rest])
+    pick = F.max(packed) if descending else F.min(packed)
+    return df.groupBy(*keys).agg(pick.alias("_first")).select(*keys, "_first.*")
 
 
 # ------------------------------------------------------------------ A1 funding flows
@@ -199,7 +207,7 @@ def severity_index(severity_raw: DataFrame) -> DataFrame:
     s = s.withColumn("iso3", F.upper(F.trim(F.col("iso3"))))
     s = s.where(F.col("iso3").isNotNull() & F.col("inform_severity").isNotNull() & F.col("year").isNotNull())
     s = s.withColumn("year", F.col("year").cast("int"))
-    return keep_first(s, ["iso3", "year"], [F.col("inform_severity").desc()]).select("iso3", "year", "inform_severity")
+    return keep_first(s.select("iso3", "year", "inform_severity"), ["iso3", "year"], "inform_severity", descending=True)
 
 
 # ------------------------------------------------------------------ U3 universe
