@@ -19,14 +19,14 @@ from lacuna.operators import equity as E
 from lacuna.operators import forecast as FC
 from lacuna.operators import normalize as N
 from lacuna.operators import quality as Q
-from lacuna.operators.index import build_index, latest_year, with_confidence, with_visibility
+from lacuna.operators.index import latest_year, with_confidence
 from lacuna.operators.ordinal import global_row_number
 from lacuna.operators.related import related_crises
-from lacuna.operators.scores import with_global_rank, with_scores
-from lacuna.operators.structural import structural_profiles, timeline_patterns, with_structural
+from lacuna.operators.structural import structural_profiles, timeline_patterns
 from lacuna.plans import api as A
 from lacuna.plans import eda as EDA
-from lacuna.plans.memo import finalize, memo
+from lacuna.plans.memo import finalize
+from lacuna.plans import pipeline as P
 from lacuna.plans.pipeline import GOLD_COLUMNS, Bronze, Silver
 from lacuna.sources import json_ingest as J
 from lacuna.sources import testdata as TD
@@ -57,49 +57,23 @@ DOUBLES = {
 
 # ---------------------------------------------------------------- shared inputs
 def _bronze(spark: SparkSession, sf_dir: str) -> Bronze:
-    cube = memo(spark, ("cube", sf_dir), lambda: TD.order_cube(spark, sf_dir))
-    media = memo(spark, ("media", sf_dir), lambda: TD.media_counts(spark, sf_dir))
-    return Bronze(
-        funding_raw=TD.funding_raw(spark, sf_dir, cube),
-        needs_raw=TD.needs_raw(spark, sf_dir, cube),
-        severity_raw=TD.severity_raw(spark, sf_dir, cube),
-        cbpf_raw=TD.cbpf_raw(spark, sf_dir, cube),
-        regions=TD.region_lookup(spark, sf_dir),
-        media=media,
-    )
+    return P.bronze_from_testdata(spark, sf_dir)
 
 
 def _silver(spark: SparkSession, sf_dir: str) -> Silver:
-    b = _bronze(spark, sf_dir)
-    # silver views stay lazy: they are small derivations of the materialised cube
-    return Silver(
-        funding=N.funding_flows(None, b.funding_raw),
-        needs=N.needs_by_sector(b.needs_raw),
-        severity=N.severity_index(b.severity_raw),
-        universe=N.crisis_universe([b.funding_raw, b.needs_raw], b.regions),
-    )
+    return P.silver(_bronze(spark, sf_dir))
 
 
 def base_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def build():
-        s = _silver(spark, sf_dir)
-        return with_visibility(build_index(s.funding, s.needs, s.severity, s.universe), _bronze(spark, sf_dir).media)
-
-    return memo(spark, ("base", sf_dir), build)
+    return P.base_index(spark, sf_dir)
 
 
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def build():
-        idx = with_confidence(base_index(spark, sf_dir))
-        idx = with_structural(idx)
-        idx = with_scores(idx)
-        return with_global_rank(idx).select(*GOLD_COLUMNS)
-
-    return memo(spark, ("gold", sf_dir), build)
+    return P.gold_index(spark, sf_dir)
 
 
 def donors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return memo(spark, ("donors", sf_dir), lambda: D.donor_concentration(base_index(spark, sf_dir), _bronze(spark, sf_dir).cbpf_raw))
+    return P.donor_table(spark, sf_dir)
 
 
 # ---------------------------------------------------------------- registry

@@ -145,3 +145,17 @@ def test_incremental_load_dedup(spark, tmp_path):
     q = start_incremental_load(spark, landing, df.schema, ["id"], "ts", str(tmp_path / "bronze"), str(tmp_path / "ck"))
     q.awaitTermination(120)
     assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "bronze")).collect()) == [1, 2]
+
+
+def test_pipeline_stages_write_tables(spark):
+    from lacuna.plans.pipeline import run
+
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("no test data")
+    prefix = f"p{os.getpid()}_"
+    t = run(spark, sf, "full", prefix)
+    assert set(t) == {"bronze", "silver", "gold", "validate"}
+    g = spark.table(f"{prefix}gold.crisis_index")
+    assert g.count() == spark.table(f"{prefix}silver.funding").count() > 0
+    assert spark.table(f"{prefix}gold.donor_concentration").count() == g.count()
