@@ -3,7 +3,6 @@
 import math
 
 import pytest
-from pyspark.sql import functions as F
 
 from lacuna.functions import scoring as S
 from lacuna.functions.cleaning import band, camel_to_snake, capped_coverage, clamp, per_capita, tolerant_double

@@ -1,7 +1,6 @@
 """Sources, sinks and streaming on small hand-made files (written to a per-test temp folder)."""
 
 import os
-import time
 
 import pytest
 from pyspark.sql import functions as F
