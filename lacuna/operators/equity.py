@@ -25,9 +25,10 @@ def gini(values: DataFrame, value: str, group: str | None = None) -> DataFrame:
     first ordinal, so a hot group is still spread over many tasks.
     """
     keys = [group] if group else []
-    order = [F.col(k) for k in keys] + [F.col(value), F.col("_gid")]
+    # no tie-break needed: equal values share a range partition, and sum(ord * x)
+    # does not depend on the order among equal x
+    order = [F.col(k) for k in keys] + [F.col(value)]
     v = values.select(*keys, F.col(value).cast("double").alias(value)).where(F.col(value).isNotNull())
-    v = v.withColumn("_gid", F.monotonically_increasing_id())
     ranked = global_cumsum(v, order, {}, ordinal="_ord")
     per = ranked.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"),
