@@ -144,7 +144,7 @@ prof AS (
   FROM prof1
 ),
 struct AS (
-  SELECT c.*, p.consecutive_years_underfunded, CAST(p.trend_penalty AS DOUBLE) AS trend_penalty,
+  SELECT c.*, CAST(p.consecutive_years_underfunded AS INTEGER) AS consecutive_years_underfunded, CAST(p.trend_penalty AS DOUBLE) AS trend_penalty,
          1.0 + p.consecutive_years_underfunded * CAST(0.15 AS DOUBLE) + CAST(p.trend_penalty AS DOUBLE) AS structural_multiplier,
          CASE WHEN p.consecutive_years_underfunded >= 3 THEN 'STRUCTURAL'
               WHEN p.consecutive_years_underfunded >= 1 THEN 'ACUTE'
@@ -167,10 +167,10 @@ scored0 AS (
            * (x.inform_severity / 10.0) * (1.0 + LEAST(x.pin_per_capita, 1.0) * 0.5) AS need_weight,
          POW(1.0 - LEAST(GREATEST(x.coverage_ratio, 0.0), 1.0), 1.3) AS gap_severity,
          1.0 + (1.0 - LEAST(GREATEST(x.media_visibility, 0.0), 1.0)) * 0.2 AS visibility_penalty,
-         CASE WHEN lower(x.sector) LIKE '%wash%' OR lower(x.sector) LIKE '%water sanitation hygiene%'
+         CAST(CASE WHEN lower(x.sector) LIKE '%wash%' OR lower(x.sector) LIKE '%water sanitation hygiene%'
                 OR lower(x.sector) LIKE '%health%' OR lower(x.sector) LIKE '%shelter%'
                 OR lower(x.sector) LIKE '%nfi%' THEN 1.5
-              WHEN lower(x.sector) LIKE '%food security%' THEN 1.2 ELSE 1.0 END AS urgency_weight
+              WHEN lower(x.sector) LIKE '%food security%' THEN 1.2 ELSE 1.0 END AS DOUBLE) AS urgency_weight
   FROM cpp x LEFT JOIN med USING (sector)
 ),
 scored1 AS (

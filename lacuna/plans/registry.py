@@ -481,8 +481,8 @@ def _f17(spark, sf):
 
 # --- forecasts --------------------------------------------------------------------
 @register("o3_velocity", ["crisis_id", "predicted_months_to_disbursement", "liquidity_discount_factor"], """
-SELECT crisis_id, ROUND(m, 1) AS predicted_months_to_disbursement,
-       ROUND(GREATEST(0.2, LEAST(1.0, 1.0 - m * 0.05)), 2) AS liquidity_discount_factor
+SELECT crisis_id, CAST(ROUND(m, 1) AS DOUBLE) AS predicted_months_to_disbursement,
+       CAST(ROUND(GREATEST(0.2, LEAST(1.0, 1.0 - m * 0.05)), 2) AS DOUBLE) AS liquidity_discount_factor
 FROM (SELECT crisis_id, GREATEST(0.5, CASE WHEN crisis_type = 'STRUCTURAL' THEN 4.5 ELSE 1.5 END) AS m FROM gold WHERE is_in_scope) t""")
 def _o3(spark, sf):
     """O3: disbursement velocity (expected value)."""
@@ -637,7 +637,7 @@ after AS (
   FROM gold g LEFT JOIN alloc a USING (crisis_id) WHERE g.is_in_scope),
 gb AS (SELECT SUM((2 * i - n - 1) * x) / (MAX(n) * SUM(x)) AS gini FROM (SELECT cov_before AS x, ROW_NUMBER() OVER (ORDER BY cov_before) AS i, COUNT(*) OVER () AS n FROM after) t),
 ga AS (SELECT SUM((2 * i - n - 1) * x) / (MAX(n) * SUM(x)) AS gini FROM (SELECT cov_after AS x, ROW_NUMBER() OVER (ORDER BY cov_after) AS i, COUNT(*) OVER () AS n FROM after) t)
-SELECT {BUDGET_USD} AS total_budget_usd, COALESCE((SELECT SUM(allocated_usd) FROM alloc), 0.0) AS budget_allocated_usd,
+SELECT CAST({BUDGET_USD} AS DOUBLE) AS total_budget_usd, COALESCE((SELECT SUM(allocated_usd) FROM alloc), 0.0) AS budget_allocated_usd,
        ROUND((SELECT gini FROM gb), 5) AS gini_before, ROUND((SELECT gini FROM ga), 5) AS gini_after,
        ROUND(ROUND((SELECT gini FROM gb), 5) - ROUND((SELECT gini FROM ga), 5), 5) AS equity_improvement""")
 def _o2s(spark, sf):
@@ -970,7 +970,7 @@ DOSSIER_COLS = ["crisis_id", "country", "region", "year", "sector", "requirement
 @register("j14_dossiers", DOSSIER_COLS, f""",
 {PROJ_SQL.strip()},
 {CASCADE_SQL.strip()},
-vel AS (SELECT crisis_id, ROUND(GREATEST(0.2, LEAST(1.0, 1.0 - GREATEST(0.5, CASE WHEN crisis_type = 'STRUCTURAL' THEN 4.5 ELSE 1.5 END) * 0.05)), 2) AS liquidity_discount_factor
+vel AS (SELECT crisis_id, CAST(ROUND(GREATEST(0.2, LEAST(1.0, 1.0 - GREATEST(0.5, CASE WHEN crisis_type = 'STRUCTURAL' THEN 4.5 ELSE 1.5 END) * 0.05)), 2) AS DOUBLE) AS liquidity_discount_factor
         FROM gold WHERE is_in_scope),
 beh AS (SELECT crisis_id, ROUND(GREATEST(0.01, LEAST(0.99, 0.5 / visibility_penalty)), 2) AS p_new_contribution FROM gold WHERE is_in_scope),
 cas AS (SELECT crisis_id, MAX(escalation_probability) AS escalation_probability FROM cascade GROUP BY crisis_id)
@@ -1006,7 +1006,7 @@ J8_COLS = ["crisis_id", "mismatch_score_lower_bound", "global_rank", "liquidity_
 @register("j8_rankings_with_predictions", J8_COLS, f""",
 {PROJ_SQL.strip()},
 {CASCADE_SQL.strip()},
-vel AS (SELECT crisis_id, ROUND(GREATEST(0.2, LEAST(1.0, 1.0 - GREATEST(0.5, CASE WHEN crisis_type = 'STRUCTURAL' THEN 4.5 ELSE 1.5 END) * 0.05)), 2) AS liquidity_discount_factor
+vel AS (SELECT crisis_id, CAST(ROUND(GREATEST(0.2, LEAST(1.0, 1.0 - GREATEST(0.5, CASE WHEN crisis_type = 'STRUCTURAL' THEN 4.5 ELSE 1.5 END) * 0.05)), 2) AS DOUBLE) AS liquidity_discount_factor
         FROM gold WHERE is_in_scope),
 beh AS (SELECT crisis_id, ROUND(GREATEST(0.01, LEAST(0.99, 0.5 / visibility_penalty)), 2) AS p_new_contribution FROM gold WHERE is_in_scope),
 cas AS (SELECT crisis_id, FIRST(trigger_sector ORDER BY escalation_probability DESC, trigger_sector DESC) AS trigger_sector,
@@ -1111,7 +1111,7 @@ def _f21(spark, sf):
 
 @register("s15_plan_years", ["iso3", "year", "n_plans", "requirements_usd"], """
 SELECT iso3, year, COUNT(*) AS n_plans, CAST(SUM(CAST(req AS DECIMAL(38,3))) AS DOUBLE) AS requirements_usd FROM (
-  SELECT nat.iso3, p.priority, p.y0, p.y1, p.req, UNNEST(generate_series(p.y0, GREATEST(p.y0, p.y1))) AS year
+  SELECT nat.iso3, p.priority, p.y0, p.y1, p.req, CAST(UNNEST(generate_series(p.y0, GREATEST(p.y0, p.y1))) AS INTEGER) AS year
   FROM (SELECT c.c_nationkey AS nationkey, o.o_orderpriority AS priority, MIN(CAST(year(o.o_orderdate) AS INTEGER)) AS y0,
                MAX(CAST(year(o.o_orderdate) AS INTEGER)) AS y1, CAST(SUM(CAST(o.o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS req
         FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey GROUP BY 1, 2) p JOIN nat USING (nationkey)) t
