@@ -1,6 +1,6 @@
 """Benchmark: headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS]; prints one JSON line.
 
-The first timed step builds the whole pipeline from the raw tables (order
+The first timed step builds every layer from the raw tables (order
 cube -> silver -> gold, checkpointed); the read queries then run against
 that gold index, as a serving deployment would.
 """

@@ -145,7 +145,7 @@ def run(spark: SparkSession, sf_dir: str, stage: str = "full", prefix: str = "")
 def main() -> None:
     from lacuna.session import local_session
 
-    ap = argparse.ArgumentParser(description="Run the gap-analysis pipeline stages")
+    ap = argparse.ArgumentParser(description="Run the gap-analysis layers (bronze, silver, gold)")
     ap.add_argument("--sf-dir", default="/root/testdata/sf0.01")
     ap.add_argument("--stage", default="full", choices=["bronze", "silver", "gold", "validate", "full"])
     ap.add_argument("--prefix", default="")

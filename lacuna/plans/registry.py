@@ -26,8 +26,8 @@ from lacuna.operators.structural import structural_profiles, timeline_patterns
 from lacuna.plans import api as A
 from lacuna.plans import eda as EDA
 from lacuna.plans.memo import finalize
-from lacuna.plans import pipeline as P
-from lacuna.plans.pipeline import GOLD_COLUMNS, Bronze, Silver
+from lacuna.plans import medallion as P
+from lacuna.plans.medallion import GOLD_COLUMNS, Bronze, Silver
 from lacuna.sources import json_ingest as J
 from lacuna.sources import testdata as TD
 

@@ -14,7 +14,7 @@ from conftest import SF_SMALL
 
 @pytest.mark.skipif(not os.path.isdir(SF_SMALL), reason="driver test data not present")
 def test_global_rank_is_a_permutation(spark):
-    from lacuna.plans.pipeline import gold_index
+    from lacuna.plans.medallion import gold_index
 
     g = gold_index(spark, SF_SMALL)
     rows = g.select("crisis_id", "global_rank", "mismatch_score_lower_bound", "is_in_scope", "requirements_usd", "people_in_need").collect()

@@ -146,8 +146,8 @@ def test_incremental_load_dedup(spark, tmp_path):
     assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "bronze")).collect()) == [1, 2]
 
 
-def test_pipeline_stages_write_tables(spark):
-    from lacuna.plans.pipeline import run
+def test_layer_stages_write_tables(spark):
+    from lacuna.plans.medallion import run
 
     sf = "/root/testdata/sf0.001"
     if not os.path.isdir(sf):
