@@ -125,8 +125,9 @@ def what_if(index: DataFrame, scenarios: DataFrame, factors: tuple[str, ...] = (
     sum_gt_b = (S_ - F.col("_sum_le_b")) - F.when(a > b, a).otherwise(F.lit(0.0))
     t2 = t1 + (cnt_le_b + 1) * b + sum_gt_b
     s2 = S_ - a + b
-    old_gini = F.lit(2.0) * T_ / (n_ * S_) - (n_ + 1) / n_
-    new_gini = F.when(a.isNull(), old_gini).otherwise(F.lit(2.0) * t2 / (n_ * s2) - (n_ + 1) / n_)
+    # try_divide: an index without any requirement has no Gini population (null, not an error)
+    old_gini = F.try_divide(F.lit(2.0) * T_, n_ * S_) - F.try_divide(n_ + 1, n_)
+    new_gini = F.when(a.isNull(), old_gini).otherwise(F.try_divide(F.lit(2.0) * t2, n_ * s2) - F.try_divide(n_ + 1, n_))
     s = s.withColumn("old_gini", old_gini).withColumn("new_gini", new_gini).withColumn(
         "global_equity_impact_score", F.col("old_gini") - F.col("new_gini")
     )
@@ -156,7 +157,8 @@ def allocate(index: DataFrame, budget_usd: float, region: str | None = None, sec
         pool = pool.where(F.col("region") == region)
     if sector:
         pool = pool.where(F.col("sector") == sector)
-    elig = pool.where(F.col("requirements_usd") - F.col("funding_usd") > 0).select(
+    # a gap needs requirements: rows with requirements <= 0 have no coverage to raise
+    elig = pool.where((F.col("requirements_usd") > 0) & (F.col("requirements_usd") - F.col("funding_usd") > 0)).select(
         "crisis_id", "country", "sector", "requirements_usd", "funding_usd",
         (F.col("funding_usd") / F.col("requirements_usd")).alias("_c"),
         F.round(F.col("requirements_usd") * MILLI).cast("long").alias("_rm"),

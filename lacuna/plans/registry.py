@@ -594,7 +594,7 @@ ALLOC_SQL = f""",
 elig AS (
   SELECT crisis_id, country, sector, requirements_usd, funding_usd, funding_usd / requirements_usd AS c,
          CAST(ROUND(requirements_usd * 1000) AS BIGINT) AS rm, CAST(ROUND(funding_usd * 1000) AS BIGINT) AS fm
-  FROM gold WHERE is_in_scope AND requirements_usd - funding_usd > 0),
+  FROM gold WHERE is_in_scope AND requirements_usd > 0 AND requirements_usd - funding_usd > 0),
 run AS (
   SELECT *, SUM(rm) OVER (ORDER BY c, crisis_id ROWS UNBOUNDED PRECEDING) AS R,
             SUM(fm) OVER (ORDER BY c, crisis_id ROWS UNBOUNDED PRECEDING) AS F
