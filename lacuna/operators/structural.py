@@ -55,7 +55,7 @@ def structural_profiles(index: DataFrame, lookback_years: int | None = None) ->
         .when(late < C.STABLE_LOW_LEVEL, F.lit(C.STABLE_LOW_BONUS))
         .otherwise(F.lit(0.0))
     )
-    widening = F.when((gap_early > 0) & (gap_late / gap_early > C.INCREASING_GAP_RATIO), F.lit(C.INCREASING_GAP_BONUS)).otherwise(F.lit(0.0))
+    widening = F.when((gap_early > 0) & (F.try_divide(gap_late, gap_early) > C.INCREASING_GAP_RATIO), F.lit(C.INCREASING_GAP_BONUS)).otherwise(F.lit(0.0))
     trend = F.when(n3 >= 2, (F.lit(0.0) + decline) + widening).otherwise(F.lit(0.0))
     consecutive = F.coalesce(F.col("_first_ok") - 1, F.col("n_years")).cast("int")
     return agg.select(

@@ -923,7 +923,7 @@ def _j15b(spark, sf):
     """Country-years with needs whose plan is less than 40% funded (left semi join)."""
     s = _silver(spark, sf)
     agg = s.funding.groupBy("iso3", "year").agg(F.sum("requirements_usd").alias("r"), F.sum("funding_usd").alias("f"))
-    low = agg.where((F.col("r") > 0) & (F.col("f") / F.col("r") < 0.4))
+    low = agg.where((F.col("r") > 0) & (F.try_divide(F.col("f"), F.col("r")) < 0.4))
     return low.join(s.needs.select("iso3", "year"), ["iso3", "year"], "left_semi").select("iso3", "year", (F.col("f") / F.col("r")).alias("country_coverage"))
 
 
