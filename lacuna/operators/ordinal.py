@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lacuna.session import ship_package
+
 _PID = "_w8_pid"
 _LOCAL = "_w8_local"
 
@@ -74,6 +76,7 @@ def global_cumsum(
     Arrow batches (the partition is streamed, carrying the total across
     batches); partitions are then shifted by the totals of all earlier ones.
     """
+    ship_package(df.sparkSession)
     ranged = _range(df, order, partitions)
     in_schema = ranged.schema
     out_fields = list(in_schema.fields) + [T.StructField(_PID, T.IntegerType(), False), T.StructField(_LOCAL, T.LongType(), False)]

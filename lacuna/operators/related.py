@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lacuna.functions import constants as C
+from lacuna.session import ship_package
 
 DEC = "decimal(38,12)"
 
@@ -95,6 +96,7 @@ class _Neg:
 
 def related_crises(gold: DataFrame, k: int = 5, band: float = C.RELATED_COVERAGE_BAND, partitions: int | None = None) -> DataFrame:
     """(crisis_id, related_id, position) for every in-scope crisis."""
+    ship_package(gold.sparkSession)
     # the band test runs on coverage at 12 decimal places, so bucket edges,
     # scan thresholds and the final check agree exactly (no float subtraction)
     width = F.lit(band).cast("decimal(4,3)")
