@@ -139,3 +139,11 @@ def test_quality_split(spark):
     assert good.count() == 1
     tags = {r.iso3: r.failed_rules for r in bad.collect()}
     assert tags[None] == ["iso3_missing"] and tags["BBB"] == ["year_out_of_range", "funding_negative"]
+
+
+def test_package_is_shipped_to_python_workers(spark):
+    """Per-partition scans import lacuna inside workers: the package zip must be on the workers' path."""
+    from lacuna.session import ship_package
+
+    ship_package(spark)
+    assert any(p.endswith("lacuna.zip") for p in spark.sparkContext._python_includes)
