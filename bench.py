@@ -32,7 +32,17 @@ HEADLINE = [
 ]
 
 
+def _cpu_probe() -> float:
+    """Seconds for a fixed pure-Python loop: shows how fast the (shared) host is during the run."""
+    t0 = time.perf_counter()
+    acc = 0
+    for i in range(5_000_000):
+        acc += i
+    return round(time.perf_counter() - t0, 3)
+
+
 def main() -> None:
+    probe = _cpu_probe()
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     from lacuna.plans.registry import QUERIES
@@ -58,7 +68,7 @@ def main() -> None:
     total = round(sum(times.values()), 3)
     sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
     print(json.dumps({"metric": "headline_total", "value": total, "unit": "sec", "queries": times, "rows": rows, "sf": sf,
-                      "warmup_sec_excluded": warmup, "cpus": cpus}))
+                      "warmup_sec_excluded": warmup, "cpus": cpus, "host_cpu_probe_sec": probe}))
     spark.stop()
 
 
