@@ -63,3 +63,8 @@ def pooled_fund_map(spark: SparkSession) -> DataFrame:
 
 def cascade_edges(spark: SparkSession) -> DataFrame:
     return lookup_frame(spark, C.CASCADE_EDGES, "trigger_sector", "impact_sector")
+
+
+def map_name_map(spark: SparkSession) -> DataFrame:
+    """World-map shape names, keyed lower-case (177 fixed entries)."""
+    return lookup_frame(spark, [(n.lower(), iso) for n, iso in C.MAP_NAME_TO_ISO3], "map_key", "map_iso3")

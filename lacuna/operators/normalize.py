@@ -96,6 +96,14 @@ def pooled_fund_iso3(df: DataFrame, fund_col: str = "pooled_fund_name") -> DataF
     return out.withColumn("country", F.coalesce(F.col("iso3"), F.lit(C.UNKNOWN_ISO3))).drop("fund_country", "iso3")
 
 
+# ------------------------------------------------------------------ P12b map names
+def map_name_iso3(df: DataFrame, name_col: str = "name", out: str = "iso3") -> DataFrame:
+    """World-map shape name -> ISO3, case-insensitive, else 'UNK' (broadcast of a fixed 177-row table)."""
+    m = F.broadcast(lookups.map_name_map(df.sparkSession))
+    joined = df.join(m, F.lower(F.col(name_col)) == m.map_key, "left")
+    return joined.withColumn(out, F.coalesce(F.col("map_iso3"), F.lit(C.UNKNOWN_ISO3))).drop("map_key", "map_iso3")
+
+
 # ------------------------------------------------------------------ P13 split
 def split_countries(df: DataFrame, col: str = "country") -> DataFrame:
     """One row per '|'-separated, trimmed, distinct country name."""

@@ -854,6 +854,26 @@ def _p12(spark, sf):
     return N.pooled_fund_iso3(funds)
 
 
+def _map_names_sql() -> str:
+    from lacuna.functions import constants as C
+
+    rows = ", ".join("('{}', '{}')".format(n.lower().replace("'", "''"), i) for n, i in C.MAP_NAME_TO_ISO3)
+    return f""",
+mapnames(k, iso3) AS (VALUES {rows}),
+inputs AS (SELECT DISTINCT name FROM (SELECT country AS name FROM nat UNION ALL SELECT region FROM nat
+                                      UNION ALL SELECT lower(region) FROM nat) t)
+SELECT i.name, COALESCE(m.iso3, 'UNK') AS iso3 FROM inputs i LEFT JOIN mapnames m ON lower(i.name) = m.k"""
+
+
+@register("p12b_map_name_iso3", ["name", "iso3"], _map_names_sql())
+def _p12b(spark, sf):
+    """Map shape names (nation and region names from the tables) to ISO3, case-insensitive, else UNK."""
+    nat = TD.nations(spark, sf)
+    names = (nat.select(F.col("country").alias("name")).unionByName(nat.select(F.col("region").alias("name")))
+             .unionByName(nat.select(F.lower("region").alias("name"))).distinct())
+    return N.map_name_iso3(names, "name", "iso3")
+
+
 @register("p13_split_countries", ["country"], """
 SELECT DISTINCT trim(unnest(string_split(cell, '|'))) AS country
 FROM (SELECT string_agg(country, ' | ' ORDER BY country) AS cell FROM nat GROUP BY region) t""")

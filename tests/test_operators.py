@@ -147,3 +147,9 @@ def test_package_is_shipped_to_python_workers(spark):
 
     ship_package(spark)
     assert any(p.endswith("lacuna.zip") for p in spark.sparkContext._python_includes)
+
+
+def test_map_name_lookup_case_insensitive(spark):
+    df = spark.createDataFrame([("S. Sudan",), ("s. sudan",), ("DEM. REP. CONGO",), ("Atlantis",), (None,)], "name string")
+    got = {r.name: r.iso3 for r in N.map_name_iso3(df).collect()}
+    assert got == {"S. Sudan": "SSD", "s. sudan": "SSD", "DEM. REP. CONGO": "COD", "Atlantis": "UNK", None: "UNK"}
