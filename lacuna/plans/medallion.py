@@ -56,11 +56,16 @@ GOLD_COLUMNS = [
 ]
 
 
+def order_cube_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The materialised order cube of this session (the only reader of the fact tables)."""
+    return memo(spark, ("cube", sf_dir), lambda: TD.order_cube(spark, sf_dir))
+
+
 def bronze_from_testdata(spark: SparkSession, sf_dir: str) -> Bronze:
     # The cube is the only step that reads the big fact tables. Its size is
     # bounded by the dimensions, so it is materialised once per session and
     # shared by all bronze views (otherwise each pruned copy would rescan the facts).
-    cube = memo(spark, ("cube", sf_dir), lambda: TD.order_cube(spark, sf_dir))
+    cube = order_cube_of(spark, sf_dir)
     # media counts feed only the base index, which is materialised itself
     media = TD.media_counts(spark, sf_dir)
     return Bronze(

@@ -1108,17 +1108,16 @@ def _f21(spark, sf):
     from lacuna.sources.csv import composite_severity
 
     s = _silver(spark, sf)
-    orders = TD.read_table(spark, sf, "orders").select("o_orderkey", "o_custkey", F.year("o_orderdate").cast("int").alias("year"),
-                                                       (F.col("o_orderpriority") == "1-URGENT").cast("int").alias("urgent"))
-    lines = (TD.read_table(spark, sf, "lineitem").where((F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "F"))
-             .select("l_orderkey").distinct().withColumn("returned", F.lit(1)))
-    cust = TD.read_table(spark, sf, "customer").select("c_custkey", F.col("c_nationkey").alias("nationkey"))
-    nat = TD.nations(spark, sf).select("nationkey", "iso3")
-    per = (orders.join(lines, orders.o_orderkey == lines.l_orderkey, "left")
-           .groupBy("o_custkey", "year").agg(F.count(F.lit(1)).alias("n"), F.sum("urgent").alias("u"), F.count("returned").alias("r"))
-           .join(cust, F.col("o_custkey") == F.col("c_custkey"))
-           .groupBy("nationkey", "year").agg(F.sum("n").alias("n"), F.sum("u").alias("u"), F.sum("r").alias("r"))
-           .join(F.broadcast(nat), "nationkey"))
+    per = (
+        P.order_cube_of(spark, sf)
+        .groupBy("nationkey", "year")
+        .agg(
+            F.sum("n_orders").alias("n"),
+            F.sum(F.when(F.col("priority") == "1-URGENT", F.col("n_orders")).otherwise(0)).alias("u"),
+            F.sum("n_rf_orders").alias("r"),
+        )
+        .join(F.broadcast(TD.nations(spark, sf).select("nationkey", "iso3")), "nationkey")
+    )
     urgent = per.select("iso3", "year", (F.lit(10.0) * F.col("u") / F.col("n")).alias("value"))
     returned = per.select("iso3", "year", (F.lit(10.0) * F.col("r") / F.col("n")).alias("value"))
     base = s.funding.select("iso3", "year").distinct()
@@ -1140,17 +1139,16 @@ def _s15(spark, sf):
     """Response plans (one per nation x priority, spanning its order years) exploded to plan years."""
     from lacuna.sources.csv import response_plans
 
-    o = TD.read_table(spark, sf, "orders").select("o_custkey", F.year("o_orderdate").cast("int").alias("y"),
-                                                  "o_orderpriority", F.col("o_totalprice").cast("decimal(18,2)").alias("p"))
-    cust = TD.read_table(spark, sf, "customer").select("c_custkey", F.col("c_nationkey").alias("nationkey"))
-    plans = (o.groupBy("o_custkey", "o_orderpriority").agg(F.min("y").alias("y0"), F.max("y").alias("y1"), F.sum("p").alias("p"))
-             .join(cust, F.col("o_custkey") == F.col("c_custkey"))
-             .groupBy("nationkey", "o_orderpriority").agg(F.min("y0").alias("y0"), F.max("y1").alias("y1"), F.sum("p").alias("p"))
-             .join(F.broadcast(TD.nations(spark, sf).select("nationkey", "iso3")), "nationkey")
-             .select(F.concat_ws("-", "iso3", "o_orderpriority").alias("plan_id"), F.col("o_orderpriority").alias("plan_name"),
-                     "iso3", F.lit("Active").alias("status"), F.col("p").cast("double").cast("string").alias("requirements_usd"),
-                     F.lit(None).cast("string").alias("funding_usd"),
-                     F.col("y0").cast("string").alias("year_start"), F.col("y1").cast("string").alias("year_end")))
+    plans = (
+        P.order_cube_of(spark, sf)
+        .groupBy("nationkey", F.col("priority").alias("o_orderpriority"))
+        .agg(F.min("year").alias("y0"), F.max("year").alias("y1"), F.sum("price").alias("p"))
+        .join(F.broadcast(TD.nations(spark, sf).select("nationkey", "iso3")), "nationkey")
+        .select(F.concat_ws("-", "iso3", "o_orderpriority").alias("plan_id"), F.col("o_orderpriority").alias("plan_name"),
+                "iso3", F.lit("Active").alias("status"), F.col("p").cast("double").cast("string").alias("requirements_usd"),
+                F.lit(None).cast("string").alias("funding_usd"),
+                F.col("y0").cast("string").alias("year_start"), F.col("y1").cast("string").alias("year_end"))
+    )
     years = response_plans(plans)
     return years.groupBy("iso3", "year").agg(
         F.count(F.lit(1)).alias("n_plans"),

@@ -75,7 +75,7 @@ def _nations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def order_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(nationkey, year, segment, status, priority) -> order value and R/F quantity."""
+    """(nationkey, year, segment, status, priority) -> order value, R/F quantity, order counts."""
     lines = (
         read_table(spark, sf_dir, "lineitem")
         .where((F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "F"))
@@ -97,6 +97,7 @@ def order_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.sum("price").alias("price"),
             F.sum("rf_qty").alias("rf_qty"),
             F.count(F.lit(1)).alias("n_orders"),
+            F.count("rf_qty").alias("n_rf_orders"),
         )
     )
     customers = read_table(spark, sf_dir, "customer").select(
@@ -109,6 +110,7 @@ def order_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.sum("price").alias("price"),
             F.sum("rf_qty").alias("rf_qty"),
             F.sum("n_orders").alias("n_orders"),
+            F.sum("n_rf_orders").alias("n_rf_orders"),
         )
     )
 
