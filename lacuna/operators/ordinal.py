@@ -5,9 +5,12 @@ Instead we range-partition on the sort key, work inside each partition, and
 add per-partition offsets taken from a table with one row per partition
 (its size is bounded by the partition count, so broadcasting it is safe).
 
-The sort key must be a total order (callers add a unique tie-break column);
-then every partition's content and order are fixed by the range bounds, and
-a recomputed partition after an executor loss yields the same numbers.
+The tagged rows (partition id, position inside it) are written once to the
+shared checkpoint folder and both the rows and the offsets are read from that
+table. Offsets never come from a second evaluation of the range exchange: two
+evaluations may sample other bounds, be pruned differently or be merged
+differently by AQE, and then rows would be lost or misnumbered. A task that
+is lost during the write is re-run by Spark before the table is committed.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lacuna.session import ship_package
+from lacuna.session import materialize, ship_package
 
 _PID = "_w8_pid"
 _LOCAL = "_w8_local"
@@ -51,8 +54,11 @@ def global_row_number(
     """``row_number() over (order by <order>)`` computed in parallel."""
     ranged = _range(df, order, partitions)
     mid = F.monotonically_increasing_id()
-    tagged = ranged.withColumn(_PID, F.shiftright(mid, _ID_BITS).cast("int")).withColumn(
-        _LOCAL, mid - F.shiftleft(F.shiftright(mid, _ID_BITS), _ID_BITS)
+    tagged = materialize(
+        ranged.withColumn(_PID, F.shiftright(mid, _ID_BITS).cast("int")).withColumn(
+            _LOCAL, mid - F.shiftleft(F.shiftright(mid, _ID_BITS), _ID_BITS)
+        ),
+        "ordinal",
     )
     offsets = _offsets(tagged, {})
     return (
@@ -105,10 +111,8 @@ def global_cumsum(
             seen += n
             yield pdf
 
-    tagged = ranged.mapInPandas(_scan, out_schema)
-    # partition totals come JVM-side from the same (reused) shuffle output, so the
-    # Python scan runs once per partition
-    offsets = _offsets(ranged.withColumn(_PID, F.spark_partition_id()), {out: src for out, src in values.items()})
+    tagged = materialize(ranged.mapInPandas(_scan, out_schema), "cumsum")
+    offsets = _offsets(tagged, {out: src for out, src in values.items()})
     result = tagged.join(F.broadcast(offsets), _PID)
     for out in values:
         result = result.withColumn(out, F.col(f"_w8_c_{out}") + F.col(f"_w8_off_{out}"))

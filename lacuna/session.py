@@ -8,6 +8,7 @@ runs on one machine.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -36,17 +37,24 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
+    """The shared folder for checkpoints and materialised tables.
 
-    On a cluster that setting points at shared storage and is used as is. Only
-    when it is unset (tests on one machine) do we pick a scratch folder.
+    ``spark.checkpoint.dir`` of the session wins; else the folder set with
+    ``SparkContext.setCheckpointDir``. Only a plain local master (one machine:
+    tests, bench) may fall back to a scratch folder; anywhere else a
+    machine-local folder would lose data, so this raises.
     """
+    sc = spark.sparkContext
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
-        current = tempfile.mkdtemp(prefix="lacuna-ckpt-")
+        current = sc.getCheckpointDir()
+        if not current:
+            if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            current = tempfile.mkdtemp(prefix="lacuna-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(current)
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(current)
     return current
 
 
@@ -70,6 +78,21 @@ def materialize(df, name: str = "t"):
     return spark.read.parquet(path)
 
 
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a scratch table through Hadoop's file system (works for any shared store)."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def input_state(spark: SparkSession, folder: str) -> tuple:
+    """(file, length, modification time) of the tables in a folder: changes when a table is rewritten."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(folder)
+    files = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(p)
+    return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in files))
+
+
 _SHIPPED: set[str] = set()
 
 
