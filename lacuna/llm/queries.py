@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lacuna.llm import cdc_fingerprint, langid_hd, pii, token_orc, vector_pack
+from lacuna.llm import cdc_fingerprint, html_extract, langid_hd, pii, token_orc, url_rules, vector_pack
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_html_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     train = docs.where(F.col("doc_id").isNotNull() & ~langid_hd.held_out(F.col("doc_id")))
@@ -19,6 +23,12 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid_hd.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    judged = url_rules.judge(pages, url_rules.label_urls(pages, table(spark, sf_dir, "labels")))
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
 def op7_vector_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = vector_pack.pack_documents(table(spark, sf_dir, "documents"), tokens=2048, end_id=0, with_ids=False)
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
@@ -36,4 +46,4 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cdc_fingerprint.fingerprints(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: (f, None) for f in (op5_language_id, op7_vector_best_fit, op8_token_orc, op9_pii, op10_fingerprints)}
+QUERIES = {f.__name__: (f, None) for f in (op1_html_templates, op5_language_id, op6_url_rules, op7_vector_best_fit, op8_token_orc, op9_pii, op10_fingerprints)}
