@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lacuna.llm import cdc_fingerprint, html_extract, jaccard_join, langid_hd, pii, token_orc, url_rules, vector_pack
+from lacuna.llm import cdc_fingerprint, decontaminate, html_extract, jaccard_join, langid_hd, pii, token_orc, url_rules, vector_pack
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,11 @@ def op1_html_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    leaks = decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return leaks.select("doc_id", "item_id", F.round("score", 6).alias("score"), "start_word", "end_word")
+
+
 def op4_jaccard_rtree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
 
@@ -50,4 +55,4 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cdc_fingerprint.fingerprints(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: (f, None) for f in (op1_html_templates, op4_jaccard_rtree, op5_language_id, op6_url_rules, op7_vector_best_fit, op8_token_orc, op9_pii, op10_fingerprints)}
+QUERIES = {f.__name__: (f, None) for f in (op1_html_templates, op2_decontaminate, op4_jaccard_rtree, op5_language_id, op6_url_rules, op7_vector_best_fit, op8_token_orc, op9_pii, op10_fingerprints)}
