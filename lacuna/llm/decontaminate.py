@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lacuna.llm.textops import map_arrow, shingle_hashes, text_bytes, text_slices, word_hashes
+from lacuna.llm.textops import map_arrow, shingle_hashes, text_bytes, text_slices, unused, word_hashes
 from lacuna.session import materialize
 
 SEED_WORDS = 3
@@ -228,3 +228,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCO
     )
     top = F.max_by(F.struct("score", "start_word", "end_word"), F.struct("score", -F.col("start_word"))).alias("t")
     return best.groupBy("doc_id", "text_key", "item_id").agg(top).select("doc_id", "text_key", "item_id", "t.*")
+
+
+def drop_leaked(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
+    """The rows of ``docs`` whose text holds no benchmark item; all columns stay, null text stays."""
+    key = unused(docs, "_text_key")
+    leaked = materialize(find_leaks(docs, benchmark, min_score).select(F.col("text_key").alias(key)).distinct(), "leaked")
+    keyed = docs.withColumn(key, F.xxhash64(F.col("text").cast("string")))
+    return keyed.join(leaked, key, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -28,13 +28,14 @@ rows, copies) are linked. Null doc_id takes part but is never a smallest id.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lacuna.llm.components import components
-from lacuna.llm.textops import LOWER, map_arrow, mix, shingle_hashes, text_bytes, text_slices, word_hashes
-from lacuna.session import materialize
+from lacuna.llm.textops import LOWER, map_arrow, mix, shingle_hashes, text_bytes, text_slices, unused, word_hashes
+from lacuna.session import materialize, ship_package
 
 WORDS, NEED, OF = 5, 80, 100  # shingle size; the link bound NEED / OF
 GROUPS = 64
@@ -396,6 +397,13 @@ def _node_texts(docs: DataFrame, info: DataFrame) -> DataFrame:
     return materialize(named.dropDuplicates(["node"]), "node-texts")
 
 
+def _labels(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """(node, least, root, component_id) of every node with a set."""
+    classes = rows.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("least"))
+    rooted = classes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    return rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root")
+
+
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row.
 
@@ -403,10 +411,46 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     included; null only where no row of the component has a doc_id.
     """
     rows, roots = link_components(docs)
-    classes = rows.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("least"))
-    rooted = classes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = rooted.join(smallest, "root").select("node", "component_id")
+    labels = _labels(rows, roots).select("node", "component_id")
     return rows.join(labels, "node", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")
     )
+
+
+def _node_series(texts: pd.Series) -> pd.Series:
+    """The node of each text, null for an empty set."""
+    data = [t.encode("utf-8", "surrogatepass") if isinstance(t, str) else b"" for t in texts]
+    out = pd.Series([None] * len(data), dtype="Int64")
+    for i, grams in shingle_sets(data):
+        if len(grams):
+            out[i] = node_of(grams)
+    return out
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` with one row of each component of linked texts: the one of the smallest doc_id.
+
+    Rows with an empty set link with nothing and all stay. Of rows that share
+    the smallest doc_id and the text, one stays; a component without any
+    doc_id keeps one row.
+    """
+    ship_package(docs.sparkSession)
+    rows, roots = link_components(docs)
+    by_id, by_node = unused(docs, "_keep_id"), unused(docs, "_keep_node")
+    kept = _labels(rows, roots).where(F.col("least").eqNullSafe(F.col("component_id"))).groupBy(
+        "root", F.col("component_id").alias(by_id)
+    ).agg(F.min("node").alias(by_node))
+    kept = materialize(kept.select(by_id, by_node), "kept")
+    blank = ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    named = F.pandas_udf(_node_series, "long")(F.col("text"))
+    with_id = (
+        docs.where(~blank & F.col("doc_id").isNotNull()).join(kept.where(F.col(by_id).isNotNull()), F.col("doc_id") == F.col(by_id))
+        .where(named == F.col(by_node)).dropDuplicates([by_id]).select(*columns)
+    )
+    own = unused(docs, "_own_node")
+    without = (
+        docs.where(~blank & F.col("doc_id").isNull()).withColumn(own, named)
+        .join(kept.where(F.col(by_id).isNull()), F.col(own) == F.col(by_node)).dropDuplicates([by_node]).select(*columns)
+    )
+    return with_id.unionByName(without).unionByName(docs.where(blank))

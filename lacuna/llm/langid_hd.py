@@ -19,11 +19,13 @@ The prototypes, one vector per language, are all the driver ever holds.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lacuna.llm.textops import map_arrow
+from lacuna.session import ship_package
 
 DIM = 1024
 SEED = 20240517
@@ -178,23 +180,44 @@ def learn(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     return [r["lang"] for r in rows], protos / np.where(norm == 0, 1, norm)
 
 
+def _judge(texts: list[str | None], langs: list[str], prototypes: np.ndarray) -> tuple[list[str], np.ndarray]:
+    """Nearest prototype (columns of ``prototypes``) and its cosine, clipped to 0..1, for each text."""
+    vectors = _vectors()
+    pred, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
+    if langs:
+        for i, code, count in _bundle([t or "" for t in texts]):
+            places = vectors.of(code)
+            v = count.astype(np.float32) @ vectors.rows[places]
+            cosine = (v @ prototypes) / max(float(np.linalg.norm(v)), 1e-9)
+            best = int(cosine.argmax())
+            pred[i], score[i] = langs[best], min(1.0, max(0.0, float(cosine[best])))
+    return pred, score
+
+
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
-    """(doc_id, lang_pred, score) for every row: the nearest prototype and its cosine, clipped to 0..1."""
-    langs, protos = model
-    transposed = np.ascontiguousarray(protos.T, np.float32)
+    """(doc_id, lang_pred, score) for every row."""
+    langs, prototypes = model[0], np.ascontiguousarray(model[1].T, np.float32)
 
     def run(batches):
-        vectors = _vectors()
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            pred, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
-            if langs:
-                for i, code, count in _bundle(texts):
-                    places = vectors.of(code)
-                    v = count.astype(np.float32) @ vectors.rows[places]
-                    cosine = (v @ transposed) / max(float(np.linalg.norm(v)), 1e-9)
-                    best = int(cosine.argmax())
-                    pred[i], score[i] = langs[best], min(1.0, max(0.0, float(cosine[best])))
+            pred, score = _judge(batch.column(1).to_pylist(), langs, prototypes)
             yield pa.record_batch({"doc_id": batch.column(0), "lang_pred": pa.array(pred, pa.string()), "score": pa.array(score)})
 
     return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, lang_pred string, score double")
+
+
+def language(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text") -> Column:
+    """Column expression: (lang_pred, score) of ``text``, for callers that keep their own columns."""
+    ship_package(docs.sparkSession)
+    langs, prototypes = model[0], np.ascontiguousarray(model[1].T, np.float32)
+
+    def judge(texts: pd.Series) -> pd.DataFrame:
+        pred, score = _judge(texts.tolist(), langs, prototypes)
+        return pd.DataFrame({"lang_pred": pred, "score": score})
+
+    return F.pandas_udf(judge, "lang_pred string, score double")(F.col(text))
+
+
+def train_rows(docs: DataFrame) -> DataFrame:
+    """The documents that may be learned from: with an id, and not held out."""
+    return docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))

@@ -27,8 +27,7 @@ def op4_jaccard_rtree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    train = docs.where(F.col("doc_id").isNotNull() & ~langid_hd.held_out(F.col("doc_id")))
-    found = langid_hd.predict(docs, langid_hd.learn(train))
+    found = langid_hd.predict(docs, langid_hd.learn(langid_hd.train_rows(docs)))
     return found.select("doc_id", langid_hd.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
