@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lacuna.llm import cdc_fingerprint, decontaminate, html_extract, jaccard_join, langid_hd, pii, token_orc, url_rules, vector_pack
+from lacuna.llm import cdc_fingerprint, decontaminate, html_extract, jaccard_join, langid_hd, pii, suffix_dedup, token_orc, url_rules, vector_pack
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.select("doc_id", "item_id", F.round("score", 6).alias("score"), "start_word", "end_word")
 
 
+def op3_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeats_digest(suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")))
+
+
 def op4_jaccard_rtree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
 
@@ -54,4 +58,4 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cdc_fingerprint.fingerprints(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: (f, None) for f in (op1_html_templates, op2_decontaminate, op4_jaccard_rtree, op5_language_id, op6_url_rules, op7_vector_best_fit, op8_token_orc, op9_pii, op10_fingerprints)}
+QUERIES = {f.__name__: (f, None) for f in (op1_html_templates, op2_decontaminate, op3_repeated_substrings, op4_jaccard_rtree, op5_language_id, op6_url_rules, op7_vector_best_fit, op8_token_orc, op9_pii, op10_fingerprints)}
