@@ -168,7 +168,8 @@ def fingerprints(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     spark = docs.sparkSession
     n = buckets or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    cuts = sorted(set(src.select("doc_id").na.drop().approxQuantile("doc_id", [i / n for i in range(1, n)], 0.1 / n)))
+    marks = [i / n for i in range(1, n)]
+    cuts = sorted(set(src.select("doc_id").na.drop().approxQuantile("doc_id", marks, 0.1 / n))) if marks else []
     inf = float("inf")
     keyed = src.withColumn("id_f", F.coalesce(F.col("doc_id").cast("double"), F.lit(-inf)))
     parted = Bucketizer(splits=[-inf, *cuts, inf] if cuts else [-inf, 0.0, inf], inputCol="id_f", outputCol="b").transform(keyed).select(
