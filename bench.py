@@ -45,7 +45,7 @@ def main() -> None:
     probe = _cpu_probe()
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    from lacuna.plans.registry import QUERIES
+    from lacuna.plans.registry_more import QUERIES
     from lacuna.session import local_session
 
     spark = local_session(cpus, shuffle_partitions=int(cpus) if cpus.isdigit() else 8, app="lacuna-bench")

@@ -70,13 +70,6 @@ def camel_to_snake(name: str) -> str:
     return "".join(out).lower()
 
 
-def severity_text(c: Column | str) -> Column:
-    return F.format_number(col_(c), 1)
-
-
-
-
-
 def exact_avg(c: Column | str, digits_in: int, digits_out: int = 6) -> Column:
     """Aggregate: mean of values that carry ``digits_in`` decimals, rounded half-up to
     ``digits_out`` with integer arithmetic (no float tie ambiguity)."""

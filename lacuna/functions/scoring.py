@@ -11,9 +11,9 @@ from lacuna.functions.cleaning import clamp, col_
 
 def need_weight(pin: Column | str, severity: Column | str, pin_per_capita: Column | str) -> Column:
     """F1: max(log10(max(pin,0)+1), 0.1) * severity/10 * (1 + 0.5*min(per_capita, 1))."""
-    log_pin = F.greatest(F.log10(F.greatest(col_(pin).cast("double"), F.lit(0.0)) + 1), F.lit(0.1))
-    cap_factor = F.lit(1.0) + F.least(col_(pin_per_capita), F.lit(1.0)) * 0.5
-    return log_pin * (col_(severity) / 10.0) * cap_factor
+    people_term = F.greatest(F.log10(F.greatest(col_(pin).cast("double"), F.lit(0.0)) + 1), F.lit(0.1))
+    share_term = F.lit(1.0) + F.least(col_(pin_per_capita), F.lit(1.0)) * 0.5
+    return people_term * (col_(severity) / 10.0) * share_term
 
 
 def gap_severity(coverage: Column | str) -> Column:

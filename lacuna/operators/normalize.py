@@ -36,29 +36,45 @@ def normalize_sector(df: DataFrame, src: str, out: str = "sector") -> DataFrame:
 
 
 # ------------------------------------------------------------------ P11 country -> iso3
+GRAM = 3
+
+
+def _pieces(c: str) -> Column:
+    """One row per distinct piece of up to GRAM characters of a text (the empty piece included)."""
+    starts = F.sequence(F.lit(1), F.greatest(F.length(c), F.lit(1)))
+    grams = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(GRAM)), lambda n: F.transform(starts, lambda i: F.substr(F.col(c), i, n))))
+    return F.explode(F.array_distinct(grams))
+
+
 def resolve_names(names: DataFrame, dictionary: DataFrame | None = None) -> DataFrame:
     """Map distinct names (column ``name_in``) to ISO3 through tiers 2-4.
 
     Tier 2 exact name, tier 3 case-insensitive trimmed, tier 4 substring
     either way; tiers 3/4 take the first dictionary entry in dictionary order.
-    ``dictionary`` has (name, iso3, ordinal); it is small and broadcast.
+    ``dictionary`` has (name, iso3, ordinal) and may have any size: all joins are
+    equi-joins without a hint, tier 4 over an index of the short pieces of the longer text.
     """
     spark = names.sparkSession
     d = dictionary if dictionary is not None else lookups.country_dictionary(spark)
-    d = F.broadcast(d)
     exact = d.groupBy(F.col("name").alias("_k2")).agg(F.min_by("iso3", "ordinal").alias("_t2"))
     lower = d.groupBy(F.lower(F.col("name")).alias("_k3")).agg(F.min_by("iso3", "ordinal").alias("_t3"))
     base = names.select("name_in").distinct().withColumn("_low", F.lower(F.trim(F.col("name_in"))))
     step = (
-        base.join(F.broadcast(exact), base.name_in == F.col("_k2"), "left")
-        .join(F.broadcast(lower), F.col("_low") == F.col("_k3"), "left")
+        base.join(exact, base.name_in == F.col("_k2"), "left")
+        .join(lower, F.col("_low") == F.col("_k3"), "left")
         .select("name_in", "_low", F.coalesce("_t2", "_t3").alias("_t23"))
     )
     unresolved = step.where(F.col("_t23").isNull()).select("name_in", "_low")
     dl = d.select(F.lower(F.col("name")).alias("_dname"), F.col("iso3").alias("_t4iso"), F.col("ordinal").alias("_t4ord"))
-    cond = (F.instr(F.col("_dname"), F.col("_low")) > 0) | (F.instr(F.col("_low"), F.col("_dname")) > 0)
+    # a text that holds another holds its first GRAM characters: join on those, then check exactly
+    inside = unresolved.withColumn("_gram", F.left("_low", F.lit(GRAM))).join(dl.withColumn("_gram", _pieces("_dname")), "_gram").where(
+        F.contains("_dname", "_low")
+    )
+    around = unresolved.withColumn("_gram", _pieces("_low")).join(dl.withColumn("_gram", F.left("_dname", F.lit(GRAM))), "_gram").where(
+        F.contains("_low", "_dname")
+    )
     tier4 = (
-        unresolved.join(F.broadcast(dl), cond, "inner")
+        inside.unionByName(around)
         .groupBy("name_in")
         .agg(F.min_by("_t4iso", "_t4ord").alias("_t4"))
     )
@@ -118,9 +134,8 @@ def split_countries(df: DataFrame, col: str = "country") -> DataFrame:
 def with_region(df: DataFrame, regions: DataFrame | None = None, iso3_col: str = "iso3", out: str = "region") -> DataFrame:
     """Left join a region lookup (default the fixed map); missing -> 'Other'.
 
-    When ``df`` already has ``out`` its non-null values win. The lookup is
-    de-duplicated by ISO3 before it is broadcast, so its size is bounded by the
-    number of 3-letter codes (at most 26^3), whatever the input size.
+    When ``df`` already has ``out`` its non-null values win. A given lookup is
+    de-duplicated by ISO3 and joined without a hint; only the fixed map is broadcast.
     """
     spark = df.sparkSession
     fixed = lookups.region_map(spark).withColumnRenamed("region", "_region_fixed")
@@ -130,7 +145,7 @@ def with_region(df: DataFrame, regions: DataFrame | None = None, iso3_col: str =
         candidates.append(F.col(out))
     if regions is not None:
         r = regions.select(F.col("iso3").alias("_r_iso3"), F.col("region").alias("_region_given")).dropDuplicates(["_r_iso3"])
-        res = res.join(F.broadcast(r), res[iso3_col] == F.col("_r_iso3"), "left").drop("_r_iso3")
+        res = res.join(r, res[iso3_col] == F.col("_r_iso3"), "left").drop("_r_iso3")
         candidates.append(F.col("_region_given"))
     candidates += [F.col("_region_fixed"), F.lit(C.DEFAULT_REGION)]
     res = res.withColumn("_region_out", F.coalesce(*candidates))

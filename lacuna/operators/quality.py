@@ -77,6 +77,22 @@ def staleness(df: DataFrame, as_of_year: int | Column, max_age_months: int = C.S
     return df.withColumn("is_not_current", F.col("year") != as_of).withColumn("is_stale", age_months > max_age_months)
 
 
+def index_summary(index: DataFrame) -> DataFrame:
+    """One row of the summaries that a build reports."""
+    scored = F.col("mismatch_score") > 0
+    series = F.concat("iso3", "sector")
+    return index.agg(
+        F.countDistinct("iso3").alias("n_countries"), F.countDistinct("sector").alias("n_sectors"),
+        F.min("year").alias("first_year"), F.max("year").alias("last_year"),
+        F.avg("coverage_ratio").alias("mean_coverage"), F.avg("confidence_score").alias("mean_confidence"),
+        F.count_if(scored).alias("n_scored"), F.min(F.when(scored, F.col("mismatch_score"))).alias("min_score"),
+        F.max(F.when(scored, F.col("mismatch_score"))).alias("max_score"),
+        F.countDistinct(F.when(F.col("crisis_type") == "STRUCTURAL", series)).alias("n_structural"),
+        F.countDistinct(F.when(F.col("crisis_type") == "ACUTE", series)).alias("n_acute"),
+        F.max("structural_multiplier").alias("max_multiplier"),
+    )
+
+
 def health_matrix(index: DataFrame) -> DataFrame:
     """presence flags and warning texts per crisis."""
     has = {

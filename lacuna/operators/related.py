@@ -1,162 +1,52 @@
 """Similar crises — same region and type, |coverage difference| < 0.15, top-k by score.
 
-Exact, without emitting all pairs of a (region, type) group. Coverage is cut
-into buckets of the band width; for a crisis in bucket b the band holds
-  * every crisis of bucket b            -> only that bucket's top k+1 can matter,
-  * a prefix (by coverage) of bucket b+1 -> top k of that prefix,
-  * a suffix of bucket b-1               -> top k of that suffix.
-Prefix/suffix top-k lists come from one range-partitioned sorted scan in
-which each crisis's threshold is interleaved as a query row; the scan keeps a
-heap of k entries (memory O(k) per task). A bucket larger than a partition is
-split over several tasks: each later partition gets the top k of the earlier
-ones through a small JVM join of per-partition top-k summaries. Each crisis
-thus meets at most 5k+1 candidates.
+Exact, without emitting all pairs of a (region, type) group and without a row
+loop. Coverage is an integer number of 1e-12 units, and the units form a
+binary tree: a point belongs to one node per level, and the open interval of
+a crisis splits into at most two nodes per level. Every node keeps its top
+k + 1 crises by score (a window top-k, partial before the shuffle), so each
+crisis meets at most 2 * LEVELS * (k + 1) candidates, however many crises
+share its region, type and coverage.
 """
 
 from __future__ import annotations
 
-import heapq
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lacuna.functions import constants as C
-from lacuna.session import ship_package
-
-DEC = "decimal(38,12)"
-
-_CAND = T.StructType([
-    T.StructField("qid", T.StringType()),
-    T.StructField("cand_id", T.StringType()),
-    T.StructField("pid", T.IntegerType()),
-    T.StructField("gk", T.StringType()),
-])
-
-
-def _scan(k: int):
-    """Sorted stream of points (kind 0) and queries (kind 1) -> (query, candidate, partition, key).
-
-    The heap holds the top k points seen so far in this partition for the
-    current key; every query emits them (or one row with no candidate), so the
-    partition's carry-in from earlier partitions can be joined on afterwards.
-    """
-    def run(batches):
-        import pandas as pd
-        from pyspark import TaskContext
-
-        pid = TaskContext.get().partitionId()
-        key = None
-        heap: list = []
-        for pdf in batches:
-            out_q, out_c, out_g = [], [], []
-            for gk, kind, score, cid in zip(pdf["_gk"], pdf["_kind"], pdf["_score"], pdf["_id"]):
-                if gk != key:
-                    key, heap = gk, []
-                if kind == 0:
-                    item = (score, _Neg(cid))
-                    if len(heap) < k:
-                        heapq.heappush(heap, item)
-                    elif item > heap[0]:
-                        heapq.heapreplace(heap, item)
-                else:
-                    if heap:
-                        for _, neg in heap:
-                            out_q.append(cid)
-                            out_c.append(neg.v)
-                            out_g.append(gk)
-                    else:
-                        out_q.append(cid)
-                        out_c.append(None)
-                        out_g.append(gk)
-            if out_q:
-                yield pd.DataFrame({
-                    "qid": pd.Series(out_q, dtype=object), "cand_id": pd.Series(out_c, dtype=object),
-                    "pid": pd.Series([pid] * len(out_q), dtype="int32"), "gk": pd.Series(out_g, dtype=object),
-                })
-    return run
-
-
-class _Neg:
-    """Reverses string order so that among equal scores the smaller id ranks higher."""
-    __slots__ = ("v",)
 
-    def __init__(self, v):
-        self.v = v
+UNITS = 10**12
 
-    def __lt__(self, other):
-        return self.v > other.v
 
-    def __gt__(self, other):
-        return self.v < other.v
-
-    def __eq__(self, other):
-        return self.v == other.v
-
-
-def related_crises(gold: DataFrame, k: int = 5, band: float = C.RELATED_COVERAGE_BAND, partitions: int | None = None) -> DataFrame:
-    """(crisis_id, related_id, position) for every in-scope crisis."""
-    ship_package(gold.sparkSession)
-    # the band test runs on coverage at 12 decimal places, so bucket edges,
-    # scan thresholds and the final check agree exactly (no float subtraction)
-    width = F.lit(band).cast("decimal(4,3)")
-    pts = gold.where(F.col("is_in_scope")).select(
-        "crisis_id", "region", "crisis_type", "mismatch_score",
-        F.col("coverage_ratio").cast(DEC).alias("coverage_ratio"),
-    ).withColumn("_b", F.floor(F.col("coverage_ratio") / width).cast("long"))
-    grp = F.concat_ws("\u0001", F.coalesce("region", F.lit("")), F.coalesce("crisis_type", F.lit("")))
-    pts = pts.withColumn("_g", grp)
-
-    # full bucket: its top k+1 by score (partial top-k before the shuffle)
-    w = Window.partitionBy("_g", "_b").orderBy(F.col("mismatch_score").desc(), F.col("crisis_id"))
-    same = pts.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k + 1)
-    cand_same = pts.select("crisis_id", "_g", "_b").join(
-        same.select("_g", "_b", F.col("crisis_id").alias("cand_id")), ["_g", "_b"]
-    ).select(F.col("crisis_id").alias("qid"), "cand_id")
-
-    def side(direction: int) -> DataFrame:
-        # direction +1: prefix of bucket b+1 (coverage < c + band); -1: suffix of b-1 (coverage > c - band)
-        p = pts.select(
-            F.concat_ws("|", "_g", F.col("_b").cast("string")).alias("_gk"), F.lit(0).alias("_kind"),
-            F.col("coverage_ratio").alias("_v"), F.col("mismatch_score").alias("_score"), F.col("crisis_id").alias("_id"),
-        )
-        q = pts.select(
-            F.concat_ws("|", "_g", (F.col("_b") + direction).cast("string")).alias("_gk"), F.lit(1).alias("_kind"),
-            (F.col("coverage_ratio") + width * direction).cast(DEC).alias("_v"), F.lit(None).cast("double").alias("_score"),
-            F.col("crisis_id").alias("_id"),
-        )
-        u = p.unionByName(q)
-        if direction > 0:  # ascending; a query precedes points with equal value (strict <)
-            order = [F.col("_gk"), F.col("_v").asc(), F.col("_kind").desc(), F.col("_id")]
-        else:              # descending; a query precedes points with equal value (strict >)
-            order = [F.col("_gk"), F.col("_v").desc(), F.col("_kind").desc(), F.col("_id")]
-        # range partitioning: a hot bucket is split over many tasks (AQE may merge small ranges)
-        ranged = (u.repartitionByRange(partitions, *order) if partitions else u.repartitionByRange(*order)).sortWithinPartitions(*order)
-        local = ranged.select("_gk", "_kind", "_score", "_id").mapInPandas(_scan(k), _CAND)
-        # carry-in: top k of the same key in all earlier partitions, from per-partition
-        # top-k summaries (size bounded by partitions x keys x k), joined JVM-side
-        summ = (
-            # tag the partition before filtering: the (nondeterministic) id keeps the filter
-            # above the exchange, so both branches see the same range bounds
-            ranged.withColumn("_pid", F.spark_partition_id()).where(F.col("_kind") == 0)
-            .withColumn("_r", F.row_number().over(Window.partitionBy("_pid", "_gk").orderBy(F.col("_score").desc(), F.col("_id"))))
-            .where(F.col("_r") <= k).select("_pid", "_gk", "_score", "_id")
-        )
-        qparts = local.select("pid", "gk").distinct()
-        carry = qparts.join(summ, (qparts.gk == summ._gk) & (summ._pid < qparts.pid))
-        carry = carry.withColumn(
-            "_r", F.row_number().over(Window.partitionBy("pid", "gk").orderBy(F.col("_score").desc(), F.col("_id")))
-        ).where(F.col("_r") <= k).select("pid", "gk", F.col("_id").alias("cand_id"))
-        extra = local.select("qid", "pid", "gk").distinct().join(carry, ["pid", "gk"]).select("qid", "cand_id")
-        return local.where(F.col("cand_id").isNotNull()).select("qid", "cand_id").unionByName(extra)
-
-    cands = cand_same.unionByName(side(1)).unionByName(side(-1)).where(F.col("qid") != F.col("cand_id")).distinct()
-    info = pts.select(F.col("crisis_id").alias("cand_id"), F.col("mismatch_score").alias("_cs"), F.col("coverage_ratio").alias("_cc"))
-    base = pts.select(F.col("crisis_id").alias("qid"), F.col("coverage_ratio").alias("_qc"))
-    j = cands.join(info, "cand_id").join(base, "qid").where(F.abs(F.col("_cc") - F.col("_qc")) < width)
-    wr = Window.partitionBy("qid").orderBy(F.col("_cs").desc(), F.col("cand_id"))
+def related_crises(gold: DataFrame, k: int = 5, band: float = C.RELATED_COVERAGE_BAND) -> DataFrame:
+    """(crisis_id, related_id, position) for every in-scope crisis. Null region or type is a group of its own."""
+    width = round(band * UNITS)
+    levels = max(1, (2 * width).bit_length())
+    pts = gold.where(F.col("is_in_scope") & F.col("coverage_ratio").isNotNull()).select(
+        "crisis_id", "mismatch_score",
+        F.coalesce("region", F.lit("")).alias("_r"), F.coalesce("crisis_type", F.lit("")).alias("_t"),
+        F.round(F.col("coverage_ratio").cast("decimal(38,12)") * UNITS, 0).cast("long").alias("_c"),
+    )
+    best = Window.partitionBy("_r", "_t", "_level", "_node").orderBy(F.col("mismatch_score").desc(), F.col("crisis_id"))
+    level = F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("_level")
+    nodes = (
+        pts.select("*", level).withColumn("_node", F.expr("shiftright(_c, _level)"))
+        .withColumn("_rank", F.row_number().over(best)).where(F.col("_rank") <= k + 1)
+        .select("_r", "_t", "_level", "_node", F.col("crisis_id").alias("related_id"), F.col("mismatch_score").alias("_score"))
+    )
+    # the units c - width < x < c + width as tree nodes: per level the first and the last one that no higher node covers
+    spans = (
+        pts.select("crisis_id", "_r", "_t", (F.col("_c") - width + 1).alias("_lo"), (F.col("_c") + width).alias("_hi"), level)
+        .withColumn("_a", F.expr("-shiftright(-_lo, _level)")).withColumn("_b", F.expr("shiftright(_hi, _level)"))
+        .where(F.col("_a") < F.col("_b"))
+    )
+    odd = spans.withColumn("_node", F.explode(F.array_compact(F.array(
+        F.when(F.col("_a").bitwiseAND(F.lit(1)) == 1, F.col("_a")), F.when(F.col("_b").bitwiseAND(F.lit(1)) == 1, F.col("_b") - 1)
+    )))).select("crisis_id", "_r", "_t", "_level", "_node")
+    order = Window.partitionBy("crisis_id").orderBy(F.col("_score").desc(), F.col("related_id"))
     return (
-        j.withColumn("position", F.row_number().over(wr))
-        .where(F.col("position") <= k)
-        .select(F.col("qid").alias("crisis_id"), F.col("cand_id").alias("related_id"), "position")
+        odd.join(nodes, ["_r", "_t", "_level", "_node"]).where(F.col("crisis_id") != F.col("related_id"))
+        .withColumn("position", F.row_number().over(order)).where(F.col("position") <= k)
+        .select("crisis_id", "related_id", "position")
     )

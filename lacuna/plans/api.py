@@ -43,13 +43,14 @@ def ranking_filter(
 
 
 def rankings(gold: DataFrame, sort_by: str = "mismatch_score_lower_bound", sort_order: str = "DESC",
-             limit: int = 20, offset: int = 0, **filters) -> DataFrame:
+             limit: int | None = 20, offset: int = 0, **filters) -> DataFrame:
+    """P21 + T1: one page of the ranking; ``limit=None`` gives all of it (the full export)."""
     col = sort_by if sort_by in C.RANKING_SORT_COLUMNS else "mismatch_score_lower_bound"
     key = F.col(col).desc() if sort_order.upper() == "DESC" else F.col(col).asc()
     out = gold.where(ranking_filter(**filters)).orderBy(key, F.col("crisis_id"))
     if offset:
         out = out.offset(offset)
-    return out.limit(limit)
+    return out if limit is None else out.limit(limit)
 
 
 # ------------------------------------------------------------ A3 / A6 / A7
@@ -153,17 +154,17 @@ def predictive_map(gold: DataFrame, projections: DataFrame, year: int | None = N
     )
 
 
-def donor_flows(donors: DataFrame, limit: int = 300) -> DataFrame:
-    """Strongest donor concentrations first (ordered, then limited)."""
-    return (
+def donor_flows(donors: DataFrame, limit: int | None = None) -> DataFrame:
+    """Strongest donor concentrations first; ``limit`` cuts the list where a display asks for it."""
+    flows = (
         donors.where(F.col("top_donor_name").isNotNull())
         .select(
             F.col("crisis_id"), F.col("iso3").alias("recipient_iso3"), F.col("top_donor_name").alias("donor_label"),
             "hhi_index", "top_donor_share",
         )
         .orderBy(F.col("hhi_index").desc(), F.col("crisis_id"))
-        .limit(limit)
     )
+    return flows if limit is None else flows.limit(limit)
 
 
 # ------------------------------------------------------------ T5 / F15 / W6
@@ -243,7 +244,10 @@ def narratives(gold: DataFrame) -> DataFrame:
 
 
 def insight_cards(gold: DataFrame, donors: DataFrame) -> DataFrame:
-    """FUNDING_GAP, MISMATCH_RANK and DONOR_RISK cards for every crisis (one row per card)."""
+    """FUNDING_GAP, MISMATCH_RANK, DONOR_RISK and SECTOR_BREAKDOWN cards for every crisis (one row per card).
+
+    The sector card lists the worst sectors of the crisis's country and year by coverage.
+    """
     gap = F.greatest(F.lit(0.0), F.col("requirements_usd") - F.col("funding_usd"))
     d = donors.select("crisis_id", "hhi_index", "top_donor_name", "top_donor_share")
     base = gold.join(d, "crisis_id", "left")
@@ -268,7 +272,17 @@ def insight_cards(gold: DataFrame, donors: DataFrame) -> DataFrame:
         F.coalesce("top_donor_name", F.lit("Unknown")).alias("subtext"),
         F.coalesce("hhi_index", F.lit(0.0)).alias("card_value"),
     )
-    return funding.unionByName(rank).unionByName(risk)
+    listed = worst_sectors(gold).groupBy("iso3", "year").agg(
+        F.array_sort(F.collect_list(F.struct("position", "sector", "cov"))).alias("_worst")
+    )
+    sectors = gold.join(listed, ["iso3", "year"]).select(
+        "crisis_id", F.lit("SECTOR_BREAKDOWN").alias("card_type"),
+        F.concat(F.col("country"), F.lit(" — Sector Funding Coverage")).alias("title"),
+        F.format_string("%s sectors", F.size("_worst").cast("string")).alias("headline"),
+        F.array_join(F.transform("_worst", lambda s: F.concat(s["sector"], F.lit(" "), F.round(s["cov"] * 100, 1).cast("string"), F.lit("%"))), ", ").alias("subtext"),
+        F.col("_worst")[0]["cov"].alias("card_value"),
+    )
+    return funding.unionByName(rank).unionByName(risk).unionByName(sectors)
 
 
 # ------------------------------------------------------------ J8 / J14

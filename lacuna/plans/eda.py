@@ -33,7 +33,7 @@ def decision_metrics(needs: DataFrame) -> DataFrame:
         d.withColumn("Severity_Index", round_half_up(F.col("In_Need") / pop, 4))
         .withColumn("Planning_Gap", round_half_up(F.lit(1.0) - F.try_divide(tgt, F.col("In_Need")), 4))
         .withColumn("Importance_Score", round_half_up(F.log10(F.col("In_Need") + 1), 2))
-        .withColumn("Lighthouse_Priority", round_half_up(F.col("Severity_Index") * F.col("Planning_Gap") * F.col("Importance_Score"), 4))
+        .withColumn("priority_score", round_half_up(F.col("Severity_Index") * F.col("Planning_Gap") * F.col("Importance_Score"), 4))
     )
     return d.drop("Targeted")
 
@@ -43,7 +43,7 @@ def decision_metrics_v2(metrics: DataFrame) -> DataFrame:
     bonus = F.when(F.col("Severity_Index") > 0.5, F.lit(2.0)).otherwise(F.lit(1.0))
     urgency = F.when(F.col("Cluster").isin(*HIGH_URGENCY_CLUSTERS), F.lit(1.5)).otherwise(F.lit(1.0))
     return (
-        metrics.withColumn("LPS_v2", round_half_up(F.col("Lighthouse_Priority") * bonus * urgency, 4))
+        metrics.withColumn("priority_score_v2", round_half_up(F.col("priority_score") * bonus * urgency, 4))
         .withColumn("is_forgotten", (F.col("Planning_Gap") > 0.8) & (F.col("Importance_Score") < 3))
         .withColumn("population_missing", F.col("Population").isNull() | (F.col("Population") == 0))
     )

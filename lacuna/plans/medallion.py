@@ -94,12 +94,17 @@ def gold_base(s: Silver, b: Bronze) -> DataFrame:
 
 
 def score(base: DataFrame, as_of_year: int | None = None, factors: tuple[str, ...] = LIVE_FACTORS,
-          lookback_years: int | None = None, rank_partitions: int | None = None) -> DataFrame:
-    """Confidence -> structural profile -> scores -> global rank, over a base index."""
+          lookback_years: int | None = None, rank_partitions: int | None = None, min_requirements: float | None = None,
+          min_people: float | None = None, updated_at: bool = False) -> DataFrame:
+    """Confidence -> structural profile -> scores -> global rank, over a base index.
+
+    ``min_requirements`` and ``min_people`` set the scope rule (P22); ``updated_at`` adds the build time (P20).
+    """
     idx = with_confidence(base, as_of_year)
     idx = with_structural(idx, lookback_years)
-    idx = with_scores(idx, factors)
-    return with_global_rank(idx, rank_partitions).select(*GOLD_COLUMNS)
+    idx = with_scores(idx, factors, min_requirements, min_people)
+    ranked = with_global_rank(idx, rank_partitions).select(*GOLD_COLUMNS)
+    return ranked.withColumn("updated_at", F.current_timestamp()) if updated_at else ranked
 
 
 def base_index(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -49,7 +49,7 @@ DOUBLES = {
     "new_coverage_ratio", "cost_per_beneficiary", "old_mismatch_score", "new_mismatch_score_lower_bound",
     "old_gini", "new_gini", "global_equity_impact_score", "allocated_usd", "fill_level", "total_budget_usd",
     "budget_allocated_usd", "gini_before", "gini_after", "equity_improvement", "gini", "In_Need", "Population",
-    "Severity_Index", "Planning_Gap", "Importance_Score", "Lighthouse_Priority", "LPS_v2", "avg_planning_gap",
+    "Severity_Index", "Planning_Gap", "Importance_Score", "priority_score", "priority_score_v2", "avg_planning_gap",
     "pin_percent_rank", "region_coverage", "value_d", "people_in_need_sum", "requirements_musd", "funding_musd",
     "coverage_pct", "urgent_share", "returned_share", "composite_severity", "country_coverage",
 }
@@ -358,9 +358,9 @@ def _j9(spark, sf):
 
 @register("t7_donor_flows", ["crisis_id", "recipient_iso3", "donor_label", "hhi_index", "top_donor_share"], """
 SELECT crisis_id, iso3 AS recipient_iso3, top_donor_name AS donor_label, hhi_index, top_donor_share
-FROM donors WHERE top_donor_name IS NOT NULL ORDER BY hhi_index DESC, crisis_id LIMIT 300""")
+FROM donors WHERE top_donor_name IS NOT NULL""")
 def _t7(spark, sf):
-    """Donor flows, ordered then limited to 300."""
+    """All donor flows, strongest concentration first."""
     return A.donor_flows(donors(spark, sf))
 
 
@@ -473,9 +473,15 @@ SELECT crisis_id, 'MISMATCH_RANK', country || ' — Most Overlooked Crisis', 'Ra
 UNION ALL
 SELECT g.crisis_id, 'DONOR_RISK', g.country || ' — Donor Dependency Risk',
        CASE WHEN COALESCE(d.hhi_index, 0) > 0.25 THEN 'HIGH' ELSE 'MEDIUM' END, COALESCE(d.top_donor_name, 'Unknown'),
-       COALESCE(d.hhi_index, 0.0) FROM gold g LEFT JOIN donors d USING (crisis_id)""")
+       COALESCE(d.hhi_index, 0.0) FROM gold g LEFT JOIN donors d USING (crisis_id)
+UNION ALL
+SELECT g.crisis_id, 'SECTOR_BREAKDOWN', g.country || ' — Sector Funding Coverage', CAST(w.n AS VARCHAR) || ' sectors', w.listed, w.worst
+FROM gold g JOIN (SELECT iso3, year, COUNT(*) AS n, MIN(coverage_ratio) AS worst,
+                         string_agg(sector || ' ' || CAST(ROUND(coverage_ratio * 100, 1) AS VARCHAR) || '%', ', ' ORDER BY coverage_ratio, sector) AS listed
+                  FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY iso3, year ORDER BY coverage_ratio, sector) AS rn FROM gold) x
+                  WHERE rn <= 8 GROUP BY iso3, year) w USING (iso3, year)""")
 def _f17(spark, sf):
-    """insight cards (three per crisis)."""
+    """insight cards (four per crisis)."""
     return A.insight_cards(gold(spark, sf), donors(spark, sf))
 
 
@@ -758,14 +764,14 @@ def _a14(spark, sf):
 
 
 # --- EDA ------------------------------------------------------------------------------
-EDA_COLS = ["Country_ISO3", "Cluster", "In_Need", "Population", "Severity_Index", "Planning_Gap", "Importance_Score", "Lighthouse_Priority"]
+EDA_COLS = ["Country_ISO3", "Cluster", "In_Need", "Population", "Severity_Index", "Planning_Gap", "Importance_Score", "priority_score"]
 EDA_SQL = """,
 hno AS (SELECT iso3 AS Country_ISO3, sector AS Cluster, CAST(people_in_need AS DOUBLE) AS In_Need,
                CAST(people_targeted AS DOUBLE) AS Targeted, CAST(population AS DOUBLE) AS Population FROM needs),
 m0 AS (SELECT *, CAST(ROUND(CAST(In_Need / CASE WHEN Population > 0 THEN Population ELSE 1.0 END AS DECIMAL(38,12)), 4) AS DOUBLE) AS Severity_Index,
               CAST(ROUND(CAST(1.0 - (CASE WHEN Targeted > 0 THEN Targeted ELSE 0.0 END) / NULLIF(In_Need, 0) AS DECIMAL(38,12)), 4) AS DOUBLE) AS Planning_Gap,
               CAST(ROUND(CAST(LOG10(In_Need + 1) AS DECIMAL(38,12)), 2) AS DOUBLE) AS Importance_Score FROM hno WHERE In_Need IS NOT NULL),
-m AS (SELECT *, CAST(ROUND(CAST(Severity_Index * Planning_Gap * Importance_Score AS DECIMAL(38,12)), 4) AS DOUBLE) AS Lighthouse_Priority FROM m0)"""
+m AS (SELECT *, CAST(ROUND(CAST(Severity_Index * Planning_Gap * Importance_Score AS DECIMAL(38,12)), 4) AS DOUBLE) AS priority_score FROM m0)"""
 
 
 def _eda(spark, sf):
@@ -779,9 +785,9 @@ def _f18(spark, sf):
     return _eda(spark, sf)
 
 
-@register("f19_decision_metrics_v2", EDA_COLS + ["LPS_v2", "is_forgotten", "population_missing"], EDA_SQL + """
-SELECT *, CAST(ROUND(CAST(Lighthouse_Priority * (CASE WHEN Severity_Index > 0.5 THEN 2.0 ELSE 1.0 END)
-                * (CASE WHEN Cluster IN ('Water Sanitation Hygiene', 'Health', 'Shelter/NFI', 'WASH', 'HEA', 'SHL') THEN 1.5 ELSE 1.0 END) AS DECIMAL(38,12)), 4) AS DOUBLE) AS LPS_v2,
+@register("f19_decision_metrics_v2", EDA_COLS + ["priority_score_v2", "is_forgotten", "population_missing"], EDA_SQL + """
+SELECT *, CAST(ROUND(CAST(priority_score * (CASE WHEN Severity_Index > 0.5 THEN 2.0 ELSE 1.0 END)
+                * (CASE WHEN Cluster IN ('Water Sanitation Hygiene', 'Health', 'Shelter/NFI', 'WASH', 'HEA', 'SHL') THEN 1.5 ELSE 1.0 END) AS DECIMAL(38,12)), 4) AS DOUBLE) AS priority_score_v2,
        Planning_Gap > 0.8 AND Importance_Score < 3 AS is_forgotten, Population IS NULL OR Population = 0 AS population_missing FROM m""")
 def _f19(spark, sf):
     """EDA v2 priority with bonus, urgency and flags."""
@@ -1061,6 +1067,22 @@ def _t2(spark, sf):
     return A.rankings(gold(spark, sf), limit=500)
 
 
+@register("t2_export_all", EXPORT_COLS, f"""
+SELECT {', '.join(EXPORT_COLS)} FROM gold WHERE is_in_scope""")
+def _t2all(spark, sf):
+    """The whole export, no row limit."""
+    return A.rankings(gold(spark, sf), limit=None)
+
+
+@register("t4_worst_three_sectors", ["iso3", "year", "sector", "cov", "reqs", "position"], """
+SELECT * FROM (SELECT iso3, year, sector, coverage_ratio AS cov, requirements_usd AS reqs,
+  CAST(ROW_NUMBER() OVER (PARTITION BY iso3, year ORDER BY coverage_ratio, sector) AS INTEGER) AS position FROM gold) t
+WHERE position <= 3""")
+def _t4three(spark, sf):
+    """T4: worst 3 sectors per country-year (the cut acts: groups have 5)."""
+    return A.worst_sectors(gold(spark, sf), k=3)
+
+
 @register("p25_trend_chart_units", ["year", "requirements_musd", "funding_musd", "coverage_pct"], """
 SELECT year, r / 1e6 AS requirements_musd, f / 1e6 AS funding_musd, avg_cov * 100 AS coverage_pct FROM (
   SELECT year, CAST(SUM(CAST(requirements_usd AS DECIMAL(38,3))) AS DOUBLE) AS r, CAST(SUM(CAST(funding_usd AS DECIMAL(38,3))) AS DOUBLE) AS f,

@@ -1,9 +1,10 @@
 """CSV sources (S1, S2, S3, S14, S15) and header handling.
 
-S1: every column is read as a string with the header's names plus one
-trailing ``_extra`` column. A row with more fields than the header fills
-``_extra`` and is dropped (the reference skips such lines); a short row is
-kept, padded with nulls. The BOM of the first header cell is stripped.
+S1: every column is read as a string with the header's names. A row with more
+cells than the header is dropped, also when the surplus cells are empty; a
+short row is kept, padded with nulls. The reader keeps the raw line of every
+row whose number of cells differs, and a marker appended to that line tells
+which of the two it is. The BOM of the first header cell is stripped.
 Only the header line goes through the driver; the data is read by the CSV
 data source in parallel.
 """
@@ -21,7 +22,8 @@ from pyspark.sql import types as T
 
 from lacuna.functions.cleaning import camel_to_snake, hxl_row, tolerant_double, year_from_date_text
 
-EXTRA = "_extra"
+RAW = "_raw_line"
+_END = "\u0001end\u0001"
 
 
 def read_header(spark: SparkSession, path: str) -> list[str]:
@@ -45,16 +47,31 @@ def read_csv_strings(spark: SparkSession, path: str, skip_second_header: bool =
         else:
             seen[k] = 0
         cols.append(k)
-    schema = T.StructType([T.StructField(c, T.StringType(), True) for c in cols] + [T.StructField(EXTRA, T.StringType(), True)])
+    schema = T.StructType([T.StructField(c, T.StringType(), True) for c in cols] + [T.StructField(RAW, T.StringType(), True)])
     df = (
         spark.read.schema(schema)
         .option("header", True)
         .option("mode", "PERMISSIVE")
         .option("enforceSchema", True)
         .option("encoding", "UTF-8")
+        .option("columnNameOfCorruptRecord", RAW)
+        .option("columnPruning", False)  # all cells are counted whatever is selected
         .csv(path)
     )
-    df = df.where(F.col(EXTRA).isNull()).drop(EXTRA)
+    return _fitting_rows(df, cols, skip_second_header)
+
+
+def read_csv_rows(lines: DataFrame, cols: list[str], skip_second_header: bool = False) -> DataFrame:
+    """S1 (+ S2) for header-less CSV lines (column ``value``) with known column names."""
+    schema = ", ".join(f"`{c}` string" for c in [*cols, RAW])
+    cells = F.from_csv("value", F.lit(schema), {"columnNameOfCorruptRecord": RAW, "mode": "PERMISSIVE"})
+    return _fitting_rows(lines.select(cells.alias("_cells")).select("_cells.*"), cols, skip_second_header)
+
+
+def _fitting_rows(df: DataFrame, cols: list[str], skip_second_header: bool) -> DataFrame:
+    marked = F.from_csv(F.concat(F.col(RAW), F.lit(f",{_END}")), F.lit(", ".join(f"`{i}` string" for i in range(len(cols)))))
+    short = F.exists(F.array(*[marked[str(i)] for i in range(len(cols))]), lambda c: F.coalesce(c == _END, F.lit(False)))
+    df = df.where(F.col(RAW).isNull() | short).drop(RAW)
     if skip_second_header and cols:
         df = df.where(~hxl_row(cols[0]))
     return df

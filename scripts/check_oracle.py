@@ -14,7 +14,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 import duckdb  # noqa: E402
 
-from lacuna.plans.registry import QUERIES  # noqa: E402
+from lacuna.plans.registry_more import QUERIES  # noqa: E402
 from lacuna.session import local_session  # noqa: E402
 from lacuna.sources.testdata import TABLES  # noqa: E402
 

@@ -10,7 +10,7 @@ import sys
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from lacuna.plans.registry import QUERIES  # noqa: E402
+from lacuna.plans.registry_more import QUERIES  # noqa: E402
 from lacuna.session import local_session  # noqa: E402
 from lacuna.sources import testdata as TD  # noqa: E402
 

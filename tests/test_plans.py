@@ -4,7 +4,7 @@ import os
 
 import pytest
 
-from lacuna.plans.registry import QUERIES
+from lacuna.plans.registry_more import QUERIES
 from lacuna.sources import testdata as TD
 
 from conftest import SF_SMALL

@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from lacuna.plans.registry import QUERIES
+from lacuna.plans.registry_more import QUERIES
 from lacuna.sources.testdata import TABLES
 
 from conftest import SF_SMALL
