@@ -1,11 +1,14 @@
 """Token ids of whole texts with a public tokenizer file (a parameter, never copied here).
 
-White space always separates the pieces that the word tokenizer merges, so a
-text's ids are the ids of its white-space separated words in a row. Each
-worker keeps the ids of words it has met, encodes the others in one batch call
-of the library, and forgets all when the memory reaches ``MOST_WORDS``. Texts
-with separator control characters, which Python and the tokenizer split
-differently, go to the library whole.
+The tokenizer lower-cases a text and cuts it into contractions, letter runs,
+single digits and runs of other signs before it merges, so a text's ids are
+those of its pieces in a row. Texts of ASCII, Latin letters and common
+punctuation are cut here; of other texts the white-space separated words, each
+cut here or, with other characters, left whole. Each worker keeps the ids of
+the pieces it has met, encodes new ones in one batch call of the library, and
+forgets them when their number reaches ``MOST_PIECES``. Texts with separator
+control characters, which Python and the tokenizer split differently, go to
+the library as they are.
 """
 
 from __future__ import annotations
@@ -16,8 +19,14 @@ import re
 
 import numpy as np
 
-MOST_WORDS = 1_000_000
+MOST_PIECES = 1_000_000
 _ODD = re.compile("[\x1c-\x1f]")
+# texts and words of these characters only have the same pieces here and in the tokenizer's own rules
+_PLAIN_TEXT = re.compile("[ \t\n\r!-~À-ÖØ-öø-įı-ſ‐-‧‰-⁞]*")
+_PLAIN = re.compile("[!-~À-ÖØ-öø-įı-ſ‐-‧‰-⁞]+")
+_SPECIAL = "<|"
+# FIXED VALUES: the tokenizer's pieces, for plain texts in lower case
+_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ſ]+|[0-9]|[!-/:-@\[-`{-~‐-‧‰-⁞]+")
 _STATE: dict = {}
 
 
@@ -28,7 +37,7 @@ def default_tokenizer() -> str:
 
 
 class WordEncoder:
-    """Encodes texts to little-endian unsigned 32-bit ids, word by word with a bounded memory."""
+    """Encodes texts to little-endian unsigned 32-bit ids, piece by piece with a bounded memory."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
@@ -40,17 +49,33 @@ class WordEncoder:
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [array.array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    @staticmethod
+    def _units(text: str) -> list[str]:
+        """Strings whose ids in a row are the ids of the text."""
+        if _PLAIN_TEXT.fullmatch(text) and _SPECIAL not in text:
+            return _PIECES.findall(text.lower())
+        if _ODD.search(text):
+            return [text]
+        out: list[str] = []
+        for word in text.split():
+            if _PLAIN.fullmatch(word) and _SPECIAL not in word:
+                out += _PIECES.findall(word.lower())
+            else:
+                out.append(word)
+        return out
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as bytes."""
-        if len(self.known) > MOST_WORDS:
+        if len(self.known) > MOST_PIECES:
             self.known.clear()
-        split = [None if _ODD.search(t) else t.split() for t in texts]
         known = self.known
-        new = list({w for words in split if words for w in words if w not in known})
+        units = [self._units(t) for t in texts]
+        new = list(set().union(*units).difference(known))
         for lo in range(0, len(new), 50_000):
             part = new[lo : lo + 50_000]
             known.update(zip(part, self._encode(part)))
-        return [b"".join([known[w] for w in words]) if words is not None else self._encode([t])[0] for t, words in zip(texts, split)]
+        ids = known.__getitem__
+        return [b"".join(map(ids, own)) for own in units]
 
 
 def encoder(path: str) -> WordEncoder:
