@@ -4,7 +4,7 @@ import os
 
 import pytest
 
-from conftest import SF_SMALL
+SF_SMALL = "/root/testdata/sf0.01"
 
 from lacuna.plans.registry_more import QUERIES
 
