@@ -120,7 +120,7 @@ def _j15(spark, sf):
     return s.needs.join(kept, ["iso3", "year", "sector"], "left_anti")
 
 
-TIGHT_REQ, TIGHT_PIN = 30_000_000.0, 2_000_000.0
+TIGHT_REQ, TIGHT_PIN = 5_000_000.0, 40_000.0
 _TIGHT = O.GOLD.replace("requirements_usd >= 100000 OR people_in_need >= 1000", f"requirements_usd >= {TIGHT_REQ} OR people_in_need >= {TIGHT_PIN}")
 
 
