@@ -11,11 +11,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from lacuna.session import ship_package
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _U64 = np.uint64
@@ -139,3 +141,27 @@ def unused(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name = "_" + name
     return name
+
+
+def by_id(df: DataFrame, parts: int) -> DataFrame:
+    """Adds ``part`` and ``tie`` to rows of ``doc_id`` and ``text``: parts follow each other in order of (doc_id, tie).
+
+    Null ids come first. ``tie`` is a number in [0, 1) from a hash of the text.
+    Ids are cut at approximate quantiles, found from the ids alone; an id that
+    holds several quantiles (a third of the rows, say) is cut by ties.
+    """
+    seen = df.agg(F.count(F.lit(1)).alias("n"), F.count("doc_id").alias("ids"), F.min("doc_id").alias("least")).first()
+    least = float(seen["least"] or 0)
+    nulls = round(parts * (seen["n"] - seen["ids"]) / seen["n"]) if seen["n"] else 0
+    marks = [i / parts for i in range(1, parts)]
+    found = df.select("doc_id").na.drop().approxQuantile("doc_id", marks, 0.1 / parts) if seen["ids"] and marks else []
+    cuts = {least - 2 + i / nulls for i in range(1, nulls)}
+    for value in set(found):
+        times = found.count(value)
+        cuts |= {value + i / times for i in range(times)}
+    infinity = float("inf")
+    tie = F.shiftrightunsigned(F.xxhash64(F.coalesce("text", F.lit(""))), 11) / float(1 << 53)
+    keyed = df.withColumn("tie", tie).withColumn("_key", F.coalesce(F.col("doc_id").cast("double"), F.lit(least - 2)) + F.col("tie"))
+    splits = [-infinity, *sorted(cuts), infinity] if cuts else [-infinity, 0.0, infinity]
+    placed = Bucketizer(splits=splits, inputCol="_key", outputCol="_part").transform(keyed)
+    return placed.withColumn("part", F.col("_part").cast("int")).drop("_key", "_part")

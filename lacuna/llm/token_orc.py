@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lacuna.llm.textops import map_arrow
+from lacuna.llm.textops import by_id, map_arrow
 from lacuna.llm.tokens import default_tokenizer, encode_slices
 from lacuna.session import scratch_table_path
 
@@ -37,14 +37,12 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
     tok = tokenizer or default_tokenizer()
 
     def run(batches):
-        from pyspark import TaskContext
-
-        part, seq = TaskContext.get().partitionId(), 0
+        seq = 0
         for batch in batches:
-            doc_ids = batch.column(0).to_pylist()
+            parts_of, doc_ids = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             held: list[tuple] = []
-            for i, ids in encode_slices(batch.column(1).to_pylist(), tok, end_id):
-                held.append((part, seq, doc_ids[i], len(ids), ids.view("<i4")))
+            for i, ids in encode_slices(batch.column(2).to_pylist(), tok, end_id):
+                held.append((parts_of[i], seq, doc_ids[i], len(ids), ids.view("<i4")))
                 seq += 1
                 if len(held) == _ROWS_OUT:
                     yield _batch(held)
@@ -53,8 +51,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
                 yield _batch(held)
 
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    src = src.withColumn("tie", F.xxhash64(F.coalesce("text", F.lit(""))))
-    ordered = src.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").select("doc_id", "text")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = by_id(src, parts).repartitionById(parts, "part").sortWithinPartitions("part", "doc_id", "tie", "text").select("part", "doc_id", "text")
     (
         map_arrow(ordered, run, "part int, seq long, doc_id long, n_tokens long, ids array<int>")
         .write.option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", str(FALSE_HITS))

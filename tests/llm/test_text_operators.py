@@ -40,6 +40,20 @@ def test_word_hashes_in_pieces(monkeypatch):
     assert len(shingle_hashes(whole[2][:3], 5)) == 0
 
 
+def test_parts_follow_the_ids(spark):
+    """Ids, nulls and one id with a third of the rows: parts are in order, and the hot id is cut."""
+    from lacuna.llm.textops import by_id
+
+    rows = [(i * 7, f"t{i}") for i in range(300)] + [(1000, f"hot {i}") for i in range(200)] + [(None, f"none {i}") for i in range(100)]
+    got = by_id(spark.createDataFrame(rows, TEXT).repartition(3), 12).collect()
+    got.sort(key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.tie))
+    parts = [r.part for r in got]
+    assert parts == sorted(parts) and len(set(parts)) >= 10
+    assert max(parts.count(p) for p in set(parts)) < 150
+    assert len({r.part for r in got if r.doc_id == 1000}) > 1 and len({r.part for r in got if r.doc_id is None}) > 1
+    assert by_id(spark.createDataFrame([], TEXT), 4).count() == 0
+
+
 # ------------------------------------------------------------------ PII
 def test_pii_base_spans_equal_plain_patterns():
     rnd = random.Random(3)
