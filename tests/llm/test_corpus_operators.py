@@ -81,11 +81,12 @@ def test_count_tree_equals_scan():
     rnd = np.random.default_rng(1)
     n = rnd.integers(20, 200, 500)
     points = np.array([np.bincount(rnd.integers(0, jj.GROUPS, k), minlength=jj.GROUPS) for k in n])
-    tree = jj.CountTree(n, points)
+    rest = np.maximum(1, n - rnd.integers(0, 40, 500))
+    tree = jj.CountTree(n, points, rest)
     for q in range(0, 500, 17):
         overlap = np.minimum(points, points[q]).sum(axis=1)
-        ok = jj.may_link(overlap, n + n[q]) & (n * jj.NEED <= n[q] * jj.OF) & (n * jj.OF >= n[q] * jj.NEED)
-        assert set(tree.query(int(n[q]), points[q]).tolist()) == set(np.flatnonzero(ok).tolist())
+        ok = jj.may_link(np.minimum(overlap, np.minimum(rest, rest[q])), n + n[q]) & (n * jj.NEED <= n[q] * jj.OF) & (n * jj.OF >= n[q] * jj.NEED)
+        assert set(tree.query(int(n[q]), points[q], int(rest[q])).tolist()) == set(np.flatnonzero(ok).tolist())
 
 
 def test_components_of_chains(spark):
@@ -240,7 +241,12 @@ def _library_ids(texts, end):
 
 def test_word_encoder_equals_the_library(spark, monkeypatch):
     texts = [t or "" for t in ODD] + [r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
-    monkeypatch.setattr("lacuna.llm.tokens.MOST_WORDS", 500)  # forgetting does not change ids
+    rnd = random.Random(12)
+    signs = ["a", "B", "é", "É", "ß", "ſ", "İ", "ı", "ŉ", "'s", "'", "'LL", "1", "²", "½", "ª", "×", "<|", "endoftext", "|>", "!!", "_", "\u0301", "ǅ", "…", "日", " ", "\n", "\x85", "\u200b", "Σ", "ς", "🙂"]
+    texts += ["".join(rnd.choice(signs) for _ in range(rnd.randint(1, 14))) for _ in range(4000)]
+    texts += [chr(c) + "a" + chr(c) for c in range(0x20, 0x250)]
+    texts += [chr(c) + "a" + chr(c) + " b" for c in range(0x2000, 0x2070)]
+    monkeypatch.setattr("lacuna.llm.tokens.MOST_PIECES", 300)  # forgetting does not change ids
     enc = WordEncoder(default_tokenizer())
     got = [ids for i in range(0, len(texts), 9) for ids in enc.encode(texts[i : i + 9])]
     assert got == [a[:-1].tobytes() for a in _library_ids(texts, 0)]
