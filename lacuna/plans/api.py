@@ -215,19 +215,19 @@ def narratives(gold: DataFrame) -> DataFrame:
     cpp = F.when(F.col("people_in_need") > 0, F.round(F.col("requirements_usd") / F.col("people_in_need"), 0))
     lines = F.array_compact(
         F.array(
-            F.format_string("For every dollar needed to save lives in %s, only %s cents has arrived.", F.col("country"), cents.cast("string")),
-            F.format_string("An estimated %s people are in need of humanitarian assistance in %s.", _fmt_int(F.col("people_in_need")), F.col("country")),
-            F.when(gap > 0, F.format_string("A funding gap of $%s USD remains unfilled in %s's current appeal.", _fmt_int(F.round(gap, 0)), F.col("country"))),
+            F.format_string(C.NARRATIVE_CENTS, F.col("country"), cents.cast("string")),
+            F.format_string(C.NARRATIVE_PEOPLE, _fmt_int(F.col("people_in_need")), F.col("country")),
+            F.when(gap > 0, F.format_string(C.NARRATIVE_GAP, _fmt_int(F.round(gap, 0)), F.col("country"))),
             F.when(cpp > 0, F.format_string(
-                "Based on historical cost data, filling the gap could reach an additional %s people.",
+                C.NARRATIVE_REACH,
                 _fmt_int(F.floor(gap / cpp)),
             )),
             F.when(F.col("inform_severity") >= 4.5, F.format_string(
-                "%s has a maximum INFORM severity rating of %s/10, placing it among the world's most severe humanitarian emergencies.",
+                C.NARRATIVE_SEVERITY,
                 F.col("country"), F.format_number(F.col("inform_severity"), 1),
             )),
             F.when(F.col("mismatch_score") > 1.0, F.format_string(
-                "With a MismatchScore of %s, %s is classified as structurally neglected.",
+                C.NARRATIVE_NEGLECT,
                 F.format_number(F.col("mismatch_score"), 2), F.col("country"),
             )),
         )
@@ -253,21 +253,21 @@ def insight_cards(gold: DataFrame, donors: DataFrame) -> DataFrame:
     base = gold.join(d, "crisis_id", "left")
     funding = base.select(
         "crisis_id", F.lit("FUNDING_GAP").alias("card_type"),
-        F.concat(F.col("country"), F.lit(" — Funding Gap")).alias("title"),
+        F.concat(F.col("country"), F.lit(C.CARD_FUNDING_GAP)).alias("title"),
         F.format_string("Only %s%% funded", F.round(F.col("coverage_ratio") * 100, 1).cast("string")).alias("headline"),
         F.format_string("$%s USD gap remains", _fmt_int(F.round(gap, 0))).alias("subtext"),
         gap.alias("card_value"),
     )
     rank = base.select(
         "crisis_id", F.lit("MISMATCH_RANK").alias("card_type"),
-        F.concat(F.col("country"), F.lit(" — Most Overlooked Crisis")).alias("title"),
+        F.concat(F.col("country"), F.lit(C.CARD_MISMATCH_RANK)).alias("title"),
         F.format_string("Ranked #%s globally", F.col("global_rank").cast("string")).alias("headline"),
         F.format_string("MismatchScore: %s", F.format_number(F.col("mismatch_score"), 3)).alias("subtext"),
         F.col("mismatch_score").alias("card_value"),
     )
     risk = base.select(
         "crisis_id", F.lit("DONOR_RISK").alias("card_type"),
-        F.concat(F.col("country"), F.lit(" — Donor Dependency Risk")).alias("title"),
+        F.concat(F.col("country"), F.lit(C.CARD_DONOR_RISK)).alias("title"),
         F.when(F.coalesce("hhi_index", F.lit(0.0)) > C.HHI_HIGH, F.lit("HIGH")).otherwise(F.lit("MEDIUM")).alias("headline"),
         F.coalesce("top_donor_name", F.lit("Unknown")).alias("subtext"),
         F.coalesce("hhi_index", F.lit(0.0)).alias("card_value"),
@@ -277,7 +277,7 @@ def insight_cards(gold: DataFrame, donors: DataFrame) -> DataFrame:
     )
     sectors = gold.join(listed, ["iso3", "year"]).select(
         "crisis_id", F.lit("SECTOR_BREAKDOWN").alias("card_type"),
-        F.concat(F.col("country"), F.lit(" — Sector Funding Coverage")).alias("title"),
+        F.concat(F.col("country"), F.lit(C.CARD_SECTOR_BREAKDOWN)).alias("title"),
         F.format_string("%s sectors", F.size("_worst").cast("string")).alias("headline"),
         F.array_join(F.transform("_worst", lambda s: F.concat(s["sector"], F.lit(" "), F.round(s["cov"] * 100, 1).cast("string"), F.lit("%"))), ", ").alias("subtext"),
         F.col("_worst")[0]["cov"].alias("card_value"),

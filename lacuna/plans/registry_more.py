@@ -80,6 +80,24 @@ def _w8c(spark, sf):
     return global_cumsum(orders, [F.col("o_totalprice"), F.col("o_orderkey")], {"running_cents": "cents"})
 
 
+# --- J11 over a table that grows ----------------------------------------------------
+@register("j11_related_customers", ["crisis_id", "related_id", "position"], """,
+cust AS (SELECT CAST(c_custkey AS VARCHAR) AS id, c_mktsegment AS seg, c_nationkey % 3 AS kind,
+                CAST((c_acctbal + 1000) / 11000 AS DECIMAL(38,12)) AS cov, (c_custkey * 7919 % 1000) / CAST(1000.0 AS DOUBLE) AS score FROM customer)
+SELECT crisis_id, related_id, CAST(position AS INTEGER) AS position FROM (
+  SELECT a.id AS crisis_id, b.id AS related_id, ROW_NUMBER() OVER (PARTITION BY a.id ORDER BY b.score DESC, b.id) AS position
+  FROM cust a JOIN cust b ON a.seg = b.seg AND a.kind = b.kind AND a.id <> b.id AND ABS(a.cov - b.cov) < 0.15) t WHERE position <= 5""")
+def _j11c(spark, sf):
+    """Similar customers (same segment and nation kind, near balance), top 5 by a score; 15 hot groups over a growing table."""
+    from lacuna.operators.related import related_crises
+
+    index = TD.read_table(spark, sf, "customer").select(
+        F.col("c_custkey").cast("string").alias("crisis_id"), F.col("c_mktsegment").alias("region"), (F.col("c_nationkey") % 3).cast("string").alias("crisis_type"),
+        ((F.col("c_acctbal") + 1000) / 11000).alias("coverage_ratio"), ((F.col("c_custkey") * 7919 % 1000) / 1000.0).alias("mismatch_score"), F.lit(True).alias("is_in_scope"),
+    )
+    return related_crises(index)
+
+
 # --- names that resolve -------------------------------------------------------------
 @register("p12_pooled_fund_known", ["pooled_fund_name", "country_name", "country"], f""",
 funds(name, iso3, ordinal) AS (VALUES {_values(list(C.POOLED_FUND_ISO3.items()) if isinstance(C.POOLED_FUND_ISO3, dict) else C.POOLED_FUND_ISO3)})
