@@ -22,15 +22,15 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lacuna.llm.textops import map_arrow
+from lacuna.llm.textops import by_id, map_arrow
 
 LEAST, NORMAL, LARGEST = 12, 32, 192
 STRICT_BITS, LOOSE_BITS = 6, 4
 SEED = 71
+NO_ID = -(2**63)
 _WINDOW = 32
 _PIECE = 1 << 20
 _GEAR = np.random.default_rng(SEED).integers(0, 1 << 32, 256, dtype=np.uint32)
@@ -159,37 +159,31 @@ def fingerprints(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     """Fingerprints of every document and of its edited text (see SCHEMA).
 
     The edited text has its last third replaced by the beginning of the next
-    document in descending doc_id (ties by a hash of the text, then the text;
-    null ids last; the last document's next is the first). Ids are cut at
+    document in descending doc_id (ties by a hash of the text; null ids last;
+    the last document's next is the first). Ids are cut at
     approximate quantiles into buckets, one shuffle brings each bucket
     together in order, and the first document of the following bucket is sent
     along as a guest, so a bucket needs no other and no global window exists.
     """
     spark = docs.sparkSession
-    n = buckets or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    marks = [i / n for i in range(1, n)]
-    cuts = sorted(set(src.select("doc_id").na.drop().approxQuantile("doc_id", marks, 0.1 / n))) if marks else []
-    inf = float("inf")
-    keyed = src.withColumn("id_f", F.coalesce(F.col("doc_id").cast("double"), F.lit(-inf)))
-    parted = Bucketizer(splits=[-inf, *cuts, inf] if cuts else [-inf, 0.0, inf], inputCol="id_f", outputCol="b").transform(keyed).select(
-        (-F.col("b")).cast("int").alias("b"), F.lit(0).alias("guest"), "doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("tie"), "text"
-    )
+    parted = by_id(src, n).select((-F.col("part")).alias("b"), F.lit(0).alias("guest"), "doc_id", "tie", "text")
     # the first document of each bucket: ids first, then the texts of those few documents
-    order = F.struct(F.coalesce(F.col("doc_id"), F.lit(-(2**63))).alias("d"), (-F.col("tie").cast("decimal(20,0)")).alias("t"))
+    order = F.struct(F.coalesce(F.col("doc_id"), F.lit(NO_ID)).alias("d"), F.col("tie").alias("t"))
     firsts = parted.groupBy("b").agg(F.max(order).alias("o")).collect()  # one row per bucket
     if not firsts:
         return map_arrow(parted.select("b", "guest", "doc_id", "text"), _stream, SCHEMA)
     ordered = sorted(firsts, key=lambda r: r["b"])
-    heads = [(r["b"], None if r["o"]["d"] == -(2**63) else r["o"]["d"], int(-r["o"]["t"]), ordered[i - 1]["b"]) for i, r in enumerate(ordered)]
-    wanted = F.broadcast(spark.createDataFrame(heads, "hb int, hd long, ht long, target int"))  # one row per bucket
+    heads = [(r["b"], None if r["o"]["d"] == NO_ID else r["o"]["d"], r["o"]["t"], ordered[i - 1]["b"]) for i, r in enumerate(ordered)]
+    wanted = F.broadcast(spark.createDataFrame(heads, "hb int, hd long, ht double, target int"))  # one row per bucket
     guests = (
         parted.join(wanted, (F.col("b") == F.col("hb")) & F.col("doc_id").eqNullSafe(F.col("hd")) & (F.col("tie") == F.col("ht")))
         .dropDuplicates(["hb"]).select(F.col("target").alias("b"), F.lit(1).alias("guest"), "doc_id", "tie", "text")
     )
     dealt = (
-        parted.unionByName(guests).repartition(n, "b")
-        .sortWithinPartitions("b", "guest", F.col("doc_id").desc_nulls_last(), "tie")
+        parted.unionByName(guests).repartitionById(n, -F.col("b"))
+        .sortWithinPartitions("b", "guest", F.col("doc_id").desc_nulls_last(), F.col("tie").desc())
         .select("b", "guest", "doc_id", "text")
     )
     return map_arrow(dealt, _stream, SCHEMA)
