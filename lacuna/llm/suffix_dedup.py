@@ -15,11 +15,13 @@ which keeps them on disk, and merge them by key range, in three rounds.
    documents are from then on represented by their smallest one.
 3. Anchors with different runs (where two texts begin or end to agree) are
    resolved window by window, from the representatives alone, which induces
-   the exact borders of every repeat.
+   the exact borders of every repeat. A window holds its anchor with at least
+   half of the rest on one side, so only runs that have that side in common
+   with another one take part, with the windows on that side.
 
 Every shard keeps its texts in one compressed bucket of a table, so a round
 moves tuples and never texts, and a string in millions of documents sends one
-tuple per shard. Strings are compared by hashes of 95 bits.
+tuple per shard. Strings are compared by hashes of 94 bits.
 
 Null text counts as empty. Rows of one doc_id do not repeat each other; a null
 doc_id is larger than any other. Very long texts are scanned in pieces.
@@ -38,12 +40,14 @@ from lacuna.llm.textops import map_arrow, mix, powers
 from lacuna.session import materialize, ship_package
 
 LENGTH, GRAM = 50, 16
-SHARD_BYTES = 24 << 20
-PIECE = 1 << 20
+SHARD_BYTES = 4 << 20
+PIECE = 1 << 17
+HELD_BYTES = 32 << 20  # texts that a task holds while it deals them to shards
 NO_ID = np.iinfo(np.int64).max
 
 _U64 = np.uint64
 _NAME_BITS = 47
+_HALF = -(-(LENGTH - GRAM) // 2)
 _BASE2 = _U64(0xD1342543DE82EF95)
 _STATE: dict = {}
 
@@ -72,7 +76,7 @@ def _blocks(shards: int):
             for shard, doc_id, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 held.setdefault(shard, []).append((NO_ID if doc_id is None else doc_id, doc_id is None, text))
                 size += len(text)
-                if size > 2 * SHARD_BYTES:
+                if size > HELD_BYTES:
                     yield flush(held)
                     held, size = {}, 0
         if held:
@@ -174,7 +178,7 @@ class _Piece:
         self._sums: tuple | None = None
 
     def spans(self, a: np.ndarray, b: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Two hashes (64 and 31 bits) of the bytes [a, b) and the place of their anchor."""
+        """Two hashes (64 and 30 bits) of the bytes [a, b) and the place of their anchor."""
         if self._sums is None:
             x = self.bytes.astype(_U64) + _U64(1)
             sums = []
@@ -187,16 +191,32 @@ class _Piece:
         salt = ((b - a) * 128 + place).astype(_U64)
         h1 = mix((self._sums[0][b] - self._sums[0][a]) * powers(n)[1][a] + salt)
         h2 = mix((self._sums[1][b] - self._sums[1][a]) * _powers2(n)[1][a] + salt * _U64(3))
-        return h1, (h2 >> _U64(33)).astype(np.uint32)
+        return h1, (h2 >> _U64(34)).astype(np.uint32)
+
+    def sides(self, picked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the anchor with _HALF bytes on its left and on its right, where a window of the run holds them, else 0."""
+        anchor = self.anchor[picked]
+        out = []
+        for a, b, there in (
+            (anchor - _HALF, anchor + GRAM, self.lo[picked] <= anchor - _HALF),
+            (anchor, anchor + GRAM + _HALF, self.hi[picked] + LENGTH >= anchor + GRAM + _HALF),
+        ):
+            h = np.zeros(len(picked), np.uint32)
+            h[there] = self.spans(a[there], b[there], np.zeros(int(there.sum()), np.int64))[0].astype(np.uint32) | np.uint32(1)
+            out.append(h)
+        return out[0], out[1]
 
     def runs(self, picked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return self.spans(self.lo[picked], self.hi[picked] + LENGTH, self.anchor[picked] - self.lo[picked])
 
-    def windows(self, picked: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(run number, window start) of every window of the picked runs, with hashes."""
+    def windows(self, picked: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(run number, window start) of the windows of the picked runs on the given sides, with hashes."""
         count = self.hi[picked] - self.lo[picked] + 1
         run = np.repeat(picked, count)
         start = np.arange(len(run)) - np.repeat(np.cumsum(count) - count, count) + self.lo[run]
+        before = self.anchor[run] - start
+        kept = np.repeat(left, count) & (before >= _HALF) | np.repeat(right, count) & (LENGTH - GRAM - before >= _HALF)
+        run, start = run[kept], start[kept]
         h1, h2 = self.spans(start, start + LENGTH, np.zeros(len(run), np.int64))
         return np.stack([run, start]), h1, h2
 
@@ -213,8 +233,8 @@ def _unpack48(blob: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def _least(keys: tuple[np.ndarray, ...], doc: np.ndarray) -> tuple[tuple[np.ndarray, ...], np.ndarray, np.ndarray]:
-    """Distinct keys in order, with the least document of each and whether there are several."""
+def _least(keys: tuple[np.ndarray, ...], doc: np.ndarray) -> tuple[tuple[np.ndarray, ...], np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys in order, with the least document of each, whether there are several, and the place of the first."""
     order = np.lexsort((doc, *keys[::-1]))
     keys, doc = tuple(k[order] for k in keys), doc[order]
     fresh = np.zeros(len(doc), bool)
@@ -223,7 +243,7 @@ def _least(keys: tuple[np.ndarray, ...], doc: np.ndarray) -> tuple[tuple[np.ndar
         fresh[1:] |= k[1:] != k[:-1]
     first = np.flatnonzero(fresh)
     last = np.append(first[1:], len(doc)) - 1 if len(first) else first
-    return tuple(k[first] for k in keys), doc[first], doc[last] != doc[first]
+    return tuple(k[first] for k in keys), doc[first], doc[last] != doc[first], order[first]
 
 
 def _send(shard: int, names: np.ndarray, top: int, buckets: int, columns: list[tuple[np.ndarray, str]]) -> pa.Table:
@@ -290,7 +310,7 @@ class _Lookup:
             return np.zeros(len(name), bool), tuple(np.zeros(len(name), v.dtype) for v in self.values)
         at = np.minimum(np.searchsorted(self.name, name), len(self.name) - 1)
         there = (self.name[at] == name) & (self.check[at] == check)
-        return there, tuple(np.where(there, v[at], 0) for v in self.values)
+        return there, tuple(np.where(there, v[at], v.dtype.type(0)) for v in self.values)
 
 
 # ------------------------------------------------------------------ rounds
@@ -301,11 +321,11 @@ def _anchors(buckets: int):
         shard = _Shard(table)
         names, docs = [np.zeros(0, _U64)], [np.zeros(0, np.int64)]
         for piece in shard.pieces():
-            (name,), least, several = _least((piece.name,), piece.doc)
+            (name,), least, several, _ = _least((piece.name,), piece.doc)
             # two entries stand for several documents within the piece
             names += [name, name[several]]
             docs += [least, np.full(int(several.sum()), NO_ID, np.int64)]
-        (name,), _, several = _least((np.concatenate(names),), np.concatenate(docs))
+        (name,), _, several, _ = _least((np.concatenate(names),), np.concatenate(docs))
         return _send(shard.number, name, _NAME_BITS, buckets, [(name << _U64(1) | several.astype(_U64), "48")])
 
     return run
@@ -326,6 +346,9 @@ def _shared_anchors(batches):
     yield _answer(shard[keep], 1, [(name[keep], "48")])
 
 
+_RUN_TUPLE = ("48", "<u8", "<u4", "<u4", "<u4", "<i8")
+
+
 def _runs(buckets: int):
     """Round 2, shards: the distinct runs at shared anchors with their least document."""
 
@@ -338,12 +361,14 @@ def _runs(buckets: int):
             picked = np.flatnonzero(_member(shared, piece.name))
             if len(picked):
                 h1, h2 = piece.runs(picked)
-                parts.append((piece.name[picked], h1, h2, piece.doc[picked]))
+                parts.append((piece.name[picked], h1, h2, *piece.sides(picked), piece.doc[picked]))
         if not parts:
-            return _send(shard.number, np.zeros(0, _U64), _NAME_BITS, buckets, [(np.zeros(0, _U64), "48"), (np.zeros(0, _U64), "<u8"), (np.zeros(0, np.uint32), "<u4"), (np.zeros(0, np.int64), "<i8")])
-        name, h1, h2, doc = (np.concatenate(x) for x in zip(*parts))
-        (name, h1, h2), least, several = _least((name, h1, h2), doc)
-        return _send(shard.number, name, _NAME_BITS, buckets, [(name, "48"), (h1, "<u8"), (h2 << np.uint32(1) | several.astype(np.uint32), "<u4"), (least, "<i8")])
+            none = np.zeros(0, _U64)
+            return _send(shard.number, none, _NAME_BITS, buckets, [(none, kind) for kind in _RUN_TUPLE])
+        name, h1, h2, left, right, doc = (np.concatenate(x) for x in zip(*parts))
+        (name, h1, h2), least, several, at = _least((name, h1, h2), doc)
+        coded = h2 << np.uint32(1) | several.astype(np.uint32)
+        return _send(shard.number, name, _NAME_BITS, buckets, list(zip((name, h1, coded, left[at], right[at], least), _RUN_TUPLE)))
 
     return run
 
@@ -355,34 +380,44 @@ def _member(sorted_values: np.ndarray, x: np.ndarray) -> np.ndarray:
     return sorted_values[at] == x
 
 
+def _common(name: np.ndarray, side: np.ndarray) -> np.ndarray:
+    """Which (name, side) occur more than once; side 0 stands for none."""
+    order = np.lexsort((side, name))
+    n, s = name[order], side[order]
+    same = np.zeros(len(n) + 1, bool)
+    same[1:-1] = (n[1:] == n[:-1]) & (s[1:] == s[:-1]) & (s[1:] != 0)
+    out = np.zeros(len(n), bool)
+    out[order] = same[:-1] | same[1:]
+    return out
+
+
 def _same_runs(batches):
-    """Round 2, key ranges: the smallest document of each run, and whether its anchor has other runs."""
-    got = _receive(batches, ["48", "<u8", "<u4", "<i8"])
+    """Round 2, key ranges: the smallest document of each run, and on which sides its anchor continues alike in other runs."""
+    got = _receive(batches, list(_RUN_TUPLE))
     if got is None:
         return
-    shard, name, h1, coded, doc = got
+    shard, name, h1, coded, left, right, doc = got
     h2, several = coded >> np.uint32(1), (coded & np.uint32(1)).astype(bool)
     order = np.lexsort((doc, h2, h1, name))
-    shard, name, h1, h2, several, doc = (x[order] for x in (shard, name, h1, h2, several, doc))
-    run_fresh = np.ones(len(name), bool)
-    run_fresh[1:] = (name[1:] != name[:-1]) | (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
-    name_fresh = np.ones(len(name), bool)
-    name_fresh[1:] = name[1:] != name[:-1]
-    run_of, name_of = np.cumsum(run_fresh) - 1, np.cumsum(name_fresh) - 1
-    smallest = doc[np.flatnonzero(run_fresh)][run_of]
-    kinds = np.bincount(name_of[run_fresh], minlength=name_of[-1] + 1)
-    mixed = kinds[name_of] > 1
-    keep = mixed | several | (smallest < doc)
-    yield _answer(shard[keep], 2, [(h1[keep], "<u8"), (h2[keep] << np.uint32(1) | mixed[keep].astype(np.uint32), "<u4"), (smallest[keep], "<i8")])
+    shard, name, h1, h2, several, left, right, doc = (x[order] for x in (shard, name, h1, h2, several, left, right, doc))
+    fresh = np.ones(len(name), bool)
+    fresh[1:] = (name[1:] != name[:-1]) | (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
+    first, run_of = np.flatnonzero(fresh), np.cumsum(fresh) - 1
+    smallest = doc[first][run_of]
+    left, right = (_common(name[first], x[first])[run_of] for x in (left, right))
+    keep = left | right | several | (smallest < doc)
+    flags = h2 << np.uint32(2) | right.astype(np.uint32) << np.uint32(1) | left.astype(np.uint32)
+    yield _answer(shard[keep], 2, [(h1[keep], "<u8"), (flags[keep], "<u4"), (smallest[keep], "<i8")])
 
 
 def _run_lookup(told: pa.Table) -> _Lookup:
-    h1, coded, smallest = _told(told, 2, ["<u8", "<u4", "<i8"])
-    return _Lookup(h1, coded >> np.uint32(1), (coded & np.uint32(1)).astype(bool), smallest)
+    """Runs -> (left, right, smallest document)."""
+    h1, flags, smallest = _told(told, 2, ["<u8", "<u4", "<i8"])
+    return _Lookup(h1, flags >> np.uint32(2), (flags & np.uint32(1)).astype(bool), (flags & np.uint32(2)).astype(bool), smallest)
 
 
 def _representatives(buckets: int):
-    """Round 3, shards: the windows of the smallest document's runs where an anchor has different runs."""
+    """Round 3, shards: the windows of the smallest document's runs on the sides that other runs share."""
 
     def run(texts: pa.Table, told: pa.Table) -> pa.Table:
         shard = _Shard(texts)
@@ -390,15 +425,15 @@ def _representatives(buckets: int):
         parts = []
         for piece in shard.pieces():
             all_runs = np.arange(len(piece.name))
-            there, (mixed, smallest) = lookup(*piece.runs(all_runs))
-            picked = np.flatnonzero(there & mixed & (smallest == piece.doc))
+            there, (left, right, smallest) = lookup(*piece.runs(all_runs))
+            picked = np.flatnonzero(there & (left | right) & (smallest == piece.doc))
             if len(picked):
-                (run_no, _), h1, h2 = piece.windows(picked)
+                (run_no, _), h1, h2 = piece.windows(picked, left[picked], right[picked])
                 parts.append((h1, h2, piece.doc[run_no]))
         if not parts:
             return _send(shard.number, np.zeros(0, _U64), 64, buckets, [(np.zeros(0, _U64), "<u8"), (np.zeros(0, np.uint32), "<u4"), (np.zeros(0, np.int64), "<i8")])
         h1, h2, doc = (np.concatenate(x) for x in zip(*parts))
-        (h1, h2), least, several = _least((h1, h2), doc)
+        (h1, h2), least, several, _ = _least((h1, h2), doc)
         return _send(shard.number, h1, 64, buckets, [(h1, "<u8"), (h2 << np.uint32(1) | several.astype(np.uint32), "<u4"), (least, "<i8")])
 
     return run
@@ -431,12 +466,12 @@ def _remove(texts: pa.Table, told: pa.Table) -> pa.Table:
     marks: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
     for piece in shard.pieces():
         all_runs = np.arange(len(piece.name))
-        there, (mixed, smallest) = runs(*piece.runs(all_runs))
+        there, (left, right, smallest) = runs(*piece.runs(all_runs))
         repeat = there & (smallest < piece.doc)
         part, lo, hi = [piece.part[repeat]], [piece.lo[repeat]], [piece.hi[repeat] + LENGTH]
-        picked = np.flatnonzero(there & mixed & (smallest == piece.doc))
+        picked = np.flatnonzero(there & (left | right) & (smallest == piece.doc))
         if len(picked):
-            (run_no, start), h1, h2 = piece.windows(picked)
+            (run_no, start), h1, h2 = piece.windows(picked, left[picked], right[picked])
             seen, (least,) = windows(h1, h2)
             seen &= least < piece.doc[run_no]
             part.append(piece.part[run_no[seen]])
@@ -486,10 +521,10 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         return texts.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(fn, schema)
 
     def answer(rows: DataFrame, fn, step: str) -> DataFrame:
-        return materialize(map_arrow(rows.repartition(parts, "bucket"), fn, _ANSWER), step)
+        return materialize(map_arrow(rows.repartitionById(parts, "bucket"), fn, _ANSWER), step)
 
     shared = answer(ask(_anchors(parts), None, 1), _shared_anchors, "repeat-anchors")
-    runs = answer(ask(_runs(parts), shared, 4), _same_runs, "repeat-runs")
+    runs = answer(ask(_runs(parts), shared, len(_RUN_TUPLE)), _same_runs, "repeat-runs")
     windows = answer(ask(_representatives(parts), runs, 3), _same_windows, "repeat-windows")
     told = runs.unionByName(windows)
     schema = "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary"
