@@ -172,7 +172,8 @@ class _Piece:
         self.lo = window[first]
         self.hi = window[np.append(first[1:], len(window)) - 1]
         self.anchor = anchor[first]
-        self.name = grams[self.anchor] >> _U64(64 - _NAME_BITS)
+        # least hashes are small ones: mixed again, names spread evenly over the key ranges
+        self.name = mix(grams[self.anchor] + _U64(0x632BE59BD9B4E019)) >> _U64(64 - _NAME_BITS)
         self.part = np.searchsorted(self.starts, self.lo, "right") - 1
         self.doc = np.array([ids[d] for d, _, _ in parts], np.int64)[self.part]
         self._sums: tuple | None = None
