@@ -85,6 +85,17 @@ def delete_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def rename_files(spark: SparkSession, folder: str, old: str, new: str) -> None:
+    """Give the files of a folder another ending (a metadata operation per file)."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for f in fs.listStatus(p):
+        name = f.getPath().getName()
+        if name.endswith(old):
+            fs.rename(f.getPath(), jvm.org.apache.hadoop.fs.Path(f.getPath().getParent(), name[: -len(old)] + new))
+
+
 def input_state(spark: SparkSession, folder: str) -> tuple:
     """(file, length, modification time) of the tables in a folder: changes when a table is rewritten."""
     jvm = spark.sparkContext._jvm

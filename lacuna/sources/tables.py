@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lacuna.session import rename_files
+
 LAYERS = ("bronze", "silver", "gold")
 
 
@@ -48,7 +50,8 @@ def export_csv(df: DataFrame, path: str, single_file: bool = False) -> None:
     """Header CSV, nulls as empty, text fields quoted (numbers bare).
 
     The lines are built by expressions (embedded quotes are doubled) and written
-    as text; each file starts with the header.
+    as text, since Spark's CSV writer quotes all columns or none; each file
+    starts with the header and ends in ``.csv``.
     """
     cells = []
     for f in df.schema.fields:
@@ -63,3 +66,4 @@ def export_csv(df: DataFrame, path: str, single_file: bool = False) -> None:
         out = out.coalesce(1)
     first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0  # of its partition, hence of its file
     out.select(F.when(first, F.concat(F.lit(header + "\n"), F.col("line"))).otherwise(F.col("line")).alias("value")).write.mode("overwrite").text(path)
+    rename_files(df.sparkSession, path, ".txt", ".csv")
