@@ -6,6 +6,9 @@ a host each subtree occurs, and subtrees that recur in many pages of the host
 are deleted as template. Elements that say what they are (navigation, header,
 footer, sidebar, notice, advert, form, script, style, comments: by tag, role,
 class or id) go as well, and where a page marks its article, text outside it.
+An article inside such an element is a teaser and marks nothing; nor does one without
+kept text. What a class, id, role, form or hidden mark names stays if it holds most of
+the page's text.
 Copies of one text count once, so that a much-copied article is no template;
 inside a marked article only wrappers, never paragraphs or headings, can be.
 
@@ -30,6 +33,7 @@ from lacuna.session import materialize
 MIN_PAGES = 10
 MIN_SHARE = 0.5
 SALTS = 8
+OUTSIDE, NAMED, MARKED = 0, 1, 2
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)[^>]*+(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)",
@@ -61,16 +65,17 @@ SIBLINGS = {"li": ("li", ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "
 
 
 class _Element:
-    __slots__ = ("tag", "parent", "drop", "article", "names", "parts", "digest", "text", "titled")
+    __slots__ = ("tag", "parent", "drop", "article", "named", "names", "parts", "digest", "text", "titled", "mass")
 
     def __init__(self, tag, parent, drop, article, names):
         self.tag, self.parent, self.drop, self.article, self.names = tag, parent, drop, article, names
         self.parts, self.digest, self.text, self.titled = [], 0, False, False
+        self.named, self.mass = False, 0  # an article with a name to drop; characters of text, without what tags drop
 
 
 def _describe(tag: str, attrs: str) -> tuple[str, str | None]:
-    """(class and id names for the hash, reason to drop: 'soft' yields to an article inside, 'hard' does not)."""
-    names, drop = "", "hard" if tag in DROPPED else None
+    """(class and id names for the hash, reason to drop: 'soft' yields if it holds most of the page's text, 'hard' does not)."""
+    names, drop = "", "soft" if tag == "form" else "hard" if tag in DROPPED else None
     if attrs and not attrs.isspace():
         for m in _ATTR.finditer(attrs):
             key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
@@ -129,6 +134,7 @@ class Page:
                 self.blocks.append((text, top))
                 top.parts.append(text)
                 top.text = True
+                top.mass += len(text)
 
     def _pop(self) -> None:
         self._flush()
@@ -136,6 +142,8 @@ class Page:
         e.digest = xxhash.xxh3_64_intdigest("\x1f".join([e.tag, e.names, *e.parts])) - (1 << 63)
         self.stack[-1].parts.append(f"\x1e{e.digest}")
         self.stack[-1].text |= e.text
+        if e.drop != "hard" or e.titled:
+            self.stack[-1].mass += e.mass
 
     def _start(self, tag: str, attrs: str) -> None:
         if tag in ("br", "wbr", "img", "input"):
@@ -160,9 +168,9 @@ class Page:
             return
         up = self.stack[-1]
         article = tag in ("article", "main") and drop != "hard" or "role" in attrs and re.search(r"role\s*=\s*[\"']?main", attrs, re.I) is not None
-        if article and drop == "soft":
-            drop = None
-        e = _Element(tag, up, drop, article, names)
+        named = article and drop == "soft"
+        e = _Element(tag, up, None if named else drop, article, names)
+        e.named = named
         if tag in ("h1", "h2"):
             self._title(up)
         self.stack.append(e)
@@ -199,30 +207,34 @@ class Page:
 
     # ------------------------------------------------------------------ text
     def text(self, template: frozenset | set = frozenset()) -> str:
-        """Main text: marked articles if there are any, else the page; without what says it is no content and without ``template``."""
+        """Main text: marked articles if there are any with text, else the page; without what says it is no content and without ``template``."""
         kept = [(t, place) for t, e in self.blocks if (place := self._place(e, template)) is not None]
-        inside = [t for t, place in kept if place]
-        return "\n".join(inside or ([t for t, _ in kept] if not any(e.article for e in self.elements) else []))
+        marked = any(place == MARKED for _, place in kept)
+        return "\n".join(t for t, place in kept if place or not marked)
 
-    def _place(self, e: _Element, template) -> bool | None:
-        """None: dropped; else whether the block stands in a marked article."""
-        inside, hidden = False, False
+    def _dropped(self, e: _Element) -> bool:
+        """Whether the element itself says that it is no content; what holds most of the page's text is no aside."""
+        return e.drop == "hard" and not e.titled or e.drop == "soft" and 2 * e.mass <= self.stack[0].mass
+
+    def _place(self, e: _Element, template) -> int | None:
+        """None: dropped; else OUTSIDE of articles, in a NAMED one (by its name an aside, which marks nothing) or in a MARKED one."""
+        place = OUTSIDE
         inner = None  # prose is safe from template removal once an article is found above it
         recurring = False
         while e is not None and e.parent is not None:
-            if e.drop == "hard" and not e.titled and not (e.tag == "form" and inside):
+            if self._dropped(e):
                 return None
-            hidden |= e.drop == "soft" and not inside
             if e.digest in template and not e.article:
                 if e.tag in PROSE:
                     inner = True
                 else:
                     recurring = True
-            inside |= e.article
+            if e.article:
+                place = max(place, NAMED if e.named and 2 * e.mass <= self.stack[0].mass else MARKED)
             e = e.parent
-        if hidden or recurring or (inner and not inside):
+        if recurring or (inner and not place):
             return None
-        return inside
+        return place
 
 
 def host_of(url: str | None) -> str:

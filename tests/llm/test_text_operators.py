@@ -214,3 +214,19 @@ def test_copied_article_is_no_template(spark):
     rows = [(i, f"http://m.example/{i}", f"<nav>menu {i}</nav>{copy}<footer>f{i}</footer>") for i in range(60)]
     got = html_op.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert {r.text for r in got} == {"Same title\nThe same paragraph on every page."}
+
+
+LONG = "<p>The first paragraph of the story is long enough.</p><p>The second one ends it.</p>"
+STORY = "The first paragraph of the story is long enough.\nThe second one ends it."
+
+
+@pytest.mark.parametrize("source,text", [
+    (f"<div id='content'>{LONG}</div><aside><article><p>teaser</p></article></aside>", STORY),
+    (f"<div id='content'>{LONG}</div><div class='related'><article><p>teaser</p></article></div>", STORY),
+    (f"<div id='content'>{LONG}</div><article> </article>", STORY),
+    (f"<div id='content'>{LONG}</div><article><div class='ad'>buy</div></article>", STORY),
+    (f"<div class='related'><article><p>teaser</p></article></div><div>far</div><article>{LONG}</article>", STORY),
+    (f"<div id='content'>{LONG}</div><article class='promo'><p>teaser</p></article>", STORY + "\nteaser"),
+])
+def test_teasers_mark_no_article(source, text):
+    assert html_op.Page(source).text() == text
