@@ -59,33 +59,51 @@ DROPPED_NAMES = frozenset(
     "related recommended pagination pager toolbar copyright hidden comment comments replies disqus respond search".split()
 )
 COMMENT_NAMES = frozenset("comment comments replies disqus respond".split())
+# a whole class or id token is compared; of a compound one only these first parts, or a name after one of these qualifiers
+DROPPED_PREFIXES = ("ad-", "ads-", "advert-", "nav-", "navbar-", "menu-", "cookie-", "cookies-", "consent-", "gdpr-", "breadcrumb-", "newsletter-", "share-", "sharing-",
+                    "social-", "sponsored-", "promo-", "popup-", "modal-", "banner-", "pagination-", "footer-", "masthead-", "related-")
+COMMENT_TOKENS = COMMENT_NAMES | frozenset("comments-area comments-section comments-list comments-wrapper comments-wrap comments-container disqus-thread disqus_thread".split())
+TITLE_TOKENS = frozenset("post-header article-header blog-header".split())
+QUALIFIERS = frozenset("site page main top bottom global primary secondary left right mobile post article blog sub user".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 SIBLINGS = {"li": ("li", ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr", "td", "th"), ("table",)),
             "td": (("td", "th"), ("tr",)), "th": (("td", "th"), ("tr",))}
 
 
+def _named(tokens: list[str]) -> str | None:
+    """'comment' or 'soft' if one of the class or id tokens names an element that is no content."""
+    found = None
+    for token in tokens:
+        head, _, tail = token.replace("_", "-").partition("-")
+        plain = f"{head}-{tail}" if tail else head
+        if plain in COMMENT_TOKENS or plain.startswith("comment-") or head in QUALIFIERS and tail in COMMENT_NAMES:
+            return "comment"
+        if plain in DROPPED_NAMES or plain.startswith(DROPPED_PREFIXES) or head in QUALIFIERS and tail in DROPPED_NAMES and plain not in TITLE_TOKENS:
+            found = "soft"
+    return found
+
+
 class _Element:
-    __slots__ = ("tag", "parent", "drop", "article", "named", "names", "parts", "digest", "text", "titled", "mass")
+    __slots__ = ("tag", "parent", "drop", "article", "named", "names", "parts", "digest", "text", "titled", "mass", "lead")
 
     def __init__(self, tag, parent, drop, article, names):
         self.tag, self.parent, self.drop, self.article, self.names = tag, parent, drop, article, names
         self.parts, self.digest, self.text, self.titled = [], 0, False, False
-        self.named, self.mass = False, 0  # an article with a name to drop; characters of text, without what tags drop
+        # an article with a name to drop; characters of text, without what tags drop; holds a first heading or <main>
+        self.named, self.mass, self.lead = False, 0, False
 
 
 def _describe(tag: str, attrs: str) -> tuple[str, str | None]:
-    """(class and id names for the hash, reason to drop: 'soft' yields if it holds most of the page's text, 'hard' does not)."""
+    """(class and id names for the hash, reason to drop: 'soft' yields if it holds most of the page's text, 'comment' if also the title or main, 'hard' does not)."""
     names, drop = "", "soft" if tag == "form" else "hard" if tag in DROPPED else None
     if attrs and not attrs.isspace():
         for m in _ATTR.finditer(attrs):
             key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
             if key in ("class", "id"):
-                words = {w.lower() for w in _NAME.findall(value)}
-                names += " " + " ".join(sorted(words))
-                if words & COMMENT_NAMES:
-                    drop = "hard"
-                elif words & DROPPED_NAMES:
-                    drop = drop or "soft"
+                names += " " + " ".join(sorted({w.lower() for w in _NAME.findall(value)}))
+                named = _named(value.lower().split())
+                if drop != "hard" and named:
+                    drop = "comment" if "comment" in (named, drop) else "soft"
             elif key == "role":
                 drop = drop or ("soft" if value.lower() in DROPPED_ROLES else None)
             elif key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none", value, re.I):
@@ -167,12 +185,14 @@ class Page:
         if tag in VOID:
             return
         up = self.stack[-1]
-        article = tag in ("article", "main") and drop != "hard" or "role" in attrs and re.search(r"role\s*=\s*[\"']?main", attrs, re.I) is not None
+        article = tag in ("article", "main") and drop not in ("hard", "comment") or "role" in attrs and re.search(r"role\s*=\s*[\"']?main", attrs, re.I) is not None
         named = article and drop == "soft"
         e = _Element(tag, up, None if named else drop, article, names)
         e.named = named
         if tag in ("h1", "h2"):
             self._title(up)
+        if tag in ("h1", "main"):
+            self._lead(e)
         self.stack.append(e)
         self.elements.append(e)
 
@@ -186,6 +206,10 @@ class Page:
                 header.titled = True
             e = e.parent
 
+    def _lead(self, e: _Element) -> None:
+        while e is not None and not e.lead:
+            e.lead, e = True, e.parent
+
     def _close(self, tags, stop) -> None:
         tags = (tags,) if isinstance(tags, str) else tags
         for i in range(len(self.stack) - 1, 0, -1):
@@ -214,7 +238,9 @@ class Page:
 
     def _dropped(self, e: _Element) -> bool:
         """Whether the element itself says that it is no content; what holds most of the page's text is no aside."""
-        return e.drop == "hard" and not e.titled or e.drop == "soft" and 2 * e.mass <= self.stack[0].mass
+        if e.drop == "hard":
+            return not e.titled
+        return e.drop is not None and (2 * e.mass <= self.stack[0].mass or e.drop == "comment" and not e.lead)
 
     def _place(self, e: _Element, template) -> int | None:
         """None: dropped; else OUTSIDE of articles, in a NAMED one (by its name an aside, which marks nothing) or in a MARKED one."""

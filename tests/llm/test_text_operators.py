@@ -230,3 +230,17 @@ STORY = "The first paragraph of the story is long enough.\nThe second one ends i
 ])
 def test_teasers_mark_no_article(source, text):
     assert html_op.Page(source).text() == text
+
+
+@pytest.mark.parametrize("source,text", [
+    *((f"<div class='{name}'>{LONG}</div>", STORY) for name in ("overflow-hidden", "with-sidebar", "header-fixed", "no-ads", "layout no-comments", "sidebar", "widget")),
+    *((f"<div class='{name}'>{LONG}</div><div>other text of the page, rather longer than all of the story before it: {'x' * 99}</div>",
+       STORY + f"\nother text of the page, rather longer than all of the story before it: {'x' * 99}") for name in ("overflow-hidden", "with-sidebar", "header-fixed", "no-ads")),
+    (f"<article class='post comments-open'>{LONG}</article>", STORY),
+    (f"<article class='no-comments'>{LONG}</article>", STORY),
+    (f"<div id='comments'><h1>Title</h1>{LONG}</div>", "Title\n" + STORY),
+    (f"{LONG}<div class='site-footer'>a</div><div class='ad-top'>b</div><p class='nav-links'>c</p><div id='site_header'>d</div><ol class='comment-list'><li>{LONG}{LONG}</ol>", STORY),
+    (f"{LONG}<div class='Main-Nav'>a</div><div class='left-sidebar'>b</div><div class='box AD'>c</div><div class='post-comments'>{LONG}{LONG}</div>", STORY),
+])
+def test_names_are_whole_tokens(source, text):
+    assert html_op.Page(source).text() == text
