@@ -2,15 +2,19 @@
 
 Each page is parsed into block elements. Every element's subtree (tag, class,
 id, text and children) is hashed, Spark counts in how many different pages of
-a host each subtree occurs, and subtrees that recur in many pages of the host
-are deleted as template. Elements that say what they are (navigation, header,
+a host each subtree occurs, and subtrees that recur are deleted as template: on
+half of the host's pages anywhere, on fewer (``LOW_SHARE``, ``MIN_PAGES`` at least)
+if they keep their place, counted from the start or the end of the page or article.
+Elements that say what they are (navigation, header,
 footer, sidebar, notice, advert, form, script, style, comments: by tag, role,
 class or id) go as well, and where a page marks its article, text outside it.
 An article inside such an element is a teaser and marks nothing; nor does one without
 kept text. What a class, id, role, form or hidden mark names stays if it holds most of
 the page's text.
-Copies of one text count once, so that a much-copied article is no template;
-inside a marked article only wrappers, never paragraphs or headings, can be.
+Copies of one text count once, so that a much-copied article is no template, and a
+much-copied paragraph changes its place. Headings have a place of their own and need
+half of the pages. Near copies keep their paragraphs: a page does not lose its last
+paragraph, nor three or more that make up most of its text.
 
 Null or empty html gives the empty text. A null or host-less url has no
 template. Truncated pages, unclosed tags and stray markup are tolerated.
@@ -32,6 +36,9 @@ from lacuna.session import materialize
 
 MIN_PAGES = 10
 MIN_SHARE = 0.5
+LOW_SHARE = 0.005  # so a host has at most 1 / LOW_SHARE times as many templates as a page has elements
+FIXED_SHARE = 0.8
+COPIED = 3
 SALTS = 8
 OUTSIDE, NAMED, MARKED = 0, 1, 2
 
@@ -52,6 +59,8 @@ SKIPPED = frozenset("template svg math canvas object select button".split())  #
 DROPPED = frozenset("head nav header footer aside form dialog menu".split())
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre dd dt td th figcaption caption summary".split())
 _END = {tag: re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*+(?:>|\Z)", re.I) for tag in RAW | SKIPPED}
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+LABELS = HEADINGS | frozenset("li td th dt caption figcaption summary".split())
 CLOSES_P = BLOCKS - {"head", "html", "body"}
 DROPPED_NAMES = frozenset(
     "nav navbar navigation menu breadcrumb breadcrumbs masthead topbar header footer sidebar aside widget notice notices alert cookie cookies consent gdpr "
@@ -84,13 +93,14 @@ def _named(tokens: list[str]) -> str | None:
 
 
 class _Element:
-    __slots__ = ("tag", "parent", "drop", "article", "named", "names", "parts", "digest", "text", "titled", "mass", "lead")
+    __slots__ = ("tag", "parent", "drop", "article", "named", "names", "parts", "digest", "text", "titled", "mass", "lead", "index", "size")
 
     def __init__(self, tag, parent, drop, article, names):
         self.tag, self.parent, self.drop, self.article, self.names = tag, parent, drop, article, names
         self.parts, self.digest, self.text, self.titled = [], 0, False, False
         # an article with a name to drop; characters of text, without what tags drop; holds a first heading or <main>
         self.named, self.mass, self.lead = False, 0, False
+        self.index, self.size = 0, 0  # place among what has text in the parent; how much of that it has itself
 
 
 def _describe(tag: str, attrs: str) -> tuple[str, str | None]:
@@ -152,6 +162,7 @@ class Page:
                 self.blocks.append((text, top))
                 top.parts.append(text)
                 top.text = True
+                top.size += 1
                 top.mass += len(text)
 
     def _pop(self) -> None:
@@ -160,6 +171,8 @@ class Page:
         e.digest = xxhash.xxh3_64_intdigest("\x1f".join([e.tag, e.names, *e.parts])) - (1 << 63)
         self.stack[-1].parts.append(f"\x1e{e.digest}")
         self.stack[-1].text |= e.text
+        e.index = self.stack[-1].size
+        self.stack[-1].size += e.text
         if e.drop != "hard" or e.titled:
             self.stack[-1].mass += e.mass
 
@@ -230,37 +243,72 @@ class Page:
                 return
 
     # ------------------------------------------------------------------ text
-    def text(self, template: frozenset | set = frozenset()) -> str:
-        """Main text: marked articles if there are any with text, else the page; without what says it is no content and without ``template``."""
-        kept = [(t, place) for t, e in self.blocks if (place := self._place(e, template)) is not None]
+    def text(self, sure: frozenset | set = frozenset(), likely: frozenset | set = frozenset()) -> str:
+        """Main text: marked articles if there are any with text, else the page; without what says it is no content and without templates."""
+        placed = [(t, e, found) for t, e in self.blocks if (found := self._place(e, sure, likely)) is not None]
+        gone = [(t, e) for t, e, (_, spare) in placed if spare and not self._within(e, LABELS)]
+        if gone:
+            rest = [(t, e) for t, e, (_, spare) in placed if not spare and not self._within(e, LABELS)]
+            if not rest or len(gone) >= COPIED and sum(len(t) for t, _ in gone) > sum(len(t) for t, _ in rest):
+                placed = [(t, e, (place, False)) for t, e, (place, _) in placed]
+        kept = [(t, place) for t, _, (place, spare) in placed if not spare]
         marked = any(place == MARKED for _, place in kept)
         return "\n".join(t for t, place in kept if place or not marked)
 
+    def _within(self, e: _Element, tags: frozenset) -> bool:
+        while e is not None and not e.article:
+            if e.tag in tags:
+                return True
+            e = e.parent
+        return False
+
+    def subtrees(self) -> dict[int, tuple[int, int]]:
+        """{digest: (place from the start, place from the end)} of every element with text that is not dropped."""
+        found, seen = {}, set()
+        for _, e in self.blocks:
+            if self._place(e) is None:
+                continue
+            while e.parent is not None and id(e) not in seen:
+                seen.add(id(e))
+                found.setdefault(e.digest, self._places(e))
+                e = e.parent
+        return found
+
+    def _places(self, e: _Element) -> tuple[int, int]:
+        first, last = [], []
+        while e.parent is not None and not e.article:
+            first.append(f"{e.tag}{e.index}")
+            last.append(f"{e.tag}{e.parent.size - e.index}")
+            e = e.parent
+        return _key(f"{e.tag}<{' '.join(first)}"), _key(f"{e.tag}>{' '.join(last)}")
+
     def _dropped(self, e: _Element) -> bool:
         """Whether the element itself says that it is no content; what holds most of the page's text is no aside."""
         if e.drop == "hard":
             return not e.titled
         return e.drop is not None and (2 * e.mass <= self.stack[0].mass or e.drop == "comment" and not e.lead)
 
-    def _place(self, e: _Element, template) -> int | None:
-        """None: dropped; else OUTSIDE of articles, in a NAMED one (by its name an aside, which marks nothing) or in a MARKED one."""
+    def _place(self, e: _Element, sure=frozenset(), likely=frozenset()) -> tuple[int, bool] | None:
+        """None: dropped; else OUTSIDE of articles, in a NAMED one (by its name an aside, which marks nothing) or in a MARKED one,
+        and whether it is template that a near copy may keep."""
         place = OUTSIDE
-        inner = None  # prose is safe from template removal once an article is found above it
-        recurring = False
+        inner = spare = recurring = False
         while e is not None and e.parent is not None:
             if self._dropped(e):
                 return None
-            if e.digest in template and not e.article:
-                if e.tag in PROSE:
-                    inner = True
-                else:
-                    recurring = True
+            if not e.article:
+                if e.digest in sure:
+                    if e.tag in PROSE:
+                        inner = True
+                    else:
+                        recurring = True
+                spare |= e.digest in likely
             if e.article:
                 place = max(place, NAMED if e.named and 2 * e.mass <= self.stack[0].mass else MARKED)
             e = e.parent
-        if recurring or (inner and not place):
+        if recurring or inner and not place:
             return None
-        return place
+        return place, spare or inner
 
 
 def host_of(url: str | None) -> str:
@@ -273,35 +321,49 @@ def _key(text: str) -> int:
 
 
 def subtree_counts(pages: DataFrame) -> DataFrame:
-    """(host_key, digest, n_pages): in how many different texts of a host each subtree occurs, if in MIN_PAGES at least."""
+    """(host_key, digest, heading, n_pages, n_place): in how many different texts of a host each subtree occurs, if in MIN_PAGES
+    at least, and in how many of them at its most frequent place."""
 
     def run(batches):
         for batch in batches:
-            hosts, digests, texts = [], [], []
+            cols: list[list] = [[], [], [], [], [], []]
             for url, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 host = host_of(url)
                 if not host or not source:
                     continue
                 page = Page(source)
-                key, sign = _key(host), _key(page.text())
-                found = {e.digest for e in page.elements if e.text} | {0}  # 0 stands for the page itself
-                hosts += [key] * len(found)
-                digests += found
-                texts += [sign] * len(found)
-            yield pa.record_batch([pa.array(hosts, pa.int64()), pa.array(digests, pa.int64()), pa.array(texts, pa.int64())], names=["host_key", "digest", "sign"])
+                found = page.subtrees()
+                heads = {e.digest for e in page.elements if e.tag in HEADINGS}
+                n = len(found) + 1  # 0 stands for the page itself
+                rows = ([_key(host)] * n, [0, *found], [_key(page.text())] * n, [False, *(d in heads for d in found)],
+                        [0, *(f for f, _ in found.values())], [0, *(l for _, l in found.values())])
+                for col, values in zip(cols, rows):
+                    col += values
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64())
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, types)], names=["host_key", "digest", "sign", "heading", "first", "last"])
+
+    schema = "host_key long, digest long, sign long, heading boolean, first long, last long"
+    one = map_arrow(pages.select("url", "html"), run, schema).groupBy("host_key", "digest", "sign").agg(F.max("heading").alias("heading"), F.min("first").alias("first"), F.min("last").alias("last"))
+    one = materialize(one, "subtree-texts")
+
+    def most(side: str) -> DataFrame:
+        per = one.groupBy("host_key", "digest", side).agg(F.count(F.lit(1)).alias("n"), F.max("heading").alias("heading"))
+        return (per.groupBy("host_key", "digest").agg(F.sum("n").alias("n_pages"), F.max("n").alias(f"n_{side}"), F.max("heading").alias("heading"))
+                .where(F.col("n_pages") >= MIN_PAGES))
 
-    seen = map_arrow(pages.select("url", "html"), run, "host_key long, digest long, sign long").distinct()
-    counts = seen.groupBy("host_key", "digest").agg(F.count(F.lit(1)).alias("n_pages")).where(F.col("n_pages") >= MIN_PAGES)
-    return counts
+    both = most("first").join(most("last").select("host_key", "digest", "n_last"), ["host_key", "digest"])
+    return both.select("host_key", "digest", "heading", "n_pages", F.greatest("n_first", "n_last").alias("n_place"))
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host_key, digests): the recurring subtrees of each host, at most a few times the elements of a page."""
+    """(host_key, sure, likely): the recurring subtrees of each host, on MIN_SHARE of its texts, or on fewer at a fixed place."""
     counts = materialize(subtree_counts(pages), "subtrees")
     sizes = counts.where(F.col("digest") == 0).select("host_key", F.col("n_pages").alias("host_pages"))
+    sure = F.col("n_pages") >= F.col("host_pages") * MIN_SHARE
+    fixed = (F.col("n_pages") >= F.col("host_pages") * LOW_SHARE) & (F.col("n_place") >= F.col("n_pages") * FIXED_SHARE) & ~F.col("heading")
     return (
-        counts.where(F.col("digest") != 0).join(sizes, "host_key").where(F.col("n_pages") >= F.col("host_pages") * MIN_SHARE)
-        .groupBy("host_key").agg(F.collect_list("digest").alias("digests"))
+        counts.where(F.col("digest") != 0).join(sizes, "host_key").where(sure | fixed)
+        .groupBy("host_key").agg(F.collect_list(F.when(sure, F.col("digest"))).alias("sure"), F.collect_list(F.when(~sure, F.col("digest"))).alias("likely"))
     )
 
 
@@ -312,7 +374,7 @@ def extract(pages: DataFrame) -> DataFrame:
     found = materialize(templates(pages), "templates").withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
     keyed = map_arrow(pages.select(F.col("page_id").cast("long"), "url", "html"), _with_key, "page_id long, url string, html string, host_key long")
     dealt = keyed.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
-    joined = dealt.join(found, ["host_key", "salt"], "left").select("page_id", "url", "html", "digests")
+    joined = dealt.join(found, ["host_key", "salt"], "left").select("page_id", "url", "html", "host_key", "sure", "likely")
     return map_arrow(joined, _texts, "page_id long, url string, text string").withColumn("n_chars", F.length("text").cast("long"))
 
 
@@ -323,7 +385,13 @@ def _with_key(batches):
 
 
 def _texts(batches):
+    known: dict[int, tuple[frozenset, frozenset]] = {}  # the templates of the last hosts met
     for batch in batches:
-        sources, found = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-        texts = [Page(s).text(frozenset(t or ())) if s else "" for s, t in zip(sources, found)]
+        texts = []
+        for i, (source, host) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
+            if host not in known:
+                if len(known) >= 64:
+                    known.clear()
+                known[host] = tuple(frozenset(batch.column(c)[i].as_py() or ()) for c in (4, 5))
+            texts.append(Page(source).text(*known[host]) if source else "")
         yield pa.record_batch([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])

@@ -244,3 +244,25 @@ def test_teasers_mark_no_article(source, text):
 ])
 def test_names_are_whole_tokens(source, text):
     assert html_op.Page(source).text() == text
+
+
+def test_template_by_count_and_place(spark):
+    """Host of 100 pages: notices on 12 to 100 % of them go, in and out of the article; a copied paragraph and title stay."""
+    rnd = random.Random(5)
+    rows, want = [], {}
+    for i in range(100):
+        own = [f"Paragraph {k} of story {i} is told only here." for k in range(rnd.randint(4, 9))]
+        if i % 3 == 0:
+            own.insert(rnd.randint(0, len(own)), "A quotation that many stories of this host cite.")
+        title = "A title that recurs" if i % 5 == 0 else f"Title {i}"
+        advert = f"<div class='x{i % 8}'>Rotating advert number {i % 8}</div>"
+        notice = "<p>This notice stands on some pages.</p>" if i % 4 == 1 else ""
+        paragraphs = "".join(f"<p>{t}</p>" for t in own)
+        rows.append((i, f"http://c.example/{i}", f"<main>{advert}<h1>{title}</h1>{paragraphs}{notice}<p>Subscribe to our letter</p></main>"))
+        want[i] = "\n".join([title, *own])
+    for i in range(100, 130):  # near copies of one article on another host
+        text = "".join(f"<p>The same paragraph {k} in every copy.</p>" for k in range(6))
+        rows.append((i, f"http://d.example/{i}", f"<article><h1>Copy</h1>{text}<p>End {i}</p></article>"))
+        want[i] = "\n".join(["Copy", *(f"The same paragraph {k} in every copy." for k in range(6)), f"End {i}"])
+    got = html_op.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in got} == want
