@@ -1,15 +1,18 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-1. The word trigrams of the benchmark items are counted over the whole corpus;
-   each item's seeds are the rarer ``RARE_SHARE`` of those that occur at all
-   (a rank within the item, so the choice behaves alike at every corpus size).
+1. The word trigrams of the benchmark items, and the spaced ones (two words, any
+   word, one word), are counted over the whole corpus; of either kind an item's
+   seeds are the rarer ``RARE_SHARE`` of those that occur at all (a rank within
+   the item), and all that occur in ``RARE_TEXTS`` texts at most.
 2. Every text is scanned for seeds. Seeds close to each other form a passage,
    which carries the words around it; equal passages are aligned only once.
 3. Passages join items on seeds (``MIN_SEEDS`` different shared ones), and the
    pair is scored by Smith-Waterman on words: ``MATCH`` for equal words,
    ``MISMATCH`` and ``GAP`` otherwise. The score over that of the whole item
    is the overlap; ``MIN_SCORE`` of it is a leak, so paraphrased or edited
-   copies and copies with small insertions count.
+   copies and copies with small insertions count. So does an excerpt, however
+   small a share of a long item: an alignment of ``MIN_EXCERPT`` equal words,
+   and ``EXCERPT_COST`` more for every word changed, left out or put in.
 
 Scans test membership with a Bloom filter of fixed size; the join on the seeds
 themselves removes its false hits. Words are runs of letters, digits and
@@ -25,14 +28,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lacuna.llm.textops import map_arrow, shingle_hashes, text_bytes, text_slices, unused, word_hashes
+from lacuna.llm.textops import map_arrow, mix, powers, shingle_hashes, text_bytes, text_slices, unused, word_hashes
 from lacuna.session import materialize
 
 SEED_WORDS = 3
 RARE_SHARE = 0.75
+RARE_TEXTS = 50
 MIN_SEEDS = 2
+SPACED = (0, 1, 3)
 MATCH, MISMATCH, GAP = 2, -1, -1
 MIN_SCORE = 0.5
+MIN_EXCERPT, EXCERPT_COST = 30, 3
 BLOOM_BITS = 23
 
 _U64 = np.uint64
@@ -47,13 +53,36 @@ def _folded(texts: list[bytes]) -> list[bytes]:
 
 
 def _words(texts: list[bytes]):
-    """Yields (number, word hashes, seed hashes) of each text with a seed."""
+    """Yields (first and last text number, first words of the texts, word hashes, the seeds of both kinds) of slices of the texts."""
     texts = _folded(texts)
     for lo, hi in text_slices(texts):
         sizes = np.fromiter(map(len, texts[lo:hi]), np.int64, hi - lo) + 1
         starts, _, h = word_hashes(np.frombuffer(b"\n".join([*texts[lo:hi], b""]), np.uint8), _SEPS)
         cuts = np.searchsorted(starts, np.concatenate([[0], np.cumsum(sizes)]))
-        yield lo, hi, cuts, h, shingle_hashes(h, SEED_WORDS)
+        yield lo, hi, cuts, h, ((SEED_WORDS, shingle_hashes(h, SEED_WORDS)), (SPACED[-1] + 1, _spaced(h)))
+
+
+def _spaced(h: np.ndarray) -> np.ndarray:
+    """Hash of the words SPACED of every run, so that a copy with every third word replaced shares seeds."""
+    m = max(0, len(h) - SPACED[-1])
+    p, _ = powers(len(SPACED) + 1)
+    found = np.zeros(m, _U64)
+    for j, k in enumerate(SPACED):
+        found += h[k : k + m] * p[j + 1]
+    return ~mix(found)  # no trigram's hash
+
+
+def _found(bits: np.ndarray, cuts: np.ndarray, grams) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first word, one past the last, text, seed) of the seeds that pass the Bloom filter, in order of their first words."""
+    parts = []
+    for width, hashes in grams:
+        at = _hits(bits, hashes)
+        owner = np.searchsorted(cuts, at, "right") - 1
+        whole = at + width <= cuts[owner + 1]
+        parts.append((at[whole], at[whole] + width, owner[whole], hashes[at[whole]].view(np.int64)))
+    at, end, owner, seeds = (np.concatenate(x) for x in zip(*parts))
+    order = np.argsort(at, kind="stable")
+    return at[order], end[order], owner[order], seeds[order]
 
 
 def _bloom_places(seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -82,22 +111,24 @@ def _hits(bits: np.ndarray, seeds: np.ndarray) -> np.ndarray:
 
 
 def item_seeds(benchmark: DataFrame) -> DataFrame:
-    """(item_id, words, seed): the distinct seeds of each item, with the hashes of all its words."""
+    """(item_id, words, kind, seed): the distinct seeds of each item, with the hashes of all its words."""
 
     def run(batches):
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), text_bytes(batch.column(1))
-            items, words, seeds = [], [], []
+            items, words, kinds, seeds = [], [], [], []
             for lo, hi, cuts, h, grams in _words(texts):
                 for i in range(hi - lo):
                     a, b = cuts[i], cuts[i + 1]
-                    for seed in np.unique(grams[a : max(a, b - SEED_WORDS + 1)].view(np.int64)).tolist():
-                        items.append(ids[lo + i])
-                        words.append(h[a:b].astype("<u8").tobytes())
-                        seeds.append(seed)
-            yield pa.record_batch([pa.array(items, pa.int64()), pa.array(words, pa.binary()), pa.array(seeds, pa.int64())], names=["item_id", "words", "seed"])
+                    for width, hashes in grams:
+                        for seed in np.unique(hashes[a : max(a, b - width + 1)].view(np.int64)).tolist():
+                            items.append(ids[lo + i])
+                            words.append(h[a:b].astype("<u8").tobytes())
+                            kinds.append(width)
+                            seeds.append(seed)
+            yield pa.record_batch([pa.array(items, pa.int64()), pa.array(words, pa.binary()), pa.array(kinds, pa.int32()), pa.array(seeds, pa.int64())], names=["item_id", "words", "kind", "seed"])
 
-    return map_arrow(benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")), run, "item_id long, words binary, seed long")
+    return map_arrow(benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")), run, "item_id long, words binary, kind int, seed long")
 
 
 def seed_counts(docs: DataFrame, bloom: bytes) -> DataFrame:
@@ -108,10 +139,8 @@ def seed_counts(docs: DataFrame, bloom: bytes) -> DataFrame:
         found: dict[int, int] = {}
         for batch in batches:
             for lo, hi, cuts, _, grams in _words(text_bytes(batch.column(0))):
-                at = _hits(bits, grams)
-                owner = np.searchsorted(cuts, at, "right") - 1
-                whole = at + SEED_WORDS <= cuts[owner + 1]
-                pairs = np.unique(np.stack([owner[whole], grams[at[whole]].view(np.int64)]), axis=1)
+                _, _, owner, seeds = _found(bits, cuts, grams)
+                pairs = np.unique(np.stack([owner, seeds]), axis=1)
                 for seed, n in zip(*np.unique(pairs[1], return_counts=True)):
                     found[int(seed)] = found.get(int(seed), 0) + int(n)
             if len(found) > 500_000:
@@ -135,17 +164,14 @@ def passages(docs: DataFrame, bloom: bytes, reach: int) -> DataFrame:
             ids, keys = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             out = []
             for lo, hi, cuts, h, grams in _words(text_bytes(batch.column(2))):
-                at = _hits(bits, grams)
-                owner = np.searchsorted(cuts, at, "right") - 1
-                whole = at + SEED_WORDS <= cuts[owner + 1]
-                at, owner = at[whole], owner[whole]
+                at, end, owner, hit = _found(bits, cuts, grams)
                 if not len(at):
                     continue
                 breaks = np.flatnonzero((owner[1:] != owner[:-1]) | (at[1:] - at[:-1] > reach)) + 1
-                for run_at, own in zip(np.split(at, breaks), np.split(owner, breaks)):
-                    seeds = np.unique(grams[run_at].view(np.int64))
+                for run_at, run_end, own, run_hit in zip(*(np.split(x, breaks) for x in (at, end, owner, hit))):
+                    seeds = np.unique(run_hit)
                     i = int(own[0])
-                    a, b = max(cuts[i], run_at[0] - reach), min(cuts[i + 1], run_at[-1] + SEED_WORDS + reach)
+                    a, b = max(cuts[i], run_at[0] - reach), min(cuts[i + 1], run_end.max() + reach)
                     words = h[a:b].astype("<u8").tobytes()
                     out.append((ids[lo + i], keys[lo + i], hashlib.blake2b(words, digest_size=16).digest(), int(a - cuts[i]), words, seeds.tolist()))
             if out:
@@ -155,7 +181,7 @@ def passages(docs: DataFrame, bloom: bytes, reach: int) -> DataFrame:
     return map_arrow(src, run, "doc_id long, text_key long, passage binary, first_word long, words binary, seeds array<long>")
 
 
-def smith_waterman(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
+def smith_waterman(item: np.ndarray, passage: np.ndarray, match: int = MATCH, mismatch: int = MISMATCH, gap: int = GAP) -> tuple[int, int, int]:
     """(best local score, first and one-past-last passage word of the best alignment).
 
     One row of the matrix per item word, vectorised along the passage; the gap
@@ -167,17 +193,17 @@ def smith_waterman(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int
     h, origin = np.zeros(m + 1, np.int64), steps.copy()
     best = (0, 0, 0)
     for word in item:
-        diag = h[:-1] + np.where(passage == word, MATCH, MISMATCH)
-        up = h[1:] + GAP
+        diag = h[:-1] + np.where(passage == word, match, mismatch)
+        up = h[1:] + gap
         now = np.zeros(m + 1, np.int64)
         now[1:] = np.maximum(np.maximum(diag, up), 0)
         start = steps.copy()
         start[1:] = np.where(now[1:] <= 0, steps[1:], np.where(diag >= up, origin[:-1], origin[1:]))
-        # along the row: max over k <= j of now[k] + GAP * (j - k)
-        lifted = now - GAP * steps
+        # along the row: max over k <= j of now[k] + gap * (j - k)
+        lifted = now - gap * steps
         top = np.maximum.accumulate(lifted)
         source = np.maximum.accumulate(np.where(lifted == top, steps, 0))
-        h, origin = top + GAP * steps, start[source]
+        h, origin = top + gap * steps, start[source]
         j = int(h.argmax())
         if h[j] > best[0]:
             best = (int(h[j]), int(origin[j]), j)
@@ -191,25 +217,34 @@ def _align(batches):
         for words, text in zip(item_words, passage_words):
             item, passage = np.frombuffer(words, "<u8"), np.frombuffer(text, "<u8")
             score, a, b = smith_waterman(item, passage)
-            rows.append((score / (MATCH * len(item)), a, b))
-        cols = list(zip(*rows)) or [(), (), ()]
-        yield pa.record_batch([batch.column(0), batch.column(1), pa.array(cols[0], pa.float64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64())],
-                              names=["passage", "item_id", "score", "a", "b"])
+            share, excerpt = score / (MATCH * len(item)), 0
+            if score >= MATCH * MIN_EXCERPT:  # no excerpt scores less
+                excerpt, first, last = smith_waterman(item, passage, 1, -EXCERPT_COST, -EXCERPT_COST)
+                if share < MIN_SCORE:
+                    a, b = first, last
+            rows.append((share, excerpt, a, b))
+        cols = list(zip(*rows)) or [(), (), (), ()]
+        yield pa.record_batch([batch.column(0), batch.column(1), pa.array(cols[0], pa.float64()), *(pa.array(c, pa.int64()) for c in cols[1:])],
+                              names=["passage", "item_id", "score", "excerpt", "a", "b"])
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
-    """(doc_id, text_key, item_id, score, start_word, end_word): the best alignment of each leaked item in each document row's text."""
+    """(doc_id, text_key, item_id, score, excerpt, start_word, end_word): the best alignment of each leaked item in each document row's text.
+
+    ``score`` is the share of the whole item; ``excerpt`` the equal words of the longest excerpt less EXCERPT_COST a change (0 below MIN_EXCERPT words).
+    """
     seeds = materialize(item_seeds(benchmark), "item-seeds")
     reach = seeds.agg(F.max(F.length("words"))).first()[0]
-    empty = docs.sparkSession.createDataFrame([], "doc_id long, text_key long, item_id long, score double, start_word long, end_word long")
+    empty = docs.sparkSession.createDataFrame([], "doc_id long, text_key long, item_id long, score double, excerpt long, start_word long, end_word long")
     if not reach:
         return empty
     counts = seed_counts(docs, _bloom(seeds))
-    order = Window.partitionBy("item_id", "words").orderBy("df")
+    order = Window.partitionBy("item_id", "words", "kind").orderBy("df")
+    alike = Window.partitionBy("item_id", "words", "kind")
     whole = Window.partitionBy("item_id", "words")
     rare = (
-        seeds.join(counts, "seed").withColumn("place", F.rank().over(order)).withColumn("of", F.count(F.lit(1)).over(whole))
-        .where(F.col("place") <= F.greatest(F.lit(float(MIN_SEEDS)), F.ceil(F.col("of") * F.lit(RARE_SHARE))))
+        seeds.join(counts, "seed").withColumn("place", F.rank().over(order)).withColumn("of", F.count(F.lit(1)).over(whole)).withColumn("kin", F.count(F.lit(1)).over(alike))
+        .where((F.col("df") <= RARE_TEXTS) | (F.col("place") <= F.greatest(F.lit(float(MIN_SEEDS)), F.ceil(F.col("kin") * F.lit(RARE_SHARE)))))
         .select("item_id", "words", "seed", "of")
     )
     rare = materialize(rare, "rare-seeds")
@@ -221,12 +256,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCO
         .where(F.col("met") >= F.least(F.lit(MIN_SEEDS), F.col("of")))
     )
     ready = pairs.join(distinct.select("passage", "passage_words"), "passage").select("passage", "item_id", "words", "passage_words")
-    scored = map_arrow(ready, _align, "passage binary, item_id long, score double, a long, b long").where(F.col("score") >= min_score)
+    scored = map_arrow(ready, _align, "passage binary, item_id long, score double, excerpt long, a long, b long").where((F.col("score") >= min_score) | (F.col("excerpt") >= MIN_EXCERPT))
     best = (
         found.select("doc_id", "text_key", "passage", "first_word").join(scored, "passage")
-        .select("doc_id", "text_key", "item_id", "score", (F.col("first_word") + F.col("a")).alias("start_word"), (F.col("first_word") + F.col("b")).alias("end_word"))
+        .select("doc_id", "text_key", "item_id", "score", "excerpt", (F.col("first_word") + F.col("a")).alias("start_word"), (F.col("first_word") + F.col("b")).alias("end_word"))
     )
-    top = F.max_by(F.struct("score", "start_word", "end_word"), F.struct("score", -F.col("start_word"))).alias("t")
+    top = F.max_by(F.struct("score", "excerpt", "start_word", "end_word"), F.struct("score", -F.col("start_word"))).alias("t")
     return best.groupBy("doc_id", "text_key", "item_id").agg(top).select("doc_id", "text_key", "item_id", "t.*")
 
 

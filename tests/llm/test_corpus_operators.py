@@ -176,6 +176,24 @@ def test_leaks(spark):
     assert dec.drop_leaked(df, bench.limit(0)).count() == df.count()
 
 
+def test_excerpts_and_dense_edits(spark):
+    """90 of 200 words, 450 of 1000, two excerpts far apart, and a copy with every third word replaced; a few shared words are no leak."""
+    rnd = random.Random(9)
+    items = {i: _words(rnd, n, 3000) for i, n in enumerate((200, 1000, 300, 60, 200))}
+
+    def around(words):
+        return " ".join([*_words(rnd, 50, 3000), *words, *_words(rnd, 50, 3000)])
+
+    replaced = [f"new{k}" if k % 3 == 2 else w for k, w in enumerate(items[3])]
+    docs = [(0, around(items[0][55:145])), (1, around(items[1][300:750])), (2, around([*items[2][:40], *items[2][100:140]])), (3, around(replaced)), (4, around(items[4][20:40]))]
+    docs += [(5, around(items[3])), (6, around(items[3]))]  # the exact copies make the seeds of the edited one the more frequent
+    got = dec.find_leaks(spark.createDataFrame(docs, TEXT), spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(0, 0), (1, 1), (2, 2), (3, 3), (5, 3), (6, 3)}
+    by = {r.doc_id: r for r in got}
+    assert abs(by[0].score - 0.45) < 0.02 and by[0].excerpt >= 90 and by[0].start_word <= 50 and by[0].end_word >= 140
+    assert by[1].excerpt >= 450 and 0.5 <= by[3].score < 0.6
+
+
 # ------------------------------------------------------------------ urls
 def test_url_parts_and_explicit_rules(spark):
     urls = [
