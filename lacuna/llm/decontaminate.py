@@ -15,14 +15,17 @@
    and ``EXCERPT_COST`` more for every word changed, left out or put in.
 
 Scans test membership with a Bloom filter of fixed size; the join on the seeds
-themselves removes its false hits. Words are runs of letters, digits and
-non-ASCII characters, lower-cased. Null or empty texts, and items with fewer
-words than a seed, match nothing. Repeated rows are each reported. The verdict
+themselves removes its false hits. Words are runs of letters, digits and marks
+(by Unicode class), lower-cased; in scripts written without spaces every such
+character is a word. An item with fewer words than a seed is a leak where all
+its words stand in a row. Null or empty texts match nothing. Repeated rows are each reported. The verdict
 depends on the text alone, so a null doc_id is reported like any other.
 """
 
 from __future__ import annotations
 
+import unicodedata
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -48,8 +51,51 @@ for _c in b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz":
     _SEPS[_c] = False
 
 
+# scripts without spaces between words: Thai, Lao, Myanmar, Khmer, Tai Le to Tai Tham, kana, bopomofo, Han
+_SPACELESS = [(0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x1950, 0x19DF), (0x1A20, 0x1AAF), (0x3005, 0x3007), (0x3021, 0x3029), (0x3031, 0x3035), (0x3038, 0x312F),
+              (0x31A0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xA9E0, 0xA9FF), (0xAA60, 0xAADF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x16FE0, 0x18DFF), (0x1AFF0, 0x1B16F), (0x20000, 0x3FFFF)]
+_INSIDE = (0xAD, 0x200C, 0x200D, 0x2060, 0xFEFF)  # invisible inside words: soft hyphens, joiners
+_GAP, _SINGLE, _NONE = 1, 2, 3
+_PIECE = 1 << 20
+_CLASSES: list = []
+
+
+def _classes() -> np.ndarray:
+    """Class of every code point: a non-ASCII one that separates words, that is a word by itself, or that counts as not there."""
+    if not _CLASSES:
+        found = np.fromiter((_GAP if p >= 0x80 and unicodedata.category(chr(p))[0] not in "LNM" else 0 for p in range(0x110000)), np.uint8, 0x110000)
+        for lo, hi in _SPACELESS:
+            part = found[lo : hi + 1]
+            part[part == 0] = _SINGLE
+        found[list(_INSIDE)] = _NONE
+        _CLASSES.append(found)
+    return _CLASSES[0]
+
+
+def _cut(text: str) -> str:
+    """The text with spaces for what separates words and around what is a word by itself."""
+    points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    kind = _classes()[points]
+    if not kind.any():
+        return text
+    width = np.array([1, 1, 3, 0])[kind]
+    out = np.full(int(width.sum()), 32, np.uint32)
+    at = np.cumsum(width) - width
+    out[at[kind == 0]] = points[kind == 0]
+    out[at[kind == _SINGLE] + 1] = points[kind == _SINGLE]
+    return out.tobytes().decode("utf-32-le")
+
+
 def _folded(texts: list[bytes]) -> list[bytes]:
-    return [t.decode("utf-8", "replace").lower().encode() for t in texts]
+    """Lower-cased texts whose words are cut by ASCII characters alone."""
+    out = []
+    for t in texts:
+        if t.isascii():
+            out.append(t.lower())
+            continue
+        text = t.decode("utf-8", "replace").lower()
+        out.append("".join(_cut(text[at : at + _PIECE]) for at in range(0, len(text), _PIECE)).encode())
+    return out
 
 
 def _words(texts: list[bytes]):
@@ -233,6 +279,54 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCO
 
     ``score`` is the share of the whole item; ``excerpt`` the equal words of the longest excerpt less EXCERPT_COST a change (0 below MIN_EXCERPT words).
     """
+    leaks = _long_leaks(docs, benchmark, min_score)
+    short = materialize(short_items(benchmark), "short-items")
+    return leaks.unionByName(short_leaks(docs, short)) if short.head(1) else leaks
+
+
+def short_items(benchmark: DataFrame) -> DataFrame:
+    """(item_id, n_words, seed): the items with fewer words than a seed."""
+
+    def run(batches):
+        for batch in batches:
+            ids, rows = batch.column(0).to_pylist(), []
+            for lo, hi, cuts, h, _ in _words(text_bytes(batch.column(1))):
+                for i in np.flatnonzero((np.diff(cuts) > 0) & (np.diff(cuts) < SEED_WORDS)).tolist():
+                    n = int(cuts[i + 1] - cuts[i])
+                    rows.append((ids[lo + i], n, int(shingle_hashes(h[cuts[i] : cuts[i + 1]], n).view(np.int64)[0])))
+            cols = list(zip(*rows)) or [(), (), ()]
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64()))], names=["item_id", "n_words", "seed"])
+
+    return map_arrow(benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")), run, "item_id long, n_words int, seed long").distinct()
+
+
+def short_leaks(docs: DataFrame, short: DataFrame) -> DataFrame:
+    """Where the words of short items stand in a row for the first time in a text, as find_leaks reports them."""
+    bloom = _bloom(short)
+
+    def run(batches):
+        bits = np.unpackbits(np.frombuffer(bloom, np.uint8)).astype(bool)
+        for batch in batches:
+            ids, keys = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            rows = []
+            for lo, hi, cuts, h, _ in _words(text_bytes(batch.column(2))):
+                for n in range(1, SEED_WORDS):
+                    at, _, owner, seeds = _found(bits, cuts, [(n, shingle_hashes(h, n))])
+                    _, first = np.unique(np.stack([owner, seeds]), axis=1, return_index=True)
+                    for k in first.tolist():
+                        i = int(owner[k])
+                        rows.append((ids[lo + i], keys[lo + i], int(at[k] - cuts[i]), n, int(seeds[k])))
+            cols = list(zip(*rows)) or [()] * 5
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, types)], names=["doc_id", "text_key", "start_word", "n_words", "seed"])
+
+    src = docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string")).alias("text_key"), F.col("text").cast("string"))
+    found = map_arrow(src, run, "doc_id long, text_key long, start_word long, n_words int, seed long").join(short, ["n_words", "seed"])
+    return found.groupBy("doc_id", "text_key", "item_id").agg(F.min(F.struct("start_word", "n_words")).alias("t")).select(
+        "doc_id", "text_key", "item_id", F.lit(1.0).alias("score"), F.lit(0).cast("long").alias("excerpt"), F.col("t.start_word").alias("start_word"), (F.col("t.start_word") + F.col("t.n_words")).alias("end_word"))
+
+
+def _long_leaks(docs: DataFrame, benchmark: DataFrame, min_score: float) -> DataFrame:
     seeds = materialize(item_seeds(benchmark), "item-seeds")
     reach = seeds.agg(F.max(F.length("words"))).first()[0]
     empty = docs.sparkSession.createDataFrame([], "doc_id long, text_key long, item_id long, score double, excerpt long, start_word long, end_word long")

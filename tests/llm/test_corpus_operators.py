@@ -194,6 +194,21 @@ def test_excerpts_and_dense_edits(spark):
     assert by[1].excerpt >= 450 and 0.5 <= by[3].score < 0.6
 
 
+def test_leaks_in_any_script(spark):
+    items = [(1, "我们在北京的图书馆里读了一本关于历史的书"), (2, "ฉันชอบอ่านหนังสือในห้องสมุด"), (3, "il a dit « bonjour mes amis » puis il est parti – sans bruit"),
+             (4, "Zwei Worte"), (5, "日本"), (6, "क्या आप हिन्दी बोलते हैं या नहीं"), (7, "… – !")]
+    docs = [(1, "前文很长。我们在北京的图书馆里读了一本关于历史的书，后文。"), (2, "ก่อนหน้า ฉันชอบอ่านหนังสือในห้องสมุด หลังจากนั้น"),
+            (3, "avant: il a dit “bonjour\u00a0mes amis” puis il\u202fest parti—sans bruit, après"), (4, "hier stehen «zwei\u00a0Worte» im Text"), (5, "这是日本的书"),
+            (6, "हाँ। क्या आप हिन्दी बोलते हैं या नहीं?"), (7, "zwei andere Worte … – !"), (8, None), (9, "今天天气很好。")]
+    bench, df = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(docs, TEXT)
+    got = dec.find_leaks(df, bench).collect()
+    assert {(r.doc_id, r.item_id, r.score) for r in got} == {(i, i, 1.0) for i in range(1, 7)}
+    assert [(r.start_word, r.end_word) for r in got if r.doc_id == 4] == [(2, 4)]
+    assert sorted(r.doc_id for r in dec.drop_leaked(df, bench).collect()) == [7, 8, 9]
+    only = dec.find_leaks(df, bench.where("item_id = 4")).collect()
+    assert [(r.doc_id, r.item_id) for r in only] == [(4, 4)]
+
+
 # ------------------------------------------------------------------ urls
 def test_url_parts_and_explicit_rules(spark):
     urls = [
