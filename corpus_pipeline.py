@@ -17,18 +17,14 @@ from pyspark.sql import functions as F
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from lacuna.llm import decontaminate, jaccard_join, langid_hd, pii, vector_pack  # noqa: E402
-from lacuna.llm.textops import unused  # noqa: E402
 from lacuna.session import scratch_table_path  # noqa: E402
 
 TOKENS = 2048
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents in no known language: null text, or no letter at all."""
-    model = langid_hd.learn(langid_hd.train_rows(docs))
-    found = unused(docs, "_language")
-    judged = docs.withColumn(found, langid_hd.language(docs, model))
-    return judged.where(F.col(f"{found}.lang_pred") != langid_hd.UNKNOWN).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """Drops documents in no known language: null text, no letter at all, or letters like those of no learned language."""
+    return langid_hd.known_language(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lacuna.llm.textops import map_arrow
+from lacuna.llm.textops import map_arrow, unused
 from lacuna.session import ship_package
 
 DIM = 1024
@@ -32,6 +32,9 @@ SEED = 20240517
 SLOTS = 64  # 0 is the gap, 1..26 are a..z, the others take every other letter
 UNKNOWN = "und"
 SLICE_CHARS = 1 << 20
+NOISE_SCORE = 3 / DIM**0.5  # three deviations of the cosine of unrelated vectors
+MIN_LETTERS = 20  # texts with fewer say too little for a verdict by score
+ANY_LETTER, SOME_LETTERS = r"^\P{L}*+\p{L}", rf"^(?:\P{{L}}*+\p{{L}}){{{MIN_LETTERS}}}"
 
 _STATE: dict = {}
 
@@ -218,6 +221,25 @@ def language(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "
     return F.pandas_udf(judge, "lang_pred string, score double")(F.col(text))
 
 
+def known_language(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` in a language that can be learned from them: not ``und``, and not below the bound on the score.
+
+    The bound is NOISE_SCORE, or half of the score that all but one of a thousand learned texts reach if that is less. Texts
+    with less than MIN_LETTERS letters are not held to it. When nothing can be learned every text with a letter stays.
+    """
+    train = train_rows(docs)
+    model = learn(train)
+    if not model[0]:
+        return docs.where(F.col("text").rlike(ANY_LETTER))
+    learned = train.where(F.col("lang").isNotNull() & F.col("text").rlike(SOME_LETTERS)).select(language(train, model).alias("found"))
+    low = learned.agg(F.percentile_approx("found.score", 0.001, 10_000)).first()[0]
+    bound = NOISE_SCORE if low is None else min(NOISE_SCORE, low / 2)
+    name = unused(docs, "_language")
+    found = F.col(name)
+    stays = F.when(found.lang_pred == UNKNOWN, False).when(found.score >= bound, True).otherwise(~F.col("text").rlike(SOME_LETTERS))
+    return docs.withColumn(name, language(docs, model)).where(stays).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def train_rows(docs: DataFrame) -> DataFrame:
     """The documents that may be learned from: with an id, and not held out."""
     return docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))

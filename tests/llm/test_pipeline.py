@@ -82,3 +82,14 @@ def test_every_operator_is_registered(spark):
     names = set(entry.queries())
     assert {int(m[1]) for n in QUERIES if (m := re.match(r"op(\d+)_", n))} == set(range(1, 11))
     assert set(QUERIES) < names and "pipeline" in names
+
+
+def test_language_stage_goes_by_the_score(spark):
+    schema = "doc_id long, text string, lang string"
+    en, de = "the quick brown fox and the lazy dog went to the river {}", "der schnelle braune fuchs und der faule hund gingen zum fluss {}"
+    docs = [(i, (en if i % 2 else de).format("abcdefgh"[i % 8] * 3), "en" if i % 2 else "de") for i in range(60)]
+    odd = [(100, "xqzv jkqx wvzk qqjx zxkv bbqz xkjq vvzx", None), (101, "привет как дела сегодня хорошая погода и мы гуляем", None), (102, "the other dog and the fox", None), (103, "ok", None), (104, "12 !", None), (105, None, None)]
+    got = corpus_pipeline.language_id(spark, spark.createDataFrame(docs + odd, schema), SMALL)
+    assert got.columns == ["doc_id", "text", "lang"] and {r.doc_id for r in got.collect()} == {*range(60), 102, 103}
+    unlabelled = spark.createDataFrame([(d, t, None) for d, t, _ in docs + odd], schema)
+    assert {r.doc_id for r in corpus_pipeline.language_id(spark, unlabelled, SMALL).collect()} == {*range(60), 100, 101, 102, 103}
