@@ -56,7 +56,7 @@ _SPACELESS = [(0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x1950, 0x1
               (0x31A0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xA9E0, 0xA9FF), (0xAA60, 0xAADF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x16FE0, 0x18DFF), (0x1AFF0, 0x1B16F), (0x20000, 0x3FFFF)]
 _INSIDE = (0xAD, 0x200C, 0x200D, 0x2060, 0xFEFF)  # invisible inside words: soft hyphens, joiners
 _GAP, _SINGLE, _NONE = 1, 2, 3
-_PIECE = 1 << 20
+_PIECE = 1 << 16
 _CLASSES: list = []
 
 

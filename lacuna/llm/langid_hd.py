@@ -18,6 +18,8 @@ The prototypes, one vector per language, are all the driver ever holds.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -214,10 +216,16 @@ def language(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "
     ship_package(docs.sparkSession)
     langs, prototypes = model[0], np.ascontiguousarray(model[1].T, np.float32)
 
-    def judge(texts: pd.Series) -> pd.DataFrame:
-        pred, score = _judge(texts.tolist(), langs, prototypes)
-        return pd.DataFrame({"lang_pred": pred, "score": score})
+    def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        try:
+            for texts in batches:
+                pred, score = _judge(texts.tolist(), langs, prototypes)
+                yield pd.DataFrame({"lang_pred": pred, "score": score})
+        finally:
+            _STATE.pop("vectors", None)  # the worker goes on to other stages
 
+    # types by name: the annotations are strings here
+    judge.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
     return F.pandas_udf(judge, "lang_pred string, score double")(F.col(text))
 
 
