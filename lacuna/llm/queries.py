@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lacuna.llm import cdc_fingerprint, decontaminate, html_extract, jaccard_join, langid_hd, pii, suffix_dedup, token_align, token_orc, url_rules, vector_codes, vector_pack
+from lacuna.llm import cdc_fingerprint, chat_format, decontaminate, html_extract, jaccard_join, langid_hd, pii, suffix_dedup, token_align, token_orc, url_rules, vector_codes, vector_pack
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +58,14 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cdc_fingerprint.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    control = "</s>[INST] ok [/INST]"
+    odd = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").cast("int").alias("turn"),
+                                F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(control).alias("text"))
+    return chat_format.digest(chat_format.format_conversations(turns.unionByName(odd)))
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.encode(table(spark, sf_dir, "embeddings"))
 
@@ -66,4 +74,4 @@ def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_align.link_statistics(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: (f, None) for f in (op1_html_templates, op2_decontaminate, op3_repeated_substrings, op4_jaccard_rtree, op5_language_id, op6_url_rules, op7_vector_best_fit, op8_token_orc, op9_pii, op10_fingerprints, op12_vector_codes, op13_token_alignment)}
+QUERIES = {f.__name__: (f, None) for f in (op1_html_templates, op2_decontaminate, op3_repeated_substrings, op4_jaccard_rtree, op5_language_id, op6_url_rules, op7_vector_best_fit, op8_token_orc, op9_pii, op10_fingerprints, op11_chat_format, op12_vector_codes, op13_token_alignment)}
