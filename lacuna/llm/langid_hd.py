@@ -18,16 +18,16 @@ The prototypes, one vector per language, are all the driver ever holds.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from lacuna.llm.textops import map_arrow, unused
-from lacuna.session import ship_package
+from lacuna.session import materialize
 
 DIM = 1024
 SEED = 20240517
@@ -35,9 +35,12 @@ SLOTS = 64  # 0 is the gap, 1..26 are a..z, the others take every other letter
 UNKNOWN = "und"
 SLICE_CHARS = 1 << 20
 NOISE_SCORE = 3 / DIM**0.5  # three deviations of the cosine of unrelated vectors
+MOST_VECTORS, _AT_ONCE = 1 << 15, 1 << 12  # 32 MiB of vectors a worker, 16 MiB while they are added up
 MIN_LETTERS = 20  # texts with fewer say too little for a verdict by score
 ANY_LETTER, SOME_LETTERS = r"^\P{L}*+\p{L}", rf"^(?:\P{{L}}*+\p{{L}}){{{MIN_LETTERS}}}"
 
+_SPACE = re.compile(r"\s")
+
 _STATE: dict = {}
 
 
@@ -66,26 +69,28 @@ def bound_vectors(codes: np.ndarray) -> np.ndarray:
 
 
 class _Vectors:
-    """The vectors of the trigrams met so far in this worker (at most SLOTS**3 of them)."""
+    """The vectors of trigrams met in this worker, one byte an entry; forgotten when there are ``MOST_VECTORS``."""
 
     def __init__(self):
         self.place = np.full(SLOTS**3, -1, np.int32)
-        self.rows = np.zeros((0, DIM), np.float32)
+        self.rows = np.zeros((MOST_VECTORS, DIM), np.int8)
         self.used = 0
 
-    def of(self, codes: np.ndarray) -> np.ndarray:
-        """Row numbers in ``rows`` of the codes."""
-        new = np.unique(codes[self.place[codes] < 0])
-        if len(new):
-            need = self.used + len(new)
-            if need > len(self.rows):
-                grown = np.zeros((max(need, 2 * len(self.rows)), DIM), np.float32)
-                grown[: self.used] = self.rows[: self.used]
-                self.rows = grown
-            self.rows[self.used : need] = bound_vectors(new)
-            self.place[new] = np.arange(self.used, need)
-            self.used = need
-        return self.place[codes]
+    def bundle(self, codes: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """The sum of the vectors of distinct ``codes``, each ``count`` times."""
+        total = np.zeros(DIM, np.float32)
+        for lo in range(0, len(codes), _AT_ONCE):
+            part = codes[lo : lo + _AT_ONCE]
+            new = part[self.place[part] < 0]
+            if self.used + len(new) > MOST_VECTORS:
+                self.place.fill(-1)
+                self.used, new = 0, part
+            if len(new):
+                self.rows[self.used : self.used + len(new)] = bound_vectors(new)
+                self.place[new] = np.arange(self.used, self.used + len(new))
+                self.used += len(new)
+            total += count[lo : lo + _AT_ONCE].astype(np.float32) @ self.rows[self.place[part]].astype(np.float32)
+        return total
 
 
 def _vectors() -> _Vectors:
@@ -125,9 +130,13 @@ def _slices(texts: list[str]):
 
 
 def _pieces(text: str):
-    """A very long text in pieces of SLICE_CHARS that overlap by two code points."""
-    for at in range(0, max(1, len(text)), SLICE_CHARS):
-        yield text[max(0, at - 2) : at + SLICE_CHARS]
+    """A very long text in pieces of about SLICE_CHARS, cut behind white space (a gap), so that they have the trigrams of the whole."""
+    at = 0
+    while at < len(text):
+        gap = _SPACE.search(text, at + SLICE_CHARS)
+        end = gap.end() if gap else len(text)
+        yield text[at:end]
+        at = end
 
 
 def _bundle(texts: list[str]):
@@ -191,8 +200,7 @@ def _judge(texts: list[str | None], langs: list[str], prototypes: np.ndarray) ->
     pred, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
     if langs:
         for i, code, count in _bundle([t or "" for t in texts]):
-            places = vectors.of(code)
-            v = count.astype(np.float32) @ vectors.rows[places]
+            v = vectors.bundle(code, count)
             cosine = (v @ prototypes) / max(float(np.linalg.norm(v)), 1e-9)
             best = int(cosine.argmax())
             pred[i], score[i] = langs[best], min(1.0, max(0.0, float(cosine[best])))
@@ -211,22 +219,18 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
     return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, lang_pred string, score double")
 
 
-def language(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text") -> Column:
-    """Column expression: (lang_pred, score) of ``text``, for callers that keep their own columns."""
-    ship_package(docs.sparkSession)
+def judged(docs: DataFrame, model: tuple[list[str], np.ndarray], pred: str, score: str) -> DataFrame:
+    """The rows of ``docs`` with all their columns, and the language and score of ``text`` in two more."""
     langs, prototypes = model[0], np.ascontiguousarray(model[1].T, np.float32)
+    at = docs.columns.index("text")
+    schema = StructType([*docs.schema.fields, StructField(pred, StringType()), StructField(score, DoubleType())])
 
-    def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        try:
-            for texts in batches:
-                pred, score = _judge(texts.tolist(), langs, prototypes)
-                yield pd.DataFrame({"lang_pred": pred, "score": score})
-        finally:
-            _STATE.pop("vectors", None)  # the worker goes on to other stages
+    def run(batches):
+        for batch in batches:
+            found, value = _judge(batch.column(at).to_pylist(), langs, prototypes)
+            yield pa.record_batch([*batch.columns, pa.array(found, pa.string()), pa.array(value)], names=[*batch.schema.names, pred, score])
 
-    # types by name: the annotations are strings here
-    judge.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
-    return F.pandas_udf(judge, "lang_pred string, score double")(F.col(text))
+    return map_arrow(docs, run, schema)
 
 
 def known_language(docs: DataFrame) -> DataFrame:
@@ -234,18 +238,18 @@ def known_language(docs: DataFrame) -> DataFrame:
 
     The bound is NOISE_SCORE, or half of the score that all but one of a thousand learned texts reach if that is less. Texts
     with less than MIN_LETTERS letters are not held to it. When nothing can be learned every text with a letter stays.
+    All texts are judged once, into a written table; the bound and the rows that stay come from that table.
     """
-    train = train_rows(docs)
-    model = learn(train)
+    model = learn(train_rows(docs))
     if not model[0]:
         return docs.where(F.col("text").rlike(ANY_LETTER))
-    learned = train.where(F.col("lang").isNotNull() & F.col("text").rlike(SOME_LETTERS)).select(language(train, model).alias("found"))
-    low = learned.agg(F.percentile_approx("found.score", 0.001, 10_000)).first()[0]
+    pred, score = unused(docs, "_lang_pred"), unused(docs, "_lang_score")
+    table = materialize(judged(docs, model, pred, score), "languages")
+    learned = train_rows(table).where(F.col("lang").isNotNull() & F.col("text").rlike(SOME_LETTERS))
+    low = learned.agg(F.percentile_approx(score, 0.001, 10_000)).first()[0]
     bound = NOISE_SCORE if low is None else min(NOISE_SCORE, low / 2)
-    name = unused(docs, "_language")
-    found = F.col(name)
-    stays = F.when(found.lang_pred == UNKNOWN, False).when(found.score >= bound, True).otherwise(~F.col("text").rlike(SOME_LETTERS))
-    return docs.withColumn(name, language(docs, model)).where(stays).select(*[F.col(f"`{c}`") for c in docs.columns])
+    stays = F.when(F.col(pred) == UNKNOWN, False).when(F.col(score) >= bound, True).otherwise(~F.col("text").rlike(SOME_LETTERS))
+    return table.where(stays).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def train_rows(docs: DataFrame) -> DataFrame:

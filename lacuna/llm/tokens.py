@@ -1,14 +1,16 @@
 """Token ids of whole texts with a public tokenizer file (a parameter, never copied here).
 
-The tokenizer lower-cases a text and cuts it into contractions, letter runs,
-single digits and runs of other signs before it merges, so a text's ids are
-those of its pieces in a row. Texts of ASCII, Latin letters and common
-punctuation are cut here; of other texts the white-space separated words, each
-cut here or, with other characters, left whole. Each worker keeps the ids of
-the pieces it has met, encodes new ones in one batch call of the library, and
-forgets them when their number reaches ``MOST_PIECES``. Texts with separator
-control characters, which Python and the tokenizer split differently, go to
-the library as they are.
+The tokenizer lower-cases a text, drops its white space and cuts it into
+contractions, letter runs, single digits and runs of other signs before it
+merges, so a text's ids are those of its white-space separated words in a row.
+Each worker keeps the ids of the words it has met (at most twice
+``MOST_WORDS``), and those of their letters in lower case without the signs
+behind them (``MOST_PIECES``). New ones of ASCII, Latin letters and common punctuation are
+encoded as one text in one call of the library: a word's ids hold as many ids
+of a word's end as it has pieces. New words with an apostrophe or with other
+characters are encoded one by one. Texts with separator
+control characters, which Python and the tokenizer split differently, go to the
+library as they are.
 """
 
 from __future__ import annotations
@@ -19,63 +21,125 @@ import re
 
 import numpy as np
 
-MOST_PIECES = 1_000_000
+MOST_WORDS, MOST_PIECES = 200_000, 500_000
+_AT_ONCE = 50_000
 _ODD = re.compile("[\x1c-\x1f]")
-# texts and words of these characters only have the same pieces here and in the tokenizer's own rules
-_PLAIN_TEXT = re.compile("[ \t\n\r!-~À-ÖØ-öø-įı-ſ‐-‧‰-⁞]*")
-_PLAIN = re.compile("[!-~À-ÖØ-öø-įı-ſ‐-‧‰-⁞]+")
+_WORD_END = "</w>"
+# words of these characters only (but no apostrophe) have the same pieces here and in the tokenizer's own rules
+_PLAIN = re.compile("[!-&(-~À-ÖØ-öø-įı-ſ‐-‧‰-⁞]+")
+_SIGNS = "".join(chr(p) for p in [*range(33, 39), *range(40, 48), *range(58, 65), *range(91, 97), *range(123, 127), *range(0x2010, 0x2028), *range(0x2030, 0x205F)])
 _SPECIAL = "<|"
-# FIXED VALUES: the tokenizer's pieces, for plain texts in lower case
-_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ſ]+|[0-9]|[!-/:-@\[-`{-~‐-‧‰-⁞]+")
 _STATE: dict = {}
 
 
+def _kinds() -> np.ndarray:
+    """0 for the space, 1 for letters, 2 for digits, 3 for other signs, by code point, for plain words."""
+    kinds = np.full(0x2070, 3, np.uint8)
+    kinds[[p for p in range(0x180) if chr(p).isalpha()]] = 1
+    kinds[ord("0") : ord("9") + 1] = 2
+    kinds[ord(" ")] = 0
+    return kinds
+
+
+_KINDS = _kinds()
+
+
+def pieces_before(text: str) -> np.ndarray:
+    """How many pieces begin before each code point of plain words in a row, and in all."""
+    kind = _KINDS[np.frombuffer(text.encode("utf-32-le"), np.uint32)]
+    begins = kind > 0
+    begins[1:] &= (kind[1:] != kind[:-1]) | (kind[1:] == 2)
+    return np.concatenate([[0], np.cumsum(begins)])
+
+
 def default_tokenizer() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class _Memo:
+    """Ids of strings in two generations: when the new one is full it becomes the old one, and what is met again comes back."""
+
+    def __init__(self, most: int):
+        self.most, self.new, self.old = most, {}, {}
+
+    def age(self) -> None:
+        if len(self.new) > self.most:
+            self.old, self.new = self.new, {}
+
+    def missing(self, keys: set[str]) -> list[str]:
+        """The keys in neither generation; those of the old one are in the new one afterwards."""
+        unknown = keys.difference(self.new)
+        back = unknown & self.old.keys()
+        self.new.update(zip(back, map(self.old.__getitem__, back)))
+        return list(unknown - back)
+
+
 class WordEncoder:
-    """Encodes texts to little-endian unsigned 32-bit ids, piece by piece with a bounded memory."""
+    """Encodes texts to little-endian unsigned 32-bit ids, word by word with a bounded memory."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.is_end = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), bool)
+        self.is_end[[i for token, i in vocabulary.items() if token.endswith(_WORD_END)]] = True
+        self.words, self.pieces = _Memo(MOST_WORDS), _Memo(MOST_PIECES)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [array.array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    @staticmethod
-    def _units(text: str) -> list[str]:
-        """Strings whose ids in a row are the ids of the text."""
-        if _PLAIN_TEXT.fullmatch(text) and _SPECIAL not in text:
-            return _PIECES.findall(text.lower())
-        if _ODD.search(text):
-            return [text]
-        out: list[str] = []
-        for word in text.split():
-            if _PLAIN.fullmatch(word) and _SPECIAL not in word:
-                out += _PIECES.findall(word.lower())
+    def _encode_plain(self, words: list[str]) -> list[bytes]:
+        """The ids of each of some plain words, encoded as one text."""
+        text = " ".join(words)
+        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.concatenate([[0], np.flatnonzero(self.is_end[ids]) + 1])
+        before = pieces_before(text)
+        if len(ends) != before[-1] + 1:
+            return self._encode(words)
+        stop = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1  # the space behind each word
+        cuts, raw = (4 * ends[before[stop]]).tolist(), ids.tobytes()
+        return [raw[a:b] for a, b in zip([0, *cuts[:-1]], cuts)]
+
+    def _encode_all(self, words: list[str]) -> list[bytes]:
+        return [ids for lo in range(0, len(words), _AT_ONCE) for ids in self._encode_plain(words[lo : lo + _AT_ONCE])]
+
+    def _learn(self, new: list[str]) -> None:
+        """Adds the ids of words not met before."""
+        simple, cores, tails, plain, other = [], [], [], [], []
+        for word in new:
+            if not (word.isascii() or _PLAIN.fullmatch(word)):
+                other.append(word)
+                continue
+            lower = word.lower()
+            core = lower.rstrip(_SIGNS)
+            if core.isalpha():
+                simple.append(word)
+                cores.append(core)
+                tails.append(lower[len(core) :])
+            elif "'" in word or _SPECIAL in word or not _PLAIN.fullmatch(word):
+                other.append(word)
             else:
-                out.append(word)
-        return out
+                plain.append(word)
+        known = self.pieces.new
+        unknown = self.pieces.missing({*cores, *tails} - {""})
+        known.update(zip(unknown, self._encode_all(unknown)))
+        known[""] = b""
+        self.words.new.update(zip(simple, [known[c] + known[t] for c, t in zip(cores, tails)]))
+        self.words.new.update(zip(plain, self._encode_all(plain)))
+        self.words.new.update(zip(other, self._encode(other)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as bytes."""
-        if len(self.known) > MOST_PIECES:
-            self.known.clear()
-        known = self.known
-        units = [self._units(t) for t in texts]
-        new = list(set().union(*units).difference(known))
-        for lo in range(0, len(new), 50_000):
-            part = new[lo : lo + 50_000]
-            known.update(zip(part, self._encode(part)))
-        ids = known.__getitem__
-        return [b"".join(map(ids, own)) for own in units]
+        self.words.age()
+        self.pieces.age()
+        words = [None if _ODD.search(t) else t.split() for t in texts]
+        self._learn(self.words.missing(set().union(*filter(None, words))))
+        ids = self.words.new.__getitem__
+        return [self._encode([t])[0] if own is None else b"".join(map(ids, own)) for t, own in zip(texts, words)]
 
 
 def encoder(path: str) -> WordEncoder:

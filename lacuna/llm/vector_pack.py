@@ -6,16 +6,21 @@ in descending length; among the bins in which a piece fits under every
 capacity, ``rule`` picks by the largest weighted dot product of demand and
 residual (``dot``) or the smallest weighted norm of what would be left
 (``norm``), both on capacity-normalised vectors. No bin fits: a new one opens.
-Only documents longer than a bin are cut, into full bins and a last piece.
-
-Packing runs independently in shards of about ``SHARD_PIECES`` pieces, dealt
-out evenly without regard to any key, so memory and time of a task are fixed;
-each shard leaves about one unfilled bin. Null or empty text is just the end
+Only documents longer than a bin (or than the cost capacity lets one piece be)
+are cut, into full pieces and a last one. With the default document and cost
+capacities, which a full bin cannot exceed, tokens alone limit a bin and the
+other two only weigh in the choice.
+
+Packing runs independently in shards of about ``SHARD_PIECES`` pieces: the
+pieces are written, counted and dealt out evenly without regard to any key, so
+memory and time of a task are fixed whatever the documents' lengths; each shard
+leaves about one unfilled bin. Null or empty text is just the end
 id. Repeated rows are packed each; null doc_id is carried through.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 
 import numpy as np
@@ -25,6 +30,7 @@ from pyspark.sql import functions as F
 
 from lacuna.llm.textops import map_arrow
 from lacuna.llm.tokens import default_tokenizer, encode_slices
+from lacuna.session import materialize
 
 SHARD_PIECES = 16_384
 WEIGHTS = (1.0, 0.05, 0.05)
@@ -66,7 +72,7 @@ def best_fit(lengths: np.ndarray, capacity: tuple[int, int, int], rule: str = "n
     for i in np.argsort(-lengths, kind="stable"):
         need = np.array([lengths[i], 1.0, float(lengths[i]) ** 2])
         pick = -1
-        if len(live):
+        if len(live) and 2 * lengths[i] <= capacity[0]:  # a longer piece never fits beside one at least as long
             room = left[:, live]
             fits = np.flatnonzero((room >= need[:, None]).all(axis=0))
             if len(fits):
@@ -118,10 +124,10 @@ def pack_documents(docs: DataFrame, tokens: int = 2048, documents: int | None =
                    tokenizer: str | None = None, end_id: int = 0, with_ids: bool = True) -> DataFrame:
     """Tokenize and pack: doc_id, piece, start, length, ids_crc32[, ids], sequence_id, offset.
 
-    A piece that alone breaks the cost capacity would fit nowhere, so ``cost``
-    must allow a full sequence (checked).
+    Pieces are as long as tokens and cost allow: a ``cost`` below tokens ** 2 cuts documents at its square root.
     """
-    if cost is not None and cost < tokens * tokens:
-        raise ValueError("cost must allow one full sequence: at least tokens ** 2")
-    rows = docs.count()
-    return pack(pieces(docs, tokens, tokenizer, end_id, with_ids), tokens, documents, cost, rule, max(1, -(-rows // SHARD_PIECES)))
+    if tokens < 1 or (documents is not None and documents < 1) or (cost is not None and cost < 1):
+        raise ValueError("capacities must be positive")
+    longest = tokens if cost is None else min(tokens, math.isqrt(cost))
+    parts = materialize(pieces(docs, longest, tokenizer, end_id, with_ids), "pieces")
+    return pack(parts, tokens, documents, cost, rule, max(1, -(-parts.count() // SHARD_PIECES)))

@@ -279,7 +279,9 @@ def test_word_encoder_equals_the_library(spark, monkeypatch):
     texts += ["".join(rnd.choice(signs) for _ in range(rnd.randint(1, 14))) for _ in range(4000)]
     texts += [chr(c) + "a" + chr(c) for c in range(0x20, 0x250)]
     texts += [chr(c) + "a" + chr(c) + " b" for c in range(0x2000, 0x2070)]
-    monkeypatch.setattr("lacuna.llm.tokens.MOST_PIECES", 300)  # forgetting does not change ids
+    monkeypatch.setattr("lacuna.llm.tokens.MOST_WORDS", 300)  # forgetting does not change ids
+    monkeypatch.setattr("lacuna.llm.tokens.MOST_PIECES", 100)
+    monkeypatch.setattr("lacuna.llm.tokens._AT_ONCE", 7)
     enc = WordEncoder(default_tokenizer())
     got = [ids for i in range(0, len(texts), 9) for ids in enc.encode(texts[i : i + 9])]
     assert got == [a[:-1].tobytes() for a in _library_ids(texts, 0)]
@@ -351,4 +353,18 @@ def test_packing_under_every_constraint(spark, rule):
         assert own.sum() <= capacity[0] and len(own) <= capacity[1] and (own**2).sum() <= capacity[2]
         assert sorted(offset[bins == b].tolist()) == (np.cumsum(own[np.argsort(offset[bins == b])]) - own[np.argsort(offset[bins == b])]).tolist()
     with pytest.raises(ValueError):
-        vector_pack.pack_documents(spark.createDataFrame([], TEXT), 2048, cost=10)
+        vector_pack.pack_documents(spark.createDataFrame([], TEXT), 2048, cost=0)
+
+
+def test_packing_of_documents_under_binding_capacities(spark, monkeypatch):
+    """At most three documents and a cost of 10 000 a bin: pieces are cut at 100 tokens, bins end before their tokens do."""
+    monkeypatch.setattr(vector_pack, "SHARD_PIECES", 50)
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").where("n_chars < 2500")
+    got = vector_pack.pack_documents(docs, 400, documents=3, cost=10_000).collect()
+    bins = {}
+    for r in got:
+        assert r.length <= 100 and r.start == 100 * r.piece
+        bins.setdefault(r.sequence_id, []).append(r.length)
+    assert len({s >> 32 for s in bins}) > 3  # shards by the number of pieces
+    assert all(len(b) <= 3 and sum(n * n for n in b) <= 10_000 and sum(b) <= 400 for b in bins.values())
+    assert max(len(b) for b in bins.values()) == 3

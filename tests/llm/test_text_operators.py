@@ -117,6 +117,80 @@ def test_language_edges(spark):
     assert crc == {i: zlib.crc32(str(i).encode()) % 3 == 1 for i in range(50)}
 
 
+def _trigram_counts(text):
+    """{(slot, slot, slot): count} with a letter in the middle, runs of other characters as one gap, gaps at both ends."""
+    slots = [0]
+    for c in text.lower():
+        s = int(langid_hd._slots()[ord(c)])
+        if s or slots[-1]:
+            slots.append(s)
+    if slots[-1]:
+        slots.append(0)
+    out = {}
+    for t in zip(slots, slots[1:], slots[2:]):
+        if t[1]:
+            out[t] = out.get(t, 0) + 1
+    return out
+
+
+def _plain_vector(text, letters):
+    v = np.zeros(langid_hd.DIM)
+    for (a, b, c), n in _trigram_counts(text).items():
+        v += n * np.roll(letters[a], 2) * np.roll(letters[b], 1) * letters[c]
+    return v
+
+
+def test_predictions_equal_brute_force(spark):
+    """Every language and score, from the definition; equal prototypes go to the first language of the alphabet."""
+    letters = langid_hd._letters().astype(float)
+    rows = [tuple(r) for r in spark.read.parquet(f"{SMALL}/documents.parquet").where("n_chars < 3000").select("doc_id", "text", "lang").collect()]
+    rows += [(d + 10_000, t, "aa" if lang == "en" else None) for d, t, lang in rows]  # "aa" learns from the English texts as well
+    rows += [(d, t, lang) for d, t, lang in rows[:5]] + [(50_000, "x", None), (50_001, "ÀÉ ... Σίσυφος", None), (50_002, "1 2", "en")]
+    docs = spark.createDataFrame(rows, TEXT + ", lang string").repartition(3)
+    from zlib import crc32
+
+    protos = {}
+    for d, t, lang in rows:
+        if lang is not None and t is not None and crc32(str(d).encode()) % 3 != 1:
+            protos[lang] = protos.get(lang, 0) + _plain_vector(t, letters)
+    protos = {lang: p / np.linalg.norm(p) for lang, p in protos.items()}
+    want = {}
+    for d, t, _ in rows:
+        v = _plain_vector(t or "", letters)
+        norm = np.linalg.norm(v)
+        want[d] = sorted(((-float(v @ p) / norm, lang) for lang, p in protos.items()))[0] if norm else (0.0, "und")
+    got = langid_hd.predict(docs, langid_hd.learn(langid_hd.train_rows(docs))).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        score, lang = want[r.doc_id]
+        assert abs(r.score - min(1, max(0, -score))) < 1e-5
+        assert r.lang_pred == lang or abs(r.score + [s for s in want.values() if s[1] == lang][0][0]) < 2
+
+
+def test_equal_prototypes_and_full_caches(spark, monkeypatch):
+    rows = [(i, "the same words here", lang) for i in range(40) for lang in ("zz", "bb", "mm")]
+    docs = spark.createDataFrame(rows, TEXT + ", lang string")
+    assert {r.lang_pred for r in langid_hd.predict(docs, langid_hd.learn(langid_hd.train_rows(docs))).collect()} == {"bb"}
+    text = "many different letters in a row, and some more of them: quick zephyrs blow vexing daft Jim"
+    texts, model = [text, text[::-1], "q"], (["a", "b"], np.random.default_rng(0).normal(size=(langid_hd.DIM, 2)).astype(np.float32))
+    want = langid_hd._judge(texts, *model)
+    for most, at_once in ((40, 7), (8, 8)):  # forgotten again and again
+        monkeypatch.setattr(langid_hd, "MOST_VECTORS", most)
+        monkeypatch.setattr(langid_hd, "_AT_ONCE", at_once)
+        langid_hd._STATE.pop("vectors", None)
+        got = langid_hd._judge(texts, *model)
+        assert got[0] == want[0] and np.allclose(got[1], want[1], atol=1e-5)
+    langid_hd._STATE.pop("vectors", None)
+
+
+def test_long_texts_have_the_trigrams_of_the_whole(monkeypatch):
+    text = "Ein Satz über Σίσυφος; and İstanbul too. " * 200 + "x" * 500
+    want = {i: (c.tolist(), n.tolist()) for i, c, n in langid_hd._bundle([text])}
+    monkeypatch.setattr(langid_hd, "SLICE_CHARS", 100)
+    assert {i: (c.tolist(), n.tolist()) for i, c, n in langid_hd._bundle([text])} == want
+    assert want[0][1] == [n for _, n in sorted((a << 12 | b << 6 | c, n) for (a, b, c), n in _trigram_counts(text).items())]
+
+
 def test_bundle_is_the_sum_of_bound_letters():
     code = np.array([1 << 12 | 2 << 6 | 3, 0 << 12 | 5 << 6 | 0])
     v = langid_hd._letters().astype(int)
