@@ -246,8 +246,17 @@ def narratives(gold: DataFrame) -> DataFrame:
 def insight_cards(gold: DataFrame, donors: DataFrame) -> DataFrame:
     """FUNDING_GAP, MISMATCH_RANK, DONOR_RISK and SECTOR_BREAKDOWN cards for every crisis (one row per card).
 
-    The sector card lists the worst sectors of the crisis's country and year by coverage.
+    The sector card lists the worst sectors of the crisis's country and year by coverage. ``chart_data`` (funded and gap) is
+    filled in funding cards, ``factors`` (the five score factors) in rank cards, ``sectors`` in sector cards.
     """
+    none = {"chart_data": "array<struct<label:string,value:double,color:string>>",
+            "factors": "struct<need_weight:double,gap_severity:double,structural_multiplier:double,urgency_weight:double,visibility_penalty:double>",
+            "sectors": "array<struct<sector:string,cov:double,reqs:double>>"}
+
+    def details(source: str, **filled: Column) -> list[Column]:
+        return [filled.get(n, F.lit(None)).cast(t).alias(n) for n, t in none.items()] + [F.lit(f"Data: {source}{C.CARD_ATTRIBUTION}").alias("attribution")]
+
+    zero = lambda c, default=0.0: F.coalesce(F.col(c).cast("double"), F.lit(default))
     gap = F.greatest(F.lit(0.0), F.col("requirements_usd") - F.col("funding_usd"))
     d = donors.select("crisis_id", "hhi_index", "top_donor_name", "top_donor_share")
     base = gold.join(d, "crisis_id", "left")
@@ -257,6 +266,9 @@ def insight_cards(gold: DataFrame, donors: DataFrame) -> DataFrame:
         F.format_string("Only %s%% funded", F.round(F.col("coverage_ratio") * 100, 1).cast("string")).alias("headline"),
         F.format_string("$%s USD gap remains", _fmt_int(F.round(gap, 0))).alias("subtext"),
         gap.alias("card_value"),
+        *details(C.CARD_SOURCES["FUNDING_GAP"], chart_data=F.array(*[
+            F.struct(F.lit(label).alias("label"), value.cast("double").alias("value"), F.lit(color).alias("color"))
+            for (label, color), value in zip(C.CARD_CHART, (zero("funding_usd"), gap))])),
     )
     rank = base.select(
         "crisis_id", F.lit("MISMATCH_RANK").alias("card_type"),
@@ -264,6 +276,8 @@ def insight_cards(gold: DataFrame, donors: DataFrame) -> DataFrame:
         F.format_string("Ranked #%s globally", F.col("global_rank").cast("string")).alias("headline"),
         F.format_string("MismatchScore: %s", F.format_number(F.col("mismatch_score"), 3)).alias("subtext"),
         F.col("mismatch_score").alias("card_value"),
+        *details(C.CARD_SOURCES["MISMATCH_RANK"], factors=F.struct(
+            zero("need_weight"), zero("gap_severity"), zero("structural_multiplier", 1.0), zero("urgency_weight", 1.0), zero("visibility_penalty", 1.0))),
     )
     risk = base.select(
         "crisis_id", F.lit("DONOR_RISK").alias("card_type"),
@@ -271,9 +285,11 @@ def insight_cards(gold: DataFrame, donors: DataFrame) -> DataFrame:
         F.when(F.coalesce("hhi_index", F.lit(0.0)) > C.HHI_HIGH, F.lit("HIGH")).otherwise(F.lit("MEDIUM")).alias("headline"),
         F.coalesce("top_donor_name", F.lit("Unknown")).alias("subtext"),
         F.coalesce("hhi_index", F.lit(0.0)).alias("card_value"),
+        *details(C.CARD_SOURCES["DONOR_RISK"]),
     )
-    listed = worst_sectors(gold).groupBy("iso3", "year").agg(
-        F.array_sort(F.collect_list(F.struct("position", "sector", "cov"))).alias("_worst")
+    reqs = gold.select("iso3", "year", "sector", "requirements_usd")
+    listed = worst_sectors(gold).join(reqs, ["iso3", "year", "sector"]).groupBy("iso3", "year").agg(
+        F.array_sort(F.collect_list(F.struct("position", "sector", "cov", "requirements_usd"))).alias("_worst")
     )
     sectors = gold.join(listed, ["iso3", "year"]).select(
         "crisis_id", F.lit("SECTOR_BREAKDOWN").alias("card_type"),
@@ -281,6 +297,7 @@ def insight_cards(gold: DataFrame, donors: DataFrame) -> DataFrame:
         F.format_string("%s sectors", F.size("_worst").cast("string")).alias("headline"),
         F.array_join(F.transform("_worst", lambda s: F.concat(s["sector"], F.lit(" "), F.round(s["cov"] * 100, 1).cast("string"), F.lit("%"))), ", ").alias("subtext"),
         F.col("_worst")[0]["cov"].alias("card_value"),
+        *details(C.CARD_SOURCES["SECTOR_BREAKDOWN"], sectors=F.transform("_worst", lambda s: F.struct(s["sector"], s["cov"], F.coalesce(s["requirements_usd"].cast("double"), F.lit(0.0))))),
     )
     return funding.unionByName(rank).unionByName(risk).unionByName(sectors)
 

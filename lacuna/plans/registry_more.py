@@ -20,6 +20,7 @@ from lacuna.functions.lookups import lookup_frame
 from lacuna.operators import normalize as N
 from lacuna.operators import quality as Q
 from lacuna.operators.ordinal import global_cumsum, global_row_number
+from lacuna.plans import api as A
 from lacuna.plans import eda as EDA
 from lacuna.plans import medallion as P
 from lacuna.plans import registry as R
@@ -29,11 +30,12 @@ from lacuna.sources import csv as CSV
 from lacuna.sources import json_ingest as J
 from lacuna.sources import tables as TB
 from lacuna.sources import testdata as TD
-from lacuna.streaming import ingest
+from lacuna.sources import workbook as WB
+from lacuna.streaming import ingest, sliding
 
 DOUBLES = R.DOUBLES | {
     "o_totalprice", "running_total", "raw_coverage", "acctbal", "mean_coverage", "mean_confidence", "min_score", "max_score",
-    "max_multiplier", "in_need", "population", "targeted", "inform_risk",
+    "max_multiplier", "funded", "gap", "need_weight", "gap_severity", "structural_multiplier", "urgency_weight", "visibility_penalty", "sector_reqs", "in_need", "population", "targeted", "inform_risk",
 }
 
 
@@ -274,19 +276,21 @@ def _s4b(spark, sf):
 
 # --- CSV and table sources and sinks ------------------------------------------------------
 @register("s11_csv_round_trip", ["c_custkey", "c_name", "acctbal", "c_mktsegment"], """
-SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name || CASE WHEN c_custkey % 4 = 0 THEN ', "the ' || c_mktsegment || '"' ELSE '' END AS c_name,
+SELECT CAST(c_custkey AS VARCHAR) AS c_custkey,
+       c_name || CASE c_custkey % 4 WHEN 0 THEN ', "the ' || c_mktsegment || '"' WHEN 1 THEN chr(10) || 'of "' || c_mktsegment || '", too' ELSE '' END AS c_name,
        c_acctbal AS acctbal, CASE WHEN c_custkey % 6 = 0 THEN NULL ELSE c_mktsegment END AS c_mktsegment FROM customer""")
 def _s11(spark, sf):
-    """S11 + S1 + P5: customers exported as CSV (quotes, commas, nulls) and read back as strings."""
-    name = F.concat("c_name", F.when(F.col("c_custkey") % 4 == 0, F.concat(F.lit(', "the '), F.col("c_mktsegment"), F.lit('"'))).otherwise(F.lit("")))
+    """S11 + S1 + P5: customers exported as CSV (quotes, commas, line breaks, nulls) and read back by the S1 scan."""
+    part = F.col("c_custkey") % 4
+    name = F.concat("c_name", F.when(part == 0, F.concat(F.lit(', "the '), F.col("c_mktsegment"), F.lit('"')))
+                    .when(part == 1, F.concat(F.lit('\nof "'), F.col("c_mktsegment"), F.lit('", too'))).otherwise(F.lit("")))
     cust = TD.read_table(spark, sf, "customer").select(
         "c_custkey", name.alias("c_name"), F.col("c_acctbal").cast("decimal(18,2)").alias("acctbal"),
         F.when(F.col("c_custkey") % 6 != 0, F.col("c_mktsegment")).alias("c_mktsegment"),
     )
     path = _folder(spark, "customers-csv")
     TB.export_csv(cust, path)
-    back = spark.read.option("header", True).option("quote", '"').option("escape", '"').csv(path)
-    return CSV.numeric(back, ["acctbal"])
+    return CSV.numeric(CSV.read_csv_strings(spark, path), ["acctbal"])
 
 
 @register("s1_csv_rows", ["a", "b"], """
@@ -356,6 +360,19 @@ def _s3(spark, sf):
     return CSV.severity_sheet(spark, path)
 
 
+@register("s3_workbook_scan", ["source_file", "c_custkey", "c_name", "acctbal", "c_mktsegment"], """
+SELECT 'customers-' || CAST(c_custkey // 500 AS VARCHAR) || '.xlsx' AS source_file, CAST(c_custkey AS VARCHAR) AS c_custkey, c_name || ' & <co>' AS c_name,
+       CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE c_acctbal END AS acctbal, CASE WHEN c_custkey % 6 = 0 THEN NULL ELSE c_mktsegment END AS c_mktsegment
+FROM customer""")
+def _s3b(spark, sf):
+    """S3 + P5 + P6: customers written as workbooks of 500 keys each (title row, shared strings, numbers, blanks) and read back."""
+    cust = TD.read_table(spark, sf, "customer").select(
+        F.concat(F.lit("customers-"), F.floor(F.col("c_custkey") / 500).cast("string")).alias("book"), "c_custkey", F.concat("c_name", F.lit(" & <co>")).alias("c_name"),
+        F.when(F.col("c_custkey") % 5 != 0, F.col("c_acctbal").cast("double")).alias("acctbal"), F.when(F.col("c_custkey") % 6 != 0, F.col("c_mktsegment")).alias("c_mktsegment"))
+    books = materialize(WB.to_workbooks(cust, "book", "Customers", [["Customers of the bank", None]]), "workbooks")
+    return CSV.numeric(WB.sheet_table(WB.read_cells(books), "Customers", header_row=1), ["acctbal"])
+
+
 @register("s14_population_baseline", ["iso3", "year", "population"], """
 SELECT 'N' || lpad(CAST(c_nationkey AS VARCHAR), 2, '0') AS iso3, CAST(2000 + c_custkey % 3 AS INTEGER) AS year,
        CAST(SUM(CASE WHEN c_custkey % 10 = 0 THEN NULL ELSE 1000 + c_custkey END) AS BIGINT) AS population FROM customer GROUP BY 1, 2""")
@@ -408,15 +425,94 @@ def _s8(spark, sf):
     return read.groupBy("c_custkey", "c_mktsegment").agg(F.count(F.lit(1)).cast("int").alias("copies"))
 
 
-@register("g1_incremental_load", ["user_id", "n_events"], """
-SELECT user_id, COUNT(DISTINCT event_id) AS n_events FROM events GROUP BY user_id""")
+@register("g1_incremental_load", ["user_id", "n_events", "first_day", "last_day"], """
+SELECT user_id, COUNT(DISTINCT event_id) AS n_events, CAST(MIN(ts) AS DATE) AS first_day, CAST(MAX(ts) AS DATE) AS last_day FROM events GROUP BY user_id""")
 def _g1(spark, sf):
-    """G1 + S13: events landed twice, loaded incrementally without duplicates (availableNow), counted per user."""
+    """G1 + S13: events landed in three deliveries, the earliest ones last and a third of them twice, loaded incrementally, counted per user."""
     ev = TD.read_table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     landing, sink, checkpoint = (_folder(spark, n) for n in ("landing", "loaded", "load-state"))
-    ev.unionByName(ev.where(F.col("event_id") % 3 == 0)).write.parquet(landing)
-    ingest.start_incremental_load(spark, landing, ev.schema, ["event_id"], "ts", sink, checkpoint, watermark="400 days").awaitTermination()
-    return spark.read.parquet(sink).groupBy("user_id").agg(F.count(F.lit(1)).alias("n_events"))
+    late = F.day("ts") <= 10
+    for rows in (ev.where(~late), ev.where(late & (F.col("event_id") % 2 == 0)), ev.where(late | (F.col("event_id") % 3 == 0))):
+        rows.write.mode("append").parquet(landing)
+        ingest.start_incremental_load(spark, landing, ev.schema, ["event_id"], "ts", sink, checkpoint, key_fixes_time=True).awaitTermination()
+    rows = ingest.loaded(spark, sink, ev.schema)
+    return rows.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_events"), F.to_date(F.min("ts")).alias("first_day"), F.to_date(F.max("ts")).alias("last_day"))
+
+
+@register("s9_in_place_update", ["crisis_id", "year", "funding_usd", "state"], """
+SELECT crisis_id, year, funding_usd, 'kept' AS state FROM gold WHERE year % 2 = 0
+UNION ALL SELECT crisis_id, year, funding_usd * 2, 'updated' FROM gold WHERE year % 2 <> 0 AND sector <> (SELECT MIN(sector) FROM gold)
+UNION ALL SELECT crisis_id || '_new', year, 1.0, 'added' FROM gold WHERE year % 2 <> 0 AND sector = (SELECT MAX(sector) FROM gold)""")
+def _s9b(spark, sf):
+    """One table read, changed and overwritten in place: in odd years funding doubles, one sector's rows go and rows are added."""
+    g = P.gold_index(spark, sf).select("crisis_id", "year", "sector", "funding_usd")
+    name = f"index_{uuid.uuid4().hex[:12]}"
+    g.select("crisis_id", "funding_usd", F.lit("kept").alias("state"), "year").repartition("year").write.partitionBy("year").option("path", _folder(spark, name)).saveAsTable(name)
+    least, most = g.agg(F.min("sector"), F.max("sector")).first()
+    odd = g.where(F.col("year") % 2 != 0)
+    ups = odd.where(F.col("sector") != least).select("crisis_id", (F.col("funding_usd") * 2).alias("funding_usd"), F.lit("updated").alias("state"), "year")
+    new = odd.where(F.col("sector") == most).select(F.concat("crisis_id", F.lit("_new")).alias("crisis_id"), F.lit(1.0).alias("funding_usd"), F.lit("added").alias("state"), "year")
+    TB.overwrite_partitions(ups.unionByName(new), name, ["crisis_id", "year"], deletes=odd.where(F.col("sector") == least).select("crisis_id", "year"))
+    out = materialize(spark.table(name), "updated-index")
+    spark.sql(f"DROP TABLE {name}")
+    return out
+
+
+@register("g2_sliding_attention", ["iso3", "window_start", "window_end", "article_count"], """
+, per_day AS (SELECT nat.iso3, CAST(ts AS DATE) AS day FROM events JOIN nat ON CAST(events.user_id % 25 AS INTEGER) = nat.nationkey)
+SELECT iso3, day - CAST(k AS INTEGER) AS window_start, day - CAST(k AS INTEGER) + 30 AS window_end, COUNT(*) AS article_count
+FROM per_day, range(30) AS r(k) GROUP BY 1, 2, 3""")
+def _g2b(spark, sf):
+    """G2 (stream): 30-day attention windows with a daily slide, kept as state per country, over deliveries with the latest days first."""
+    ev = TD.read_table(spark, sf, "events")
+    landing, sink, checkpoint = (_folder(spark, n) for n in ("articles", "windows", "window-state"))
+    nations = F.broadcast(TD.nations(spark, sf).select("nationkey", "iso3"))
+    store = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(store, None)
+    spark.conf.set(store, sliding.ROCKS)
+    try:
+        for late in (False, True):
+            ev.where((F.day("ts") <= 12) == late).write.mode("append").parquet(landing)
+            articles = spark.readStream.schema(ev.schema).parquet(landing).join(nations, (F.col("user_id") % 25).cast("int") == F.col("nationkey"))
+            sliding.start_sliding_counts(articles, F.col("iso3"), "ts", sink, checkpoint).awaitTermination()
+    finally:
+        spark.conf.unset(store) if before is None else spark.conf.set(store, before)
+    found = sliding.latest_windows(spark.read.parquet(sink))
+    return found.select(F.col("key").alias("iso3"), "window_start", "window_end", F.col("n").alias("article_count"))
+
+
+@register("p20_build_time", ["kind", "n_rows", "n_set", "n_times"], """
+SELECT 'timestamp' AS kind, COUNT(*) AS n_rows, COUNT(*) AS n_set, CAST(1 AS BIGINT) AS n_times FROM gold""")
+def _p20(spark, sf):
+    """P20: the index with its build time: a timestamp, set in every row, one for the whole build."""
+    built = P.score(P.base_index(spark, sf), updated_at=True)
+    return built.agg(F.max(F.typeof("updated_at")).alias("kind"), F.count(F.lit(1)).alias("n_rows"), F.count("updated_at").alias("n_set"), F.count_distinct("updated_at").alias("n_times"))
+
+
+@register("f17_card_details", ["crisis_id", "card_type", "attribution", "funded", "gap", "need_weight", "gap_severity", "structural_multiplier",
+                               "urgency_weight", "visibility_penalty", "n_sectors", "sector_reqs"], """
+, cards AS (SELECT UNNEST([{'t': 'FUNDING_GAP', 's': 'UN OCHA FTS'}, {'t': 'MISMATCH_RANK', 's': 'UN OCHA / INFORM'},
+                           {'t': 'DONOR_RISK', 's': 'UN OCHA CBPF'}, {'t': 'SECTOR_BREAKDOWN', 's': 'UN OCHA FTS'}]) AS c),
+worst AS (SELECT iso3, year, CAST(COUNT(*) AS INTEGER) AS n, SUM(requirements_usd) AS r
+          FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY iso3, year ORDER BY coverage_ratio, sector) AS rn FROM gold) x WHERE rn <= 8 GROUP BY iso3, year)
+SELECT crisis_id, c.t AS card_type, 'Data: ' || c.s || ' / Lacuna' AS attribution,
+       CASE WHEN c.t = 'FUNDING_GAP' THEN COALESCE(funding_usd, 0.0) END AS funded,
+       CASE WHEN c.t = 'FUNDING_GAP' THEN GREATEST(0.0, requirements_usd - funding_usd) END AS gap,
+       CASE WHEN c.t = 'MISMATCH_RANK' THEN COALESCE(need_weight, 0.0) END AS need_weight,
+       CASE WHEN c.t = 'MISMATCH_RANK' THEN COALESCE(gap_severity, 0.0) END AS gap_severity,
+       CASE WHEN c.t = 'MISMATCH_RANK' THEN COALESCE(structural_multiplier, 1.0) END AS structural_multiplier,
+       CASE WHEN c.t = 'MISMATCH_RANK' THEN COALESCE(urgency_weight, 1.0) END AS urgency_weight,
+       CASE WHEN c.t = 'MISMATCH_RANK' THEN COALESCE(visibility_penalty, 1.0) END AS visibility_penalty,
+       CASE WHEN c.t = 'SECTOR_BREAKDOWN' THEN w.n END AS n_sectors, CASE WHEN c.t = 'SECTOR_BREAKDOWN' THEN w.r END AS sector_reqs
+FROM gold JOIN worst w USING (iso3, year), cards""")
+def _f17b(spark, sf):
+    """chart data, score factors and listed sectors of the insight cards."""
+    cards = A.insight_cards(R.gold(spark, sf), R.donors(spark, sf))
+    has = F.col("sectors").isNotNull()
+    return cards.select(
+        "crisis_id", "card_type", "attribution", F.col("chart_data")[0]["value"].alias("funded"), F.col("chart_data")[1]["value"].alias("gap"), "factors.*",
+        F.when(has, F.size("sectors")).alias("n_sectors"),
+        F.when(has, F.aggregate("sectors", F.lit(0.0), lambda a, x: a + x["reqs"])).alias("sector_reqs"))
 
 
 @register("s9_layer_tables", ["layer_table", "n_rows"], """

@@ -4,15 +4,16 @@ S1: every column is read as a string with the header's names. A row with more
 cells than the header is dropped, also when the surplus cells are empty; a
 short row is kept, padded with nulls. The reader keeps the raw line of every
 row whose number of cells differs, and a marker appended to that line tells
-which of the two it is. The BOM of the first header cell is stripped.
-Only the header line goes through the driver; the data is read by the CSV
-data source in parallel.
+which of the two it is. Cells may be quoted: commas, doubled quotes and line breaks inside
+quotes belong to the cell. The BOM of the first header cell is stripped.
+Only the header goes through the driver; the data is read by the CSV data
+source in parallel, one task a file, since a line break may be part of a cell.
+Pass ``multi_line=False`` for large files without such cells: they are then
+split. A file has one kind of line end.
 """
 
 from __future__ import annotations
 
-import csv as _csv
-import io
 import re
 from functools import reduce
 
@@ -21,22 +22,25 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lacuna.functions.cleaning import camel_to_snake, hxl_row, tolerant_double, year_from_date_text
+from lacuna.session import materialize
+from lacuna.sources.workbook import read_workbooks, sheet_table
 
 RAW = "_raw_line"
 _END = "\u0001end\u0001"
+_QUOTING = {"quote": '"', "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": RAW}
 
 
-def read_header(spark: SparkSession, path: str) -> list[str]:
-    first = spark.read.text(path).limit(1).collect()
-    if not first:
-        return []
-    line = first[0][0].lstrip("﻿")
-    return next(_csv.reader(io.StringIO(line)))
+def read_header(spark: SparkSession, path: str, multi_line: bool = True) -> list[str]:
+    """The cells of the first record, also when they hold quotes or line breaks; empty for an empty file."""
+    reader = spark.read.options(**_QUOTING).option("multiLine", multi_line).option("encoding", "UTF-8")
+    found = reader.csv(path)
+    first = found.first() if found.columns else None
+    return [] if first is None else [(c or "").lstrip("\ufeff") if i == 0 else c or "" for i, c in enumerate(first)]
 
 
-def read_csv_strings(spark: SparkSession, path: str, skip_second_header: bool = False) -> DataFrame:
+def read_csv_strings(spark: SparkSession, path: str, skip_second_header: bool = False, multi_line: bool = True) -> DataFrame:
     """S1 (+ S2): all-string scan, over-long rows dropped, short rows null-padded."""
-    names = read_header(spark, path)
+    names = read_header(spark, path, multi_line)
     seen: dict[str, int] = {}
     cols = []
     for n in names:
@@ -50,11 +54,11 @@ def read_csv_strings(spark: SparkSession, path: str, skip_second_header: bool =
     schema = T.StructType([T.StructField(c, T.StringType(), True) for c in cols] + [T.StructField(RAW, T.StringType(), True)])
     df = (
         spark.read.schema(schema)
+        .options(**_QUOTING)
         .option("header", True)
-        .option("mode", "PERMISSIVE")
+        .option("multiLine", multi_line)
         .option("enforceSchema", True)
         .option("encoding", "UTF-8")
-        .option("columnNameOfCorruptRecord", RAW)
         .option("columnPruning", False)  # all cells are counted whatever is selected
         .csv(path)
     )
@@ -62,16 +66,19 @@ def read_csv_strings(spark: SparkSession, path: str, skip_second_header: bool =
 
 
 def read_csv_rows(lines: DataFrame, cols: list[str], skip_second_header: bool = False) -> DataFrame:
-    """S1 (+ S2) for header-less CSV lines (column ``value``) with known column names."""
+    """S1 (+ S2) for header-less CSV records (column ``value``, one record a row) with known column names."""
     schema = ", ".join(f"`{c}` string" for c in [*cols, RAW])
-    cells = F.from_csv("value", F.lit(schema), {"columnNameOfCorruptRecord": RAW, "mode": "PERMISSIVE"})
+    cells = F.from_csv("value", F.lit(schema), _QUOTING)
     return _fitting_rows(lines.select(cells.alias("_cells")).select("_cells.*"), cols, skip_second_header)
 
 
 def _fitting_rows(df: DataFrame, cols: list[str], skip_second_header: bool) -> DataFrame:
-    marked = F.from_csv(F.concat(F.col(RAW), F.lit(f",{_END}")), F.lit(", ".join(f"`{i}` string" for i in range(len(cols)))))
+    record = F.regexp_replace(RAW, r"[\r\n]+\z", "")
+    marked = F.from_csv(F.concat(record, F.lit(f",{_END}")), F.lit(", ".join(f"`{i}` string" for i in range(len(cols)))), {k: _QUOTING[k] for k in ("quote", "escape", "mode")})
     short = F.exists(F.array(*[marked[str(i)] for i in range(len(cols))]), lambda c: F.coalesce(c == _END, F.lit(False)))
-    df = df.where(F.col(RAW).isNull() | short).drop(RAW)
+    # always true; a scan that needs the raw record alone (a count) is refused, so a cell is named as well
+    named = F.length(F.concat_ws("", F.col(f"`{cols[0]}`"))) >= 0 if cols else F.lit(True)
+    df = df.where((F.col(RAW).isNull() | short) & named).drop(RAW)
     if skip_second_header and cols:
         df = df.where(~hxl_row(cols[0]))
     return df
@@ -179,15 +186,40 @@ def population_baseline(df: DataFrame, iso3: str = "iso3", year: str = "year", v
     )
 
 
+# FIXED VALUES: header names of the severity sheet, and the sheet's own name
+SEVERITY_CANDIDATES = {
+    "country": ["country", "countryname", "crisis_name", "location"],
+    "iso3": ["iso3", "country_code", "countrycode", "iso"],
+    "inform_severity": ["inform_severity", "severity", "inform_severity_index", "crisis_severity", "overall_severity", "severity_score"],
+    "inform_risk": ["inform_risk", "risk", "inform_risk_index", "risk_score"],
+    "year": ["year", "date", "period"],
+}
+SEVERITY_SHEET = "INFORM Severity - country"
+
+
+def _severity(df: DataFrame) -> DataFrame:
+    return numeric(resolve_columns(df, SEVERITY_CANDIDATES, "word"), ["inform_severity", "inform_risk"])
+
+
 def severity_sheet(spark: SparkSession, path: str) -> DataFrame:
     """S3: the severity sheet exported as CSV; headers lower/snake-cased with non-word chars stripped."""
-    df = resolve_columns(
-        read_csv_strings(spark, path),
-        {"country": ["country"], "iso3": ["iso3"], "inform_severity": ["inform_severity_index", "inform_severity", "severity"],
-         "inform_risk": ["inform_risk", "risk"], "year": ["year"]},
-        "word",
-    )
-    return numeric(df, ["inform_severity", "inform_risk"]).withColumn("year", F.col("year").try_cast("int"))
+    return _severity(read_csv_strings(spark, path)).withColumn("year", F.col("year").try_cast("int"))
+
+
+def severity_workbook(spark: SparkSession, path: str) -> DataFrame:
+    """S3: the severity workbook: the named sheet with its header in the second row, or else the first sheet.
+
+    Severity is clipped to 0..10; rows without country or severity go; without a year column it is the current year.
+    """
+    cells = materialize(read_workbooks(spark, path), "severity-cells")
+    named = not cells.where((F.col("sheet") == SEVERITY_SHEET) & (F.col("row_no") == 1)).isEmpty()
+    df = _severity(sheet_table(cells, SEVERITY_SHEET, 1) if named else sheet_table(cells))
+    if "inform_severity" not in df.columns:
+        return df.where(F.lit(False))
+    severity = F.col("inform_severity")
+    df = df.withColumn("inform_severity", F.when(severity > 10, 10.0).when(severity < 0, 0.0).otherwise(severity))
+    df = df.withColumn("year", F.col("year").try_cast("int") if "year" in df.columns else F.year(F.current_date()))
+    return df.dropna(subset=[c for c in ("country", "inform_severity") if c in df.columns])
 
 
 def composite_severity(base: DataFrame, signals: dict[str, tuple[DataFrame, float]], keys: list[str] | None = None) -> DataFrame:

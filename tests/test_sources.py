@@ -99,7 +99,82 @@ def test_sinks_and_export(spark, tmp_path):
     out = str(tmp_path / "export")
     TB.export_csv(spark.createDataFrame([('Say "hi"', 2.0, None)], "s string, x double, n string"), out, single_file=True)
     text = "".join(open(os.path.join(out, f)).read() for f in os.listdir(out) if f.endswith(".csv"))
-    assert text.splitlines() == ["s,x,n", '"Say ""hi""",2.0,']
+    assert text.splitlines() == ['"s","x","n"', '"Say ""hi""",2.0,""']
+
+
+def test_export_is_the_text_of_the_reference_format(spark, tmp_path):
+    """Header names, texts and missing cells quoted, numbers bare and as short as Python writes them; a header for an empty frame."""
+    import csv
+    import io
+
+    import pandas as pd
+
+    x = [1.5, 1e7, 12345678.9, 1e15, 1e16, 1.2345678901234567e16, 1e-3, 1.234e-4, 1e-4, 1e-5, 1.5e-7, 1e100, 0.1, -2.5e-5, 123456789012345.6, 0.00012345678901234567, None, float("nan"), -0.0, float("inf")]
+    s = ['Say "hi"', None, "a,b", "l1\nl2"] + ["t"] * (len(x) - 4)
+    rows = [(a, b, i - 3, i % 2 == 0) for i, (a, b) in enumerate(zip(s, x))]
+    name = 'a "quoted", name'
+    want = io.StringIO()
+    pd.DataFrame(rows, columns=[name, "x", "n", "b"]).fillna("").to_csv(want, index=False, quoting=csv.QUOTE_NONNUMERIC)
+    df = spark.createDataFrame(rows, f"`{name}` string, x double, n int, b boolean")
+    read = lambda out: "".join(open(os.path.join(out, f), newline="").read() for f in os.listdir(out) if f.endswith(".csv"))
+    TB.export_csv(df.coalesce(1), str(tmp_path / "a"), single_file=True)
+    assert read(str(tmp_path / "a")) == want.getvalue()
+    TB.export_csv(df.limit(0), str(tmp_path / "b"))
+    assert read(str(tmp_path / "b")) == '"a ""quoted"", name","x","n","b"\n'
+
+
+def test_quoted_cells_are_read_whole(spark, tmp_path):
+    """Doubled quotes, commas and line breaks inside quotes, surplus and missing cells: what pandas reads as strings."""
+    import pandas as pd
+
+    text = (
+        'id,a,"b ""q"", x"\n1,"x ""y"", z",u\n2,"two\nlines"\n3,"q ""end""",,\n4,"a,b","c\nd",e\n5,"only "" quote",""\n'
+        '6,x\\,y\n7,"p\\",q\n8, lead , trail \n\n9,"multi\nline ""q"" , c",w'
+    )
+    path = _write(tmp_path, "q.csv", text, bom=True)
+    got = CSV.read_csv_strings(spark, path)
+    want = pd.read_csv(path, on_bad_lines="skip", dtype=str, encoding="utf-8-sig").astype(object)
+    want = want.where(want.notna(), None)
+    assert got.columns == list(want.columns) and got.count() == len(want)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.values.tolist()))
+    lines = spark.createDataFrame([('1,"x ""y"", z"',), ('2,"a\nb",c',), ('3,"q",,',), ("#t,x",)], "value string")
+    assert sorted(map(tuple, CSV.read_csv_rows(lines, ["i", "a", "b"], True).collect())) == [("1", 'x "y", z', None), ("2", "a\nb", "c")]
+    plain = _write(tmp_path, "p.csv", "a,b\n1,2\n3\n4,5,6\n")
+    assert sorted(map(tuple, CSV.read_csv_strings(spark, plain, multi_line=False).collect())) == [("1", "2"), ("3", None)]
+    assert CSV.read_header(spark, _write(tmp_path, "e.csv", "")) == []
+
+
+def test_overwrite_only_changed_partitions(spark):
+    """Upserts and deletes in place: files of other partitions keep name, length and time; nulls in keys and partitions; emptied partitions go."""
+    name = f"inplace_{os.getpid()}"
+    rows = [(i, None if i % 10 == 9 else 2000 + i % 5, f"old{i}") for i in range(100)] + [(None, 2001, "null id")]
+    df = spark.createDataFrame(rows, "id int, year int, v string").select("id", "v", "year")
+    df.repartition("year").write.partitionBy("year").mode("overwrite").saveAsTable(name)
+
+    def files():
+        out = {}
+        for f in spark.table(name).inputFiles():
+            path = f.removeprefix("file://").removeprefix("file:")
+            out[path] = (os.path.getsize(path), os.path.getmtime(path))
+        return out
+
+    try:
+        before = files()
+        ups = spark.createDataFrame([(1, "new1", 2001), (1, "new1", 2001), (500, "added", 2001), (None, "new null", 2001), (9, "new9", None)], "id int, v string, year int")
+        gone = spark.createDataFrame([(i, 2003) for i in range(3, 100, 5)], "id int, year int")
+        assert TB.overwrite_partitions(ups, name, ["id", "year"], deletes=gone) == [None, 2001, 2003]
+        want = {(i, y): v for i, y, v in rows if y != 2003} | {(1, 2001): "new1", (500, 2001): "added", (None, 2001): "new null", (9, None): "new9"}
+        got = spark.table(name).collect()
+        assert len(got) == len(want) and {(r.id, r.year): r.v for r in got} == want
+        after = files()
+        for year in (2000, 2002, 2004):
+            own = {f: s for f, s in before.items() if f"year={year}" in f}
+            assert own and own == {f: s for f, s in after.items() if f"year={year}" in f}
+        assert TB.overwrite_partitions(ups.limit(0), name, ["id", "year"]) == []
+        with pytest.raises(ValueError):
+            TB.overwrite_partitions(ups, name, ["id"])
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
 def test_quality_observe(spark):
@@ -134,16 +209,35 @@ def test_streaming_attention_equals_batch(spark, tmp_path):
     assert got == exp
 
 
-def test_incremental_load_dedup(spark, tmp_path):
-    from lacuna.streaming.ingest import start_incremental_load
-
-    rows = [(1, "2024-01-01 00:00:00", "a"), (1, "2024-01-01 00:00:00", "a"), (2, "2024-01-01 01:00:00", "b")]
-    df = spark.createDataFrame(rows, "id long, ts string, v string").withColumn("ts", F.to_timestamp("ts"))
-    landing = str(tmp_path / "land")
-    df.coalesce(1).write.parquet(landing)
-    q = start_incremental_load(spark, landing, df.schema, ["id"], "ts", str(tmp_path / "bronze"), str(tmp_path / "ck"))
-    q.awaitTermination(120)
-    assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "bronze")).collect()) == [1, 2]
+def test_incremental_load_loses_and_doubles_nothing(spark, tmp_path):
+    """Rows a year late, the same key in one batch, across batches and as null; replayed batches; plans that read few columns."""
+    from lacuna.streaming import ingest
+
+    schema = "id long, ts timestamp, v string"
+    landing, sink, state = (str(tmp_path / n) for n in ("land", "bronze", "state"))
+
+    def land(rows):
+        spark.createDataFrame(rows, "id long, ts string, v string").withColumn("ts", F.to_timestamp("ts")).coalesce(1).write.mode("append").parquet(landing)
+
+    def load():
+        stream = ingest.start_incremental_load(spark, landing, spark.createDataFrame([], schema).schema, ["id"], "ts", sink, state, files_per_batch=1)
+        stream.awaitTermination(120)
+        return sorted(((r.id, r.v) for r in ingest.loaded(spark, sink, spark.createDataFrame([], schema).schema).collect()), key=str)
+
+    assert ingest.loaded(spark, sink, spark.createDataFrame([], schema).schema).count() == 0
+    land([(1, "2024-06-01 00:00:00", "a"), (1, "2024-06-01 00:00:00", "a"), (2, "2024-06-01 01:00:00", "b"), (None, "2024-06-01 00:00:00", "n")])
+    assert load() == [(1, "a"), (2, "b"), (None, "n")]
+    land([(3, "2023-01-01 00:00:00", "late"), (2, "2024-06-01 01:00:00", "b"), (None, "2024-07-01 00:00:00", "n"), (1, "2025-06-01 00:00:00", "other time"), (4, None, "no time")])
+    land([(5, "2024-06-01 00:00:00", "x"), (4, "2024-06-02 00:00:00", "again")])
+    assert load() == [(1, "a"), (2, "b"), (3, "late"), (4, "no time"), (5, "x"), (None, "n")]
+    assert load() == [(1, "a"), (2, "b"), (3, "late"), (4, "no time"), (5, "x"), (None, "n")]  # nothing new
+    # the last batch comes again, as after a failure: with what it had written whole, or in part
+    last = spark.createDataFrame([(5, "2024-06-01 00:00:00", "x"), (4, "2024-06-02 00:00:00", "again")], "id long, ts string, v string").withColumn("ts", F.to_timestamp("ts"))
+    number = spark.read.parquet(sink).agg(F.max(ingest.BATCH)).first()[0]
+    for _ in range(2):
+        ingest.load_batch(last, number, ["id"], "ts", sink)
+        rows = ingest.loaded(spark, sink, spark.createDataFrame([], schema).schema)
+        assert sorted(((r.id, r.v) for r in rows.collect()), key=str) == [(1, "a"), (2, "b"), (3, "late"), (4, "no time"), (5, "x"), (None, "n")]
 
 
 def test_layer_stages_write_tables(spark):
