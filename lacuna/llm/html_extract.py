@@ -93,7 +93,8 @@ def _named(tokens: list[str]) -> str | None:
 
 
 class _Element:
-    __slots__ = ("tag", "parent", "drop", "article", "named", "names", "parts", "digest", "text", "titled", "mass", "lead", "index", "size")
+    __slots__ = ("tag", "parent", "drop", "article", "named", "names", "parts", "digest", "text", "titled", "mass", "lead", "index", "size",
+                 "in_article", "header", "headed", "state", "label", "paths")
 
     def __init__(self, tag, parent, drop, article, names):
         self.tag, self.parent, self.drop, self.article, self.names = tag, parent, drop, article, names
@@ -101,6 +102,12 @@ class _Element:
         # an article with a name to drop; characters of text, without what tags drop; holds a first heading or <main>
         self.named, self.mass, self.lead = False, 0, False
         self.index, self.size = 0, 0  # place among what has text in the parent; how much of that it has itself
+        # on the way up, itself included: an article comes before a header; the nearest header; a heading has come up through it
+        self.in_article = tag != "header" and (article or parent is not None and parent.in_article)
+        self.header = self if tag == "header" else parent.header if parent is not None else None
+        self.headed = False
+        # handed down once the page is read: (dropped, place, inner, spare, recurring), whether a label holds it, hashes of its place
+        self.state, self.label, self.paths = None, False, (0, 0)
 
 
 def _describe(tag: str, attrs: str) -> tuple[str, str | None]:
@@ -129,6 +136,9 @@ class Page:
         self.blocks: list[tuple[str, _Element]] = []
         self.stack = [_Element("", None, None, False, "")]
         self.buffer: list[str] = []
+        self.open: dict[str, list[int]] = {}  # places on the stack of the open elements, by tag
+        self.open_blocks: list[int] = []
+        endless = set()  # tags of which no end follows
         at, n = 0, len(source)
         while at < n:
             m = _TOKEN.search(source, at)
@@ -144,7 +154,9 @@ class Page:
             if closing:
                 self._end(tag)
             elif tag in RAW or tag in SKIPPED:
-                end = _END[tag].search(source, at)
+                end = None if tag in endless else _END[tag].search(source, at)
+                if end is None:
+                    endless.add(tag)
                 at = end.end() if end else n if tag in RAW else at
                 self.buffer.append(" ")
             else:
@@ -152,6 +164,18 @@ class Page:
         while len(self.stack) > 1:
             self._pop()
         self._flush()
+        self._hand_down()
+
+    def _push(self, e: _Element) -> None:
+        self.open.setdefault(e.tag, []).append(len(self.stack))
+        if e.tag in BLOCKS:
+            self.open_blocks.append(len(self.stack))
+        self.stack.append(e)
+        self.elements.append(e)
+
+    def _last(self, tags) -> int:
+        """The highest place on the stack of an element with one of the tags; 0 if none is open."""
+        return max((self.open[t][-1] for t in tags if self.open.get(t)), default=0)
 
     def _flush(self) -> None:
         if self.buffer:
@@ -168,6 +192,9 @@ class Page:
     def _pop(self) -> None:
         self._flush()
         e = self.stack.pop()
+        self.open[e.tag].pop()
+        if e.tag in BLOCKS:
+            self.open_blocks.pop()
         e.digest = xxhash.xxh3_64_intdigest("\x1f".join([e.tag, e.names, *e.parts])) - (1 << 63)
         self.stack[-1].parts.append(f"\x1e{e.digest}")
         self.stack[-1].text |= e.text
@@ -183,16 +210,15 @@ class Page:
         names, drop = _describe(tag, attrs)
         if tag not in BLOCKS:
             # an inline element that names itself an advert and the like, and those of its kind inside it
-            if tag not in VOID and (drop or any(x.tag == tag for x in self.stack)):
+            if tag not in VOID and (drop or self.open.get(tag)):
                 self._flush()
-                self.stack.append(e := _Element(tag, self.stack[-1], drop, False, names))
-                self.elements.append(e)
+                self._push(_Element(tag, self.stack[-1], drop, False, names))
             return
         self._flush()
         if tag in ("html", "body"):
             return
-        if tag in CLOSES_P:
-            self._close("p", BLOCKS - {"p"})
+        if tag in CLOSES_P and self.open_blocks and self.stack[self.open_blocks[-1]].tag == "p":
+            self._pop_to(self.open_blocks[-1])
         if tag in SIBLINGS:
             self._close(*SIBLINGS[tag])
         if tag in VOID:
@@ -206,107 +232,102 @@ class Page:
             self._title(up)
         if tag in ("h1", "main"):
             self._lead(e)
-        self.stack.append(e)
-        self.elements.append(e)
+        self._push(e)
 
     def _title(self, e: _Element) -> None:
         """A header that holds a heading inside an article belongs to the article."""
-        header = None
-        while e is not None:
-            if e.tag == "header":
-                header = e
-            if e.article and header is not None:
-                header.titled = True
-            e = e.parent
+        header = e.header
+        while header is not None and not header.headed:
+            header.headed = True
+            header.titled = header.article or header.parent.in_article
+            header = header.parent.header
 
     def _lead(self, e: _Element) -> None:
         while e is not None and not e.lead:
             e.lead, e = True, e.parent
 
+    def _pop_to(self, place: int) -> None:
+        while len(self.stack) > place:
+            self._pop()
+
     def _close(self, tags, stop) -> None:
         tags = (tags,) if isinstance(tags, str) else tags
-        for i in range(len(self.stack) - 1, 0, -1):
-            if self.stack[i].tag in tags:
-                while len(self.stack) > i:
-                    self._pop()
-                return
-            if self.stack[i].tag in stop:
-                return
+        place = self._last(tags)
+        if place > self._last(stop):
+            self._pop_to(place)
 
     def _end(self, tag: str) -> None:
         if tag in BLOCKS:
             self._flush()
-        for i in range(len(self.stack) - 1, 0, -1):
-            if self.stack[i].tag == tag:
-                while len(self.stack) > i:
-                    self._pop()
-                return
+        if self.open.get(tag):
+            self._pop_to(self.open[tag][-1])
+
+    def _hand_down(self) -> None:
+        """Labels and places of all elements, from each parent to its children."""
+        for e in self.elements:  # parents come first
+            up = e.parent
+            e.label = not e.article and (e.tag in LABELS or up.label)
+            if e.article:
+                e.paths = _key(f"{e.tag}<"), _key(f"{e.tag}>")
+            else:
+                first, last = up.paths
+                e.paths = _key(f"{e.tag}{e.index}<{first}"), _key(f"{e.tag}{up.size - e.index}>{last}")
+
+    def _judge(self, sure=frozenset(), likely=frozenset()) -> None:
+        """The state of all elements, from each parent to its children."""
+        self.stack[0].state = (False, OUTSIDE, False, False, False)
+        half = self.stack[0].mass
+        for e in self.elements:
+            dropped, place, inner, spare, recurring = e.parent.state
+            if not dropped:
+                dropped = self._dropped(e)
+                if e.article:
+                    place = max(place, NAMED if e.named and 2 * e.mass <= half else MARKED)
+                else:
+                    if e.digest in sure:
+                        inner |= e.tag in PROSE
+                        recurring |= e.tag not in PROSE
+                    spare |= e.digest in likely
+            e.state = (dropped, place, inner, spare, recurring)
 
     # ------------------------------------------------------------------ text
     def text(self, sure: frozenset | set = frozenset(), likely: frozenset | set = frozenset()) -> str:
         """Main text: marked articles if there are any with text, else the page; without what says it is no content and without templates."""
-        placed = [(t, e, found) for t, e in self.blocks if (found := self._place(e, sure, likely)) is not None]
-        gone = [(t, e) for t, e, (_, spare) in placed if spare and not self._within(e, LABELS)]
+        self._judge(sure, likely)
+        placed = [(t, e, found) for t, e in self.blocks if (found := self._place(e)) is not None]
+        gone = [(t, e) for t, e, (_, spare) in placed if spare and not e.label]
         if gone:
-            rest = [(t, e) for t, e, (_, spare) in placed if not spare and not self._within(e, LABELS)]
+            rest = [(t, e) for t, e, (_, spare) in placed if not spare and not e.label]
             if not rest or len(gone) >= COPIED and sum(len(t) for t, _ in gone) > sum(len(t) for t, _ in rest):
                 placed = [(t, e, (place, False)) for t, e, (place, _) in placed]
         kept = [(t, place) for t, _, (place, spare) in placed if not spare]
         marked = any(place == MARKED for _, place in kept)
         return "\n".join(t for t, place in kept if place or not marked)
 
-    def _within(self, e: _Element, tags: frozenset) -> bool:
-        while e is not None and not e.article:
-            if e.tag in tags:
-                return True
-            e = e.parent
-        return False
-
     def subtrees(self) -> dict[int, tuple[int, int]]:
         """{digest: (place from the start, place from the end)} of every element with text that is not dropped."""
         found, seen = {}, set()
+        self._judge()
         for _, e in self.blocks:
             if self._place(e) is None:
                 continue
             while e.parent is not None and id(e) not in seen:
                 seen.add(id(e))
-                found.setdefault(e.digest, self._places(e))
+                found.setdefault(e.digest, e.paths)
                 e = e.parent
         return found
 
-    def _places(self, e: _Element) -> tuple[int, int]:
-        first, last = [], []
-        while e.parent is not None and not e.article:
-            first.append(f"{e.tag}{e.index}")
-            last.append(f"{e.tag}{e.parent.size - e.index}")
-            e = e.parent
-        return _key(f"{e.tag}<{' '.join(first)}"), _key(f"{e.tag}>{' '.join(last)}")
-
     def _dropped(self, e: _Element) -> bool:
         """Whether the element itself says that it is no content; what holds most of the page's text is no aside."""
         if e.drop == "hard":
             return not e.titled
         return e.drop is not None and (2 * e.mass <= self.stack[0].mass or e.drop == "comment" and not e.lead)
 
-    def _place(self, e: _Element, sure=frozenset(), likely=frozenset()) -> tuple[int, bool] | None:
+    def _place(self, e: _Element) -> tuple[int, bool] | None:
         """None: dropped; else OUTSIDE of articles, in a NAMED one (by its name an aside, which marks nothing) or in a MARKED one,
         and whether it is template that a near copy may keep."""
-        place = OUTSIDE
-        inner = spare = recurring = False
-        while e is not None and e.parent is not None:
-            if self._dropped(e):
-                return None
-            if not e.article:
-                if e.digest in sure:
-                    if e.tag in PROSE:
-                        inner = True
-                    else:
-                        recurring = True
-                spare |= e.digest in likely
-            if e.article:
-                place = max(place, NAMED if e.named and 2 * e.mass <= self.stack[0].mass else MARKED)
-            e = e.parent
-        if recurring or inner and not place:
+        dropped, place, inner, spare, recurring = e.state
+        if dropped or recurring or inner and not place:
             return None
         return place, spare or inner
 

@@ -228,7 +228,9 @@ def test_url_parts_and_explicit_rules(spark):
     assert url_rules.judge(df.limit(0), none).count() == 0
 
 
-def test_mined_rules_equal_enumeration(spark):
+@pytest.mark.parametrize("min_deviations", [0.0, 4.0])
+def test_mined_rules_equal_enumeration(spark, min_deviations):
+    """Rules of up to three tokens, with count, share, confidence and distance from chance; alike tokens are one."""
     rnd = random.Random(6)
     rows = []
     for i in range(300):
@@ -237,16 +239,40 @@ def test_mined_rules_equal_enumeration(spark):
         chance = {"spam-farm.example": 0.9, "good.example": 0.05, "mid.example": 0.1 if "news" in path else 0.75}[host]
         rows.append((f"http://{host}{path}" + rnd.choice(["", "?ref=1"]), rnd.random() < chance))
     labelled = spark.createDataFrame([*rows, (None, True), (rows[0][0], None)], "url string, bad boolean")
-    tokens = [r.t for r in spark.createDataFrame(rows, "url string, bad boolean").select(url_rules.url_tokens(F.col("url")).alias("t")).collect()]
-    every = brute.itemsets([set(t) | ({url_rules.BAD} if bad else set()) for t, (_, bad) in zip(tokens, rows)], url_rules.BAD, 0.05, 0.6)
+    tokens = [set(r.t) for r in spark.createDataFrame(rows, "url string, bad boolean").select(url_rules.url_tokens(F.col("url")).alias("t")).collect()]
+    stands = {}
+    for t in set().union(*tokens):
+        stands.setdefault(frozenset(i for i, own in enumerate(tokens) if t in own), set()).add(t)
+    group = {min(g): g for g in stands.values()}
+    items = [{t for t in own if t in group} for own in tokens]
+    every = brute.itemsets([t | ({url_rules.BAD} if bad else set()) for t, (_, bad) in zip(items, rows)], url_rules.BAD, 0.05, 0.6)
+    base = sum(bad for _, bad in rows) / len(rows)
+    far = lambda k: (every[k][1] - base) / (base * (1 - base) / sum(k <= t for t in items)) ** 0.5
+    every = {k: v for k, v in every.items() if len(k) <= 3 and far(k) >= min_deviations}
     want = {k: v for k, v in every.items() if not any(o < k and every[o][1] >= v[1] for o in every)}
-    got = {frozenset(r.tokens): (r.support, r.confidence) for r in url_rules.mine(labelled, 0.05, 0.6).collect()}
+    limits = {"min_support": 0.05, "min_confidence": 0.6, "min_count": 5, "min_deviations": min_deviations}
+    mined = url_rules.mine(labelled, **limits).collect()
+    got = {frozenset(r.tokens): (r.support, r.confidence) for r in mined}
     assert set(got) == set(want) and want
     assert all(got[k] == pytest.approx(want[k]) for k in want)
+    assert all([set(a) for a in r.alike] == [group[t] for t in r.tokens] for r in mined)
     pages = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(rows)], "page_id long, url string")
-    judged = {r.page_id: r.verdict for r in url_rules.judge(pages, labelled, (), 0.05, 0.6).collect()}
-    for i, t in enumerate(tokens):
-        assert judged[i] == ("block" if any(k <= set(t) for k in want) else "allow")
+    judged = {r.page_id: r.verdict for r in url_rules.judge(pages, labelled, (), **limits).collect()}
+    for i, t in enumerate(items):
+        assert judged[i] == ("block" if any(k <= t for k in want) else "allow")
+
+
+def test_long_urls_end_and_chance_makes_no_rule(spark):
+    """One url of 200 segments among few, a hundred near copies of one, and labels that have nothing to do with the urls."""
+    rnd = random.Random(8)
+    long = [f"part{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(200)]
+    plain = [(f"http://h{chr(97 + i % 20)}.example/{rnd.choice('abcdef')}/{rnd.choice('uvwxyz')}", rnd.random() < 0.3) for i in range(400)]
+    assert url_rules.mine(spark.createDataFrame([*plain, ("http://x.example/" + "/".join(long), True)], "url string, bad boolean")).count() == 0
+    copies = [("http://bad.example/" + "/".join(s for s in long if s != rnd.choice(long)), True) for _ in range(100)]
+    rules = url_rules.mine(spark.createDataFrame(plain + copies, "url string, bad boolean")).collect()
+    assert rules and all(len(r.tokens) <= url_rules.MAX_TOKENS and r.confidence > 0.9 for r in rules)
+    for only in (True, False):
+        assert url_rules.mine(spark.createDataFrame([(u, only) for u, _ in plain], "url string, bad boolean")).count() == 0
 
 
 def test_label_urls(spark):

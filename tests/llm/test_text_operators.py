@@ -340,3 +340,15 @@ def test_template_by_count_and_place(spark):
         want[i] = "\n".join(["Copy", *(f"The same paragraph {k} in every copy." for k in range(6)), f"End {i}"])
     got = html_op.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert {r.page_id: r.text for r in got} == want
+
+
+@pytest.mark.parametrize("page", ["<div>a " * 100_000, "<span class=ad>x" * 100_000, "<ul><li>a " + "<span class=ad>" * 50_000 + "<li>b" * 50_000, "<button>x" * 60_000, "<svg>" * 60_000,
+                                  "<article><header><h1>t" * 30_000, "a</b></div>" * 60_000, "<p>" + "<b>x" * 60_000 + "<div></div>" * 60_000, "<table>" * 20_000 + "<tr><td>c" * 40_000])
+def test_deep_and_broken_pages_take_linear_time(page):
+    import time
+
+    start = time.process_time()
+    parsed = html_op.Page(page)
+    parsed.text()
+    parsed.subtrees()
+    assert time.process_time() - start < 30
