@@ -120,3 +120,30 @@ def global_cumsum(
         result = result.withColumn(ordinal, (F.col("_w8_off_n") + F.col(_LOCAL) + 1).cast("long"))
     drop = [_PID, _LOCAL, "_w8_off_n"] + [f"_w8_c_{o}" for o in values] + [f"_w8_off_{o}" for o in values]
     return result.drop(*drop)
+
+
+def global_rank(df: DataFrame, columns: Sequence[str], spread: Sequence[str] = (), name: str = "rank", partitions: int | None = None) -> DataFrame:
+    """``rank() over (order by <columns>)`` computed in parallel: rows with equal columns share the place of the first.
+
+    ``spread`` (a key, say) cuts a value that holds many rows into several ranges. A row's place among equal rows comes from
+    its own range; only for values at the edge of a range, two per range, the first range that has them decides, so no join
+    on the values themselves is needed and a value with a third of all rows stays spread. Nulls are equal and come first.
+    """
+    ranged = _range(df, [F.col(c) for c in (*columns, *spread)], partitions)
+    tagged = materialize(ranged.withColumn(_PID, F.shiftright(F.monotonically_increasing_id(), _ID_BITS).cast("int")), "rank")
+    inside = Window.partitionBy(_PID).orderBy(*[F.col(c).asc_nulls_first() for c in columns])
+    ranked = materialize(tagged.withColumn(_LOCAL, F.rank().over(inside).cast("long")), "rank-inside")
+    offsets = _offsets(ranked, {})
+    value = F.struct(*[F.col(c) for c in columns])
+    edges = ranked.groupBy(_PID).agg(F.min(value).alias("_w8_low"), F.max(value).alias("_w8_high"), F.max(_LOCAL).alias("_w8_last")).join(offsets, _PID)
+    edges = edges.select(F.explode(F.array(
+        F.struct(F.col("_w8_low").alias("v"), (F.col("_w8_off_n") + 1).alias("first")),
+        F.struct(F.col("_w8_high").alias("v"), (F.col("_w8_off_n") + F.col("_w8_last")).alias("first")),
+    )).alias("e")).groupBy("e.v").agg(F.min("e.first").alias("_w8_first"))  # two rows a range at most
+    edges = edges.select(*[F.col(f"v.{c}").alias(f"_w8_e_{i}") for i, c in enumerate(columns)], "_w8_first")
+    same = [F.col(c).eqNullSafe(F.col(f"_w8_e_{i}")) for i, c in enumerate(columns)]
+    return (
+        ranked.join(F.broadcast(offsets), _PID).join(F.broadcast(edges), same, "left")
+        .withColumn(name, F.coalesce("_w8_first", F.col("_w8_off_n") + F.col(_LOCAL)))
+        .drop(_PID, _LOCAL, "_w8_off_n", "_w8_first", *[f"_w8_e_{i}" for i in range(len(columns))])
+    )

@@ -20,8 +20,9 @@ from lacuna.operators import forecast as FC
 from lacuna.operators import normalize as N
 from lacuna.operators import quality as Q
 from lacuna.operators.index import latest_year, with_confidence
-from lacuna.operators.ordinal import global_row_number
+from lacuna.operators.ordinal import global_rank, global_row_number
 from lacuna.operators.related import related_crises
+from lacuna.operators.search import search
 from lacuna.operators.structural import structural_profiles, timeline_patterns
 from lacuna.plans import api as A
 from lacuna.plans import eda as EDA
@@ -981,13 +982,12 @@ def _a17(spark, sf):
 @register("w9_percent_rank", ["crisis_id", "pin_per_capita", "pin_percent_rank"], """
 SELECT crisis_id, pin_per_capita, PERCENT_RANK() OVER (ORDER BY pin_per_capita) AS pin_percent_rank FROM gold""")
 def _w9(spark, sf):
-    """Percent rank of people per capita (parallel ordinals)."""
+    """Percent rank of people per capita (parallel ranks, no join on the value)."""
     g = gold(spark, sf).select("crisis_id", "pin_per_capita")
-    ranked = global_row_number(g, [F.col("pin_per_capita"), F.col("crisis_id")], name="_o")
-    first = ranked.groupBy("pin_per_capita").agg(F.min("_o").alias("_first"))
+    ranked = global_rank(g, ["pin_per_capita"], ["crisis_id"], name="_rank")
     n = g.agg(F.count(F.lit(1))).scalar()
-    pr = F.when(n <= 1, F.lit(0.0)).otherwise((F.col("_first") - 1) / (n - 1))
-    return ranked.join(first, "pin_per_capita").select("crisis_id", "pin_per_capita", pr.alias("pin_percent_rank"))
+    pr = F.when(n <= 1, F.lit(0.0)).otherwise((F.col("_rank") - 1) / (n - 1))
+    return ranked.select("crisis_id", "pin_per_capita", pr.alias("pin_percent_rank"))
 
 
 @register("p23_text_search", ["crisis_id", "iso3", "country"], """
@@ -995,8 +995,7 @@ SELECT crisis_id, iso3, country FROM gold WHERE contains(lower(country), 'ation_
 def _p23(spark, sf):
     """Case-insensitive text search on country or iso3."""
     g = gold(spark, sf)
-    s = "ation_1"
-    return g.where(F.lower("country").contains(s) | F.lower("iso3").contains(s)).select("crisis_id", "iso3", "country")
+    return search(g, "crisis_id", ["country", "iso3"], "ation_1").select("crisis_id", "iso3", "country")
 
 
 DOSSIER_COLS = ["crisis_id", "country", "region", "year", "sector", "requirements_usd", "funding_usd", "coverage_ratio",

@@ -19,7 +19,8 @@ from lacuna.functions import constants as C
 from lacuna.functions.lookups import lookup_frame
 from lacuna.operators import normalize as N
 from lacuna.operators import quality as Q
-from lacuna.operators.ordinal import global_cumsum, global_row_number
+from lacuna.operators import search as S
+from lacuna.operators.ordinal import global_cumsum, global_rank, global_row_number
 from lacuna.plans import api as A
 from lacuna.plans import eda as EDA
 from lacuna.plans import medallion as P
@@ -32,10 +33,11 @@ from lacuna.sources import tables as TB
 from lacuna.sources import testdata as TD
 from lacuna.sources import workbook as WB
 from lacuna.streaming import ingest, sliding
+from lacuna.streaming import quality as SQ
 
 DOUBLES = R.DOUBLES | {
     "o_totalprice", "running_total", "raw_coverage", "acctbal", "mean_coverage", "mean_confidence", "min_score", "max_score",
-    "max_multiplier", "funded", "gap", "need_weight", "gap_severity", "structural_multiplier", "urgency_weight", "visibility_penalty", "sector_reqs", "in_need", "population", "targeted", "inform_risk",
+    "max_multiplier", "percent_rank", "funded", "gap", "need_weight", "gap_severity", "structural_multiplier", "urgency_weight", "visibility_penalty", "sector_reqs", "in_need", "population", "targeted", "inform_risk",
 }
 
 
@@ -481,6 +483,47 @@ def _g2b(spark, sf):
     return found.select(F.col("key").alias("iso3"), "window_start", "window_end", F.col("n").alias("article_count"))
 
 
+@register("w9_order_percent_rank", ["o_orderkey", "percent_rank"], """
+SELECT o_orderkey, PERCENT_RANK() OVER (ORDER BY CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE FLOOR(o_totalprice) END) AS percent_rank FROM orders""")
+def _w9b(spark, sf):
+    """W9 over a table that grows: percent rank of order values of which a third are equal."""
+    price = F.when(F.col("o_orderkey") % 3 == 0, F.lit(0).cast("long")).otherwise(F.floor("o_totalprice"))
+    orders = TD.read_table(spark, sf, "orders").select("o_orderkey", price.alias("price"))
+    n = orders.agg(F.count(F.lit(1))).scalar()
+    return global_rank(orders, ["price"], ["o_orderkey"]).select("o_orderkey", ((F.col("rank") - 1) / (n - 1)).alias("percent_rank"))
+
+
+@register("q2_stream_metrics", ["rule", "failures", "n_rows"], """
+SELECT rule, CAST(SUM(CASE WHEN broken THEN 1 ELSE 0 END) AS BIGINT) AS failures, COUNT(*) AS n_rows FROM (
+  SELECT 'value_above_20' AS rule, value > 20 AS broken FROM events
+  UNION ALL SELECT 'is_error', event_type = 'error' FROM events
+  UNION ALL SELECT 'user_in_first_ten', user_id < 10 FROM events) t GROUP BY rule""")
+def _q2b(spark, sf):
+    """Q2 (stream): events in two deliveries; the rule counts of every micro-batch, added up."""
+    ev = TD.read_table(spark, sf, "events")
+    landing, sink, metrics, checkpoint = (_folder(spark, n) for n in ("observed-in", "observed", "metrics", "observed-state"))
+    rules = {"value_above_20": F.col("value") > 20, "is_error": F.col("event_type") == "error", "user_in_first_ten": F.col("user_id") < 10}
+    for part in (0, 1):
+        ev.where(F.col("event_id") % 2 == part).write.mode("append").parquet(landing)
+        SQ.start_observed(spark.readStream.schema(ev.schema).parquet(landing), rules, sink, metrics, checkpoint).awaitTermination()
+    return spark.read.parquet(metrics).groupBy("rule").agg(F.sum("failures").alias("failures"), F.sum("n_rows").alias("n_rows"))
+
+
+@register("p23_indexed_search", ["text", "c_custkey", "c_name", "c_mktsegment"], """
+SELECT text, c_custkey, c_name, c_mktsegment FROM customer, (VALUES ('CHINE'), ('00001'), ('r#0000000'), ('no such'), ('bu')) AS t(text)
+WHERE contains(lower(c_name), lower(text)) OR contains(lower(c_mktsegment), lower(text))""")
+def _p23b(spark, sf):
+    """Customers by name or segment over an inverted index of three-character pieces (a short text by scan)."""
+    cust = TD.read_table(spark, sf, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    path = _folder(spark, "pieces")
+    S.build_index(cust, "c_custkey", ["c_name", "c_mktsegment"], path)
+    found = [S.search(cust, "c_custkey", ["c_name", "c_mktsegment"], t, path).withColumn("text", F.lit(t)) for t in ("CHINE", "00001", "r#0000000", "no such", "bu")]
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out
+
+
 @register("p20_build_time", ["kind", "n_rows", "n_set", "n_times"], """
 SELECT 'timestamp' AS kind, COUNT(*) AS n_rows, COUNT(*) AS n_set, CAST(1 AS BIGINT) AS n_times FROM gold""")
 def _p20(spark, sf):

@@ -150,3 +150,22 @@ def test_fixed_values():
     assert (C.HHI_HIGH, C.TOP_SHARE_HIGH, C.HHI_MEDIUM, C.CONFIDENCE_HIGH, C.CONFIDENCE_MEDIUM) == (0.25, 0.5, 0.15, 0.8, 0.5)
     assert dict(C.COUNTRY_TO_ISO3)["Sudan"] == "SDN" and dict(C.MAP_NAME_TO_ISO3)["S. Sudan"] == "SSD"
     assert C.SECTOR_NORMALIZE["wash"] == "Water Sanitation Hygiene" and C.TOTAL_SECTOR == "Total" and C.DEFAULT_REGION == "Other"
+
+
+def test_rank_with_a_hot_value(spark):
+    """Ranks equal a plain window's; a value with a third of all rows lies in several ranges; nulls are peers."""
+    from pyspark.sql import Window
+
+    from lacuna.operators.ordinal import global_rank
+
+    n = 60_000
+    v = F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 1000 == 1, None).otherwise((F.col("id") * 7919) % 5000)
+    df = spark.range(n).select("id", v.alias("v"), (F.col("id") % 2).alias("w"))
+    for columns in (["v"], ["v", "w"]):
+        plain = df.withColumn("want", F.rank().over(Window.orderBy(*[F.col(c).asc_nulls_first() for c in columns]))).select("id", "want")
+        got = global_rank(df, columns, ["id"], partitions=12)
+        assert got.columns == ["id", "v", "w", "rank"]
+        joined = got.join(plain, "id")
+        assert joined.count() == n and joined.where("rank <> want").count() == 0
+    assert global_rank(df.limit(0), ["v"]).count() == 0
+    assert [r["rank"] for r in global_rank(df.limit(1), ["v"]).collect()] == [1]

@@ -55,3 +55,21 @@ def test_buckets_time_out(rocks, tmp_path):
     first, late, jump, too_late = [(1, "a", at(0)), (2, "a", at(9))], [(3, "a", at(3))], [(4, "a", at(60))], [(5, "a", at(1)), (6, "a", at(58))]
     got = _run(rocks, tmp_path, [first, late, jump, too_late], days=3, salts=1, keep="10 days")
     assert got == _windows([*first, *late, *jump, too_late[1]], 3)
+
+
+def test_quality_metrics_of_a_stream(spark, tmp_path):
+    """Counts per batch are those of the batch, add up to those of all rows, and a replayed batch changes nothing."""
+    from lacuna.streaming import quality as SQ
+
+    landing, sink, metrics, state = (str(tmp_path / n) for n in ("land", "sink", "metrics", "state"))
+    rules = {"negative": F.col("id") < 0, "no_key": F.col("k").isNull()}
+    deliveries = [[(-1, "a", None), (2, None, None)], [(3, "b", None), (-4, None, None), (5, "c", None)]]
+    for rows in deliveries:
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(landing)
+        SQ.start_observed(spark.readStream.schema(SCHEMA).parquet(landing), rules, sink, metrics, state).awaitTermination(120)
+    last = spark.createDataFrame(deliveries[1], SCHEMA)
+    for _ in range(2):
+        assert sorted((r.batch, r.rule, r.failures, r.n_rows) for r in spark.read.parquet(metrics).collect()) == [
+            (0, "negative", 1, 2), (0, "no_key", 1, 2), (1, "negative", 1, 3), (1, "no_key", 1, 3)]
+        assert spark.read.parquet(sink).count() == 5
+        SQ.write_observed(last, 1, rules, sink, metrics)
