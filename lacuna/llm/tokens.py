@@ -21,7 +21,7 @@ import re
 
 import numpy as np
 
-MOST_WORDS, MOST_PIECES = 200_000, 500_000
+MOST_WORDS, MOST_PIECES = 300_000, 700_000
 _AT_ONCE = 50_000
 _ODD = re.compile("[\x1c-\x1f]")
 _WORD_END = "</w>"
