@@ -18,8 +18,10 @@ from lacuna.functions import cleaning as CL
 from lacuna.functions import constants as C
 from lacuna.functions.lookups import lookup_frame
 from lacuna.operators import normalize as N
+from lacuna.operators import paging
 from lacuna.operators import quality as Q
 from lacuna.operators import search as S
+from lacuna.operators.order_stats import group_quantiles
 from lacuna.operators.ordinal import global_cumsum, global_rank, global_row_number
 from lacuna.plans import api as A
 from lacuna.plans import eda as EDA
@@ -37,7 +39,7 @@ from lacuna.streaming import quality as SQ
 
 DOUBLES = R.DOUBLES | {
     "o_totalprice", "running_total", "raw_coverage", "acctbal", "mean_coverage", "mean_confidence", "min_score", "max_score",
-    "max_multiplier", "percent_rank", "funded", "gap", "need_weight", "gap_severity", "structural_multiplier", "urgency_weight", "visibility_penalty", "sector_reqs", "in_need", "population", "targeted", "inform_risk",
+    "max_multiplier", "percent_rank", "quantile", "fraction", "funded", "gap", "need_weight", "gap_severity", "structural_multiplier", "urgency_weight", "visibility_penalty", "sector_reqs", "in_need", "population", "targeted", "inform_risk",
 }
 
 
@@ -524,6 +526,48 @@ def _p23b(spark, sf):
     return out
 
 
+PAGE, SEEK = 50, (150_000.0, 0)  # rows a page, and a key that lies among the orders
+
+
+@register("t1_order_pages", ["page", "ordinal", "o_orderkey", "o_totalprice"], f"""
+SELECT CAST((ordinal - 1) // {PAGE} AS BIGINT) AS page, ordinal, o_orderkey, o_totalprice
+FROM (SELECT o_orderkey, o_totalprice, ROW_NUMBER() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS ordinal FROM orders) t""")
+def _t1a(spark, sf):
+    """The pages of all orders by value, from the written chunks put together."""
+    path = _folder(spark, "order-pages")
+    paging.write_pages(TD.read_table(spark, sf, "orders").select("o_orderkey", "o_totalprice"), [("o_totalprice", True), ("o_orderkey", False)], path, chunk_rows=10_000)
+    rows = paging.Pages(spark, path).rows
+    return rows.select(F.expr(f"(_ordinal - 1) div {PAGE}").alias("page"), F.col("_ordinal").alias("ordinal"), "o_orderkey", "o_totalprice")
+
+
+@register("t1_seek_pages", ["page", "ordinal", "o_orderkey", "o_totalprice"], f"""
+, sorted AS (SELECT o_orderkey, o_totalprice, ROW_NUMBER() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS ordinal FROM orders),
+seek AS (SELECT COUNT(*) AS n FROM orders WHERE o_totalprice > {SEEK[0]} OR (o_totalprice = {SEEK[0]} AND o_orderkey <= {SEEK[1]}))
+SELECT CASE WHEN ordinal <= {PAGE} THEN 'first' WHEN ordinal <= n + {PAGE} THEN 'behind the key' ELSE 'next' END AS page, ordinal, o_orderkey, o_totalprice
+FROM sorted, seek WHERE ordinal <= {PAGE} OR (ordinal > n AND ordinal <= n + 2 * {PAGE})""")
+def _t1b(spark, sf):
+    """The first page of all orders by value, the page behind a key and the one behind its last row."""
+    path = _folder(spark, "order-pages")
+    paging.write_pages(TD.read_table(spark, sf, "orders").select("o_orderkey", "o_totalprice"), [("o_totalprice", True), ("o_orderkey", False)], path, chunk_rows=10_000)
+    pages = paging.Pages(spark, path)
+    second = pages.after(SEEK, PAGE)
+    last = second.orderBy(F.col("_ordinal").desc()).first()
+    third = pages.after((last.o_totalprice, last.o_orderkey), PAGE)
+    found = pages.at(0, PAGE).withColumn("page", F.lit("first")).unionByName(second.withColumn("page", F.lit("behind the key"))).unionByName(third.withColumn("page", F.lit("next")))
+    return found.withColumnRenamed("_ordinal", "ordinal")
+
+
+@register("a5_order_quantiles", ["o_orderpriority", "fraction", "n", "quantile"], """
+SELECT o_orderpriority, f AS fraction, COUNT(*) AS n,
+       CASE f WHEN 0.1 THEN QUANTILE_CONT(v, 0.1) WHEN 0.5 THEN QUANTILE_CONT(v, 0.5) ELSE QUANTILE_CONT(v, 0.9) END AS quantile
+FROM (SELECT o_orderpriority, CASE WHEN o_orderkey % 3 = 0 THEN 100000.0 ELSE CAST(o_totalprice AS DOUBLE) END AS v FROM orders) o,
+     (VALUES (CAST(0.1 AS DOUBLE)), (CAST(0.5 AS DOUBLE)), (CAST(0.9 AS DOUBLE))) AS t(f) GROUP BY o_orderpriority, f""")
+def _a5b(spark, sf):
+    """A5 over a table that grows: exact deciles and medians of order values per priority; a third of the values are equal."""
+    price = F.when(F.col("o_orderkey") % 3 == 0, 100000.0).otherwise(F.col("o_totalprice").cast("double"))
+    return group_quantiles(TD.read_table(spark, sf, "orders").select("o_orderpriority", price.alias("v")), ["o_orderpriority"], "v", (0.1, 0.5, 0.9))
+
+
 @register("p20_build_time", ["kind", "n_rows", "n_set", "n_times"], """
 SELECT 'timestamp' AS kind, COUNT(*) AS n_rows, COUNT(*) AS n_set, CAST(1 AS BIGINT) AS n_times FROM gold""")
 def _p20(spark, sf):
