@@ -79,7 +79,7 @@ class _Memo:
 class WordEncoder:
     """Encodes texts to little-endian unsigned 32-bit ids, word by word with a bounded memory."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, share: float = 1.0):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
@@ -87,7 +87,7 @@ class WordEncoder:
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         self.is_end = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), bool)
         self.is_end[[i for token, i in vocabulary.items() if token.endswith(_WORD_END)]] = True
-        self.words, self.pieces = _Memo(MOST_WORDS), _Memo(MOST_PIECES)
+        self.words, self.pieces = _Memo(int(MOST_WORDS * share)), _Memo(int(MOST_PIECES * share))
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [array.array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -142,16 +142,17 @@ class WordEncoder:
         return [self._encode([t])[0] if own is None else b"".join(map(ids, own)) for t, own in zip(texts, words)]
 
 
-def encoder(path: str) -> WordEncoder:
-    """One encoder for each worker process."""
-    if path not in _STATE:
-        _STATE[path] = WordEncoder(path)
-    return _STATE[path]
+def encoder(path: str, share: float = 1.0) -> WordEncoder:
+    """One encoder for each worker process; another tokenizer or share of the memory takes its place."""
+    if (path, share) not in _STATE:
+        _STATE.clear()
+        _STATE[path, share] = WordEncoder(path, share)
+    return _STATE[path, share]
 
 
-def encode_slices(texts: list[str | None], path: str, end_id: int, limit: int = 1 << 20):
+def encode_slices(texts: list[str | None], path: str, end_id: int, limit: int = 1 << 20, share: float = 1.0):
     """Yields (number, ids with the end id) of each text, null as empty, a bounded slice at a time."""
-    enc = encoder(path)
+    enc = encoder(path, share)
     end = np.array([end_id], "<u4").tobytes()
     lo, size = 0, 0
     for i in range(len(texts) + 1):

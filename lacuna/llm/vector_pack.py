@@ -36,7 +36,7 @@ SHARD_PIECES = 16_384
 WEIGHTS = (1.0, 0.05, 0.05)
 
 
-def pieces(docs: DataFrame, tokens: int, tokenizer: str | None = None, end_id: int = 0, with_ids: bool = True) -> DataFrame:
+def pieces(docs: DataFrame, tokens: int, tokenizer: str | None = None, end_id: int = 0, with_ids: bool = True, memo_share: float = 1.0) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32 and, with ``with_ids``, the ids themselves."""
     path = tokenizer or default_tokenizer()
 
@@ -44,7 +44,7 @@ def pieces(docs: DataFrame, tokens: int, tokenizer: str | None = None, end_id: i
         for batch in batches:
             doc_ids = batch.column(0).to_pylist()
             cols: list[list] = [[], [], [], [], [], []]
-            for i, ids in encode_slices(batch.column(1).to_pylist(), path, end_id):
+            for i, ids in encode_slices(batch.column(1).to_pylist(), path, end_id, share=memo_share):
                 for k, at in enumerate(range(0, len(ids), tokens)):
                     part = ids[at : at + tokens]
                     row = (doc_ids[i], k, at, len(part), zlib.crc32(part.tobytes()), part if with_ids else None)
@@ -121,13 +121,14 @@ def pack(parts: DataFrame, tokens: int, documents: int | None = None, cost: int
 
 
 def pack_documents(docs: DataFrame, tokens: int = 2048, documents: int | None = None, cost: int | None = None, rule: str = "norm",
-                   tokenizer: str | None = None, end_id: int = 0, with_ids: bool = True) -> DataFrame:
+                   tokenizer: str | None = None, end_id: int = 0, with_ids: bool = True, memo_share: float = 1.0) -> DataFrame:
     """Tokenize and pack: doc_id, piece, start, length, ids_crc32[, ids], sequence_id, offset.
 
     Pieces are as long as tokens and cost allow: a ``cost`` below tokens ** 2 cuts documents at its square root.
+    ``memo_share`` scales the words a worker remembers: less memory and more time, the same result.
     """
     if tokens < 1 or (documents is not None and documents < 1) or (cost is not None and cost < 1):
         raise ValueError("capacities must be positive")
     longest = tokens if cost is None else min(tokens, math.isqrt(cost))
-    parts = materialize(pieces(docs, longest, tokenizer, end_id, with_ids), "pieces")
+    parts = materialize(pieces(docs, longest, tokenizer, end_id, with_ids, memo_share), "pieces")
     return pack(parts, tokens, documents, cost, rule, max(1, -(-parts.count() // SHARD_PIECES)))
