@@ -20,6 +20,7 @@ from lacuna.llm import decontaminate, jaccard_join, langid_hd, pii, vector_pack
 from lacuna.session import scratch_table_path  # noqa: E402
 
 TOKENS = 2048
+MEMO_SHARE = 0.4  # packing shares its workers with the other stages, so it remembers fewer words than on its own
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +48,7 @@ def mask_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces in sequences of at most TOKENS tokens."""
-    packed = vector_pack.pack_documents(docs, tokens=TOKENS, end_id=0, with_ids=False)
+    packed = vector_pack.pack_documents(docs, tokens=TOKENS, end_id=0, with_ids=False, memo_share=MEMO_SHARE)
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
