@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lacuna.llm.textops import map_arrow, mix, powers
-from lacuna.session import materialize, ship_package
+from lacuna.session import materialize, scratch_table_path, ship_package
 
 LENGTH, GRAM = 50, 16
 SHARD_BYTES = 4 << 20
@@ -86,7 +86,7 @@ def _blocks(shards: int):
 
 
 def _shard_table(docs: DataFrame) -> tuple[str, int]:
-    """A table of the texts, bucketed by shard (one bucket each), in the session's warehouse: (name, shards)."""
+    """A table of the texts, bucketed by shard (one bucket each), with its files in the shared folder: (name, shards)."""
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-int(total) // SHARD_BYTES))
@@ -94,7 +94,7 @@ def _shard_table(docs: DataFrame) -> tuple[str, int]:
     keyed = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).cast("int").alias("shard"), "doc_id", "text")
     (
         map_arrow(keyed, _blocks(shards), "shard int, block binary").repartition(shards, "shard")
-        .write.bucketBy(shards, "shard").option("compression", "uncompressed").format("parquet").saveAsTable(name)
+        .write.bucketBy(shards, "shard").option("compression", "uncompressed").option("path", scratch_table_path(spark, name)).format("parquet").saveAsTable(name)
     )
     return name, shards
 
@@ -505,8 +505,8 @@ def _remove(texts: pa.Table, told: pa.Table) -> pa.Table:
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, spans of removed bytes, kept bytes) for every row of ``docs``.
 
-    The shard table stays in the warehouse until the session ends or it is
-    dropped, as the returned DataFrame reads it.
+    The files of the shard table lie in the shared folder, like every other
+    table of a step, and stay there, as the returned DataFrame reads them.
     """
     spark = docs.sparkSession
     ship_package(spark)

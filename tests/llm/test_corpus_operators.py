@@ -12,6 +12,7 @@ from lacuna.llm import jaccard_join as jj
 from lacuna.llm import suffix_dedup as sd
 from lacuna.llm import token_orc, url_rules, vector_pack
 from lacuna.llm.tokens import WordEncoder, default_tokenizer
+from lacuna.session import ensure_checkpoint_dir
 
 import brute
 
@@ -130,6 +131,16 @@ def test_repeats_equal_brute_force(spark, monkeypatch, shard, piece):
     assert sd.remove_repeats(df.limit(0)).count() == 0
 
 
+def test_repeat_shards_lie_in_the_shared_folder(spark, monkeypatch):
+    monkeypatch.setattr(sd, "SHARD_BYTES", 8_000)
+    df = spark.createDataFrame(_repeat_rows(), TEXT).select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    name, shards = sd._shard_table(df)
+    told = {r.col_name: r.data_type for r in spark.sql(f"DESCRIBE EXTENDED {name}").collect()}
+    assert ensure_checkpoint_dir(spark) in told["Location"] and told["Type"] == "EXTERNAL"
+    assert told["Num Buckets"] == str(shards) and shards > 1
+    assert "Exchange" not in spark.read.table(name).groupBy("shard").count()._jdf.queryExecution().executedPlan().toString()
+
+
 # ------------------------------------------------------------------ decontamination
 def test_smith_waterman_equals_the_matrix():
     rnd = random.Random(4)
