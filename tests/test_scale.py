@@ -71,6 +71,28 @@ def test_related_on_a_hot_group(spark):
         assert [o for _, o in sorted(by.get(cid, []))] == [o for _, o in sorted(near)[:5]]
 
 
+@pytest.mark.parametrize("rising", [False, True])
+def test_related_needs_no_tree_over_all_rows(spark, rising):
+    """Rows are not multiplied by the levels of a tree, unless scores rise with the coverage; repeated rows and null keys and scores."""
+    rnd = random.Random(5)
+    rows = []
+    for i in range(1_500):
+        cov = rnd.randrange(0, 800)
+        score = None if i % 50 == 0 else cov / 100 if rising else rnd.randrange(0, 300) / 100
+        rows.append((None if i % 40 == 0 else f"c{i:04d}", "R", "T" if i % 3 else None, cov / 1000, score, True))
+    rows += [(None, "R", "T", 0.4, 99.0, True)] * 9 + rows[100:140]
+    g = spark.createDataFrame(rows, "crisis_id string, region string, crisis_type string, coverage_ratio double, mismatch_score double, is_in_scope boolean")
+    got = related_crises(g)
+    assert ("_level" in got._jdf.queryExecution().optimizedPlan().toString()) == rising
+    by, want = {}, {}
+    for r in got.collect():
+        by.setdefault(r.crisis_id, []).append((r.position, r.related_id))
+    for cid, _, typ, cov, _, _ in rows:
+        if cid is not None:
+            want.setdefault(cid, []).extend((s is None, -(s or 0), o) for o, _, t, c, s, _ in rows if o not in (None, cid) and t == typ and abs(round(c * 1000) - round(cov * 1000)) < 150)
+    assert {c: [o for _, o in sorted(x)] for c, x in by.items()} == {c: [o for *_, o in sorted(x)[:5]] for c, x in want.items() if x}
+
+
 def test_names_resolve_without_a_nested_loop(spark):
     """A dictionary above the broadcast threshold, and the same answers as a scan over all entries."""
     rnd = random.Random(4)
