@@ -13,11 +13,13 @@ becomes a rule when it
 and a rule goes when one with some of its tokens is at least as confident.
 What cannot be in a rule is left out before: tokens on too few bad urls. Tokens
 that stand on exactly the same labelled urls are one item, met by any of them
-(else n segments of one much-copied url would make 2**n combinations), and a
-url brings its ``MAX_ITEMS`` items that deviate most, so that no url makes more
-than 2**MAX_ITEMS combinations. Rules match through an inverted index: url
-tokens join rule tokens, and a rule holds when all its items were met. Explicit
-host/path rules override the mined ones.
+(else n segments of one much-copied url would make 2**n combinations). FP-growth
+has no bound on the size of a combination, so n items of a url can make 2**n;
+where a url has more than ``FP_ITEMS``, combinations of one item, of two and so on
+up to ``MAX_TOKENS`` are counted instead, each size from the frequent ones before
+it: the same rules, from every item of every url. Rules match through an inverted
+index: url tokens join rule tokens, and a rule holds when all its items were met.
+Explicit host/path rules override the mined ones.
 
 DataFrame functions only. Null urls and urls without ``://`` have empty host
 and path, no tokens and the verdict allow. Without labelled urls, or without a
@@ -36,7 +38,7 @@ from pyspark.sql import functions as F
 from lacuna.session import materialize
 
 MIN_SUPPORT, MIN_COUNT, MIN_CONFIDENCE, MIN_DEVIATIONS = 0.002, 30, 0.6, 4.0
-MAX_TOKENS, MAX_ITEMS = 3, 12
+MAX_TOKENS, FP_ITEMS = 3, 12
 BAD = "label:block"
 # FIXED VALUES: the explicit rules of the contract, (verdict, host and path prefix)
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
@@ -91,6 +93,22 @@ def _no_rules(spark) -> DataFrame:
     return spark.createDataFrame([], "rule_id long, tokens array<string>, alike array<array<string>>, confidence double, support double")
 
 
+def _grown_sets(baskets: DataFrame, least: int, sure: Column) -> DataFrame:
+    """(tokens, freq, n_bad) of the sets of at most MAX_TOKENS items on ``least`` bad urls, counted size by size.
+
+    Sets that begin with a ``sure`` one, a rule that no larger one can be more confident than, are left out.
+    """
+    rows = baskets.groupBy(F.col("found").alias("rest")).agg(F.count(F.lit(1)).alias("freq"), F.count_if("bad").alias("n_bad"))  # like urls count once
+    rows, sets = rows.withColumn("tokens", F.array().cast("array<string>")), None
+    for size in range(1, MAX_TOKENS + 1):
+        one = rows.select("tokens", "rest", "freq", "n_bad", F.posexplode("rest").alias("place", "item"))
+        rows = one.select(F.concat("tokens", F.array("item")).alias("tokens"), F.slice("rest", F.col("place") + 2, F.size("rest")).alias("rest"), "freq", "n_bad")
+        level = materialize(rows.groupBy("tokens").agg(F.sum("freq").alias("freq"), F.sum("n_bad").alias("n_bad")).where(F.col("n_bad") >= least), f"url-sets-{size}")
+        sets = level if sets is None else sets.unionByName(level)
+        rows = rows.join(level.where(~sure).select("tokens"), "tokens", "left_semi")
+    return sets
+
+
 def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_count: int = MIN_COUNT, min_deviations: float = MIN_DEVIATIONS) -> DataFrame:
     """(rule_id, tokens, alike, confidence, support) from rows of ``url`` and boolean ``bad``; nulls are left out.
 
@@ -108,15 +126,18 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
     # at most (tokens of all urls) / least of them
     able = materialize(counts.where(F.col("n_bad") >= least), "url-tokens")
     groups = materialize(able.groupBy("n", "n_bad", "urls_1", "urls_2").agg(F.min("token").alias("item"), F.array_sort(F.collect_list("token")).alias("alike")), "url-items")
-    ranked = groups.select(F.col("item"), _deviations(F.col("n"), F.col("n_bad"), base).alias("deviation"))
-    per_url = flat.join(ranked, flat["token"] == ranked["item"]).groupBy("id").agg(
-        F.transform(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("deviation")).alias("d"), "item"))), 1, MAX_ITEMS), lambda x: x["item"]).alias("found"))
+    per_url = flat.join(groups.select("item"), F.col("token") == F.col("item")).groupBy("id").agg(F.array_sort(F.collect_list("item")).alias("found"))
     no_tokens = F.array().cast("array<string>")
-    items = urls.join(per_url, "id", "left").select(F.concat(F.coalesce("found", no_tokens), F.when(F.col("bad"), F.array(F.lit(BAD))).otherwise(no_tokens)).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / total).fit(materialize(items, "url-baskets"))
-    sets = materialize(model.freqItemsets.where(F.size("items") <= MAX_TOKENS + 1).select(F.array_sort(F.array_remove("items", BAD)).alias("tokens"), F.array_contains("items", BAD).alias("with_bad"), "freq"), "url-itemsets")
-    on_bad = sets.where(F.col("with_bad")).select("tokens", F.col("freq").alias("n_bad"))
-    both = sets.where(~F.col("with_bad") & F.size("tokens").between(1, MAX_TOKENS)).join(on_bad, "tokens")
+    baskets = materialize(urls.join(per_url, "id", "left").select("bad", F.coalesce("found", no_tokens).alias("found")), "url-baskets")
+    if baskets.agg(F.max(F.size("found"))).first()[0] > FP_ITEMS:
+        sure = (F.col("freq") == F.col("n_bad")) & (_deviations(F.col("freq"), F.col("n_bad"), base) >= min_deviations)
+        both = _grown_sets(baskets, least, sure)
+    else:
+        items = baskets.select(F.concat("found", F.when(F.col("bad"), F.array(F.lit(BAD))).otherwise(no_tokens)).alias("items"))
+        model = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / total).fit(items)
+        sets = materialize(model.freqItemsets.where(F.size("items") <= MAX_TOKENS + 1).select(F.array_sort(F.array_remove("items", BAD)).alias("tokens"), F.array_contains("items", BAD).alias("with_bad"), "freq"), "url-itemsets")
+        on_bad = sets.where(F.col("with_bad")).select("tokens", F.col("freq").alias("n_bad"))
+        both = sets.where(~F.col("with_bad") & F.size("tokens").between(1, MAX_TOKENS)).join(on_bad, "tokens")
     confidence = F.col("n_bad") / F.col("freq")
     passing = both.where((confidence >= min_confidence) & (_deviations(F.col("freq"), F.col("n_bad"), base) >= min_deviations))
     rules = materialize(passing.select(F.xxhash64("tokens").alias("rule_id"), "tokens", confidence.alias("confidence"), (F.col("n_bad") / F.lit(total)).alias("support")), "url-rules")

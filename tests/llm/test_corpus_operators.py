@@ -273,6 +273,36 @@ def test_mined_rules_equal_enumeration(spark, min_deviations):
         assert judged[i] == ("block" if any(k <= t for k in want) else "allow")
 
 
+@pytest.mark.parametrize("most", [0, 40])
+def test_every_item_of_a_long_url_counts(spark, most, monkeypatch):
+    """Urls of up to 14 frequent items, counted size by size and by FP-growth, against enumeration of all of up to three."""
+    from collections import Counter
+    from itertools import combinations
+
+    rnd = random.Random(9)
+    rows = []
+    for i in range(400):
+        own = [w for j, w in enumerate("abcdefghijklmn") if rnd.random() < 0.85]
+        bad = rnd.random() < (0.95 if "a" not in own and "b" not in own else 0.85 if "m" not in own else 0.5)
+        rows.append(("http:///" + "/".join(own), bad))
+    tokens = [{"path:" + t for t in u.split("/") if t and t != "http:"} for u, _ in rows]
+    assert max(map(len, tokens)) > 12
+    seen, seen_bad = Counter(), Counter()
+    for own, (_, bad) in zip(tokens, rows):
+        for size in (1, 2, 3):
+            for c in combinations(sorted(own), size):
+                seen[c] += 1
+                seen_bad[c] += bad
+    base = sum(bad for _, bad in rows) / len(rows)
+    passing = {frozenset(c): seen_bad[c] / n for c, n in seen.items() if seen_bad[c] >= 40 and seen_bad[c] / n >= 0.5 and (seen_bad[c] / n - base) / (base * (1 - base) / n) ** 0.5 >= 0.1}
+    want = {c: v for c, v in passing.items() if not any(frozenset(s) in passing and passing[frozenset(s)] >= v for size in (1, 2) for s in combinations(c, size) if size < len(c))}
+    monkeypatch.setattr(url_rules, "FP_ITEMS", most)
+    labelled = spark.createDataFrame(rows, "url string, bad boolean")
+    got = {frozenset(r.tokens): r.confidence for r in url_rules.mine(labelled, min_count=40, min_confidence=0.5, min_deviations=0.1).collect()}
+    assert {len(c) for c in want} >= {1, 2, 3} and got.keys() == want.keys()
+    assert all(got[c] == pytest.approx(v) for c, v in want.items())
+
+
 def test_long_urls_end_and_chance_makes_no_rule(spark):
     """One url of 200 segments among few, a hundred near copies of one, and labels that have nothing to do with the urls."""
     rnd = random.Random(8)
