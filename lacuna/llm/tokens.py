@@ -5,7 +5,9 @@ contractions, letter runs, single digits and runs of other signs before it
 merges, so a text's ids are those of its white-space separated words in a row.
 Each worker keeps the ids of the words it has met (at most twice
 ``MOST_WORDS``), and those of their letters in lower case without the signs
-behind them (``MOST_PIECES``). New ones of ASCII, Latin letters and common punctuation are
+behind them (``MOST_PIECES``). Texts of ASCII, Latin letters and common punctuation
+are put in lower case first, and their new pieces of ASCII are encoded as one text
+that is cut at white space alone. Other new ones of ASCII, Latin letters and common punctuation are
 encoded as one text in one call of the library: a word's ids hold as many ids
 of a word's end as it has pieces. New words with an apostrophe or with other
 characters are encoded one by one. Texts with separator
@@ -18,6 +20,8 @@ from __future__ import annotations
 import array
 import os
 import re
+from itertools import compress
+from operator import add
 
 import numpy as np
 
@@ -27,6 +31,7 @@ _ODD = re.compile("[\x1c-\x1f]")
 _WORD_END = "</w>"
 # words of these characters only (but no apostrophe) have the same pieces here and in the tokenizer's own rules
 _PLAIN = re.compile("[!-&(-~À-ÖØ-öø-įı-ſ‐-‧‰-⁞]+")
+_EASY = re.compile("[\t-\r -~À-ÖØ-öø-įı-ſ‐-‧‰-⁞]*")  # whole texts of them, apostrophes and white space
 _SIGNS = "".join(chr(p) for p in [*range(33, 39), *range(40, 48), *range(58, 65), *range(91, 97), *range(123, 127), *range(0x2010, 0x2028), *range(0x2030, 0x205F)])
 _SPECIAL = "<|"
 _STATE: dict = {}
@@ -81,9 +86,11 @@ class WordEncoder:
 
     def __init__(self, path: str, share: float = 1.0):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.merger = Tokenizer.from_file(path)  # for lower-case pieces of ASCII: no cut but at white space
+        self.merger.normalizer, self.merger.pre_tokenizer = None, pre_tokenizers.WhitespaceSplit()
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         self.is_end = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), bool)
         self.is_end[[i for token, i in vocabulary.items() if token.endswith(_WORD_END)]] = True
@@ -132,12 +139,39 @@ class WordEncoder:
         self.words.new.update(zip(plain, self._encode_all(plain)))
         self.words.new.update(zip(other, self._encode(other)))
 
+    def _learn_pieces(self, new: list[str]) -> None:
+        """Adds the ids of lower-case pieces not met before."""
+        plain = [p for p in new if p.isascii()]
+        for lo in range(0, len(plain), _AT_ONCE):
+            some = plain[lo : lo + _AT_ONCE]
+            ids = np.array(self.merger.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            ends, raw = (4 * (np.flatnonzero(self.is_end[ids]) + 1)).tolist(), ids.tobytes()
+            own = [raw[a:b] for a, b in zip([0, *ends], ends)] if len(ends) == len(some) else self._encode(some)
+            self.pieces.new.update(zip(some, own))
+        other = [p for p in new if not p.isascii()]
+        self.pieces.new.update(zip(other, self._encode_all(other)))
+
+    def _learn_easy(self, new: list[str]) -> None:
+        """Adds the ids of lower-case words of easy texts not met before."""
+        cores = [word.rstrip(_SIGNS) for word in new]
+        simple = [core.isalpha() for core in cores]
+        self._learn([word for word, ok in zip(new, simple) if not ok])
+        new, cores = list(compress(new, simple)), list(compress(cores, simple))
+        tails = [word[len(core) :] for word, core in zip(new, cores)]
+        self._learn_pieces(self.pieces.missing({*cores, *tails} - {""}))
+        known = self.pieces.new
+        known[""] = b""
+        ids = known.__getitem__
+        self.words.new.update(zip(new, map(add, map(ids, cores), map(ids, tails))))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as bytes."""
         self.words.age()
         self.pieces.age()
-        words = [None if _ODD.search(t) else t.split() for t in texts]
-        self._learn(self.words.missing(set().union(*filter(None, words))))
+        easy = [_EASY.fullmatch(t) is not None and _SPECIAL not in t for t in texts]
+        words = [t.lower().split() if ok else None if _ODD.search(t) else t.split() for t, ok in zip(texts, easy)]
+        self._learn_easy(self.words.missing(set().union(*compress(words, easy))))
+        self._learn(self.words.missing(set().union(*[own for own, ok in zip(words, easy) if own and not ok])))
         ids = self.words.new.__getitem__
         return [self._encode([t])[0] if own is None else b"".join(map(ids, own)) for t, own in zip(texts, words)]
 

@@ -435,3 +435,14 @@ def test_packing_of_documents_under_binding_capacities(spark, monkeypatch):
     assert len({s >> 32 for s in bins}) > 3  # shards by the number of pieces
     assert all(len(b) <= 3 and sum(n * n for n in b) <= 10_000 and sum(b) <= 400 for b in bins.values())
     assert max(len(b) for b in bins.values()) == 3
+
+
+def test_easy_texts_are_learned_in_lower_case():
+    """Case does not make new words of Latin texts, and the ids stay the library's."""
+    enc = WordEncoder(default_tokenizer())
+    texts = ["The the THE, don't DON'T we'LL ...'re", "Écrit écrit ÉCRIT! 12a ½", "A\tb\x0bc\r\n a", "x <|endoftext|> X", "Straße STRASSE İx ſt ’s ×y", "", "a\x1fb", "\x00 a\x7f"]
+    assert enc.encode(texts[:1] + texts[2:3])
+    assert enc.words.new.keys() == {"the", "the,", "don't", "we'll", "...'re", "a", "b", "c"}
+    for _ in range(2):
+        got = [np.frombuffer(ids, "<u4").tolist() for ids in enc.encode(texts)]
+        assert got == [enc.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
