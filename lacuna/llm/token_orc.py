@@ -41,7 +41,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
         for batch in batches:
             parts_of, doc_ids = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             held: list[tuple] = []
-            for i, ids in encode_slices(batch.column(2).to_pylist(), tok, end_id):
+            for i, ids in encode_slices(batch.column(2), tok, end_id):
                 held.append((parts_of[i], seq, doc_ids[i], len(ids), ids.view("<i4")))
                 seq += 1
                 if len(held) == _ROWS_OUT:

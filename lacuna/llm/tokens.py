@@ -6,8 +6,10 @@ merges, so a text's ids are those of its white-space separated words in a row.
 Each worker keeps the ids of the words it has met (at most twice
 ``MOST_WORDS``), and those of their letters in lower case without the signs
 behind them (``MOST_PIECES``). Texts of ASCII, Latin letters and common punctuation
-are put in lower case first, and their new pieces of ASCII are encoded as one text
-that is cut at white space alone. Other new ones of ASCII, Latin letters and common punctuation are
+are put in lower case, cut into words and put together from the ids of their distinct
+words by Arrow, a slice of texts at a time; their new pieces are encoded as one text
+of the tokenizer's byte letters that is cut at white space alone. Other new ones of ASCII,
+Latin letters and common punctuation are
 encoded as one text in one call of the library: a word's ids hold as many ids
 of a word's end as it has pieces. New words with an apostrophe or with other
 characters are encoded one by one. Texts with separator
@@ -24,6 +26,8 @@ from itertools import compress
 from operator import add
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 MOST_WORDS, MOST_PIECES = 300_000, 700_000
 _AT_ONCE = 50_000
@@ -31,7 +35,7 @@ _ODD = re.compile("[\x1c-\x1f]")
 _WORD_END = "</w>"
 # words of these characters only (but no apostrophe) have the same pieces here and in the tokenizer's own rules
 _PLAIN = re.compile("[!-&(-~À-ÖØ-öø-įı-ſ‐-‧‰-⁞]+")
-_EASY = re.compile("[\t-\r -~À-ÖØ-öø-įı-ſ‐-‧‰-⁞]*")  # whole texts of them, apostrophes and white space
+_EASY = r"\A[\t-\r -~À-ÖØ-öø-įı-ſ‐-‧‰-⁞]*\z"  # whole texts of them, apostrophes and white space
 _SIGNS = "".join(chr(p) for p in [*range(33, 39), *range(40, 48), *range(58, 65), *range(91, 97), *range(123, 127), *range(0x2010, 0x2028), *range(0x2030, 0x205F)])
 _SPECIAL = "<|"
 _STATE: dict = {}
@@ -49,6 +53,16 @@ def _kinds() -> np.ndarray:
 _KINDS = _kinds()
 
 
+def _byte_letters() -> dict[int, int]:
+    """The letter that stands for each byte in a byte-level vocabulary; white space stays."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(0x100) if b not in own]
+    return {b: 0x100 + i for i, b in enumerate(others) if b != ord(" ")}
+
+
+_BYTE_LETTERS = _byte_letters()
+
+
 def pieces_before(text: str) -> np.ndarray:
     """How many pieces begin before each code point of plain words in a row, and in all."""
     kind = _KINDS[np.frombuffer(text.encode("utf-32-le"), np.uint32)]
@@ -89,7 +103,7 @@ class WordEncoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.merger = Tokenizer.from_file(path)  # for lower-case pieces of ASCII: no cut but at white space
+        self.merger = Tokenizer.from_file(path)  # for lower-case pieces in byte letters: no cut but at white space
         self.merger.normalizer, self.merger.pre_tokenizer = None, pre_tokenizers.WhitespaceSplit()
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         self.is_end = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), bool)
@@ -141,15 +155,13 @@ class WordEncoder:
 
     def _learn_pieces(self, new: list[str]) -> None:
         """Adds the ids of lower-case pieces not met before."""
-        plain = [p for p in new if p.isascii()]
-        for lo in range(0, len(plain), _AT_ONCE):
-            some = plain[lo : lo + _AT_ONCE]
-            ids = np.array(self.merger.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+        for lo in range(0, len(new), _AT_ONCE):
+            some = new[lo : lo + _AT_ONCE]
+            letters = " ".join(some).encode().decode("latin-1").translate(_BYTE_LETTERS)
+            ids = np.array(self.merger.encode_batch_fast([letters], add_special_tokens=False)[0].ids, "<u4")
             ends, raw = (4 * (np.flatnonzero(self.is_end[ids]) + 1)).tolist(), ids.tobytes()
             own = [raw[a:b] for a, b in zip([0, *ends], ends)] if len(ends) == len(some) else self._encode(some)
             self.pieces.new.update(zip(some, own))
-        other = [p for p in new if not p.isascii()]
-        self.pieces.new.update(zip(other, self._encode_all(other)))
 
     def _learn_easy(self, new: list[str]) -> None:
         """Adds the ids of lower-case words of easy texts not met before."""
@@ -164,17 +176,42 @@ class WordEncoder:
         ids = known.__getitem__
         self.words.new.update(zip(new, map(add, map(ids, cores), map(ids, tails))))
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as bytes."""
-        self.words.age()
-        self.pieces.age()
-        easy = [_EASY.fullmatch(t) is not None and _SPECIAL not in t for t in texts]
-        words = [t.lower().split() if ok else None if _ODD.search(t) else t.split() for t, ok in zip(texts, easy)]
-        self._learn_easy(self.words.missing(set().union(*compress(words, easy))))
-        self._learn(self.words.missing(set().union(*[own for own, ok in zip(words, easy) if own and not ok])))
+    def _encode_easy(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each easy text."""
+        words = pc.ascii_split_whitespace(pc.utf8_lower(texts))
+        met = words.values.dictionary_encode()
+        distinct = _strings(met.dictionary)
+        known = list(map(self.words.new.get, distinct))
+        gaps = [i for i, ids in enumerate(known) if ids is None]
+        self._learn_easy(self.words.missing({distinct[i] for i in gaps}))
+        for i in gaps:
+            known[i] = self.words.new[distinct[i]]
+        ids = pa.array(known, pa.large_binary()).take(met.indices)
+        return pc.binary_join(pa.ListArray.from_arrays(words.offsets, ids), pa.scalar(b"", ids.type)).to_pylist()
+
+    def _encode_other(self, texts: list[str]) -> list[bytes]:
+        """The ids of each of any texts."""
+        words = [None if _ODD.search(t) else t.split() for t in texts]
+        self._learn(self.words.missing(set().union(*filter(None, words))))
         ids = self.words.new.__getitem__
         return [self._encode([t])[0] if own is None else b"".join(map(ids, own)) for t, own in zip(texts, words)]
 
+    def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
+        """The ids of each text as bytes; null is empty."""
+        self.words.age()
+        self.pieces.age()
+        texts = (texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())).cast(pa.large_string()).fill_null("")
+        easy = pc.and_not(pc.match_substring_regex(texts, _EASY), pc.match_substring(texts, _SPECIAL))
+        sure, rest = iter(self._encode_easy(texts.filter(easy))), iter(self._encode_other(texts.filter(pc.invert(easy)).to_pylist()))
+        return [next(sure if ok else rest) for ok in easy.to_pylist()]
+
+
+def _strings(words: pa.Array) -> list[str]:
+    """Words without white space as Python strings, many times faster than one by one."""
+    if not len(words):
+        return []
+    return pc.binary_join(pa.ListArray.from_arrays([0, len(words)], words), pa.scalar(" ", words.type))[0].as_py().split(" ")
+
 
 def encoder(path: str, share: float = 1.0) -> WordEncoder:
     """One encoder for each worker process; another tokenizer or share of the memory takes its place."""
@@ -184,15 +221,16 @@ def encoder(path: str, share: float = 1.0) -> WordEncoder:
     return _STATE[path, share]
 
 
-def encode_slices(texts: list[str | None], path: str, end_id: int, limit: int = 1 << 20, share: float = 1.0):
-    """Yields (number, ids with the end id) of each text, null as empty, a bounded slice at a time."""
+def encode_slices(texts: pa.Array, path: str, end_id: int, limit: int = 1 << 20, share: float = 1.0):
+    """Yields (number, ids with the end id) of each text, null as empty, a slice of at most ``limit`` bytes or one text at a time."""
     enc = encoder(path, share)
     end = np.array([end_id], "<u4").tobytes()
+    sizes = pc.binary_length(texts).fill_null(0).to_pylist()
     lo, size = 0, 0
-    for i in range(len(texts) + 1):
-        n = len(texts[i] or "") if i < len(texts) else 0
-        if i == len(texts) or (i > lo and size + n > limit):
-            for k, ids in enumerate(enc.encode([t or "" for t in texts[lo:i]]), lo):
+    for i in range(len(sizes) + 1):
+        n = sizes[i] if i < len(sizes) else 0
+        if i == len(sizes) or (i > lo and size + n > limit):
+            for k, ids in enumerate(enc.encode(texts.slice(lo, i - lo)), lo):
                 yield k, np.frombuffer(ids + end, "<u4")
             lo, size = i, 0
         size += n

@@ -44,7 +44,7 @@ def pieces(docs: DataFrame, tokens: int, tokenizer: str | None = None, end_id: i
         for batch in batches:
             doc_ids = batch.column(0).to_pylist()
             cols: list[list] = [[], [], [], [], [], []]
-            for i, ids in encode_slices(batch.column(1).to_pylist(), path, end_id, share=memo_share):
+            for i, ids in encode_slices(batch.column(1), path, end_id, share=memo_share):
                 for k, at in enumerate(range(0, len(ids), tokens)):
                     part = ids[at : at + tokens]
                     row = (doc_ids[i], k, at, len(part), zlib.crc32(part.tobytes()), part if with_ids else None)

@@ -3,6 +3,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -446,3 +447,18 @@ def test_easy_texts_are_learned_in_lower_case():
     for _ in range(2):
         got = [np.frombuffer(ids, "<u4").tolist() for ids in enc.encode(texts)]
         assert got == [enc.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_columns_are_encoded_by_distinct_word(monkeypatch):
+    """A cut column with nulls: easy texts look a word up once, and their pieces of any Latin letters are encoded together."""
+    texts = [None, "Éléphant, über; straße", "", " \t the  THE\r\n", "日 x", "ÉCRIT écrit… écrit!", "ŉ ĳ ſ", "×y", "a\x1fb", " ", "the the"]
+    enc = WordEncoder(default_tokenizer())
+    whole = [np.array(enc.tokenizer.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    seen = []
+    library = enc._encode
+    monkeypatch.setattr(enc, "_encode", lambda words: seen.extend(words) or library(words))
+    monkeypatch.setattr(enc, "_encode_plain", lambda words: seen.extend(words) or library(words))
+    for kind in (pa.string(), pa.large_string()):
+        assert enc.encode(pa.array(["cut", *texts, "off"], kind).slice(1, len(texts))) == whole
+    assert not {"éléphant", "über", "straße", "écrit", "…", "ŉ", "the"} & set(seen)
+    assert enc.encode(pa.array([], pa.string())) == enc.encode([]) == []
