@@ -3,13 +3,14 @@
 The tokenizer lower-cases a text, drops its white space and cuts it into
 contractions, letter runs, single digits and runs of other signs before it
 merges, so a text's ids are those of its white-space separated words in a row.
-Each worker keeps the ids of the words it has met (at most twice
-``MOST_WORDS``), and those of their letters in lower case without the signs
-behind them (``MOST_PIECES``). Texts of ASCII, Latin letters and common punctuation
-are put in lower case, cut into words and put together from the ids of their distinct
-words by Arrow, a slice of texts at a time; their new pieces are encoded as one text
-of the tokenizer's byte letters that is cut at white space alone. Other new ones of ASCII,
-Latin letters and common punctuation are
+Texts of ASCII, Latin letters and common punctuation are put in lower case, cut into
+words and put together from the ids of their distinct words by Arrow, a slice of texts
+at a time. Each worker keeps the ids of the first words it has met (about ``MOST_WORDS``;
+begun anew when they no longer help); other words without an apostrophe are cut into pieces
+and put together from the ids of those in the same way. The ids of pieces are kept too (at most
+about twice ``MOST_PIECES``); new pieces are encoded as one text of the tokenizer's byte letters
+that is cut at white space alone. The words of other texts have a memo of their own, of half the size:
+new ones of ASCII, Latin letters and common punctuation are
 encoded as one text in one call of the library: a word's ids hold as many ids
 of a word's end as it has pieces. New words with an apostrophe or with other
 characters are encoded one by one. Texts with separator
@@ -22,15 +23,15 @@ from __future__ import annotations
 import array
 import os
 import re
-from itertools import compress
-from operator import add
+from collections.abc import Callable, Iterable
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-MOST_WORDS, MOST_PIECES = 300_000, 700_000
+MOST_WORDS, MOST_PIECES, SLICE_BYTES = 300_000, 700_000, 4 << 20
 _AT_ONCE = 50_000
+_STRANGE = 0.75  # a full memo of words is begun anew if so many of the distinct words of a slice are not in it
 _ODD = re.compile("[\x1c-\x1f]")
 _WORD_END = "</w>"
 # words of these characters only (but no apostrophe) have the same pieces here and in the tokenizer's own rules
@@ -53,6 +54,34 @@ def _kinds() -> np.ndarray:
 _KINDS = _kinds()
 
 
+def _byte_kinds() -> np.ndarray:
+    """The kinds by UTF-8 byte; bytes that are not ASCII count as those of letters."""
+    return np.concatenate([_KINDS[:0x80], np.ones(0x80, np.uint8)])
+
+
+_BYTE_KINDS = _byte_kinds()
+_PUNCTUATION = 0xE2  # first of the three bytes of every sign in easy texts that is not ASCII
+
+
+def cut_pieces(words: pa.Array) -> pa.ListArray:
+    """The pieces of each of some lower-case words of easy texts without apostrophes: letter runs, single digits, runs of other signs."""
+    words = words.cast(pa.large_binary())
+    bounds = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+    data = words.buffers()[2] or pa.py_buffer(b"")
+    text = np.frombuffer(data, np.uint8)[bounds[0] : bounds[-1]]
+    kind = _BYTE_KINDS[text]
+    signs = np.flatnonzero(text == _PUNCTUATION)
+    for k in range(3):
+        kind[signs + k] = 3
+    begins = np.ones(len(text) + 1, bool)
+    np.not_equal(kind[1:], kind[:-1], out=begins[1:-1])
+    begins[:-1] |= kind == 2
+    begins[bounds - bounds[0]] = True
+    starts = np.flatnonzero(begins)
+    pieces = pa.Array.from_buffers(pa.large_binary(), len(starts) - 1, [None, pa.py_buffer(starts + bounds[0]), data]).cast(pa.large_string())
+    return pa.LargeListArray.from_arrays(pa.array(np.searchsorted(starts, bounds - bounds[0])), pieces)
+
+
 def _byte_letters() -> dict[int, int]:
     """The letter that stands for each byte in a byte-level vocabulary; white space stays."""
     own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -87,12 +116,14 @@ class _Memo:
         if len(self.new) > self.most:
             self.old, self.new = self.new, {}
 
-    def missing(self, keys: set[str]) -> list[str]:
-        """The keys in neither generation; those of the old one are in the new one afterwards."""
-        unknown = keys.difference(self.new)
-        back = unknown & self.old.keys()
-        self.new.update(zip(back, map(self.old.__getitem__, back)))
-        return list(unknown - back)
+    def missing(self, keys: Iterable[str]) -> list[str]:
+        """The distinct keys in neither generation; those of the old one are in the new one afterwards."""
+        unknown = [k for k in keys if k not in self.new]
+        if self.old:
+            back = list(map(self.old.get, unknown))
+            self.new.update([(k, ids) for k, ids in zip(unknown, back) if ids is not None])
+            unknown = [k for k, ids in zip(unknown, back) if ids is None]
+        return unknown
 
 
 class WordEncoder:
@@ -108,7 +139,7 @@ class WordEncoder:
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         self.is_end = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), bool)
         self.is_end[[i for token, i in vocabulary.items() if token.endswith(_WORD_END)]] = True
-        self.words, self.pieces = _Memo(int(MOST_WORDS * share)), _Memo(int(MOST_PIECES * share))
+        self.words, self.pieces, self.others = _Memo(int(MOST_WORDS * share)), _Memo(int(MOST_PIECES * share)), _Memo(int(MOST_WORDS * share) // 2)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [array.array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -129,7 +160,7 @@ class WordEncoder:
         return [ids for lo in range(0, len(words), _AT_ONCE) for ids in self._encode_plain(words[lo : lo + _AT_ONCE])]
 
     def _learn(self, new: list[str]) -> None:
-        """Adds the ids of words not met before."""
+        """Adds the ids of words of any texts not met before."""
         simple, cores, tails, plain, other = [], [], [], [], []
         for word in new:
             if not (word.isascii() or _PLAIN.fullmatch(word)):
@@ -149,56 +180,70 @@ class WordEncoder:
         unknown = self.pieces.missing({*cores, *tails} - {""})
         known.update(zip(unknown, self._encode_all(unknown)))
         known[""] = b""
-        self.words.new.update(zip(simple, [known[c] + known[t] for c, t in zip(cores, tails)]))
-        self.words.new.update(zip(plain, self._encode_all(plain)))
-        self.words.new.update(zip(other, self._encode(other)))
+        self.others.new.update(zip(simple, [known[c] + known[t] for c, t in zip(cores, tails)]))
+        self.others.new.update(zip(plain, self._encode_all(plain)))
+        self.others.new.update(zip(other, self._encode(other)))
 
     def _learn_pieces(self, new: list[str]) -> None:
         """Adds the ids of lower-case pieces not met before."""
-        for lo in range(0, len(new), _AT_ONCE):
-            some = new[lo : lo + _AT_ONCE]
-            letters = " ".join(some).encode().decode("latin-1").translate(_BYTE_LETTERS)
-            ids = np.array(self.merger.encode_batch_fast([letters], add_special_tokens=False)[0].ids, "<u4")
-            ends, raw = (4 * (np.flatnonzero(self.is_end[ids]) + 1)).tolist(), ids.tobytes()
-            own = [raw[a:b] for a, b in zip([0, *ends], ends)] if len(ends) == len(some) else self._encode(some)
-            self.pieces.new.update(zip(some, own))
-
-    def _learn_easy(self, new: list[str]) -> None:
-        """Adds the ids of lower-case words of easy texts not met before."""
-        cores = [word.rstrip(_SIGNS) for word in new]
-        simple = [core.isalpha() for core in cores]
-        self._learn([word for word, ok in zip(new, simple) if not ok])
-        new, cores = list(compress(new, simple)), list(compress(cores, simple))
-        tails = [word[len(core) :] for word, core in zip(new, cores)]
-        self._learn_pieces(self.pieces.missing({*cores, *tails} - {""}))
-        known = self.pieces.new
-        known[""] = b""
-        ids = known.__getitem__
-        self.words.new.update(zip(new, map(add, map(ids, cores), map(ids, tails))))
+        latin = [piece for piece in new if not piece.isascii()]
+        for kind in (latin, [piece for piece in new if piece.isascii()] if latin else new):
+            for lo in range(0, len(kind), _AT_ONCE):
+                some = kind[lo : lo + _AT_ONCE]
+                letters = " ".join(some)
+                if kind is latin:
+                    letters = letters.encode().decode("latin-1").translate(_BYTE_LETTERS)
+                ids = np.array(self.merger.encode_batch_fast([letters], add_special_tokens=False)[0].ids, "<u4")
+                ends, raw = (4 * (np.flatnonzero(self.is_end[ids]) + 1)).tolist(), ids.tobytes()
+                own = [raw[a:b] for a, b in zip([0, *ends], ends)] if len(ends) == len(some) else self._encode(some)
+                self.pieces.new.update(zip(some, own))
+
+    def _piece_ids(self, pieces: pa.Array) -> pa.Array:
+        """The ids of each of some distinct lower-case pieces."""
+        texts = _strings(pieces)
+        known = list(map(self.pieces.new.get, texts))
+        gaps = [i for i, ids in enumerate(known) if ids is None]
+        self._learn_pieces(self.pieces.missing([texts[i] for i in gaps]))
+        for i in gaps:
+            known[i] = self.pieces.new[texts[i]]
+        return pa.array(known, pa.large_binary())
+
+    def _new_ids(self, words: pa.Array) -> pa.Array:
+        """The ids of each of some distinct lower-case words of easy texts that ``words`` does not hold."""
+        odd = pc.match_substring(words, "'")
+        ids = _joined(cut_pieces(pc.if_else(odd, "", words)), self._piece_ids)
+        rest = words.filter(odd).to_pylist()
+        return pc.replace_with_mask(ids, odd, pa.array(self._encode_other(rest), ids.type)) if rest else ids
+
+    def _easy_ids(self, words: pa.Array) -> pa.Array:
+        """The ids of each of some distinct lower-case words of easy texts; the memo takes new ones until it is full."""
+        memo = self.words
+        ids = pa.array(list(map(memo.new.get, _strings(words))), pa.large_binary())
+        gaps = ids.is_null()
+        new = words.filter(gaps)
+        if not len(new):
+            return ids
+        if len(memo.new) >= memo.most and len(new) > _STRANGE * len(words):
+            memo.new.clear()
+        found = self._new_ids(new)
+        if len(memo.new) < memo.most:
+            memo.new.update(zip(_strings(new), found.to_pylist()))
+        return pc.replace_with_mask(ids, gaps, found)
 
     def _encode_easy(self, texts: pa.Array) -> list[bytes]:
         """The ids of each easy text."""
-        words = pc.ascii_split_whitespace(pc.utf8_lower(texts))
-        met = words.values.dictionary_encode()
-        distinct = _strings(met.dictionary)
-        known = list(map(self.words.new.get, distinct))
-        gaps = [i for i, ids in enumerate(known) if ids is None]
-        self._learn_easy(self.words.missing({distinct[i] for i in gaps}))
-        for i in gaps:
-            known[i] = self.words.new[distinct[i]]
-        ids = pa.array(known, pa.large_binary()).take(met.indices)
-        return pc.binary_join(pa.ListArray.from_arrays(words.offsets, ids), pa.scalar(b"", ids.type)).to_pylist()
+        return _joined(pc.ascii_split_whitespace(pc.utf8_lower(texts)), self._easy_ids).to_pylist()
 
     def _encode_other(self, texts: list[str]) -> list[bytes]:
         """The ids of each of any texts."""
         words = [None if _ODD.search(t) else t.split() for t in texts]
-        self._learn(self.words.missing(set().union(*filter(None, words))))
-        ids = self.words.new.__getitem__
+        self._learn(self.others.missing(set().union(*filter(None, words))))
+        ids = self.others.new.__getitem__
         return [self._encode([t])[0] if own is None else b"".join(map(ids, own)) for t, own in zip(texts, words)]
 
     def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
         """The ids of each text as bytes; null is empty."""
-        self.words.age()
+        self.others.age()
         self.pieces.age()
         texts = (texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())).cast(pa.large_string()).fill_null("")
         easy = pc.and_not(pc.match_substring_regex(texts, _EASY), pc.match_substring(texts, _SPECIAL))
@@ -206,6 +251,14 @@ class WordEncoder:
         return [next(sure if ok else rest) for ok in easy.to_pylist()]
 
 
+def _joined(parts: pa.Array, ids_of: Callable[[pa.Array], pa.Array]) -> pa.Array:
+    """The ids of the strings of each list in a row, from those of the distinct strings."""
+    met = parts.values.dictionary_encode()
+    ids = ids_of(met.dictionary).take(met.indices)
+    lists = pa.LargeListArray if pa.types.is_large_list(parts.type) else pa.ListArray
+    return pc.binary_join(lists.from_arrays(parts.offsets, ids), pa.scalar(b"", ids.type))
+
+
 def _strings(words: pa.Array) -> list[str]:
     """Words without white space as Python strings, many times faster than one by one."""
     if not len(words):
@@ -221,8 +274,9 @@ def encoder(path: str, share: float = 1.0) -> WordEncoder:
     return _STATE[path, share]
 
 
-def encode_slices(texts: pa.Array, path: str, end_id: int, limit: int = 1 << 20, share: float = 1.0):
+def encode_slices(texts: pa.Array, path: str, end_id: int, limit: int | None = None, share: float = 1.0):
     """Yields (number, ids with the end id) of each text, null as empty, a slice of at most ``limit`` bytes or one text at a time."""
+    limit = limit or int(SLICE_BYTES * share)
     enc = encoder(path, share)
     end = np.array([end_id], "<u4").tobytes()
     sizes = pc.binary_length(texts).fill_null(0).to_pylist()

@@ -12,7 +12,7 @@ from lacuna.llm import decontaminate as dec
 from lacuna.llm import jaccard_join as jj
 from lacuna.llm import suffix_dedup as sd
 from lacuna.llm import token_orc, url_rules, vector_pack
-from lacuna.llm.tokens import WordEncoder, default_tokenizer
+from lacuna.llm.tokens import WordEncoder, cut_pieces, default_tokenizer
 from lacuna.session import ensure_checkpoint_dir
 
 import brute
@@ -462,3 +462,35 @@ def test_columns_are_encoded_by_distinct_word(monkeypatch):
         assert enc.encode(pa.array(["cut", *texts, "off"], kind).slice(1, len(texts))) == whole
     assert not {"éléphant", "über", "straße", "écrit", "…", "ŉ", "the"} & set(seen)
     assert enc.encode(pa.array([], pa.string())) == enc.encode([]) == []
+
+
+def _no_call(*_):
+    raise AssertionError("the library is called")
+
+
+def test_new_words_of_known_pieces_need_no_library_call(monkeypatch):
+    """Words with digits and signs inside are cut into pieces here; the library meets new pieces only."""
+    enc = WordEncoder(default_tokenizer())
+    texts = ["Cat-the 12 2-cat1THE", "", "é…é1 -21- …", None, "the2the"]
+    whole = [np.array(enc.tokenizer.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    enc.encode(["the cat 1 2 - é …"])
+    for name in ("_encode", "_encode_plain", "_learn_pieces"):
+        monkeypatch.setattr(enc, name, lambda new: _no_call() if new else [])
+    assert enc.encode(texts) == whole
+
+
+def test_pieces_of_words_equal_the_pattern():
+    words = ["a", "", "ab12cd", "--x--", "é…é", "‐‧‰⁞ſ", "\x00a\x7f", "日"[:0], "3", "ÿ9ā_"]
+    array = pa.array(["cut", *words, "off"], pa.large_string()).slice(1, len(words))
+    want = [re.findall(r"[a-zß-öø-ÿāſ]+|[0-9]|[^a-zß-öø-ÿāſ0-9]+", w) for w in words]
+    assert cut_pieces(array).to_pylist() == want
+    assert cut_pieces(array.slice(0, 0)).to_pylist() == [] and cut_pieces(array.slice(1, 1)).to_pylist() == [[]]
+
+
+def test_full_memo_of_words_takes_no_more_and_is_begun_anew_when_it_does_not_help(monkeypatch):
+    monkeypatch.setattr("lacuna.llm.tokens.MOST_WORDS", 4)
+    enc = WordEncoder(default_tokenizer())
+    for text, kept in (("a b c d", "abcd"), ("a b c e", "abcd"), ("f g h a", "abcd"), ("f g h i it's", "fgh")):
+        assert enc.encode([text]) == [np.array(enc.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()]
+        assert enc.words.new.keys() >= set(kept) and len(enc.words.new) <= 5
+    assert "a" not in enc.words.new
